@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .line_dedup import OP7_SQL, op7_line_dedup
 from .mixing import OP9_SQL, op9_poisson_mixing
+from .packing import op6_harmonic_packing
+from .secrets import op5_secret_scan
 from .sharding import OP3_SQL, op3_extendible_sharding
 
 QUERIES = {
     f.__name__: f
     for f in (
         op3_extendible_sharding,
+        op5_secret_scan,
+        op6_harmonic_packing,
+        op7_line_dedup,
         op8_exact_dedup,
         op9_poisson_mixing,
     )
 }
 ORACLES = {
     "op3_extendible_sharding": OP3_SQL,
+    "op7_line_dedup": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_poisson_mixing": OP9_SQL,
 }
