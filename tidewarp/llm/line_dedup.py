@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .common import BLANK, as_bytes, cut, table
 
 HASHES = 4
@@ -149,7 +150,7 @@ def twice_seen(texts: DataFrame, least: int, slices: int, max_filter_bytes: int)
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, slices: int = 64, max_filter_bytes: int = 32 << 20) -> DataFrame:
     """(id, n_lines, n_dropped, kept): kept is the text without lines that a smaller id holds as well."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = ship(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     filters = spark.sparkContext.broadcast(twice_seen(rows.select("text"), least, slices, max_filter_bytes))
 
     def suspected(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

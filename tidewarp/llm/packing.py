@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from ..functions.shipping import ship
+from .common import cut, table
 
 CAPACITY = 4096
 SMALL = 32
@@ -159,11 +160,9 @@ def _join_open(capacity: int):
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = ship(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     placed = rows.mapInArrow(_fill(tokenizer, capacity, end_id), SCHEMA)
     # The open pieces need the same evaluation as the closed ones, so both are written once.
-    from .common import cut
-
     placed = cut(placed, "packing-pieces")
     left = placed.where("sequence_id IS NULL").withColumn("carry", F.floor(F.col("offset") / CARRY).cast("long"))
     joined = left.groupBy("carry").applyInArrow(_join_open(capacity), SCHEMA)

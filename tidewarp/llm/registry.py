@@ -8,19 +8,26 @@ from .mixing import OP9_SQL, op9_poisson_mixing
 from .packing import op6_harmonic_packing
 from .secrets import op5_secret_scan
 from .sharding import OP3_SQL, op3_extendible_sharding
+from .topk import OP1_SQL, op1_topk_codes
+from .toxicity import op10_toxicity
+from .warc import op4_warc
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_topk_codes,
         op3_extendible_sharding,
+        op4_warc,
         op5_secret_scan,
         op6_harmonic_packing,
         op7_line_dedup,
         op8_exact_dedup,
         op9_poisson_mixing,
+        op10_toxicity,
     )
 }
 ORACLES = {
+    "op1_topk_codes": OP1_SQL,
     "op3_extendible_sharding": OP3_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .common import table
 
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
@@ -178,7 +179,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             out = [[{"kind": k, "start": s, "end": e} for s, k, e in spans(x or "")] for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["id", "found"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = ship(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "id long, found array<struct<kind:string,start:int,end:int>>")
 
 
