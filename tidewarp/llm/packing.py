@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ CAPACITY = 4096
 SMALL = 32
 CARRY = 64
 END_ID = 2
-CACHE = 400_000
+CACHE = 900_000
 
 #: Characters on which the word rule below and the tokenizer's own splitting could differ: control and odd
 #: spaces, superscripts and fractions, the dotted capital I, special-token marks, and all beyond U+024F.
@@ -46,14 +47,14 @@ _loaded: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes. Words recur, so their ids are looked up; odd texts are encoded whole."""
+    """Ids of texts as little-endian 32-bit bytes. Words recur, so their ids are looked up; odd texts are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.plain = "word_bpe" in os.path.basename(path)
 
     @classmethod
@@ -68,15 +69,23 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.plain or ODD.search(text):
             return self.whole(text)
-        words = WORD.findall(text.lower())
-        missing = list(set(words).difference(self.words))
+        # No token spans white space, so what stands between it is looked up whole.
+        runs = text.lower().split()
+        missing = set(runs).difference(self.known)
         if missing:
-            if len(self.words) + len(missing) > CACHE:
-                self.words.clear()
-                missing = list(set(words))
-            for word, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.words[word] = np.asarray(found.ids, "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, words))
+            if len(self.known) + 2 * len(missing) > CACHE:
+                self.known.clear()
+                missing = set(runs)
+            self._learn({run: WORD.findall(run) for run in missing})
+        return b"".join(map(self.known.__getitem__, runs))
+
+    def _learn(self, runs: dict[str, list[str]]) -> None:
+        words = list({w for ws in runs.values() for w in ws}.difference(self.known))
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[word] = array("I", found.ids).tobytes()
+        for run, ws in runs.items():
+            if run not in self.known:
+                self.known[run] = b"".join(map(self.known.__getitem__, ws))
 
 
 def slots(length: int, capacity: int = CAPACITY, small: int = SMALL) -> list[tuple[int, int]]:
