@@ -42,7 +42,7 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-E
 
 
 def member(data: bytes) -> bytes:
-    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    pack = zlib.compressobj(4, zlib.DEFLATED, 31)
     return pack.compress(data) + pack.flush()
 
 
@@ -119,26 +119,38 @@ def page_records(page: int | None, url: str | None, payload: bytes, refers_to: i
         yield record("continuation", f"{ident[:-1]}:{i}>", part, more)
 
 
+def _members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The plain bytes of a file's gzip members, or the file itself; a member is fed in steps, so none is copied more than once."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while at < len(data):
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut short")
+            piece = view[at : at + step]
+            parts.append(unpack.decompress(piece))
+            at += len(piece) - len(unpack.unused_data)
+        yield b"".join(parts)
+
+
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of the records in a file of gzip members or plain records."""
-    while data:
-        if data[:2] == b"\x1f\x8b":
-            unpack = zlib.decompressobj(31)
-            plain, data = unpack.decompress(data), unpack.unused_data
-        else:
-            plain, data = data, b""
-        while plain:
-            end = plain.index(b"\r\n\r\n")
-            lines = plain[:end].decode().split("\r\n")
+    for plain in _members(data):
+        at = 0
+        while at < len(plain):
+            end = plain.index(b"\r\n\r\n", at)
+            lines = plain[at:end].decode().split("\r\n")
             if not lines[0].startswith("WARC/"):
                 raise ValueError("no WARC record here")
             head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-            size = int(head["content-length"])
-            block = plain[end + 4 : end + 4 + size]
-            if len(block) != size or plain[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
+            at = end + 4 + int(head["content-length"])
+            if plain[at : at + 4] != b"\r\n\r\n":
                 raise ValueError("a record's length does not fit")
-            yield head, block
-            plain = plain[end + 8 + size :]
+            yield head, plain[end + 4 : at]
+            at += 4
 
 
 def assemble(segments: list[tuple[int, int | None, bytes]]) -> bytes:
@@ -189,19 +201,19 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
-def _parse(payloads: bool, segmented: bool):
+def _parse(payloads: bool):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for data in batch.column(0).to_pylist():
                 out, size = [], 0
                 for head, block in records(data):
                     kind, number = head["warc-type"], head.get("warc-segment-number")
-                    if (number is not None) != segmented or kind not in ("response", "revisit", "continuation"):
+                    if kind not in ("response", "revisit", "continuation"):
                         continue
                     total = head.get("warc-segment-total-length")
                     declared = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     common = (kind, head["warc-record-id"], head.get("warc-target-uri"), head.get("warc-refers-to"), declared)
-                    if segmented:
+                    if number is not None:
                         out.append((*common, int(number), None if total is None else int(total), head.get("warc-segment-origin-id", head["warc-record-id"]), block, None, None, None))
                     elif kind == "revisit":
                         out.append((*common, None, None, None, None, None, None, declared))
@@ -234,10 +246,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     A digest that differs from the one that its record declares is an error.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    ship(files)
-    whole = files.mapInArrow(_parse(payloads, False), READ)
-    parts = files.mapInArrow(_parse(payloads, True), READ)
-    joined = parts.groupBy("origin").applyInArrow(_join_segments(payloads), READ)
+    parsed = ship(files).mapInArrow(_parse(payloads), READ)
+    if not payloads:
+        # Without payloads the records are small (but for segments), so they are parsed once and kept.
+        parsed = cut(parsed, "warc-records")
+    whole = parsed.where("number IS NULL")
+    joined = parsed.where("number IS NOT NULL").groupBy("origin").applyInArrow(_join_segments(payloads), READ)
     found = whole.unionByName(joined).drop("number", "total", "origin", "block")
     wrong = F.raise_error(F.concat(F.lit("payload digest differs in "), F.col("record_id")))
     found = found.withColumn("payload_digest", F.when(F.col("declared").isNull() | (F.col("declared") == F.col("payload_digest")), F.col("payload_digest")).otherwise(wrong))
