@@ -42,8 +42,8 @@ from .common import as_bytes, cut, table
 from .components import components
 
 CACHE = 500_000
-ORDER_BITS = 1 << 26
-FREQUENT = 32
+ORDER_BITS = 1 << 28
+FREQUENT = 2
 FRAGMENTS = 4
 #: N-grams of a family, or of a bucket of families, that one task may hold in all its fragments.
 TASK_GRAMS = 4_000_000
@@ -140,7 +140,7 @@ def _described(width: int):
 
 
 def _first_grams(width: int, percent: int):
-    """The lowest hashes of each set, a quarter more than its prefix: the n-grams that are counted."""
+    """The lowest hashes of each set, half as many more than its prefix: the n-grams that are counted."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -148,7 +148,7 @@ def _first_grams(width: int, percent: int):
             for x in as_bytes(batch.column(1)):
                 s = grams(x, width)
                 if len(s):
-                    out.append(s[: math.ceil(1.25 * _prefix(len(s), percent))])
+                    out.append(s[: math.ceil(1.5 * _prefix(len(s), percent))])
             yield pa.RecordBatch.from_arrays([_lists(out)], names=["keys"])
 
     return run
@@ -186,31 +186,38 @@ def _stars(percent: int):
     names = ["key", "leader", "id", "n"]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, leader, size, alone = None, 0, 0, True
+        last = None  # the key, leader, leader's size of the run that the batch before ended with, and whether it is alone so far
         for batch in source:
             k, n, i = (batch.column(j).to_numpy() for j in range(3))
             if not len(k):
                 continue
-            # Rows whose key has no equal neighbour, in this batch or carried over, can't form a pair.
-            same = k[1:] == k[:-1]
-            busy = np.append(same, True) | np.append(k[0] == key, same)
-            out: list[tuple] = []
-            for at in np.flatnonzero(busy).tolist():
-                kk, nn, ii = int(k[at]), int(n[at]), int(i[at])
-                if kk != key:
-                    key, leader, size, alone = kk, ii, nn, True
-                    continue
-                if ii == leader:
-                    continue
-                if alone:
-                    out.append((kk, leader, leader, size))
-                    alone = False
-                out.append((kk, leader, ii, nn))
-                if 100 * size < percent * nn:
-                    leader, size = ii, nn
-            if out:
-                columns = np.array(out, np.int64).T
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns[:3]), pa.array(columns[3], pa.int32())], names=names)
+            starts = np.append(0, np.flatnonzero(k[1:] != k[:-1]) + 1)
+            lengths = np.diff(np.append(starts, len(k)))
+            of = np.repeat(np.arange(len(starts)), lengths)
+            leader, size = i[starts][of], n[starts][of].astype(np.int64)
+            shown = (lengths >= 2)[of]
+            goes_on = last is not None and last[0] == k[0]
+            if goes_on:
+                own = of == 0
+                leader[own], size[own] = last[1], last[2]
+                shown |= own & (i != last[1])
+            # Where sizes outgrow the leader's, the run's later rows get leaders of their own.
+            for r in np.unique(of[shown & (100 * size < percent * n)]).tolist():
+                at = starts[r]
+                ll, ss = leader[at], size[at]
+                for x in range(at, at + lengths[r]):
+                    leader[x], size[x] = ll, ss
+                    if 100 * ss < percent * n[x]:
+                        ll, ss = i[x], n[x]
+            out = [k[shown], leader[shown], i[shown], n[shown]]
+            if goes_on and last[3] and shown[0]:
+                out = [np.append(x, y) for x, y in zip(out, (last[0], last[1], last[1], last[2]), strict=True)]
+            end = starts[-1]
+            ll, ss = (leader[-1], size[-1]) if 100 * size[-1] >= percent * n[-1] else (i[-1], n[-1])
+            alone = lengths[-1] == 1 and (len(starts) > 1 or not goes_on or (last[3] and not shown[end]))
+            last = (k[-1], ll, int(ss), bool(alone))
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in out[:3]), pa.array(out[3].astype(np.int32))], names=names)
 
     return run
 
