@@ -45,9 +45,10 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
 class SegmentIndex:
     def __init__(self, codes: np.ndarray, ids: np.ndarray):
         self.codes, self.ids = codes, ids
-        self.width = min(16, max(4, round(math.log2(max(2, len(codes))))))
-        self.shifts = list(range(0, BITS, self.width))
-        self.widths = [min(self.width, BITS - s) for s in self.shifts]
+        # Segments of equal width: a short one would find a large share of the rows at once.
+        m = round(BITS / min(16, max(4, math.log2(max(2, len(codes))))))
+        cuts = [round(i * BITS / m) for i in range(m + 1)]
+        self.shifts, self.widths = cuts[:-1], [b - a for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.orders, self.starts = [], []
         for j in range(len(self.shifts)):
             values = self.segment(codes, j)
@@ -89,7 +90,7 @@ class SegmentIndex:
             np.add.at(hits, (query, far), 1)
             pool.append((query, far, self.ids[row]))
 
-        for s in range(self.width + 1):
+        for s in range(max(self.widths) + 1):
             if not len(active):
                 break
             if LOOK_UP * sum(math.comb(w, s) for w in self.widths) > len(self.codes):
@@ -100,7 +101,8 @@ class SegmentIndex:
                 for i in range(0, len(active), step):
                     part = active[i : i + step]
                     far = np.bitwise_count(queries[part][:, None] ^ self.codes[None, :])
-                    kth = np.partition(far, min(k, len(self.codes)) - 1, axis=1)[:, min(k, len(self.codes)) - 1]
+                    within = np.stack([np.bincount(row, minlength=BITS + 1) for row in far]).cumsum(axis=1)
+                    kth = (within >= min(k, len(self.codes))).argmax(axis=1).astype(np.uint8)
                     a, b = np.nonzero(far <= kth[:, None])
                     pool.append((part[a], far[a, b].astype(np.int64), self.ids[b]))
                 break
