@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, text_or_empty
@@ -62,10 +62,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     """docs without exact copies, all columns; of equal texts the largest id stays, and once only."""
     content = ascii_lower(text_or_empty(text_col))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), content.alias("content")).withColumn("digest", sha256(F.col("content")))
-    best = winners(rows, salts).select(F.col("digest").alias("__tw_best"), F.col("keep_id").alias("__tw_keep"))
+    best = cut(winners(rows, salts).select(F.col("digest").alias("__tw_best"), F.col("keep_id").alias("__tw_keep")), "exact-winners")
     marked = docs.withColumns({"__tw_digest": sha256(content), "__tw_id": F.col(f"`{id_col}`")})
     stay = marked.join(best, (F.col("__tw_digest") == F.col("__tw_best")) & F.col("__tw_id").eqNullSafe(F.col("__tw_keep")), "left_semi")
-    return stay.dropDuplicates(["__tw_digest", "__tw_id"]).drop("__tw_digest", "__tw_id")
+    # Repeated rows: numbered in the order that the join has sorted them in.
+    same = Window.partitionBy("__tw_digest", "__tw_id").orderBy("__tw_digest")
+    return stay.withColumn("__tw_row", F.row_number().over(same)).where("__tw_row = 1").drop("__tw_digest", "__tw_id", "__tw_row")
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,19 +3,25 @@
 Documents are sets of word n-grams (64-bit hashes); two link when their Jaccard similarity reaches a
 threshold. Steps:
 
-1. Global order. N-grams are ordered by (frequent or not, hash): frequent ones last. Which are frequent is
-   counted over all documents and kept in a bitmap of at most ORDER_BITS bits; where too many would be, the
-   threshold is raised. Any fixed order gives right results, so wrong bits cost time alone.
-2. Candidates. Linked sets share an n-gram among the first n - ceil(t n) + 1 of each. Documents that share
-   one form a bucket; a bucket of b documents sends b - 1 pairs, each with the least of a compatible size,
-   not b squared.
-3. Vertical partitioning. The order is cut into fragments (hash ranges). The segments of a candidate family
-   in one fragment meet in one task, which counts the partial overlap of each candidate pair; counts are
-   summed per pair and compared with the threshold. Families of many n-grams get more fragments, so none
-   must fit in a task.
-4. Components of the links found. Then buckets that hold several components send their remaining pairs
-   across components to step 3. Pairs within a component can't change it, so no link between components is
-   lost and a group of near copies is never expanded into all its pairs.
+1. Global order. N-grams whose hash lies below COUNTED are counted over all documents. Those found once come
+   first, uncounted ones next, repeated ones last, each by hash. The repeated ones are kept in a bitmap of at
+   most ORDER_BITS bits; where they would be too many, the least count is raised. Any fixed order gives right
+   results, so wrong bits cost time alone.
+2. Candidates. Linked sets share an n-gram among the first n - ceil(t n) + 1 of each. Of those, n-grams found
+   once can't be shared and are not sent. Documents that share one form a bucket; a bucket of b documents
+   is searched for pairs whose sketches (parities of a set's hashes by bit) differ in no more bits than the
+   sets of a linked pair could, and sends only enough of them to connect what they connect; beyond BUCKET
+   documents it connects all. What is connected is a family: no link leaves it.
+3. Vertical partitioning. The order is cut into fragments (hash ranges); partial overlaps are counted in one
+   fragment after the other and summed per pair. A family of at most LOCAL_DOCS documents and TASK_GRAMS
+   n-grams meets in one task, which holds the overlaps of one fragment at a time as a matrix product and sends
+   only enough links to connect what is linked.
+4. A larger family is spread: its segments of one fragment meet in one task, which counts the partial overlap
+   of candidate pairs; counts are summed per pair by a shuffle. After the components of the links found,
+   buckets that hold several components send their remaining pairs across components the same way. Pairs
+   within a component can't change it, so no link between components is lost and a group of near copies is
+   never expanded into all its pairs.
+5. Components of all links.
 
 Equal sets (copies) are one node from the start: their smallest id.
 
@@ -41,13 +47,21 @@ from ..functions.shipping import ship
 from .common import as_bytes, cut, table
 from .components import components
 
-CACHE = 500_000
-ORDER_BITS = 1 << 28
-FREQUENT = 2
+CACHE = 300_000
+BUCKET = 4096
+#: Words of a set's sketch, by the size from which it has them.
+SKETCH = ((0, 8), (800, 32), (3200, 128))
+ORDER_BITS = 1 << 27
+#: The share of n-grams, by hash, that are counted.
+COUNTED = 0.25
+REPEATED = 2
 FRAGMENTS = 4
-#: N-grams of a family, or of a bucket of families, that one task may hold in all its fragments.
+#: N-grams of a family, or of a bucket of families, that one task may hold.
 TASK_GRAMS = 4_000_000
-BATCH_ROWS = 1 << 16
+LOCAL_DOCS = 4096
+#: Cells of a fragment's matrix in a task.
+CELLS = 8_000_000
+PENDING = 2_000_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -118,65 +132,223 @@ def _spread(ids: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(26))
 
 
-def _offsets(lengths: list[int]) -> pa.Array:
-    return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(_offsets([len(a) for a in arrays]), pa.array(flat.view(np.int64)))
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the number of hashes per bit; two sketches differ in at most as many bits as the sets differ in hashes."""
+    words = [w for least, w in SKETCH if len(s) >= least][-1]
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def _described(width: int):
-    """(id, n, sig): the size of each row's set and 128 bits that stand for it."""
+    """(id, n, sig, sketch): the size of each row's set, 128 bits that stand for it, and its sketch."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            sets = [grams(x, width) for x in as_bytes(batch.column(1))]
-            sig = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=["id", "n", "sig"])
+            n, sig, bits = [], [], []
+            for x in as_bytes(batch.column(1)):
+                s = grams(x, width)
+                n.append(len(s))
+                sig.append(xxhash.xxh3_128_digest(s.tobytes()))
+                bits.append(sketch(s).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary())], names=["id", "n", "sig", "sketch"])
 
     return run
 
 
-def _first_grams(width: int, percent: int):
-    """The lowest hashes of each set, half as many more than its prefix: the n-grams that are counted."""
+class _Bucketed:
+    """Rows of buckets, sorted by key and size, and the pairs among them that may be linked."""
+
+    def __init__(self, n: np.ndarray, sketches: list[bytes], percent: int):
+        self.n, self.percent = n.astype(np.int64), percent
+        lengths = np.array([len(x) for x in sketches], np.int64) // 8
+        flat = np.frombuffer(b"".join(sketches), np.uint64)
+        start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        self.levels = []
+        for _, words in SKETCH:
+            # Longer sketches fold into shorter ones by exclusive or of their parts.
+            place = np.full(len(lengths), -1, np.int64)
+            rows = np.flatnonzero(lengths >= words)
+            place[rows] = np.arange(len(rows))
+            table_ = np.zeros((len(rows), words), np.uint64)
+            for size in np.unique(lengths[rows]).tolist():
+                own = rows[lengths[rows] == size]
+                parts = flat[start[own][:, None] + np.arange(size)[None, :]].reshape(len(own), size // words, words)
+                table_[place[own]] = np.bitwise_xor.reduce(parts, axis=1)
+            self.levels.append((place, table_))
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = self.n[a] + self.n[b]
+        allowed = both - 2 * -(-self.percent * both // (100 + self.percent))
+        good = 100 * np.minimum(self.n[a], self.n[b]) >= self.percent * np.maximum(self.n[a], self.n[b])
+        for place, table_ in self.levels:
+            have = np.flatnonzero(good & (place[a] >= 0) & (place[b] >= 0))
+            if len(have):
+                far = np.bitwise_count(table_[place[a[have]]] ^ table_[place[b[have]]]).sum(axis=1, dtype=np.int64)
+                good[have] &= far <= allowed[have]
+        return good
+
+    def connect(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Enough pairs of one bucket to connect what may be linked."""
+        left, a, b = np.arange(first, last), [], []
+        while len(left):
+            edge, left = left[:1], left[1:]
+            root = edge[0]
+            while len(edge) and len(left):
+                hit = np.zeros(len(left), bool)
+                for x in edge.tolist():
+                    rest = np.flatnonzero(~hit)
+                    hit[rest] = self.may_link(np.full(len(rest), x), left[rest])
+                edge, left = left[hit], left[~hit]
+                a.append(np.full(len(edge), root))
+                b.append(edge)
+        return np.concatenate(a or [left]), np.concatenate(b or [left])
+
+
+def _compatible(percent: int):
+    """(a, b): pairs that connect, in each bucket, what may be linked. Rows (key, n, id, sketch) are sorted by key, n."""
+
+    def pairs(k: np.ndarray, n: np.ndarray, i: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+        rows = _Bucketed(n, sketches, percent)
+        starts = np.append(0, np.flatnonzero(k[1:] != k[:-1]) + 1)
+        lengths = np.diff(np.append(starts, len(k)))
+        left, right = [], []
+        for size in np.unique(lengths).tolist():
+            own = starts[lengths == size]
+            if size <= 16:
+                x, y = np.triu_indices(size, 1)
+                a, b = (own[:, None] + x[None, :]).ravel(), (own[:, None] + y[None, :]).ravel()
+                good = rows.may_link(a, b)
+                left.append(a[good])
+                right.append(b[good])
+            else:
+                for at in own.tolist():
+                    a, b = rows.connect(at, at + size)
+                    left.append(a)
+                    right.append(b)
+        a, b = i[np.concatenate(left)], i[np.concatenate(right)]
+        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []  # the last key's rows so far
+        kept_sketches: list[bytes] = []
+        chain = None  # key and first id of a bucket that is too long to search
         for batch in source:
+            k, n, i = (batch.column(j).to_numpy() for j in range(3))
+            sketches = batch.column(3).to_pylist()
+            if kept:
+                k, n, i = (np.concatenate([x, y]) for x, y in zip(kept, (k, n, i), strict=True))
+                sketches = kept_sketches + sketches
+            if not len(k):
+                continue
             out = []
+            if chain is not None:
+                own = int(np.searchsorted(k != chain[0], True))
+                out.append(np.stack([np.minimum(i[:own], chain[1]), np.maximum(i[:own], chain[1])])[:, i[:own] != chain[1]])
+                k, n, i, sketches = k[own:], n[own:], i[own:], sketches[own:]
+                chain = chain if not len(k) else None
+            whole = int(np.searchsorted(k == k[-1], True)) if len(k) else 0
+            if len(k) - whole > BUCKET:
+                chain = (k[-1], i[whole])
+                out.append(np.stack([np.minimum(i[whole:], chain[1]), np.maximum(i[whole:], chain[1])])[:, i[whole:] != chain[1]])
+                kept, kept_sketches = [], []
+            else:
+                kept, kept_sketches = ([k[whole:], n[whole:], i[whole:]] if len(k) else []), sketches[whole:]
+            if whole:
+                out.append(pairs(k[:whole], n[:whole], i[:whole], sketches[:whole]))
+            for x in out:
+                if x.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
+        if kept and len(kept[0]) > 1:
+            x = pairs(*kept, kept_sketches)
+            yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
+
+    return run
+
+
+_EDGE = np.uint64(int(COUNTED * 2.0**64))
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(keys), 1 << 18):
+        yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 18)].view(np.int64)), pa.array(counts[i : i + (1 << 18)])], names=["key", "n"])
+
+
+def _low_grams(width: int):
+    """(key, n): the counted n-grams, combined before they are sent."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in source:
             for x in as_bytes(batch.column(1)):
                 s = grams(x, width)
-                if len(s):
-                    out.append(s[: math.ceil(1.5 * _prefix(len(s), percent))])
-            yield pa.RecordBatch.from_arrays([_lists(out)], names=["keys"])
+                held.append(s[: np.searchsorted(s, _EDGE)])
+                size += len(held[-1])
+            if size > PENDING:
+                yield from _counted(*np.unique(np.concatenate(held), return_counts=True))
+                held, size = [], 0
+        if size:
+            yield from _counted(*np.unique(np.concatenate(held), return_counts=True))
 
     return run
 
 
-def _prefixes(width: int, percent: int, frequent):
-    """(id, n, keys): the prefixes in the global order; of equal sets in a task only one."""
+def _repeats(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) of the n-grams counted at least REPEATED times; a key's rows are in one partition."""
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    size, after = 0, PENDING
+    for batch in source:
+        keys.append(batch.column(0).to_numpy().view(np.uint64))
+        counts.append(batch.column(1).to_numpy())
+        size += batch.num_rows
+        if size > after:
+            key, n = _summed(keys, counts)
+            keys, counts, size = [key], [n], len(key)
+            after = 2 * size + PENDING
+    if size:
+        key, n = _summed(keys, counts)
+        yield from _counted(key[n >= REPEATED], n[n >= REPEATED])
+
+
+def _prefixes(width: int, percent: int, repeated, once_too: bool):
+    """(key, n, id): the prefixes in the global order without n-grams found once; of equal sets in a task only one."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in source:
-            ids, sizes, out = [], [], []
+            ids, sizes, lengths, out = [], [], [], []
             for ident, x in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 s = grams(x, width)
                 if not len(s):
                     continue
+                k = np.searchsorted(s, _EDGE)
+                often = in_bitmap(repeated.value, s[:k])
+                once, rest = s[:k][~often], _prefix(len(s), percent)
+                parts = [once[:rest]] if once_too else []
+                rest -= len(once)
+                if rest > 0:
+                    parts.append(s[k:][:rest])
+                    parts.append(s[:k][often][: max(0, rest - len(parts[-1]))])
+                take = sum(map(len, parts))
+                if not take:
+                    continue
                 sig = xxhash.xxh3_128_digest(s.tobytes())
                 if sig in seen:
                     continue
                 if len(seen) < CACHE:
                     seen.add(sig)
-                often = in_bitmap(frequent.value, s)
-                p = _prefix(len(s), percent)
-                head = s[~often][:p]
                 ids.append(ident)
                 sizes.append(len(s))
-                out.append(np.concatenate([head, s[often][: p - len(head)]]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), _lists(out)], names=["id", "n", "keys"])
+                lengths.append(take)
+                out += parts
+            if ids:
+                columns = np.concatenate(out).view(np.int64), np.repeat(np.array(sizes, np.int32), lengths), np.repeat(np.array(ids, np.int64), lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "n", "id"])
 
     return run
 
@@ -254,6 +426,56 @@ def _segments(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
+def _family_links(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Positions (first, other) that connect what is linked in a family."""
+    m = len(sets)
+    row = np.repeat(np.arange(m), sizes)
+    _, col, found = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = found >= 2
+    keep = shared[col]
+    row, col = row[keep], (np.cumsum(shared) - 1)[col[keep]]
+    width, total = max(1, CELLS // m), int(shared.sum())
+    overlap = np.zeros((m, m), np.float32)
+    for start in range(0, total, width):
+        # One fragment of the order: its columns of the incidence matrix, its partial overlaps.
+        part = (col >= start) & (col < start + width)
+        cells = np.zeros((m, min(width, total - start)), np.float32)
+        cells[row[part], col[part] - start] = 1
+        overlap += cells @ cells.T
+    linked = 100 * overlap >= percent * (sizes[:, None] + sizes[None, :] - overlap)
+    left, out = np.ones(m, bool), []
+    for first in range(m):
+        if not left[first]:
+            continue
+        left[first], edge = False, np.array([first])
+        while len(edge):
+            edge = np.flatnonzero(linked[edge].any(axis=0) & left)
+            left[edge] = False
+            out += [(first, x) for x in edge.tolist()]
+    return out
+
+
+def _families(percent: int):
+    """(a, b) from a bucket of whole families: (family, id, sig, n, grams)."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("family")
+        family = part.column("family").to_numpy()
+        ids = part.column("id").to_numpy()
+        data = [np.frombuffer(x, np.uint64) for x in part.column("grams").to_pylist()]
+        ends = np.append(np.flatnonzero(np.diff(family)) + 1, len(family))
+        out, start = [], 0
+        for end in ends.tolist():
+            if end - start > 1:
+                sets = data[start:end]
+                out += [(int(ids[start + i]), int(ids[start + j])) for i, j in _family_links(sets, np.array([len(s) for s in sets]), percent)]
+            start = end
+        columns = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.Table.from_arrays([pa.array(columns[0]), pa.array(columns[1])], names=["a", "b"])
+
+    return run
+
+
 OVERLAP = "a long, b long, variant long, n_a int, n_b int, overlap int"
 
 
@@ -320,50 +542,68 @@ def _across(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct()
 
 
-def _links(rows: DataFrame, width: int, percent: int) -> DataFrame:
+def _spread_links(rows: DataFrame, stars: DataFrame, places: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Links of families too large for a task, by fragments over tasks."""
+    own = stars.select("key", "n", "id").join(places.select("id"), "id", "left_semi").distinct()
+    own = own.select("key", "n", "id").repartition("key").sortWithinPartitions("key", "n", "id")
+    stars = cut(own.mapInArrow(_stars(percent), "key long, leader long, id long, n int"), "large-stars")
+    pairs = cut(stars.where("leader <> id").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct(), "large-pairs")
+    segments = held.select("bucket", "fragments", "id", "sig", "n", "grams").mapInArrow(_segments, "bucket long, fragment int, id long, sig long, n int, grams binary")
+    segments = cut(segments, "segments")
+    first = cut(_linked(pairs, segments, places, percent), "links")
+    more = cut(_across(stars, components(first), percent).join(pairs, ["a", "b"], "left_anti"), "pairs-across")
+    if more.isEmpty():
+        return first
+    asked = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct()
+    return first.unionByName(_linked(more, segments.join(asked, "id", "left_semi"), places, percent))
+
+
+def _links(rows: DataFrame, described: DataFrame, width: int, percent: int, local_docs: int = LOCAL_DOCS, task_grams: int = TASK_GRAMS) -> DataFrame:
     """(a, b): enough of the linked pairs of distinct sets to connect all that are linked."""
     spark = rows.sparkSession
-    counted = rows.mapInArrow(_first_grams(width, percent), "keys array<long>").select(F.explode("keys").alias("key"))
-    often = cut(counted.groupBy("key").count().where(F.col("count") >= FREQUENT), "frequent-grams")
-    least, n = FREQUENT, often.count()
+    counted = rows.mapInArrow(_low_grams(width), "key long, n long").repartition("key")
+    often = cut(counted.mapInArrow(_repeats, "key long, n long"), "repeated-grams")
+    least, n = REPEATED, often.count()
     while n > ORDER_BITS // 16:
         least *= 2
-        n = often.where(F.col("count") >= least).count()
-    frequent = spark.sparkContext.broadcast(bitmap(often.where(F.col("count") >= least).select("key"), n))
+        n = often.where(F.col("n") >= least).count()
+    repeated = spark.sparkContext.broadcast(bitmap(often.where(F.col("n") >= least).select("key"), n))
 
-    index = rows.mapInArrow(_prefixes(width, percent, frequent), "id long, n int, keys array<long>").select(F.explode("keys").alias("key"), "n", "id")
+    index = rows.mapInArrow(_prefixes(width, percent, repeated, least > REPEATED), "key long, n int, id long")
     parted = index.repartition("key").sortWithinPartitions("key", "n", "id")
     stars = cut(parted.mapInArrow(_stars(percent), "key long, leader long, id long, n int"), "shared-grams")
-    pairs = cut(stars.where("leader <> id").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct(), "candidate-pairs")
+    met = stars.select("key", "id").distinct().join(described.select("id", F.col("n").cast("int").alias("n"), "sketch"), "id")
+    met = met.select("key", "n", "id", "sketch").repartition("key").sortWithinPartitions("key", "n", "id")
+    families = components(met.mapInArrow(_compatible(percent), "a long, b long"))
 
-    members = stars.groupBy("id").agg(F.max("n").alias("n")).join(components(pairs).withColumnRenamed("node", "id"), "id")
+    members = stars.groupBy("id").agg(F.max("n").alias("n")).join(families.withColumnRenamed("node", "id"), "id")
     members = cut(members, "candidate-families")
-    families = members.groupBy("component").agg(F.sum("n").alias("grams")).withColumn("fragments", F.greatest(F.lit(FRAGMENTS), F.ceil(F.col("grams") * FRAGMENTS / TASK_GRAMS)).cast("int"))
+    sizes = members.groupBy("component").agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("docs"))
+    sizes = sizes.withColumn("large", (F.col("docs") > local_docs) | (F.col("grams") > task_grams))
+    sizes = sizes.withColumn("fragments", F.greatest(F.lit(FRAGMENTS), F.ceil(F.col("grams") * FRAGMENTS / task_grams)).cast("int"))
     total, docs = members.agg(F.sum("n"), F.count(F.lit(1))).first()
-    buckets = max(1, math.ceil((total or 0) / TASK_GRAMS))
-    places = cut(members.join(families, "component").select("id", F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("long").alias("bucket"), "fragments"), "places")
+    buckets = max(1, math.ceil(4 * (total or 0) / task_grams))
+    bucket = F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("long").alias("bucket")
+    places = cut(members.join(sizes, "component").select("id", F.col("component").alias("family"), bucket, "fragments", "large"), "places")
 
     spread = F.col("id").bitwiseXOR(F.call_function("shiftrightunsigned", F.col("id"), F.lit(26)))
     wanted = spark.sparkContext.broadcast(bitmap(members.select(spread.alias("key")), docs))
-    sets = rows.mapInArrow(_sets(width, wanted), "id long, sig long, n int, grams binary")
-    held = sets.join(places, "id").select("bucket", "fragments", "id", "sig", "n", "grams")
-    segments = cut(held.mapInArrow(_segments, "bucket long, fragment int, id long, sig long, n int, grams binary"), "segments")
-
-    first = cut(_linked(pairs, segments, places, percent), "links")
-    more = cut(_across(stars, components(first), percent).join(pairs, ["a", "b"], "left_anti"), "pairs-across")
-    if more.isEmpty():
-        return first
-    asked = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct()
-    return first.unionByName(_linked(more, segments.join(asked, "id", "left_semi"), places, percent))
+    held = rows.mapInArrow(_sets(width, wanted), "id long, sig long, n int, grams binary").join(places, "id")
+    small = held.where("NOT large").select("bucket", "family", "id", "sig", "n", "grams")
+    links = cut(small.groupBy("bucket").applyInArrow(_families(percent), "a long, b long"), "family-links")
+    large = places.where("large")
+    if large.isEmpty():
+        return links
+    return links.unionByName(_spread_links(rows, stars, large, held.where("large"), percent))
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
+                       local_docs: int = LOCAL_DOCS, task_grams: int = TASK_GRAMS) -> DataFrame:
     """(id, n_shingles, component_id), a row per row of docs."""
     with_ids = ship(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = with_ids.where("id IS NOT NULL")
-    with np.errstate(over="ignore"):
-        links = _links(rows, width, percent)
-    described = cut(with_ids.mapInArrow(_described(width), "id long, n long, sig binary"), "described")
+    described = cut(with_ids.mapInArrow(_described(width), "id long, n long, sig binary, sketch binary"), "described")
+    links = _links(rows, described.where("id IS NOT NULL"), width, percent, local_docs, task_grams)
     full = described.where("n > 0 AND id IS NOT NULL")
     copies = cut(full.groupBy("sig").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "copies")
     twin = full.join(copies, "sig").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
