@@ -48,7 +48,7 @@ from .common import as_bytes, cut, table
 from .components import components
 
 CACHE = 300_000
-BUCKET = 4096
+BUCKET = 16384
 #: Words of a set's sketch, by the size from which it has them.
 SKETCH = ((0, 8), (800, 32), (3200, 128))
 ORDER_BITS = 1 << 27
@@ -58,7 +58,9 @@ REPEATED = 2
 FRAGMENTS = 4
 #: N-grams of a family, or of a bucket of families, that one task may hold.
 TASK_GRAMS = 4_000_000
-LOCAL_DOCS = 4096
+LOCAL_DOCS = 16384
+#: Documents of a family up to which its overlaps are one matrix; beyond, pairs are looked at one by one.
+MATRIX_DOCS = 1024
 #: Cells of a fragment's matrix in a task.
 CELLS = 8_000_000
 PENDING = 2_000_000
@@ -426,9 +428,37 @@ def _segments(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of shared hashes."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a))
+
+
+def _many_links(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """As _family_links for many documents: sketches first, and no pair within a component."""
+    order = np.argsort(sizes, kind="stable")
+    n = sizes[order]
+    rows = _Bucketed(n, [sketch(sets[i]).tobytes() for i in order], percent)
+    low = np.searchsorted(100 * n, percent * n)
+    root, out = np.arange(len(order)), []
+    for i in range(1, len(order)):
+        near = np.arange(low[i], i)
+        near = near[rows.may_link(near, np.full(len(near), i))]
+        for j in near[::-1].tolist():
+            if root[j] != root[i]:
+                c = _overlap(sets[order[j]], sets[order[i]])
+                if 100 * c >= percent * (n[i] + n[j] - c):
+                    out.append((int(order[j]), int(order[i])))
+                    root[root == root[i]] = root[j]
+    return out
+
+
 def _family_links(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Positions (first, other) that connect what is linked in a family."""
     m = len(sets)
+    if m > MATRIX_DOCS:
+        return _many_links(sets, sizes, percent)
     row = np.repeat(np.arange(m), sizes)
     _, col, found = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = found >= 2
