@@ -86,8 +86,7 @@ class Forecaster:
             last = pdf.iloc[-1]
             return pd.DataFrame([{**{k: last[k] for k in keys}, "last_time": last["__t"], "last_day": int(days[-1]), "context": y[-self.lags :].tolist(), "state": pack_state(state)}])
 
-        grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0))
-        return FittedForecaster(self, spec, grouped.applyInPandas(train, out), short)
+        return FittedForecaster(self, spec, rows.groupBy(*keys).applyInPandas(train, out), short)
 
 
 @dataclass

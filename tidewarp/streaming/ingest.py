@@ -31,7 +31,10 @@ def sessions(events: DataFrame, keys: list[str], time: str = "ts", gap: str = "3
 
 
 def last_values(daily: DataFrame, key: str, lags: int) -> DataFrame:
-    """(key, x): the last ``lags`` values per key as they arrive, kept as state between batches."""
+    """(key, x): the last ``lags`` values per key of a stream of (key, ds, y) rows, kept as state between batches.
+
+    The stream may not be an aggregate itself: write finished windows to a table and read that as a stream.
+    """
 
     def update(k, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = list(zip(*state.get, strict=True)) if state.exists else []
