@@ -8,12 +8,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewarp.functions import arrays, calendar, metrics
+from tidewarp.functions import arrays, calendar, metrics, plots, sql
 from tidewarp.models import linear, nets, trees
 from tidewarp.models.autodiff import Tensor, concat
 from tidewarp.models.base import load_forecaster, pack_state, unpack_state
 from tidewarp.models.registry import MODELS, PRESETS, make, model_names
 from tidewarp.operators import checks, grid, intervals, resample, scaling, strategies, windows
+from tidewarp.plans.chain import Chain, NotFittedError
 from tidewarp.plans.configs import PipelineConfigs
 from tidewarp.plans.pipeline import ModelPipeline, holdout
 from tidewarp.series import SeriesSpec, require_time
@@ -313,3 +314,41 @@ def test_streams(spark, tmp_path):
     q = ingest.score_batches(stream, fitted, 2, str(tmp_path / "out"), str(tmp_path / "c3"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() >= 4
+
+
+def test_pipeline_save_and_load(spark, tmp_path):
+    df = keyed(spark, a=range(40), b=[i % 7 for i in range(40)])
+    pipe = ModelPipeline(KEYED, 7, include=["n_linear"], quantile=0.9, cv=2)
+    pipe.fit(df, valid_rows=7)
+    pipe.save(str(tmp_path / "p"))
+    again = ModelPipeline.load(spark, str(tmp_path / "p"))
+    key = lambda r: (r["k"], r["horizon"])
+    assert sorted(again.predict(3).collect(), key=key) == sorted(pipe.predict(3).collect(), key=key)
+
+
+def test_chain(spark):
+    df = keyed(spark, a=range(30))
+    chain = Chain(KEYED, [("scale", scaling.Scaler(KEYED)), ("model", make("n_linear", lags=5))])
+    with pytest.raises(NotFittedError):
+        chain.predict(1)
+    got = [r["y"] for r in chain.fit(df).predict(3).orderBy("horizon").collect()]
+    assert np.allclose(got, [30, 31, 32], atol=0.5) and chain["model"].name == "n_linear"
+    assert np.allclose([r["y"] for r in chain.predict(3, df).orderBy("horizon").collect()], got)
+    with pytest.raises(TypeError):
+        Chain(KEYED, [("scale", scaling.Scaler(KEYED))])
+
+
+def test_plots(spark):
+    df = series(spark, [1.0, 5.0, 2.0])
+    assert plots.plot_single_series(df, "ds", "y").startswith("<svg")
+    ahead = intervals.apply_interval(series(spark, [3.0, 4.0], "2024-01-04"), ONE, 0.2)
+    assert "polygon" in plots.plot_data_period(df, ahead, "ds", "y")
+    assert plots.plot2d([[1, 2], [3, 4]], [[5, 6], [7, 9]], row=1).count("<polyline") == 2
+    with pytest.raises(ValueError):
+        plots.plot1d([])
+
+
+def test_sql_functions(spark):
+    sql.register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM future_days(DATE '2024-02-28', 2)").collect()] == [(1, dt.date(2024, 2, 29)), (2, dt.date(2024, 3, 1))]
+    assert spark.sql("SELECT * FROM lag_windows(array(1D, 2D, 3D, 4D), 2, 2)").count() == 2

@@ -147,3 +147,39 @@ class ModelPipeline:
         if not alias:
             out = out.join(chosen, [*keys, "model"], "left_semi")
         return self.scale.inverse(out) if self.scale else out
+
+    def save(self, path: str) -> None:
+        """All models, the leaderboard, the scaler's parameters and a JSON manifest; no pickles."""
+        import json
+
+        spark = self.leaderboard.sparkSession
+        for alias, fitted in self.models.items():
+            fitted.save(f"{path}/models/{alias}")
+            if hasattr(fitted, "errors"):
+                fitted.errors.write.parquet(f"{path}/errors/{alias}")
+        self.leaderboard.write.parquet(f"{path}/leaderboard")
+        if self.scale:
+            self.scale.params.write.parquet(f"{path}/scaler")
+        keep = {k: getattr(self, k) for k in ("lags", "metric", "metric_less_is_better", "scaler", "quantile", "cv", "seed")}
+        row = json.dumps({"spec": self.spec.__dict__, "aliases": list(self.models), **keep})
+        spark.createDataFrame([(row,)], "manifest string").coalesce(1).write.text(f"{path}/manifest")
+
+    @classmethod
+    def load(cls, spark, path: str) -> ModelPipeline:
+        import json
+
+        from ..models.base import load_forecaster
+
+        made = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+        spec, aliases = made.pop("spec"), made.pop("aliases")
+        pipe = cls(SeriesSpec(tuple(spec["keys"]), spec["time"], spec["target"], tuple(spec["features"])), include=[], **made)
+        pipe.models = {a: load_forecaster(spark, f"{path}/models/{a}") for a in aliases}
+        pipe.leaderboard = spark.read.parquet(f"{path}/leaderboard")
+        pipe.scale = None
+        if pipe.scaler:
+            pipe.scale = scaling.Scaler(pipe.spec, pipe.scaler)
+            pipe.scale.params = spark.read.parquet(f"{path}/scaler")
+        if pipe.quantile:
+            for a, fitted in pipe.models.items():
+                fitted.errors = spark.read.parquet(f"{path}/errors/{a}")
+        return pipe

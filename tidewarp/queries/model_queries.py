@@ -144,3 +144,34 @@ def wide_repaired_forecast(spark, sf_dir):
     df = daily_revenue(spark, sf_dir, ("o_orderstatus",)).withColumnRenamed("o_orderstatus", "status")
     clean = grid.repair_outliers(grid.interpolate(grid.regularise(df, spec), spec), spec).drop("outlier")
     return make("d_linear", lags=28).fit(clean, spec).predict(28).withColumn("y", F.round("y", 6))
+
+
+@query()
+def model_global_trees(spark, sf_dir):
+    """One boosted model over all series, by the ML library."""
+    from ..models.global_trees import GlobalForecaster
+
+    df = daily_events(spark, sf_dir)
+    return GlobalForecaster("gbt", 7, 2, {"maxIter": 3, "maxDepth": 3, "seed": 1}).fit(df, EVENTS).predict(df, EVENTS).withColumn("y", F.round("y", 6))
+
+
+@query()
+def chain_forecast(spark, sf_dir):
+    from ..operators.scaling import Scaler
+    from ..plans.chain import Chain
+
+    chain = Chain(EVENTS, [("scale", Scaler(EVENTS, "standard")), ("model", make("n_linear", lags=7))])
+    return chain.fit(daily_events(spark, sf_dir)).predict(5).withColumn("y", F.round("y", 6))
+
+
+@query("""WITH eve AS (SELECT event_type, ts::DATE AS ds, count(*)::DOUBLE AS y FROM events GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ds) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM eve)
+SELECT a.event_type, (a.k - 1)::INT AS start, p::INT AS pos, b.y AS v FROM n a JOIN range(0, 5) t(p) ON true JOIN n b ON b.event_type = a.event_type AND b.k = a.k + p WHERE (a.k - 1) % 3 = 0 AND a.k + 4 <= a.n""")
+def sql_lag_windows(spark, sf_dir):
+    from ..functions.sql import register
+
+    register(spark)
+    daily_events(spark, sf_dir).createOrReplaceTempView("tidewarp_daily_events")
+    return spark.sql(
+        """SELECT event_type, w.start, pos, v FROM (SELECT event_type, transform(array_sort(collect_list(struct(ds, y))), s -> s.y) AS ys FROM tidewarp_daily_events GROUP BY event_type),
+        LATERAL lag_windows(ys, 5, 3) w LATERAL VIEW posexplode(w.x) p AS pos, v"""
+    )
