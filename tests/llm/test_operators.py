@@ -394,3 +394,74 @@ def test_pipeline_stages(spark, docs, tmp_path):
             texts = [re.sub(r"\s+", " ", lower(r["text"] or "")) for r in now.collect()]
             assert len(texts) == len(set(texts))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def _bucket_rows(seed):
+    """Rows (key, n, id, sketch) of several buckets, sorted, and their sets."""
+    r = np.random.default_rng(seed)
+    sets, out = {}, []
+    for key in range(12):
+        base = r.integers(0, 1 << 62, int(r.integers(40, 120))).astype(np.uint64)
+        for _ in range(int(r.integers(1, 30))):
+            x = base.copy()
+            at = r.integers(0, len(x), int(len(x) * r.choice([0.02, 0.06, 0.5])))
+            x[at] = r.integers(0, 1 << 62, len(at)).astype(np.uint64)
+            ident = len(sets)
+            sets[ident] = np.unique(x[: int(len(x) * r.choice([1.0, 0.7]))])
+            out.append((key, len(sets[ident]), ident))
+    return sorted(out), sets
+
+
+def _batches(rows_, sets, size):
+    import pyarrow as pa
+
+    for i in range(0, len(rows_), size):
+        part = rows_[i : i + size]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.int64()), pa.array([ngram_join.sketch(sets[x[2]]).tobytes() for x in part], pa.binary())],
+            names=["key", "n", "id", "sketch"],
+        )
+
+
+def _groups(ids, edges):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("bucket", [10_000, 5])
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_buckets_connect_whatever_may_link(monkeypatch, bucket, size):
+    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
+    rows_, sets = _bucket_rows(size)
+    edges = [(a, b) for x in ngram_join._compatible(85)(_batches(rows_, sets, size)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
+    got = _groups(sets, edges)
+    key_of = {i: k for k, _, i in rows_}
+    assert all(key_of[a] == key_of[b] for a, b in edges)
+    linked = [(a, b) for a in sets for b in sets if a < b and key_of[a] == key_of[b] and 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
+    assert linked and all(got[a] == got[b] for a, b in linked)
+
+
+@pytest.mark.parametrize("size", [1, 5, 1000])
+def test_stars_reach_each_row_of_a_bucket(size):
+    import pyarrow as pa
+
+    rows_, _ = _bucket_rows(3)
+    out = []
+    for x in ngram_join._stars(85)(b.select(["key", "n", "id"]) for b in _batches(rows_, {i: np.zeros(0, np.uint64) for _, _, i in rows_}, size)):
+        assert isinstance(x, pa.RecordBatch)
+        out += list(zip(*(c.to_pylist() for c in x.columns), strict=True))
+    many = {k for k in range(12) if sum(x[0] == k for x in rows_) > 1}
+    for k in range(12):
+        members = {i for kk, _, i in rows_ if kk == k}
+        got = [x for x in out if x[0] == k]
+        assert {x[2] for x in got} == (members if k in many else set())
+        assert len(set(_groups(members, [(x[1], x[2]) for x in got]).values())) == (1 if k in many else len(members))
