@@ -7,7 +7,7 @@ from typing import ClassVar
 
 import numpy as np
 
-from .base import WindowForecaster
+from .base import WindowForecaster, sliding
 from .linear import ridge
 
 BINS = 32
@@ -295,22 +295,44 @@ class Chain(LightGBM):
     differences: ClassVar[int] = 1
 
 
+def day_features(days: np.ndarray) -> np.ndarray:
+    """Calendar features of days since 1970-01-01."""
+    d = days.astype("datetime64[D]")
+    month, year = d.astype("datetime64[M]"), d.astype("datetime64[Y]")
+    of_year, of_month, number = (d - year).astype(int), (d - month).astype(int), (month - year).astype(int)
+    weekday = (days + 3) % 7
+    last = ((d + 1).astype("datetime64[M]") != month).astype(int)
+    angle = 2 * np.pi * of_year / 365.25
+    return np.column_stack([weekday, of_month, of_month // 7, number, number // 3, (number + 1) % 12 // 3, of_year, weekday < 5, last, np.sin(angle), np.cos(angle)]).astype(float)
+
+
 @dataclass
 class WideGBRT(LightGBM):
-    """A chain over differenced and smoothed lags and window statistics."""
+    """A chain over differenced and smoothed lags, window statistics and the calendar of the window's last day."""
 
     name: ClassVar[str] = "wide_gbrt"
     strategy: ClassVar[str] = "chain"
 
-    def features(self, x: np.ndarray) -> np.ndarray:
+    def wide(self, x: np.ndarray, days: np.ndarray) -> np.ndarray:
         d = np.diff(x, axis=1)
         lags = (d[:, 1:] + d[:, :-1]) / 2 if d.shape[1] > 1 else d
         q = np.quantile(x, [0.25, 0.5, 0.75, 0.9], axis=1).T
         rises = (np.sign(d[:, :-1]) > 0) & (np.sign(d[:, 1:]) < 0) if d.shape[1] > 1 else np.zeros((len(x), 1), bool)
-        size = np.maximum(np.abs(x).sum(1, keepdims=True), 1e-12)
-        p = np.clip(np.abs(x) / size, 1e-12, None)
+        p = np.clip(np.abs(x) / np.maximum(np.abs(x).sum(1, keepdims=True), 1e-12), 1e-12, None)
         stats = [x.mean(1), x.min(1), x.max(1), x.std(1), -(p * np.log2(p)).sum(1), d.mean(1), np.abs(d).mean(1), np.median(d, 1), np.median(np.abs(d), 1),
                  (x < q[:, 2:3]).sum(1), (x < q[:, :1]).sum(1), (x < q[:, 3:]).sum(1), (x > q[:, 3:]).sum(1), rises.sum(1)]
         auto = np.stack([(x[:, k:] * x[:, : x.shape[1] - k]).sum(1) for k in range(x.shape[1])], axis=1)
-        return np.column_stack([lags, q[:, :3], *stats, auto])
-
+        return np.column_stack([lags, q[:, :3], *stats, auto, day_features(days)])
+
+    def fit_values(self, y: np.ndarray, days: np.ndarray) -> dict:
+        x, z = sliding(y, self.lags, self.horizon(len(y)))
+        return fit_chain(self.make, self.wide(x, days[self.lags - 1 :][: len(x)]), z - x[:, -1:])
+
+    def predict_values(self, state: dict, context: np.ndarray, last_day: int, n: int) -> np.ndarray:
+        """All outputs; beyond them the features are rebuilt from the values so far and the first output is added."""
+        values = context[-self.lags :].astype(float).tolist()
+        outputs = lambda: values[-1] + predict_chain(self.make, state, self.wide(np.array([values[-self.lags :]]), np.array([last_day + len(values) - self.lags])))[0]
+        values += outputs().tolist()
+        while len(values) < self.lags + n:
+            values.append(float(outputs()[0]))
+        return np.array(values[self.lags :][:n])
