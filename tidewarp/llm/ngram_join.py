@@ -3,10 +3,11 @@
 Documents are sets of word n-grams (64-bit hashes); two link when their Jaccard similarity reaches a
 threshold. Steps:
 
-1. Global order. N-grams whose hash lies below COUNTED are counted over all documents. Those found once come
-   first, uncounted ones next, repeated ones last, each by hash. The repeated ones are kept in a bitmap of at
-   most ORDER_BITS bits; where they would be too many, the least count is raised. Any fixed order gives right
-   results, so wrong bits cost time alone.
+1. Global order. N-grams whose hash lies below COUNTED are counted over all documents, the others where they
+   repeat within a task's chunk of documents, which finds the very common ones. Those found once come first,
+   uncounted ones next, repeated ones last, the commoner the later, each by hash. The repeated ones are kept
+   in a bitmap for each of LEVELS, of at most ORDER_BITS bits; where they would be too many, the least count
+   is raised. Any fixed order gives right results, so wrong bits cost time alone.
 2. Candidates. Linked sets share an n-gram among the first n - ceil(t n) + 1 of each. Of those, n-grams found
    once can't be shared and are not sent. Documents that share one form a bucket; a bucket of b documents
    is searched for pairs whose sketches (parities of a set's hashes by bit) differ in no more bits than the
@@ -55,6 +56,8 @@ ORDER_BITS = 1 << 27
 #: The share of n-grams, by hash, that are counted.
 COUNTED = 0.25
 REPEATED = 2
+#: Counts from which an n-gram moves further to the end of the order.
+LEVELS = (2, 32, 1024)
 FRAGMENTS = 4
 #: N-grams of a family, or of a bucket of families, that one task may hold.
 TASK_GRAMS = 4_000_000
@@ -63,7 +66,7 @@ LOCAL_DOCS = 16384
 MATRIX_DOCS = 1024
 #: Cells of a fragment's matrix in a task.
 CELLS = 8_000_000
-PENDING = 2_000_000
+PENDING = 4_000_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -280,21 +283,25 @@ def _counted(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 18)].view(np.int64)), pa.array(counts[i : i + (1 << 18)])], names=["key", "n"])
 
 
-def _low_grams(width: int):
-    """(key, n): the counted n-grams, combined before they are sent."""
+def _gram_counts(width: int):
+    """(key, n): the n-grams below the edge, and above it those that repeat in a chunk, combined before they are sent."""
+
+    def chunk(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        sent = (key < _EDGE) | (n >= REPEATED)
+        return _counted(key[sent], n[sent])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in source:
             for x in as_bytes(batch.column(1)):
-                s = grams(x, width)
-                held.append(s[: np.searchsorted(s, _EDGE)])
+                held.append(grams(x, width))
                 size += len(held[-1])
-            if size > PENDING:
-                yield from _counted(*np.unique(np.concatenate(held), return_counts=True))
-                held, size = [], 0
+                if size > PENDING:
+                    yield from chunk(held)
+                    held, size = [], 0
         if size:
-            yield from _counted(*np.unique(np.concatenate(held), return_counts=True))
+            yield from chunk(held)
 
     return run
 
@@ -328,14 +335,20 @@ def _prefixes(width: int, percent: int, repeated, once_too: bool):
                 s = grams(x, width)
                 if not len(s):
                     continue
-                k = np.searchsorted(s, _EDGE)
-                often = in_bitmap(repeated.value, s[:k])
-                once, rest = s[:k][~often], _prefix(len(s), percent)
+                level = np.zeros(len(s), np.int8)
+                at = np.arange(len(s))
+                for bits in repeated.value:
+                    at = at[in_bitmap(bits, s[at])]
+                    level[at] += 1
+                low, rest = s < _EDGE, _prefix(len(s), percent)
+                once = s[low & (level == 0)]
                 parts = [once[:rest]] if once_too else []
                 rest -= len(once)
-                if rest > 0:
-                    parts.append(s[k:][:rest])
-                    parts.append(s[:k][often][: max(0, rest - len(parts[-1]))])
+                for own in (~low & (level == 0), *(level == i + 1 for i in range(len(repeated.value)))):
+                    if rest <= 0:
+                        break
+                    parts.append(s[own][:rest])
+                    rest -= len(parts[-1])
                 take = sum(map(len, parts))
                 if not take:
                     continue
@@ -591,13 +604,17 @@ def _spread_links(rows: DataFrame, stars: DataFrame, places: DataFrame, held: Da
 def _links(rows: DataFrame, described: DataFrame, width: int, percent: int, local_docs: int = LOCAL_DOCS, task_grams: int = TASK_GRAMS) -> DataFrame:
     """(a, b): enough of the linked pairs of distinct sets to connect all that are linked."""
     spark = rows.sparkSession
-    counted = rows.mapInArrow(_low_grams(width), "key long, n long").repartition("key")
+    counted = rows.mapInArrow(_gram_counts(width), "key long, n long").repartition("key")
     often = cut(counted.mapInArrow(_repeats, "key long, n long"), "repeated-grams")
-    least, n = REPEATED, often.count()
-    while n > ORDER_BITS // 16:
+    levels = [F.sum((F.col("n") >= x).cast("long")) for x in LEVELS]
+    least, sizes, maps = REPEATED, [x or 0 for x in often.agg(*levels).first()], []
+    while sizes[0] > ORDER_BITS // 16:
         least *= 2
-        n = often.where(F.col("n") >= least).count()
-    repeated = spark.sparkContext.broadcast(bitmap(often.where(F.col("n") >= least).select("key"), n))
+        sizes[0] = often.where(F.col("n") >= least).count()
+    for count, n in zip((least, *LEVELS[1:]), sizes, strict=True):
+        if n and count >= least:
+            maps.append(bitmap(often.where(F.col("n") >= count).select("key"), n))
+    repeated = spark.sparkContext.broadcast(maps)
 
     index = rows.mapInArrow(_prefixes(width, percent, repeated, least > REPEATED), "key long, n int, id long")
     parted = index.repartition("key").sortWithinPartitions("key", "n", "id")
