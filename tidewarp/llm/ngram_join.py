@@ -51,7 +51,7 @@ from .components import components
 CACHE = 300_000
 BUCKET = 16384
 #: Words of a set's sketch, by the size from which it has them.
-SKETCH = ((0, 8), (800, 32), (3200, 128))
+SKETCH = ((0, 4), (300, 8), (800, 32), (3200, 128))
 ORDER_BITS = 1 << 27
 #: The share of n-grams, by hash, that are counted.
 COUNTED = 0.25
@@ -619,7 +619,7 @@ def _links(rows: DataFrame, described: DataFrame, width: int, percent: int, loca
     index = rows.mapInArrow(_prefixes(width, percent, repeated, least > REPEATED), "key long, n int, id long")
     parted = index.repartition("key").sortWithinPartitions("key", "n", "id")
     stars = cut(parted.mapInArrow(_stars(percent), "key long, leader long, id long, n int"), "shared-grams")
-    met = stars.select("key", "id").distinct().join(described.select("id", F.col("n").cast("int").alias("n"), "sketch"), "id")
+    met = stars.select("key", "id").join(described.select("id", F.col("n").cast("int").alias("n"), "sketch"), "id")
     met = met.select("key", "n", "id", "sketch").repartition("key").sortWithinPartitions("key", "n", "id")
     families = components(met.mapInArrow(_compatible(percent), "a long, b long"))
 
