@@ -252,6 +252,21 @@ def test_secrets():
     assert secrets.spans("secret: token: abcdefghijklmnop") == []  # the first match takes the second word
 
 
+def ssh_key():
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    r = np.random.default_rng(1)
+    return secrets.SSH_MAGIC + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(r.bytes(51)) + field(r.bytes(136))
+
+
+@pytest.mark.parametrize("before", ["key=", "PRIVATE_KEY=", "https://x.test/?k=", "key = ", "key:", '"key":"'])
+@pytest.mark.parametrize("kind", ["der", "ssh"])
+def test_secrets_keys_after_a_name(kind, before):
+    key = base64.b64encode(rsa_key() if kind == "der" else ssh_key()).decode()
+    for body in (key, key.rstrip("=")):
+        assert (len(before), kind, len(before) + len(body)) in secrets.spans(f'{before}{body}"')
+        assert not [x for x in secrets.spans(f"{before}{body[4:]}") if x[1] == kind]
+
+
 def test_secret_scan(docs, none):
     assert secrets.scan(docs).count() == len(rows()) and secrets.scan(none).count() == 0
 
