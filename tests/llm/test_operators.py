@@ -267,6 +267,48 @@ def test_secrets_keys_after_a_name(kind, before):
         assert not [x for x in secrets.spans(f"{before}{body[4:]}") if x[1] == kind]
 
 
+def folded(data, width, by="\n"):
+    text = base64.b64encode(data).decode()
+    return by.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def dsa_key(n=128, q=20):
+    r = np.random.default_rng(2)
+    number = lambda n: der(2, b"\x01" + r.bytes(n))
+    return der(0x30, der(2, b"\0") + number(n) + number(q) + number(n) + number(n) + number(q))
+
+
+@pytest.mark.parametrize("by", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n"])
+def test_secrets_armour_with_escaped_breaks(by):
+    for name, key in (("RSA PRIVATE KEY", rsa_key()), ("DSA PRIVATE KEY", dsa_key()), ("OPENSSH PRIVATE KEY", ssh_key())):
+        for slash in ("/", "\\/"):
+            armour = f"-----BEGIN {name}-----{by}{folded(key, 64, by)}{by}-----END {name}-----{by}".replace("/", slash)
+            text = f'{{"private_key": "{armour}", "id": 1}}'
+            assert (17, "pem", 17 + len(armour) - len(by)) in secrets.spans(text)
+            cut = text.replace(by + armour.split(by)[2], "", 1)
+            assert not [x for x in secrets.spans(cut) if x[1] in ("pem", "der", "ssh")]
+
+
+def test_secrets_dsa_keys():
+    for n in (64, 128, 256):
+        assert secrets.is_der_key(dsa_key(n)) and not secrets.is_der_key(dsa_key(n)[:-1])
+    r = np.random.default_rng(2)
+    assert not secrets.is_der_key(der(0x30, der(2, b"\0") + b"".join(der(2, r.bytes(3)) for _ in range(5))))
+
+
+@pytest.mark.parametrize("by", ["\n", "\r\n", "\n    ", "\\n", "\\r\\n"])
+@pytest.mark.parametrize("width", [4, 19, 64, 76])
+def test_secrets_wrapped_keys(width, by):
+    for kind, key in (("der", rsa_key()), ("der", dsa_key()), ("ssh", ssh_key()), ("der", der(0x30, der(2, b"\1") + der(4, bytes(range(96)))))):
+        body = folded(key, width, by)
+        for before, after in (("", ""), ("key=", " x"), (f"MAKE{by}", f"{by}word"), ("é: ", f"{by}{'A' * width}{by}end"), (f"{'QUJD' * 16}{by}", by)):
+            want = (len(before), kind, len(before) + len(body))
+            assert [x for x in secrets.spans(before + body + after) if x[1] in ("der", "ssh")] == [want], (before, after)
+        assert [x[1] for x in secrets.spans(f"{body}{by}{body}") if x[1] in ("der", "ssh")] == [kind] * 2
+        for bad in (body[:-6], body[8:], body.replace(by, " , ")):
+            assert not [x for x in secrets.spans(bad) if x[1] in ("der", "ssh")]
+
+
 def test_secret_scan(docs, none):
     assert secrets.scan(docs).count() == len(rows()) and secrets.scan(none).count() == 0
 

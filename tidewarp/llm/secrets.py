@@ -3,12 +3,15 @@
 Base kinds (assign, access, hex) are pattern matches. The structural kinds decode a candidate and parse it
 before anything is reported:
 
-* ``pem``: an armoured private key whose body decodes to a private-key encoding;
+* ``pem``: an armoured private key whose body decodes to a private-key encoding; its line breaks may be escaped;
 * ``jwt``: a signed token whose first part decodes to a JSON object naming an ``alg`` and whose second part
   decodes to a JSON object;
 * ``der``: a base64 or hex run that decodes to an ASN.1 private key whose nested lengths all fit;
 * ``ssh``: a base64 run that decodes to an openssh-key-v1 container whose nested lengths all fit.
 
+Base64 keys may be wrapped over lines, with line breaks or escaped ones, and indented. The lines joined are as many as the
+key's own length asks for, so a key ends with its last line. The body of an armoured key is such a key too.
+
 Each text is scanned whole, on its own; nothing is shuffled. Spans are in code points, end exclusive.
 
 Defined cases: null text is empty. An empty text has no spans. Ids (null too) pass through; repeated rows
@@ -39,9 +42,17 @@ HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nr/])*?)-----END \1-----")
+ESCAPED_BREAK, ESCAPED_SLASH = re.compile(r"\\+[nr]"), re.compile(r"\\+/")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+RUN = "[A-Za-z0-9+/_-]"
+#: The n or r of an escaped line break is no part of the run after it.
+BASE64 = re.compile(rf"(?<!{RUN})(?:(?<=\\)[nr])?({RUN}{{40,}}={{0,2}})")
+BREAK = r"(?:[ \t]*\r?\n[ \t]*|(?:\\+r)?\\+n[ \t]*)"
+#: The first line of a wrapped key, by how a SEQUENCE and SSH_MAGIC begin in base64, and a line after it.
+WRAPPED = re.compile(rf"[Mb](?:(?<!{RUN}[Mb])|(?<=\\[nr][Mb]))(?:(?<=M)[A-P]|(?<=b)3Bl){RUN}*+(?={BREAK}{RUN})")
+LINE = re.compile(rf"{BREAK}({RUN}+)")
+PADDING = re.compile("={0,2}")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{2}){24,}(?![0-9A-Fa-f])|(?<![0-9A-Fa-f])(?:[0-9A-F]{2}){24,}(?![0-9A-Fa-f])")
 SSH_MAGIC = b"openssh-key-v1\0"
 
@@ -79,7 +90,7 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes | None) -> bool:
-    """PKCS#1, SEC 1 or PKCS#8 private key (encrypted too), by structure."""
+    """PKCS#1, DSA, SEC 1 or PKCS#8 private key (PKCS#8 encrypted too), by structure."""
     if not data or data[0] != SEQUENCE or len(data) < 24:
         return False
     outer = der_items(data)
@@ -92,6 +103,8 @@ def is_der_key(data: bytes | None) -> bool:
     if tags[0] == INTEGER and len(items[0][1]) == 1:
         if len(tags) >= 9 and tags[:9] == [INTEGER] * 9 and len(items[1][1]) >= 32:
             return True
+        if tags == [INTEGER] * 6 and items[0][1] == b"\0" and len(items[1][1]) >= 64 and len(items[2][1]) >= 20:
+            return True
         if tags[:2] == [INTEGER, OCTETS] and items[0][1] == b"\x01" and len(items[1][1]) >= 16:
             return True
         if tags[:3] == [INTEGER, SEQUENCE, OCTETS]:
@@ -126,6 +139,51 @@ def is_ssh_key(data: bytes | None) -> bool:
     return 1 <= count <= 64 and all(field() is not None for _ in range(count + 1)) and at == len(data)
 
 
+def stated(data: bytes) -> int:
+    """The bytes that an encoded key takes, as far as data, its beginning, tells; more than data has until it tells all, 0 if it is no key."""
+    if data[:1] == bytes([SEQUENCE]):
+        if len(data) < 2 or data[1] < 0x80:
+            return 2 + (data[1] if len(data) > 1 else 0)
+        n = data[1] & 0x7F
+        return 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if len(data) >= 2 + n else 0) if 1 <= n <= 4 else 0
+    if not data.startswith(SSH_MAGIC[: len(data)]):
+        return 0
+    at, left, counted = len(SSH_MAGIC), 3, False
+    while at + 4 <= len(data):
+        value, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if left:
+            at, left = at + value, left - 1
+        elif 1 <= value <= 64:
+            left, counted = value + 1, True
+        else:
+            return 0
+        if counted and not left:
+            return at
+    return at + 4
+
+
+def wrapped_key(text: str, first: re.Match) -> tuple[str, int] | None:
+    """(kind, end) of a key that begins with this line and takes whole lines."""
+    body, at = first[0], first.end()
+    while True:
+        size = stated(decode64(body[: len(body) // 4 * 4]) or b"")
+        chars = -(-size * 4 // 3)
+        if not size or chars <= len(body):
+            break
+        lines, n = [body], len(body)
+        while n < chars:
+            line = LINE.match(text, at)
+            if not line:
+                return None
+            lines.append(line[1])
+            n, at = n + len(line[1]), line.end()
+        body = "".join(lines)
+    if not size or chars != len(body):
+        return None
+    data, end = decode64(body), PADDING.match(text, at).end()
+    return ("der", end) if is_der_key(data) else ("ssh", end) if is_ssh_key(data) else None
+
+
 def is_token(head: str, body: str) -> bool:
     for part, needs in ((head, "alg"), (body, None)):
         data = decode64(part)
@@ -151,18 +209,24 @@ def spans(text: str) -> list[tuple[int, str, int]]:
     found += [(m.start(), "hex", m.end()) for m in HEX_RUN.finditer(text)]
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            body = "".join(x for x in m[2].split() if ":" not in x and "," not in x)
+            plain = ESCAPED_SLASH.sub("/", ESCAPED_BREAK.sub("\n", m[2])) if "\\" in m[2] else m[2]
+            body = "".join(x for x in plain.split() if ":" not in x and "," not in x)
             data = decode64(body)
             if is_der_key(data) or is_ssh_key(data):
                 found.append((m.start(), "pem", m.end()))
     if "." in text:
         found += [(m.start(), "jwt", m.end()) for m in JWT.finditer(text) if is_token(m[1], m[2])]
     for m in BASE64.finditer(text):
-        data = decode64(m[0])
+        data = decode64(m[1])
         if is_der_key(data):
-            found.append((m.start(), "der", m.end()))
+            found.append((m.start(1), "der", m.end()))
         elif is_ssh_key(data):
-            found.append((m.start(), "ssh", m.end()))
+            found.append((m.start(1), "ssh", m.end()))
+    done = 0
+    for m in WRAPPED.finditer(text):
+        if m.start() >= done and (key := wrapped_key(text, m)):
+            found.append((m.start(), key[0], key[1]))
+            done = key[1]
     for m in LONG_HEX.finditer(text):
         if is_der_key(bytes.fromhex(m[0])):
             found.append((m.start(), "der", m.end()))
