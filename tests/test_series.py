@@ -288,6 +288,26 @@ def test_pipeline(spark):
         ModelPipeline(KEYED, 7, include=["n_linear"]).fit(train, valid.drop("y"))
 
 
+@pytest.mark.parametrize("lags", [5, 40])
+def test_pipeline_error_takes_all_held_out_rows(spark, lags):
+    r = np.random.default_rng(0)
+    values = {"a": r.normal(10, 1, 130).tolist(), "b": r.normal(20, 5, 400).tolist(), "c": r.normal(5, 1, 90).tolist()}
+    df, pipe = keyed(spark, **values), ModelPipeline(KEYED, lags, quantile=0.9, cv=3)
+    drawn, rest = resample.block_bootstrap(df, KEYED, lags, 3)
+    ends, want = {}, {}
+    for x in drawn.orderBy("pos").collect():
+        ends.setdefault((x["k"], x["split"]), []).append(x["y"])
+    for x in rest.collect():
+        if len(ends[x["k"], x["split"]]) > lags:  # others are too short for the model
+            want.setdefault((x["k"], x["split"]), []).append((abs(x["y"] - ends[x["k"], x["split"]][-1]), abs(x["y"])))
+    assert max(map(len, want.values())) > max(lags, 30)
+    wmape = {g: sum(e for e, _ in x) / sum(y for _, y in x) for g, x in want.items()}
+    got = {x["k"]: x["error"] for x in pipe._error("naive", "naive", {"lags": lags}, df).collect()}
+    assert set(got) == {k for k, _ in want}
+    for k in got:
+        assert np.isclose(got[k], np.quantile([w for (a, _), w in wmape.items() if a == k], 0.9))
+
+
 def test_catalogue(spark, tmp_path):
     (tmp_path / "mine.csv").write_text("day,v\n2024-01-01,1\n2024-01-02,2\n")
     found = SeriesCatalogue(spark, str(tmp_path))

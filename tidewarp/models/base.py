@@ -96,8 +96,8 @@ class FittedForecaster:
     states: DataFrame
     short: DataFrame | None = field(default=None, repr=False)
 
-    def predict(self, n: int) -> DataFrame:
-        """(keys, horizon, time, target): n days after each series' end."""
+    def predict(self, n: int | DataFrame) -> DataFrame:
+        """(keys, horizon, time, target): n days after each series' end; with a table (keys, n), as many as it has for each series."""
         from ..series import next_time
 
         keys, spec, model = list(self.spec.keys), self.spec, self.model
@@ -106,10 +106,11 @@ class FittedForecaster:
 
         def forecast(parts):
             for pdf in parts:
-                f = [model.predict_values(unpack_state(s), np.asarray(c, np.float64), int(d), n).tolist() for s, c, d in zip(pdf["state"], pdf["context"], pdf["last_day"], strict=True)]
+                f = [model.predict_values(unpack_state(s), np.asarray(c, np.float64), int(d), int(k)).tolist() for s, c, d, k in zip(pdf["state"], pdf["context"], pdf["last_day"], pdf["__n"], strict=True)]
                 yield pdf[[*keys, "last_time"]].assign(f=f)
 
-        rows = self.states.mapInPandas(forecast, out).select(*keys, "last_time", F.posexplode("f").alias("p", spec.target))
+        states = self.states.join(n.withColumnRenamed("n", "__n"), keys) if isinstance(n, DataFrame) else self.states.withColumn("__n", F.lit(n))
+        rows = states.mapInPandas(forecast, out).select(*keys, "last_time", F.posexplode("f").alias("p", spec.target))
         return rows.withColumn("horizon", F.col("p") + 1).withColumn(spec.time, next_time(F.col("last_time"), F.col("p") + 1, kind)).select(*keys, "horizon", spec.time, spec.target)
 
     def predict_from(self, df: DataFrame, n: int) -> DataFrame:

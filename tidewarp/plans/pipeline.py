@@ -64,17 +64,19 @@ class ModelPipeline:
 
     def _error(self, alias: str, name: str, params: dict, train: DataFrame) -> DataFrame:
         """(keys, error) from block resamples: train on the drawn blocks in their order, test on what was not drawn."""
+        return intervals.interval_error(self._resampled(name, params, train), self.spec, self.quantile, truth=self.spec.target)
+
+    def _resampled(self, name: str, params: dict, train: DataFrame) -> DataFrame:
+        """(keys, split, horizon, target, y_hat): each row that a split did not draw, with its forecast; there are as many steps as such rows."""
         spec = self.spec
         drawn, rest = resample.block_bootstrap(train, spec, self.lags, self.cv)
         resampled = SeriesSpec((*spec.keys, "split"), "__day", spec.target)
         drawn = drawn.select(*spec.keys, "split", F.date_add(F.lit("2000-01-01").cast("date"), F.col("pos")).alias("__day"), spec.target)
         fitted = make(name, **params).fit(drawn, resampled)
-        first = rest.groupBy(*spec.keys, "split").agg(F.count(F.lit(1)).alias("__m"))
-        steps = min(self.lags, 30)
-        ahead = fitted.predict(steps).withColumnRenamed(spec.target, "y_hat").join(first, [*spec.keys, "split"])
+        steps = rest.groupBy(*spec.keys, "split").agg(F.count(F.lit(1)).alias("n"))
+        ahead = fitted.predict(steps).withColumnRenamed(spec.target, "y_hat")
         truth = numbered(rest, SeriesSpec((*spec.keys, "split"), spec.time, spec.target), "horizon").withColumn("horizon", F.col("horizon") + 1)
-        scored = truth.join(ahead.select(*spec.keys, "split", "horizon", "y_hat"), [*spec.keys, "split", "horizon"])
-        return intervals.interval_error(scored, spec, self.quantile, truth=spec.target)
+        return truth.join(ahead.select(*spec.keys, "split", "horizon", "y_hat"), [*spec.keys, "split", "horizon"])
 
     def fit(self, df: DataFrame, valid: DataFrame | None = None, valid_rows: int | None = None) -> DataFrame:
         """Train and score all models; returns the leaderboard (keys, model, metric, train_cost, eval_cost, rank)."""
