@@ -203,6 +203,14 @@ def windows_spectrum_top(spark, sf_dir):
     return w.select("start", F.posexplode(top).alias("pos", "amplitude")).withColumn("amplitude", r("amplitude", 5))
 
 
+@query(f"""WITH {REV}, {NUM}, {win(8)}, s AS (SELECT start, k, sqrt(pow({_dft('cos')}, 2) + pow({_dft('sin')}, 2)) AS amplitude FROM win, range(0, 8) t(k)),
+t AS (SELECT start, round(amplitude, 5) AS amplitude, (row_number() OVER (PARTITION BY start ORDER BY amplitude DESC) - 1)::INT AS pos FROM s) SELECT start, pos, amplitude FROM t WHERE pos < 3""")
+def windows_spectrum_top_all(spark, sf_dir):
+    w = windows.lag_windows(rev(spark, sf_dir), ONE, 8)
+    top = arrays.largest(arrays.spectrum(F.col("x")), 3)
+    return w.select("start", F.posexplode(top).alias("pos", "amplitude")).withColumn("amplitude", r("amplitude", 5))
+
+
 # --- checks ---------------------------------------------------------------------------------------------
 
 
@@ -467,6 +475,12 @@ def interval_apply(spark, sf_dir):
     return intervals.chosen_columns(out.withColumn("extra", F.lit(1)), STATUS).withColumns({"y_lower": r("y_lower", 9), "y_upper": r("y_upper", 9)})
 
 
+@query(f"WITH {BY_STATUS} SELECT status, ds, y, round(y * 0.75::DOUBLE, 9) AS y_lower, round(y * 1.25::DOUBLE, 9) AS y_upper FROM sta", dates="ds")
+def interval_apply_all(spark, sf_dir):
+    out = intervals.apply_interval(by_status(spark, sf_dir), STATUS, 0.25)
+    return intervals.chosen_columns(out.withColumn("extra", F.lit(1)), STATUS).withColumns({"y_lower": r("y_lower", 9), "y_upper": r("y_upper", 9)})
+
+
 @query(f"""WITH {REV}, {NUM}, f AS (SELECT f::INT AS fold, rn, n, ds, y FROM num, range(0, 3) t(f))
 SELECT fold, CASE WHEN rn < n - fold * 14 - 14 THEN 'train' ELSE 'test' END AS part, count(*) AS rows, min(ds) AS first, max(ds) AS last FROM f WHERE rn < n - fold * 14 AND n - fold * 14 - 14 >= 30 GROUP BY 1, 2""", dates="first last")
 def resample_rolling_origin(spark, sf_dir):
