@@ -308,6 +308,28 @@ def test_pipeline_error_takes_all_held_out_rows(spark, lags):
         assert np.isclose(got[k], np.quantile([w for (a, _), w in wmape.items() if a == k], 0.9))
 
 
+def test_far_peaks_of_long_windows(spark):
+    def greedy(x, distance=150):
+        found, i = [], 1
+        while i < len(x) - 1:
+            j = i
+            while j < len(x) - 1 and x[j] == x[i]:
+                j += 1
+            if x[i - 1] < x[i] and x[j] < x[i]:
+                found.append((x[i], (i + j - 1) // 2))
+            i = j
+        kept = []
+        for _, at in sorted(found, reverse=True):
+            kept += [at] if all(abs(at - k) >= distance for k in kept) else []
+        return len(kept)
+
+    r = np.random.default_rng(0)
+    rows = [r.normal(size=n).tolist() for n in (7, 150, 151, 400, 900)] + [r.integers(0, 4, n).astype(float).tolist() for n in (7, 160, 500)] + [[1.0] * 400, [3.0, 1.0, 3.0, 2.0]]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, x array<double>").repartition(4)
+    got = {x["i"]: x["n"] for x in df.select("i", arrays.window_statistics(F.col("x"))["far_peaks"].alias("n")).collect()}
+    assert [got[i] for i in range(len(rows))] == [greedy(x) for x in rows] and max(got.values()) > 2
+
+
 def test_catalogue(spark, tmp_path):
     (tmp_path / "mine.csv").write_text("day,v\n2024-01-01,1\n2024-01-02,2\n")
     found = SeriesCatalogue(spark, str(tmp_path))

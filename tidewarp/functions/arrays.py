@@ -106,6 +106,25 @@ def peaks(x: Column) -> Column:
     return F.size(F.filter(x, lambda v, i: is_peak(v, i)))
 
 
+def far_peaks(x: Column, distance: int = 150) -> Column:
+    """Peaks that are left when the highest come first and each drops those nearer than distance; of equal ones the later comes first.
+
+    A plateau with lower neighbours on both sides lies at its middle.
+    """
+
+    def peak(v: Column, i: Column) -> Column:
+        other = F.array_max(F.filter(F.sequence(F.lit(0), i), lambda j: F.get(x, j) != v))
+        top = (i < F.size(x) - 1) & (F.get(x, i + 1) < v) & (F.get(x, other) < v)
+        return F.when(top, F.struct(v.alias("v"), F.floor((other + 1 + i) / 2).cast("int").alias("i")))
+
+    def keep(kept: Column, p: Column) -> Column:
+        near = F.exists(kept, lambda k: F.abs(k - p["i"]) < distance)
+        return F.when(near, kept).otherwise(F.concat(kept, F.array(p["i"])))
+
+    found = F.filter(F.transform(x, peak), lambda p: p.isNotNull())
+    return F.size(F.aggregate(F.sort_array(found, asc=False), F.array().cast("array<int>"), keep))
+
+
 def spectrum(x: Column) -> Column:
     """Amplitudes of the discrete Fourier transform, one per frequency 0 ... n - 1."""
     n = F.size(x)
@@ -134,11 +153,11 @@ WINDOW_STATISTICS = (
 
 
 def window_statistics(x: Column) -> dict[str, Column]:
-    """The scalar statistics of a window of at most 150 values, by name."""
+    """The scalar statistics of a window, by name."""
     d, p25, p75, p90 = diff(x), quantile(x, 0.25), quantile(x, 0.75), quantile(x, 0.9)
     return {
         "mean": mean(x), "median": quantile(x, 0.5), "max": F.array_max(x), "min": F.array_min(x), "p25": p25, "p75": p75, "std": std_pop(x), "entropy": entropy2(x),
         "mean_diff": mean(d), "mean_abs_diff": mean(absolute(d)), "median_diff": quantile(d, 0.5), "median_abs_diff": quantile(absolute(d), 0.5),
         "under_p75": count_below(x, p75), "under_p25": count_below(x, p25), "under_p90": count_below(x, p90), "over_p90": count_above(x, p90),
-        "peaks": peaks(x), "far_peaks": F.least(peaks(x), F.lit(1)),
+        "peaks": peaks(x), "far_peaks": far_peaks(x),
     }
