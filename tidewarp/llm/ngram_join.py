@@ -15,8 +15,10 @@ threshold. Steps:
    documents it connects all. What is connected is a family: no link leaves it.
 3. Vertical partitioning. The order is cut into fragments (hash ranges); partial overlaps are counted in one
    fragment after the other and summed per pair. A family of at most LOCAL_DOCS documents and TASK_GRAMS
-   n-grams meets in one task, which holds the overlaps of one fragment at a time as a matrix product and sends
-   only enough links to connect what is linked.
+   n-grams meets in one task, which sends only enough links to connect what is linked. Up to MATRIX_DOCS
+   documents, it holds the overlaps of one fragment at a time as a matrix product; small families mostly have
+   one fragment of CELLS cells. Beyond MATRIX_DOCS documents, it counts the whole overlap of a pair at once,
+   without fragments.
 4. A larger family is spread: its segments of one fragment meet in one task, which counts the partial overlap
    of candidate pairs; counts are summed per pair by a shuffle. After the components of the links found,
    buckets that hold several components send their remaining pairs across components the same way. Pairs
