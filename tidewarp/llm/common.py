@@ -15,7 +15,11 @@ LOWER = UPPER.lower()
 #: The white space of every contract here: \x20 and \x09 to \x0D, which is also what bytes.split() splits at.
 BLANK = b" \t\n\x0b\x0c\r"
 
+#: Keys that join_hot() broadcasts are fewer than this.
+HOT_KEYS = 1000
+
 _local_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/tidewarp/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidewarp/{what}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what cut() and scratch() of this session wrote; frames that read it can't be used afterwards."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        place = hadoop(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
@@ -54,6 +68,26 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, side: DataFrame, key: str, weight: str, total: int, scatter: str) -> DataFrame:
+    """Inner join of rows with side, which has one row a key and tells by ``weight`` how many rows hold it, of ``total``.
+
+    Keys that hold more than a thousandth of the rows are fewer than HOT_KEYS, whatever the input, and are
+    broadcast; their rows are dealt to the join's tasks by a hash of the column ``scatter``, so no task receives a key's rows.
+    """
+    others = [c for c in side.columns if c != key]
+    heavy = F.col(weight) > max(1, total // HOT_KEYS)
+    hot = side.where(heavy).select(F.col(key).alias("__tw_hot"), *(F.col(c).alias(f"__tw_hot_{c}") for c in others))
+    cold = side.where(~heavy).select(F.col(key).alias("__tw_cold"), *(F.col(c).alias(f"__tw_cold_{c}") for c in others))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__tw_hot"), "left")
+    kind = rows.schema[key].dataType
+    scattered = F.xxhash64(scatter, F.lit("hot"))
+    scattered = scattered if kind.typeName() in ("bigint", "long") else scattered.cast("string").cast(kind)
+    marked = marked.withColumn("__tw_key", F.when(F.col("__tw_hot").isNull(), F.col(key)).otherwise(scattered))
+    joined = marked.join(cold, F.col("__tw_key") == F.col("__tw_cold"), "left").where("__tw_hot IS NOT NULL OR __tw_cold IS NOT NULL")
+    found = (F.when(F.col("__tw_hot").isNotNull(), F.col(f"__tw_hot_{c}")).otherwise(F.col(f"__tw_cold_{c}")).alias(c) for c in others)
+    return joined.select(*rows.columns, *found)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 

@@ -1,32 +1,29 @@
 """N-gram Jaccard join by vertical partitioning (operator 2).
 
 Documents are sets of word n-grams (64-bit hashes); two link when their Jaccard similarity reaches a
-threshold. Steps:
+threshold. Each text is read and hashed once; its sorted hashes are written and read from there.
 
 1. Global order. N-grams whose hash lies below COUNTED are counted over all documents, the others where they
    repeat within a task's chunk of documents, which finds the very common ones. Those found once come first,
    uncounted ones next, repeated ones last, the commoner the later, each by hash. The repeated ones are kept
-   in a bitmap for each of LEVELS, of at most ORDER_BITS bits; where they would be too many, the least count
-   is raised. Any fixed order gives right results, so wrong bits cost time alone.
+   in a bitmap a level, of at most ORDER_BITS bits each, whatever the input; a fuller bitmap takes n-grams
+   found once for repeated ones. Any fixed order gives right results, so wrong bits cost time alone.
 2. Candidates. Linked sets share an n-gram among the first n - ceil(t n) + 1 of each. Of those, n-grams found
-   once can't be shared and are not sent. Documents that share one form a bucket; a bucket of b documents
-   is searched for pairs whose sketches (parities of a set's hashes by bit) differ in no more bits than the
-   sets of a linked pair could, and sends only enough of them to connect what they connect; beyond BUCKET
-   documents it connects all. What is connected is a family: no link leaves it.
-3. Vertical partitioning. The order is cut into fragments (hash ranges); partial overlaps are counted in one
-   fragment after the other and summed per pair. A family of at most LOCAL_DOCS documents and TASK_GRAMS
-   n-grams meets in one task, which sends only enough links to connect what is linked. Up to MATRIX_DOCS
-   documents, it holds the overlaps of one fragment at a time as a matrix product; small families mostly have
-   one fragment of CELLS cells. Beyond MATRIX_DOCS documents, it counts the whole overlap of a pair at once,
-   without fragments.
-4. A larger family is spread: its segments of one fragment meet in one task, which counts the partial overlap
-   of candidate pairs; counts are summed per pair by a shuffle. After the components of the links found,
-   buckets that hold several components send their remaining pairs across components the same way. Pairs
-   within a component can't change it, so no link between components is lost and a group of near copies is
-   never expanded into all its pairs.
-5. Components of all links.
-
-Equal sets (copies) are one node from the start: their smallest id.
+   once can't be shared and are not sent. Documents that share one form a bucket. Of a bucket's pairs those
+   may link whose sketches (parities of a set's hashes by bit) differ in no more bits than the sets of a
+   linked pair could; the bucket sends a spanning forest of them. N-grams of SPLIT and more documents have
+   their buckets split by document; the least document of each size class goes to every part.
+3. Vertical partitioning, the only way that a pair is verified. The order of hashes is cut into FRAGMENTS
+   ranges, every set into its segments. A task has the segments of one fragment for some candidate pairs and
+   counts their partial overlaps; a shuffle sums them per pair, which gives the links.
+4. A pair of a forest that isn't linked leaves what it held together apart. Then, and in split buckets, the
+   documents outside a bucket's largest component are compared with those of other components, by sketches
+   again, in blocks of BLOCK rows. Pairs of the same two components are sent in growing numbers, 4, 16, 64, ...
+   until a link joins them or none is left, so a group of near copies is never expanded into all its pairs
+   and no link between components is lost.
+5. Components of all links; copies are linked with the least id of equal sets.
+
+Sets are compared by the hashes of their n-grams: a wrong count needs a collision within one pair.
 
 Defined cases: null text, or no words, is an empty set, linked with nothing (its own component). Fewer words
 than n give one n-gram of all of them. Null ids are linked with nothing and have a null component. Rows of
@@ -37,7 +34,6 @@ result. Extra columns are ignored. Texts of any length are read whole.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,27 +43,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import as_bytes, cut, table
+from .common import as_bytes, cut, join_hot, table
 from .components import components
 
 CACHE = 300_000
-BUCKET = 16384
 #: Words of a set's sketch, by the size from which it has them.
 SKETCH = ((0, 4), (300, 8), (800, 32), (3200, 128))
+#: Bits of a bitmap; at most 16 MB each, as broadcast.
 ORDER_BITS = 1 << 27
 #: The share of n-grams, by hash, that are counted.
 COUNTED = 0.25
 REPEATED = 2
 #: Counts from which an n-gram moves further to the end of the order.
 LEVELS = (2, 32, 1024)
+#: The count from which buckets are split in 8 parts; 8 times as many for each further power of 8.
+SPLIT = 8192
 FRAGMENTS = 4
-#: N-grams of a family, or of a bucket of families, that one task may hold.
+#: N-grams of candidate pairs that one task has, over all fragments.
 TASK_GRAMS = 4_000_000
-LOCAL_DOCS = 16384
-#: Documents of a family up to which its overlaps are one matrix; beyond, pairs are looked at one by one.
-MATRIX_DOCS = 1024
-#: Cells of a fragment's matrix in a task.
-CELLS = 8_000_000
+#: Rows of a side that meet when components are compared.
+BLOCK = 2048
 PENDING = 4_000_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -146,18 +141,27 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _described(width: int):
-    """(id, n, sig, sketch): the size of each row's set, 128 bits that stand for it, and its sketch."""
+def _hashed(width: int):
+    """(id, n, sig, sketch, grams): a row's set, its size and 128 bits that stand for it; no grams for a null id, an empty set or a copy of an earlier row."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in source:
-            n, sig, bits = [], [], []
-            for x in as_bytes(batch.column(1)):
-                s = grams(x, width)
-                n.append(len(s))
-                sig.append(xxhash.xxh3_128_digest(s.tobytes()))
-                bits.append(sketch(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary())], names=["id", "n", "sig", "sketch"])
+            ids = batch.column(0).to_pylist()
+            texts = as_bytes(batch.column(1))
+            for start in range(0, len(ids), 1024):
+                n, sig, bits, data = [], [], [], []
+                for ident, x in zip(ids[start : start + 1024], texts[start : start + 1024], strict=True):
+                    s = grams(x, width)
+                    n.append(len(s))
+                    sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    new = ident is not None and len(s) and sig[-1] not in seen
+                    if new and len(seen) < CACHE:
+                        seen.add(sig[-1])
+                    bits.append(sketch(s).tobytes() if new else None)
+                    data.append(s.tobytes() if new else None)
+                columns = [pa.array(ids[start : start + 1024], pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (sig, bits, data))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sig", "sketch", "grams"])
 
     return run
 
@@ -194,80 +198,85 @@ class _Bucketed:
                 good[have] &= far <= allowed[have]
         return good
 
-    def connect(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-        """Enough pairs of one bucket to connect what may be linked."""
+    def forest(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may link, enough to connect all that do, of one bucket; no circles."""
         left, a, b = np.arange(first, last), [], []
         while len(left):
             edge, left = left[:1], left[1:]
-            root = edge[0]
             while len(edge) and len(left):
                 hit = np.zeros(len(left), bool)
                 for x in edge.tolist():
                     rest = np.flatnonzero(~hit)
-                    hit[rest] = self.may_link(np.full(len(rest), x), left[rest])
+                    own = rest[self.may_link(np.full(len(rest), x), left[rest])]
+                    hit[own] = True
+                    a.append(np.full(len(own), x))
+                    b.append(left[own])
                 edge, left = left[hit], left[~hit]
-                a.append(np.full(len(edge), root))
-                b.append(edge)
         return np.concatenate(a or [left]), np.concatenate(b or [left])
 
+    def forests(self, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many buckets of one small size: a pair is left out if an earlier row may link with both."""
+        x, y = np.tril_indices(size, -1)
+        rows, mates = (starts[:, None] + x).ravel(), (starts[:, None] + y).ravel()
+        near = np.zeros((len(starts), size, size), np.float32)
+        near[:, x, y] = self.may_link(rows, mates).reshape(len(starts), len(x))
+        bucket, row, mate = np.nonzero((near > 0) & (near @ near.transpose(0, 2, 1) == 0))
+        return starts[bucket] + mate, starts[bucket] + row
+
+
+def _same_before(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row equals the one before in all columns."""
+    return np.append(False, np.logical_and.reduce([c[1:] == c[:-1] for c in columns]))
+
+
+def _whole_runs(source: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Batches regrouped so that rows that are equal in the first ``keys`` columns, which are sorted, stay together."""
+    held: list[pa.RecordBatch] = []
+    for batch in source:
+        if not batch.num_rows:
+            continue
+        last = [batch.column(j)[batch.num_rows - 1] for j in range(keys)]
+        differs = np.flatnonzero(np.logical_or.reduce([batch.column(j).to_numpy() != x.as_py() for j, x in enumerate(last)]))
+        if not len(differs):
+            if held and any(held[-1].column(j)[0] != x for j, x in enumerate(last)):
+                yield _one(held)
+                held = []
+            held.append(batch)
+            continue
+        whole = int(differs[-1]) + 1
+        yield _one([*held, batch.slice(0, whole)])
+        held = [batch.slice(whole)]
+    if held:
+        yield _one(held)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
 
 def _compatible(percent: int):
-    """(a, b): pairs that connect, in each bucket, what may be linked. Rows (key, n, id, sketch) are sorted by key, n."""
-
-    def pairs(k: np.ndarray, n: np.ndarray, i: np.ndarray, sketches: list[bytes]) -> np.ndarray:
-        rows = _Bucketed(n, sketches, percent)
-        starts = np.append(0, np.flatnonzero(k[1:] != k[:-1]) + 1)
-        lengths = np.diff(np.append(starts, len(k)))
-        left, right = [], []
-        for size in np.unique(lengths).tolist():
-            own = starts[lengths == size]
-            if size <= 16:
-                x, y = np.triu_indices(size, 1)
-                a, b = (own[:, None] + x[None, :]).ravel(), (own[:, None] + y[None, :]).ravel()
-                good = rows.may_link(a, b)
-                left.append(a[good])
-                right.append(b[good])
-            else:
-                for at in own.tolist():
-                    a, b = rows.connect(at, at + size)
-                    left.append(a)
-                    right.append(b)
-        a, b = i[np.concatenate(left)], i[np.concatenate(right)]
-        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+    """(key, a, b, n): forests of what may link in each bucket, n n-grams in a and b. Rows (key, sub, n, id, sketch) are sorted so."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []  # the last key's rows so far
-        kept_sketches: list[bytes] = []
-        chain = None  # key and first id of a bucket that is too long to search
-        for batch in source:
-            k, n, i = (batch.column(j).to_numpy() for j in range(3))
-            sketches = batch.column(3).to_pylist()
-            if kept:
-                k, n, i = (np.concatenate([x, y]) for x, y in zip(kept, (k, n, i), strict=True))
-                sketches = kept_sketches + sketches
-            if not len(k):
+        for batch in _whole_runs(source, 2):
+            k, sub, n, i = (batch.column(j).to_numpy() for j in range(4))
+            rows = _Bucketed(n, batch.column(4).to_pylist(), percent)
+            starts = np.flatnonzero(~_same_before(k, sub))
+            lengths = np.diff(np.append(starts, len(k)))
+            pairs = []
+            for size in np.unique(lengths[lengths > 1]).tolist():
+                own = starts[lengths == size]
+                if size <= 16:
+                    pairs += [rows.forests(own[x : x + 4096], size) for x in range(0, len(own), 4096)]
+                else:
+                    pairs += [rows.forest(at, at + size) for at in own.tolist()]
+            if not pairs:
                 continue
-            out = []
-            if chain is not None:
-                own = int(np.searchsorted(k != chain[0], True))
-                out.append(np.stack([np.minimum(i[:own], chain[1]), np.maximum(i[:own], chain[1])])[:, i[:own] != chain[1]])
-                k, n, i, sketches = k[own:], n[own:], i[own:], sketches[own:]
-                chain = chain if not len(k) else None
-            whole = int(np.searchsorted(k == k[-1], True)) if len(k) else 0
-            if len(k) - whole > BUCKET:
-                chain = (k[-1], i[whole])
-                out.append(np.stack([np.minimum(i[whole:], chain[1]), np.maximum(i[whole:], chain[1])])[:, i[whole:] != chain[1]])
-                kept, kept_sketches = [], []
-            else:
-                kept, kept_sketches = ([k[whole:], n[whole:], i[whole:]] if len(k) else []), sketches[whole:]
-            if whole:
-                out.append(pairs(k[:whole], n[:whole], i[:whole], sketches[:whole]))
-            for x in out:
-                if x.shape[1]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
-        if kept and len(kept[0]) > 1:
-            x = pairs(*kept, kept_sketches)
-            yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            a, b = a[i[a] != i[b]], b[i[a] != i[b]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k[a]), pa.array(np.minimum(i[a], i[b])), pa.array(np.maximum(i[a], i[b])), pa.array(n[a].astype(np.int64) + n[b])], names=["key", "a", "b", "n"]
+            )
 
     return run
 
@@ -285,7 +294,7 @@ def _counted(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 18)].view(np.int64)), pa.array(counts[i : i + (1 << 18)])], names=["key", "n"])
 
 
-def _gram_counts(width: int):
+def _gram_counts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n): the n-grams below the edge, and above it those that repeat in a chunk, combined before they are sent."""
 
     def chunk(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -293,19 +302,16 @@ def _gram_counts(width: int):
         sent = (key < _EDGE) | (n >= REPEATED)
         return _counted(key[sent], n[sent])
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in source:
-            for x in as_bytes(batch.column(1)):
-                held.append(grams(x, width))
-                size += len(held[-1])
-                if size > PENDING:
-                    yield from chunk(held)
-                    held, size = [], 0
-        if size:
-            yield from chunk(held)
-
-    return run
+    held, size = [], 0
+    for batch in source:
+        for data in batch.column(0).to_pylist():
+            held.append(np.frombuffer(data, np.uint64))
+            size += len(held[-1])
+            if size > PENDING:
+                yield from chunk(held)
+                held, size = [], 0
+    if size:
+        yield from chunk(held)
 
 
 def _repeats(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,338 +332,286 @@ def _repeats(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _counted(key[n >= REPEATED], n[n >= REPEATED])
 
 
-def _prefixes(width: int, percent: int, repeated, once_too: bool):
-    """(key, n, id): the prefixes in the global order without n-grams found once; of equal sets in a task only one."""
+def _prefixes(percent: int, levels, unsplit: int):
+    """(key, sub, subs, n, id): the prefixes in the global order without n-grams found once; sub of subs parts of the key's bucket."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        maps = levels.value
         for batch in source:
-            ids, sizes, lengths, out = [], [], [], []
-            for ident, x in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                s = grams(x, width)
-                if not len(s):
-                    continue
+            ids, sizes, lengths, keys, parts = [], [], [], [], []
+            for ident, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(data, np.uint64)
                 level = np.zeros(len(s), np.int8)
                 at = np.arange(len(s))
-                for bits in repeated.value:
+                for bits in maps:
                     at = at[in_bitmap(bits, s[at])]
                     level[at] += 1
                 low, rest = s < _EDGE, _prefix(len(s), percent)
-                once = s[low & (level == 0)]
-                parts = [once[:rest]] if once_too else []
-                rest -= len(once)
-                for own in (~low & (level == 0), *(level == i + 1 for i in range(len(repeated.value)))):
+                rest -= int(np.count_nonzero(low & (level == 0)))
+                take = 0
+                for own in (~low & (level == 0), *(level == x + 1 for x in range(len(maps)))):
                     if rest <= 0:
                         break
-                    parts.append(s[own][:rest])
-                    rest -= len(parts[-1])
-                take = sum(map(len, parts))
-                if not take:
-                    continue
-                sig = xxhash.xxh3_128_digest(s.tobytes())
-                if sig in seen:
-                    continue
-                if len(seen) < CACHE:
-                    seen.add(sig)
-                ids.append(ident)
-                sizes.append(len(s))
-                lengths.append(take)
-                out += parts
+                    keys.append(s[own][:rest])
+                    parts.append(level[own][:rest])
+                    rest -= len(keys[-1])
+                    take += len(keys[-1])
+                if take:
+                    ids.append(ident)
+                    sizes.append(len(s))
+                    lengths.append(take)
             if ids:
-                columns = np.concatenate(out).view(np.int64), np.repeat(np.array(sizes, np.int32), lengths), np.repeat(np.array(ids, np.int64), lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "n", "id"])
+                own = np.repeat(np.array(ids, np.int64), lengths)
+                subs = np.left_shift(1, 3 * np.maximum(0, np.concatenate(parts).astype(np.int64) - unsplit))
+                sub = (_spread(own) * _K >> np.uint64(20)).astype(np.int64) % subs
+                columns = np.concatenate(keys).view(np.int64), sub.astype(np.int32), subs.astype(np.int32), np.repeat(np.array(sizes, np.int32), lengths), own
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "sub", "subs", "n", "id"])
 
     return run
 
 
-def _stars(percent: int):
-    """From rows (key, n, id) sorted so: for keys of several rows (key, leader, id, n), the leader's own row too."""
-    names = ["key", "leader", "id", "n"]
+def _shared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, sub, subs, n, id), sorted so, those that share key and sub with another, and all of split keys."""
+    held, last = None, None  # the last row, if it is alone so far; key and sub of the last row
+    for batch in source:
+        if not batch.num_rows:
+            continue
+        batch = _one([held, batch]) if held is not None else batch
+        k, sub, subs = (batch.column(j).to_numpy() for j in range(3))
+        same = _same_before(k, sub)
+        keep = same | np.append(same[1:], False) | (subs > 1)
+        if held is None and last is not None:
+            keep[0] |= (k[0], sub[0]) == last
+        held, last = (None if keep[-1] else batch.slice(batch.num_rows - 1)), (k[-1], sub[-1])
+        if keep.any():
+            yield batch.filter(pa.array(keep))
+
+
+def _segments(wanted, fragments: int):
+    """(id, fragment, sig, n, grams): the segments, by equal hash ranges, of the rows (id, sig, n, grams) whose id may be wanted."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the key, leader, leader's size of the run that the batch before ended with, and whether it is alone so far
+        edges = np.array([(i << 64) // fragments for i in range(1, fragments)], np.uint64)
         for batch in source:
-            k, n, i = (batch.column(j).to_numpy() for j in range(3))
-            if not len(k):
-                continue
-            starts = np.append(0, np.flatnonzero(k[1:] != k[:-1]) + 1)
-            lengths = np.diff(np.append(starts, len(k)))
-            of = np.repeat(np.arange(len(starts)), lengths)
-            leader, size = i[starts][of], n[starts][of].astype(np.int64)
-            shown = (lengths >= 2)[of]
-            goes_on = last is not None and last[0] == k[0]
-            if goes_on:
-                own = of == 0
-                leader[own], size[own] = last[1], last[2]
-                shown |= own & (i != last[1])
-            # Where sizes outgrow the leader's, the run's later rows get leaders of their own.
-            for r in np.unique(of[shown & (100 * size < percent * n)]).tolist():
-                at = starts[r]
-                ll, ss = leader[at], size[at]
-                for x in range(at, at + lengths[r]):
-                    leader[x], size[x] = ll, ss
-                    if 100 * ss < percent * n[x]:
-                        ll, ss = i[x], n[x]
-            out = [k[shown], leader[shown], i[shown], n[shown]]
-            if goes_on and last[3] and shown[0]:
-                out = [np.append(x, y) for x, y in zip(out, (last[0], last[1], last[1], last[2]), strict=True)]
-            end = starts[-1]
-            ll, ss = (leader[-1], size[-1]) if 100 * size[-1] >= percent * n[-1] else (i[-1], n[-1])
-            alone = lengths[-1] == 1 and (len(starts) > 1 or not goes_on or (last[3] and not shown[end]))
-            last = (k[-1], ll, int(ss), bool(alone))
-            if len(out[0]):
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in out[:3]), pa.array(out[3].astype(np.int32))], names=names)
+            batch = batch.filter(pa.array(in_bitmap(wanted.value, _spread(batch.column(0).to_numpy()))))
+            rows = []
+            for ident, sig, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = np.frombuffer(data, np.uint64)
+                for i, part in enumerate(np.split(s, np.searchsorted(s, edges))):
+                    rows.append((ident, i, xxhash.xxh3_64_intdigest(sig) >> 1, n, part.tobytes()))
+            if rows:
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["id", "fragment", "sig", "n", "grams"])
 
     return run
 
 
-def _sets(width: int, wanted):
-    """(id, sig, n, grams) of the rows whose id may be wanted."""
+OVERLAP = "fragment int, a long, b long, variant long, n_a int, n_b int, overlap int"
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            batch = batch.filter(pa.array(in_bitmap(wanted.value, _spread(batch.column(0).to_numpy()))))
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
-                sets = [grams(x, width) for x in as_bytes(part.column(1))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["id", "sig", "n", "grams"],
-                )
+
+def _partial(percent: int):
+    """The overlap in one fragment of each pair of its bucket, unless the fragment differs in more than the sets of a linked pair could."""
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    names = [x.split()[0] for x in OVERLAP.split(", ")]
+
+    def run(key: tuple, segments: pa.Table, pairs: pa.Table) -> pa.Table:
+        segments = segments.sort_by("id")
+        ids, sig, n = (segments.column(c).to_numpy() for c in ("id", "sig", "n"))
+        data = [np.frombuffer(x, np.uint64) for x in segments.column("grams").to_pylist()]
+        size = np.array([len(x) for x in data], np.int64)
+        # Each segment of a with each of b: an id has several where its rows have different texts.
+        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+        sides = []
+        for x in (a, b):
+            first, end = np.searchsorted(ids, x), np.searchsorted(ids, x, "right")
+            sides.append((first, end - first))
+        (at_a, n_a), (at_b, n_b) = sides
+        each = n_a * n_b
+        pair = np.repeat(np.arange(len(a)), each)
+        step = np.arange(len(pair)) - np.repeat(np.cumsum(each) - each, each)
+        left, right = at_a[pair] + step // np.maximum(1, n_b[pair]), at_b[pair] + step % np.maximum(1, n_b[pair])
+        good = 100 * np.minimum(n[left], n[right]).astype(np.int64) >= percent * np.maximum(n[left], n[right]).astype(np.int64)
+        left, right = left[good], right[good]
+        # Hashes by rank, so that (segment, hash) is one sorted number.
+        flat = np.concatenate(data) if len(data) else np.zeros(0, np.uint64)
+        values, rank = np.unique(flat, return_inverse=True)
+        held = np.repeat(np.arange(len(data)), size) * max(1, len(values)) + rank
+        starts = np.cumsum(size) - size
+        overlap = np.zeros(len(left), np.int64)
+        for begin, end in _chunks(size[right], PENDING):
+            take = size[right[begin:end]]
+            of = np.repeat(np.arange(begin, end), take)
+            item = rank[np.repeat(starts[right[begin:end]] - (np.cumsum(take) - take), take) + np.arange(take.sum())]
+            wanted = left[of] * max(1, len(values)) + item
+            place = np.minimum(np.searchsorted(held, wanted), max(0, len(held) - 1))
+            overlap += np.bincount(of[held[place] == wanted], minlength=len(left)) if len(held) else 0
+        both = n[left].astype(np.int64) + n[right]
+        allowed = both - 2 * -(-percent * both // (100 + percent))
+        keep = size[left] + size[right] - 2 * overlap <= allowed
+        left, right, overlap = left[keep], right[keep], overlap[keep]
+        columns = np.full(len(left), key[1].as_py()), ids[left], ids[right], sig[left] ^ (sig[right] >> 1), n[left], n[right], overlap
+        return pa.Table.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return run
 
 
-def _segments(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut (bucket, fragments, id, sig, n, grams) at equal hash ranges into a row a fragment."""
-    names = ["bucket", "fragment", "id", "sig", "n", "grams"]
-    for batch in source:
-        rows = []
-        for bucket, f, ident, sig, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            s = np.frombuffer(data, np.uint64)
-            cuts = np.searchsorted(s, np.array([(i << 64) // f for i in range(1, f)], np.uint64))
-            for i, part in enumerate(np.split(s, cuts)):
-                rows.append((bucket, i, ident, sig, n, part.tobytes()))
-        if rows:
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Number of shared hashes."""
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int(np.count_nonzero(b[at] == a))
-
-
-def _many_links(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """As _family_links for many documents: sketches first, and no pair within a component."""
-    order = np.argsort(sizes, kind="stable")
-    n = sizes[order]
-    rows = _Bucketed(n, [sketch(sets[i]).tobytes() for i in order], percent)
-    low = np.searchsorted(100 * n, percent * n)
-    root, out = np.arange(len(order)), []
-    for i in range(1, len(order)):
-        near = np.arange(low[i], i)
-        near = near[rows.may_link(near, np.full(len(near), i))]
-        for j in near[::-1].tolist():
-            if root[j] != root[i]:
-                c = _overlap(sets[order[j]], sets[order[i]])
-                if 100 * c >= percent * (n[i] + n[j] - c):
-                    out.append((int(order[j]), int(order[i])))
-                    root[root == root[i]] = root[j]
-    return out
+def _chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive items of about ``most`` in all."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, end
+        start = end
 
 
-def _family_links(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Positions (first, other) that connect what is linked in a family."""
-    m = len(sets)
-    if m > MATRIX_DOCS:
-        return _many_links(sets, sizes, percent)
-    row = np.repeat(np.arange(m), sizes)
-    _, col, found = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = found >= 2
-    keep = shared[col]
-    row, col = row[keep], (np.cumsum(shared) - 1)[col[keep]]
-    width, total = max(1, CELLS // m), int(shared.sum())
-    overlap = np.zeros((m, m), np.float32)
-    for start in range(0, total, width):
-        # One fragment of the order: its columns of the incidence matrix, its partial overlaps.
-        part = (col >= start) & (col < start + width)
-        cells = np.zeros((m, min(width, total - start)), np.float32)
-        cells[row[part], col[part] - start] = 1
-        overlap += cells @ cells.T
-    linked = 100 * overlap >= percent * (sizes[:, None] + sizes[None, :] - overlap)
-    left, out = np.ones(m, bool), []
-    for first in range(m):
-        if not left[first]:
-            continue
-        left[first], edge = False, np.array([first])
-        while len(edge):
-            edge = np.flatnonzero(linked[edge].any(axis=0) & left)
-            left[edge] = False
-            out += [(first, x) for x in edge.tolist()]
-    return out
+def fragment_overlaps(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = FRAGMENTS, task_grams: int = TASK_GRAMS) -> DataFrame:
+    """(fragment, a, b, variant, n_a, n_b, overlap) of pairs (a, b, n): partial overlaps, before they are summed.
 
+    Pairs are dealt by b, so the segments of a document that is a in very many pairs go to as many tasks.
+    """
+    spark = pairs.sparkSession
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, math.ceil(total / task_grams))
+    dealt = cut(pairs.select(F.pmod(F.xxhash64("b"), F.lit(buckets)).alias("bucket"), "a", "b"), "candidate-pairs")
+    need = cut(dealt.select("bucket", F.col("a").alias("id")).unionByName(dealt.select("bucket", F.col("b").alias("id"))).distinct(), "candidate-documents")
+    spread = F.col("id").bitwiseXOR(F.call_function("shiftrightunsigned", F.col("id"), F.lit(26)))
+    wanted = spark.sparkContext.broadcast(bitmap(need.select(spread.alias("key")), need.count()))
+    cutter = _segments(wanted, fragments)
+    segments = sets.select("id", "sig", F.col("n").cast("int").alias("n"), "grams").mapInArrow(cutter, "id long, fragment int, sig long, n int, grams binary").join(need, "id")
+    placed = dealt.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
+    keys = ["bucket", "fragment"]
+    return segments.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(_partial(percent), OVERLAP)
 
-def _families(percent: int):
-    """(a, b) from a bucket of whole families: (family, id, sig, n, grams)."""
-
-    def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("family")
-        family = part.column("family").to_numpy()
-        ids = part.column("id").to_numpy()
-        data = [np.frombuffer(x, np.uint64) for x in part.column("grams").to_pylist()]
-        ends = np.append(np.flatnonzero(np.diff(family)) + 1, len(family))
-        out, start = [], 0
-        for end in ends.tolist():
-            if end - start > 1:
-                sets = data[start:end]
-                out += [(int(ids[start + i]), int(ids[start + j])) for i, j in _family_links(sets, np.array([len(s) for s in sets]), percent)]
-            start = end
-        columns = np.array(out, np.int64).reshape(-1, 2).T
-        return pa.Table.from_arrays([pa.array(columns[0]), pa.array(columns[1])], names=["a", "b"])
 
-    return run
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b, n) those whose partial overlaps sum to a link."""
+    summed = fragment_overlaps(pairs, sets, percent).groupBy("a", "b", "variant", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
+    union = F.col("n_a") + F.col("n_b") - F.col("overlap")
+    return summed.where(100 * F.col("overlap") >= percent * union).select("a", "b").distinct()
 
 
-OVERLAP = "a long, b long, variant long, n_a int, n_b int, overlap int"
+def _across(percent: int, allowance: int):
+    """(a, b, n, more): pairs of different components that may link, ``allowance`` at most for two components of a block, and whether there are more.
 
+    Rows (key, i, j, side, n, id, component, sketch) are sorted so; those of side 0 meet those of side 1.
+    """
 
-def _partial(percent: int):
-    """The overlap in one fragment of each candidate pair of its bucket."""
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-    names = ["a", "b", "variant", "n_a", "n_b", "overlap"]
-
-    def run(segments: pa.Table, pairs: pa.Table) -> pa.Table:
-        held: dict[int, list[tuple[int, int, np.ndarray]]] = defaultdict(list)
-        wanted = set(pairs.column("a").to_pylist()) | set(pairs.column("b").to_pylist())
-        for ident, sig, n, data in zip(*(segments.column(c).to_pylist() for c in ("id", "sig", "n", "grams")), strict=True):
-            if ident in wanted and all(x[0] != sig for x in held[ident]):
-                held[ident].append((sig, n, np.frombuffer(data, np.uint64)))
-        near: dict[int, list[int]] = defaultdict(list)
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            near[a].append(b)
-        out: list[tuple] = []
-        for a, others in near.items():
-            for sig_a, n_a, own in held[a]:
-                mates = [(b, sig_b, n_b, s) for b in others for sig_b, n_b, s in held[b] if 100 * min(n_a, n_b) >= percent * max(n_a, n_b)]
-                if not mates:
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_runs(source, 3):
+            columns = [batch.column(j).to_numpy() for j in range(7)]
+            starts = np.flatnonzero(~_same_before(*columns[:3]))
+            _, _, _, side, n, ids, component = columns
+            rows = _Bucketed(n, batch.column(7).to_pylist(), percent)
+            for first, end in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+                edge = first + int(np.count_nonzero(side[first:end] == 0))
+                found = []
+                for x in range(first, edge):
+                    mates = edge + np.flatnonzero(component[edge:end] != component[x])
+                    mates = mates[rows.may_link(np.full(len(mates), x), mates)]
+                    if len(mates):
+                        found.append((np.full(len(mates), x), mates))
+                if not found:
                     continue
-                flat = np.concatenate([m[3] for m in mates])
-                at = np.searchsorted(own, flat)
-                hit = np.zeros(len(flat) + 1, np.int64)
-                if len(own):
-                    hit[1:] = np.cumsum(own[np.minimum(at, len(own) - 1)] == flat)
-                ends = np.cumsum([0, *(len(m[3]) for m in mates)])
-                counts = hit[ends[1:]] - hit[ends[:-1]]
-                for (b, sig_b, n_b, s), c in zip(mates, counts.tolist(), strict=True):
-                    # What may differ in all fragments; a fragment that differs more rules the pair out.
-                    allowed = n_a + n_b - 2 * -(-percent * (n_a + n_b) // (100 + percent))
-                    if len(own) + len(s) - 2 * c <= allowed:
-                        out.append((a, b, sig_a ^ (sig_b >> 1), n_a, n_b, c))
-        columns = zip(*out, strict=True) if out else [[] for _ in types]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                two = np.stack([np.minimum(component[a], component[b]), np.maximum(component[a], component[b])])
+                _, group = np.unique(two, axis=1, return_inverse=True)
+                order = np.lexsort((np.arange(len(a)), group.ravel()))
+                group = group.ravel()[order]
+                rank = np.arange(len(a)) - np.searchsorted(group, group)
+                kept = order[rank < allowance]
+                more = np.bincount(group)[group[rank < allowance]] > allowance
+                a, b = a[kept], b[kept]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b])), pa.array(n[a].astype(np.int64) + n[b]), pa.array(more)], names=["a", "b", "n", "more"]
+                )
 
     return run
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, places: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) those that reach the threshold."""
-    placed = pairs.join(places, F.col("a") == F.col("id")).select("bucket", F.explode(F.sequence(F.lit(0), F.col("fragments") - 1)).alias("fragment"), "a", "b")
-    keys = ["bucket", "fragment"]
-    counted = segments.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(_partial(percent), OVERLAP)
-    summed = counted.groupBy("a", "b", "variant", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
-    union = F.col("n_a") + F.col("n_b") - F.col("overlap")
-    return summed.where(100 * F.col("overlap") >= percent * union).select("a", "b").distinct()
-
-
-def _across(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket and have compatible sizes.
+def _apart(rows: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, allowance: int, block: int) -> DataFrame:
+    """Pairs (a, b, n, more) across components, in the buckets of rows (key, n, id).
 
     In a bucket, documents of its largest component needn't meet each other, so one side is the rest.
     """
-    known = stars.select("key", "id", "n").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
-    known = known.withColumn("component", F.coalesce("component", "id"))
+    known = rows.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("major"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "major")
-    rows = known.join(mixed, "key")
-    left = rows.where("component <> major").select("key", F.col("id").alias("i"), F.col("n").alias("m"), F.col("component").alias("own"))
-    both = left.join(rows, "key").where((F.col("own") != F.col("component")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    return both.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct()
-
-
-def _spread_links(rows: DataFrame, stars: DataFrame, places: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Links of families too large for a task, by fragments over tasks."""
-    own = stars.select("key", "n", "id").join(places.select("id"), "id", "left_semi").distinct()
-    own = own.select("key", "n", "id").repartition("key").sortWithinPartitions("key", "n", "id")
-    stars = cut(own.mapInArrow(_stars(percent), "key long, leader long, id long, n int"), "large-stars")
-    pairs = cut(stars.where("leader <> id").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct(), "large-pairs")
-    segments = held.select("bucket", "fragments", "id", "sig", "n", "grams").mapInArrow(_segments, "bucket long, fragment int, id long, sig long, n int, grams binary")
-    segments = cut(segments, "segments")
-    first = cut(_linked(pairs, segments, places, percent), "links")
-    more = cut(_across(stars, components(first), percent).join(pairs, ["a", "b"], "left_anti"), "pairs-across")
-    if more.isEmpty():
-        return first
-    asked = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct()
-    return first.unionByName(_linked(more, segments.join(asked, "id", "left_semi"), places, percent))
-
-
-def _links(rows: DataFrame, described: DataFrame, width: int, percent: int, local_docs: int = LOCAL_DOCS, task_grams: int = TASK_GRAMS) -> DataFrame:
-    """(a, b): enough of the linked pairs of distinct sets to connect all that are linked."""
-    spark = rows.sparkSession
-    counted = rows.mapInArrow(_gram_counts(width), "key long, n long").repartition("key")
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("all")).where("k > 1")
+    blocks = lambda x: F.ceil(x / F.lit(block)).cast("int")
+    mixed = mixed.select("key", F.col("most.component").alias("major"), blocks(F.col("all") - F.col("most.c")).alias("rest"), blocks(F.col("all")).alias("whole"), F.col("all").alias("weight"))
+    mixed = cut(mixed, "mixed-buckets")
+    total = mixed.agg(F.sum("weight")).first()[0] or 0
+    held = join_hot(known, mixed, "key", "weight", total, "id").join(sketches, ["id", "n"])
+    place = lambda blocks: F.pmod(F.xxhash64("id"), blocks).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+    columns = ["key", "i", "j", "side", "n", "id", "component", "sketch"]
+    left = held.where("component <> major").withColumns({"i": place(F.col("rest")), "j": every(F.col("whole")), "side": F.lit(0)}).select(*columns)
+    right = held.withColumns({"i": every(F.col("rest")), "j": place(F.col("whole")), "side": F.lit(1)}).select(*columns)
+    dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "n", "id")
+    return dealt.mapInArrow(_across(percent, allowance), "a long, b long, n long, more boolean")
+
+
+def _order(sets: DataFrame, levels: tuple[int, ...], split: int) -> list[np.ndarray]:
+    """The bitmaps of n-grams found at least as often as each level says, then at least split, 8 split, 64 split, ... times."""
+    counted = sets.select("grams").mapInArrow(_gram_counts, "key long, n long").repartition("key")
     often = cut(counted.mapInArrow(_repeats, "key long, n long"), "repeated-grams")
-    levels = [F.sum((F.col("n") >= x).cast("long")) for x in LEVELS]
-    least, sizes, maps = REPEATED, [x or 0 for x in often.agg(*levels).first()], []
-    while sizes[0] > ORDER_BITS // 16:
-        least *= 2
-        sizes[0] = often.where(F.col("n") >= least).count()
-    for count, n in zip((least, *LEVELS[1:]), sizes, strict=True):
-        if n and count >= least:
-            maps.append(bitmap(often.where(F.col("n") >= count).select("key"), n))
-    repeated = spark.sparkContext.broadcast(maps)
-
-    index = rows.mapInArrow(_prefixes(width, percent, repeated, least > REPEATED), "key long, n int, id long")
-    parted = index.repartition("key").sortWithinPartitions("key", "n", "id")
-    stars = cut(parted.mapInArrow(_stars(percent), "key long, leader long, id long, n int"), "shared-grams")
-    met = stars.select("key", "id").join(described.select("id", F.col("n").cast("int").alias("n"), "sketch"), "id")
-    met = met.select("key", "n", "id", "sketch").repartition("key").sortWithinPartitions("key", "n", "id")
-    families = components(met.mapInArrow(_compatible(percent), "a long, b long"))
-
-    members = stars.groupBy("id").agg(F.max("n").alias("n")).join(families.withColumnRenamed("node", "id"), "id")
-    members = cut(members, "candidate-families")
-    sizes = members.groupBy("component").agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("docs"))
-    sizes = sizes.withColumn("large", (F.col("docs") > local_docs) | (F.col("grams") > task_grams))
-    sizes = sizes.withColumn("fragments", F.greatest(F.lit(FRAGMENTS), F.ceil(F.col("grams") * FRAGMENTS / task_grams)).cast("int"))
-    total, docs = members.agg(F.sum("n"), F.count(F.lit(1))).first()
-    buckets = max(1, math.ceil(4 * (total or 0) / task_grams))
-    bucket = F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("long").alias("bucket")
-    places = cut(members.join(sizes, "component").select("id", F.col("component").alias("family"), bucket, "fragments", "large"), "places")
-
-    spread = F.col("id").bitwiseXOR(F.call_function("shiftrightunsigned", F.col("id"), F.lit(26)))
-    wanted = spark.sparkContext.broadcast(bitmap(members.select(spread.alias("key")), docs))
-    held = rows.mapInArrow(_sets(width, wanted), "id long, sig long, n int, grams binary").join(places, "id")
-    small = held.where("NOT large").select("bucket", "family", "id", "sig", "n", "grams")
-    links = cut(small.groupBy("bucket").applyInArrow(_families(percent), "a long, b long"), "family-links")
-    large = places.where("large")
-    if large.isEmpty():
+    levels = [*levels, *(split << 3 * i for i in range(12))]
+    sizes = often.agg(*(F.sum((F.col("n") >= x).cast("long")) for x in levels)).first()
+    return [bitmap(often.where(F.col("n") >= x).select("key"), n) for x, n in zip(levels, sizes, strict=True) if n]
+
+
+def _links(sets: DataFrame, percent: int, levels: tuple[int, ...] = LEVELS, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
+    """(a, b): enough of the linked pairs of sets (id, n, sig, sketch, grams) to connect all that are linked."""
+    spark = sets.sparkSession
+    maps = _order(sets, levels, split)
+    index = sets.select("id", "grams").mapInArrow(_prefixes(percent, spark.sparkContext.broadcast(maps), len(levels)), "key long, sub int, subs int, n int, id long")
+    parted = index.repartition("key", "sub").sortWithinPartitions("key", "sub", "subs", "n", "id")
+    shared = cut(parted.mapInArrow(_shared, "key long, sub int, subs int, n int, id long"), "shared-grams")
+    splits = len(maps) > len(levels)
+    rows = shared.select("key", "sub", "n", "id")
+    if splits:
+        # The least document of each size class goes to all parts of a split bucket.
+        of_size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.08)))
+        least = shared.where("subs > 1").groupBy("key", "subs", of_size.alias("size")).agg(F.min(F.struct("n", "id")).alias("x"))
+        rows = rows.unionByName(least.select("key", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.col("x.n").alias("n"), F.col("x.id").alias("id"))).distinct()
+    sketches = sets.select("id", F.col("n").cast("int").alias("n"), "sketch")
+    met = rows.join(sketches, ["id", "n"]).select("key", "sub", "n", "id", "sketch").repartition("key", "sub").sortWithinPartitions("key", "sub", "n", "id")
+    forests = cut(met.mapInArrow(_compatible(percent), "key long, a long, b long, n long"), "forests")
+    tested = cut(forests.groupBy("a", "b").agg(F.max("n").alias("n")), "pairs")
+    links = cut(_verified(tested, sets, percent), "links")
+
+    failed = cut(tested.join(links, ["a", "b"], "left_anti"), "pairs-apart")
+    open_keys = forests.join(failed.select("a", "b"), ["a", "b"], "left_semi").select("key")
+    if splits:
+        open_keys = open_keys.unionByName(shared.where("subs > 1").select("key"))
+    open_keys = cut(open_keys.distinct(), "open-buckets")
+    if open_keys.isEmpty():
         return links
-    return links.unionByName(_spread_links(rows, stars, large, held.where("large"), percent))
+    rows = cut(shared.join(open_keys, "key", "left_semi").select("key", "n", "id"), "open-rows")
+    allowance, tested = 4, tested.select("a", "b")
+    while True:
+        found = cut(_apart(rows, components(links), sketches, percent, allowance, block), "pairs-across")
+        new = cut(found.groupBy("a", "b").agg(F.max("n").alias("n")).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not new.isEmpty():
+            links = cut(links.unionByName(_verified(new, sets, percent)), "links")
+            tested = cut(tested.unionByName(new.select("a", "b")), "tested")
+        elif found.where("more").isEmpty():
+            return links
+        allowance *= 4
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
-                       local_docs: int = LOCAL_DOCS, task_grams: int = TASK_GRAMS) -> DataFrame:
+                       levels: tuple[int, ...] = LEVELS, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id), a row per row of docs."""
     with_ids = ship(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = with_ids.where("id IS NOT NULL")
-    described = cut(with_ids.mapInArrow(_described(width), "id long, n long, sig binary, sketch binary"), "described")
-    links = _links(rows, described.where("id IS NOT NULL"), width, percent, local_docs, task_grams)
-    full = described.where("n > 0 AND id IS NOT NULL")
-    copies = cut(full.groupBy("sig").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "copies")
-    twin = full.join(copies, "sig").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    described = cut(with_ids.mapInArrow(_hashed(width), "id long, n long, sig binary, sketch binary, grams binary"), "ngram-sets")
+    links = _links(described.where("sketch IS NOT NULL"), percent, levels, split, block)
+    full = described.where("n > 0 AND id IS NOT NULL").select("id", "sig")
+    copies = full.groupBy("sig").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    copies = cut(copies, "copies")
+    twin = join_hot(full, copies, "sig", "rows", copies.agg(F.sum("rows")).first()[0] or 0, "id").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     labels = components(links.unionByName(twin))
-    out = described.join(labels, F.col("id") == F.col("node"), "left")
+    out = described.select("id", "n").join(labels, F.col("id") == F.col("node"), "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
@@ -670,3 +624,33 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 4, 85).withColumnRenamed("id", "doc_id")
+
+
+OP2_SQL = """
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS grams
+  FROM w
+), g AS (
+  SELECT doc_id, unnest(grams) AS gram FROM s WHERE doc_id IS NOT NULL
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS overlap FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+  WHERE 100 * overlap >= 85 * (len(x.grams) + len(y.grams) - overlap)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+  SELECT a AS node, b AS other FROM e
+  UNION
+  SELECT reach.node, e.b FROM reach JOIN e ON e.a = reach.other
+), c AS (
+  SELECT node, min(other) AS low FROM reach GROUP BY node
+)
+SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, coalesce(least(c.low, s.doc_id), s.doc_id) AS component_id
+FROM s LEFT JOIN c ON c.node = s.doc_id
+"""

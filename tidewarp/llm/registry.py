@@ -5,7 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .mixing import OP9_SQL, op9_poisson_mixing
-from .ngram_join import op2_ngram_jaccard
+from .ngram_join import OP2_SQL, op2_ngram_jaccard
 from .packing import op6_harmonic_packing
 from .secrets import op5_secret_scan
 from .sharding import OP3_SQL, op3_extendible_sharding
@@ -30,6 +30,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_topk_codes": OP1_SQL,
+    "op2_ngram_jaccard": OP2_SQL,
     "op3_extendible_sharding": OP3_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
