@@ -68,8 +68,8 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_hot(rows: DataFrame, side: DataFrame, key: str, weight: str, total: int, scatter: str) -> DataFrame:
-    """Inner join of rows with side, which has one row a key and tells by ``weight`` how many rows hold it, of ``total``.
+def join_hot(rows: DataFrame, side: DataFrame, key: str, weight: str, total: int, scatter: str, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of rows with side, which has one row a key and tells by ``weight`` how many rows hold it, of ``total``.
 
     Keys that hold more than a thousandth of the rows are fewer than HOT_KEYS, whatever the input, and are
     broadcast; their rows are dealt to the join's tasks by a hash of the column ``scatter``, so no task receives a key's rows.
@@ -83,7 +83,9 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, weight: str, total: int
     scattered = F.xxhash64(scatter, F.lit("hot"))
     scattered = scattered if kind.typeName() in ("bigint", "long") else scattered.cast("string").cast(kind)
     marked = marked.withColumn("__tw_key", F.when(F.col("__tw_hot").isNull(), F.col(key)).otherwise(scattered))
-    joined = marked.join(cold, F.col("__tw_key") == F.col("__tw_cold"), "left").where("__tw_hot IS NOT NULL OR __tw_cold IS NOT NULL")
+    joined = marked.join(cold, F.col("__tw_key") == F.col("__tw_cold"), "left")
+    if how == "inner":
+        joined = joined.where("__tw_hot IS NOT NULL OR __tw_cold IS NOT NULL")
     found = (F.when(F.col("__tw_hot").isNotNull(), F.col(f"__tw_hot_{c}")).otherwise(F.col(f"__tw_cold_{c}")).alias(c) for c in others)
     return joined.select(*rows.columns, *found)
 

@@ -1,22 +1,29 @@
 """Toxicity by non-negative positive-unlabelled learning (operator 10).
 
-Confirmed toxic texts are the positives. The unlabelled texts are a sample of the training fold's texts
-with their labels left out; the class prior is the toxic share of that fold. A linear model over word and
-word-start features is trained with numpy on the risk
+Confirmed toxic texts are the positives. The unlabelled texts are a sample of all documents outside the
+held-out fold, whether they have a label or not; no label of theirs is looked at. The class prior is a
+parameter; left out, it is estimated as the toxic share among the training fold's labelled rows, the one
+use of labels that say not toxic. A linear model over word and word-start features is trained with numpy on
 
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 
 whose second term, the corrected risk of the negatives, is not let below zero: a step that finds it there
 climbs out of it instead.
 
+Features are counted by Spark over the sample; the at most ``most`` ones that tell positives from unlabelled
+texts best are used, in either direction, if their shares differ by SIGMAS standard errors. The fit sees at
+most ``positives`` and ``unlabelled`` rows, the least by md5 of the id. They reach the driver as the numbers
+of the used features that they have, 2 * most bytes a row at most, however long the texts are (8 kB, so
+120 MB in all at the defaults, and 10 MB in practice).
+
 Rows in the held-out fold (crc32 of the id as text modulo ``folds`` equal to ``held``) give neither labels
-nor texts. Labels, language, source and id are no inputs of a score. The fit sees at most ``positives`` and
-``unlabelled`` rows, the least by md5 of the id, and they reach the driver as hashed features; scoring covers
-every whole text.
+nor texts. Labels, language, source and id are no inputs of a score. Scoring covers every whole text, of any
+length; a word counts once.
 
 Defined cases: null text is empty and scores as the model's bias. A null label says nothing; of several
-labels of an id, toxic wins. Null ids are never held out and have no label. Without positives every score is
-0. Repeated rows get equal scores. An empty table gives an empty result. Extra columns are ignored.
+labels of an id, toxic wins. Null ids are never held out, have no label and are not sampled. Without
+positives every score is 0. Repeated rows get equal scores, and are sampled together. An empty table gives
+an empty result. Extra columns are ignored; ``keep`` keeps them, but one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -30,9 +37,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.shipping import ship
-from .common import table
+from .common import cut, table
 
 WORD = re.compile(r"\w+")
 STARTS = (3, 4, 5)
@@ -86,36 +94,48 @@ def _hashed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["positive", "features"])
 
 
-def _select(pos: list[np.ndarray], unl: list[np.ndarray], least: int, most: int) -> np.ndarray:
-    """Features in at least ``least`` positives that are commoner there than in the unlabelled, the best ``most``."""
-    found, n_pos = np.unique(np.concatenate(pos), return_counts=True)
-    found, n_pos = found[n_pos >= least], n_pos[n_pos >= least]
-    if not len(found):
-        return found
-    seen, counts = np.unique(np.concatenate(unl), return_counts=True) if unl else (np.zeros(0, np.uint32), np.zeros(0, int))
-    n_unl = np.zeros(len(found))
-    at = np.searchsorted(seen, found)
-    hit = at < len(seen)
-    hit[hit] = seen[at[hit]] == found[hit]
-    n_unl[hit] = counts[at[hit]]
-    p, q = n_pos / len(pos), (n_unl + 0.5) / (len(unl) + 1)
-    gain = p * np.log(p / q)
-    good = np.flatnonzero(p > 2 * q)
-    return np.sort(found[good[np.argsort(-gain[good], kind="stable")][:most]])
+def _counts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, positives, unlabelled) of a batch of rows (positive, features)."""
+    for batch in source:
+        sides = [np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x, p in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True) if p is which)]) for which in (True, False)]
+        found, at = np.unique(np.concatenate(sides), return_inverse=True)
+        columns = [np.bincount(x, minlength=len(found)) for x in (at[: len(sides[0])], at[len(sides[0]) :])]
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), *(pa.array(c.astype(np.int64)) for c in columns)], names=["feature", "pos", "unl"])
+
+
+def _numbered(chosen: np.ndarray):
+    """(positive, used): the places in chosen of a row's features, 16 bits each."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            out = [np.searchsorted(chosen, np.intersect1d(np.frombuffer(x, np.uint32), chosen, assume_unique=True)).astype(np.uint16).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["positive", "used"])
+
+    return run
+
+
+#: Standard errors by which a used feature's shares differ at least.
+SIGMAS = 4.0
+
+
+def select_features(sample: DataFrame, n_pos: int, n_unl: int, least: int, most: int) -> np.ndarray:
+    """The at most ``most`` features of rows (positive, features), found ``least`` times at least, by their divergence, sorted."""
+    counts = sample.mapInArrow(_counts, "feature long, pos long, unl long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
+    p, q = (F.col("pos") + 0.5) / (n_pos + 1), (F.col("unl") + 0.5) / (n_unl + 1)
+    pool = (F.col("pos") + F.col("unl") + 1) / (n_pos + n_unl + 2)
+    error = F.sqrt(pool * (1 - pool) * (1 / n_pos + 1 / max(1, n_unl)))
+    good = counts.where((F.col("pos") + F.col("unl") >= least) & (F.abs(p - q) > SIGMAS * error))
+    best = good.select("feature", ((p - q) * F.log(p / q)).alias("gain")).orderBy(F.desc("gain"), "feature").limit(most)
+    return np.sort(np.array([r["feature"] for r in best.collect()], np.uint32))
 
 
 class _Rows:
-    """Binary rows over the selected features, with row sums by weight and column sums by row value."""
-
-    def __init__(self, rows: list[np.ndarray], chosen: np.ndarray):
-        columns = []
-        for r in rows:
-            at = np.searchsorted(chosen, r)
-            at = at[at < len(chosen)] if len(chosen) else at[:0]
-            columns.append(np.searchsorted(chosen, r[np.isin(r, chosen, assume_unique=True)]))
-        self.n, self.width = len(rows), len(chosen)
-        self.row = np.repeat(np.arange(self.n), [len(c) for c in columns])
-        self.col = np.concatenate(columns).astype(np.int64) if columns else np.zeros(0, np.int64)
+    """Binary rows of feature places, with row sums by weight and column sums by row value."""
+
+    def __init__(self, rows: list[np.ndarray], width: int):
+        self.n, self.width = len(rows), width
+        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.col = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.n)
@@ -124,27 +144,36 @@ class _Rows:
         return np.bincount(self.col, g[self.row], self.width)
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-4, least: int = 4, most: int = 4096) -> Model:
-    """A linear model over hashed features, by Adam on the non-negative risk with logistic loss."""
-    if not pos or not prior > 0:
-        return Model(0.0, {}, prior)
-    chosen = _select(pos, unl, min(least, max(1, len(pos) // 4)), most)
-    if not len(chosen):
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def risk(w: np.ndarray, x_p: _Rows, x_u: _Rows, prior: float) -> tuple[float, float, np.ndarray]:
+    """(positives' risk, corrected risk of the negatives, direction of descent) at weights w, the last of which is the bias.
+
+    The direction is the gradient of their sum, or where the corrected risk is negative, the negated gradient
+    of that alone.
+    """
+    z_p, z_u = x_p.dot(w[:-1]) + w[-1], x_u.dot(w[:-1]) + w[-1]
+    s_p, s_u = _sigmoid(z_p), _sigmoid(z_u)
+    positive = prior * float(np.mean(np.logaddexp(0, -z_p)))
+    corrected = float(np.mean(np.logaddexp(0, z_u)) if x_u.n else 0.0) - prior * float(np.mean(np.logaddexp(0, z_p)))
+    down_p, down_u = -prior * s_p / x_p.n, s_u / max(1, x_u.n)
+    g_p, g_u = (prior * (s_p - 1) / x_p.n + down_p, down_u) if corrected >= 0 else (-down_p, -down_u)
+    return positive, corrected, np.append(x_p.back(g_p) + x_u.back(g_u), g_p.sum() + g_u.sum())
+
+
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], chosen: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-4) -> Model:
+    """A linear model over rows of places in the chosen features, by Adam on the non-negative risk with logistic loss."""
+    if not pos or not prior > 0 or not len(chosen):
         return Model(0.0, {}, prior)
     prior = min(prior, 0.999)
-    x_p, x_u = _Rows(pos, chosen), _Rows(unl, chosen)
+    x_p, x_u = _Rows(pos, len(chosen)), _Rows(unl, len(chosen))
     w = np.zeros(len(chosen) + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
-        z_p, z_u = x_p.dot(w[:-1]) + w[-1], x_u.dot(w[:-1]) + w[-1]
-        s_p, s_u = sig(z_p), sig(z_u)
-        negative = np.mean(np.logaddexp(0, z_u)) - prior * np.mean(np.logaddexp(0, z_p)) if len(unl) else 0.0
-        g_pos = prior * (s_p - 1) / x_p.n
-        down_p, down_u = -prior * s_p / x_p.n, s_u / max(1, x_u.n)
-        g_p, g_u = (g_pos + down_p, down_u) if negative >= 0 else (-down_p, -down_u)
-        grad = np.append(x_p.back(g_p) + x_u.back(g_u), g_p.sum() + g_u.sum())
+        grad = risk(w, x_p, x_u, prior)[2]
         grad[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -152,49 +181,57 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        folds: int = 3, held: int = 1, positives: int = 5000, unlabelled: int = 10_000) -> Model:
+        folds: int = 3, held: int = 1, positives: int = 5000, unlabelled: int = 10_000, most: int = 4096, least: int = 4, prior: float | None = None) -> Model:
+    """A model from labelled positives and unlabelled documents of the training fold."""
     spark = ship(docs).sparkSession
+    train = ~in_fold(F.col("id"), folds, held)
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
-    known = known.where(~in_fold(F.col("id"), folds, held)).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    known = known.where(train).groupBy("id").agg(F.max("toxic").alias("toxic"))
     counts = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
     if not counts[1]:
         return Model(0.0, {}, 0.0)
-    prior = counts[1] / counts[0]
     order = F.md5(F.col("id").cast("string").cast("binary"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("id").isNotNull() & train)
     chosen = known.where("toxic = 1").orderBy(order).limit(positives).select("id", F.lit(True).alias("positive"))
-    chosen = chosen.unionByName(known.orderBy(order).limit(unlabelled).select("id", F.lit(False).alias("positive")))
+    chosen = chosen.unionByName(texts.select("id").orderBy(order, "id").limit(unlabelled).distinct().select("id", F.lit(False).alias("positive")))
     # At most positives + unlabelled ids: a bounded table to broadcast.
-    sample = spark.createDataFrame(chosen.toPandas().astype({"id": "int64", "positive": bool}), "id long, positive boolean")
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), "id")
-    rows = texts.select("positive", "text", "id").mapInArrow(_hashed, "positive boolean, features binary").collect()
+    ids = spark.createDataFrame(chosen.toPandas().astype({"id": "int64", "positive": bool}), "id long, positive boolean")
+    sample = cut(texts.join(F.broadcast(ids), "id").select("positive", "text").mapInArrow(_hashed, "positive boolean, features binary"), "toxicity-sample")
+    sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
+    n_pos, n_unl = sizes.get(True, 0), sizes.get(False, 0)
+    if not n_pos:
+        return Model(0.0, {}, 0.0)
+    used = select_features(sample, n_pos, n_unl, min(least, max(1, n_pos // 4)), most)
     both: dict[bool, list[bytes]] = {True: [], False: []}
-    for r in rows:
-        both[r["positive"]].append(bytes(r["features"]))
-    pos, unl = ([np.frombuffer(x, np.uint32) for x in sorted(both[k])] for k in (True, False))
-    return fit_nnpu(pos, unl, prior)
+    for r in sample.mapInArrow(_numbered(used), "positive boolean, used binary").toLocalIterator():
+        both[r["positive"]].append(bytes(r["used"]))
+    pos, unl = ([np.frombuffer(x, np.uint16) for x in sorted(both[k])] for k in (True, False))
+    return fit_nnpu(pos, unl, used, counts[1] / counts[0] if prior is None else prior)
+
+
+#: The column that score() adds with keep.
+SCORE = "__tw_score"
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id, score), or with keep all columns of docs and __tw_score."""
+    """(id, score), or with keep all columns of docs and SCORE."""
     spark = ship(docs).sparkSession
     shared = spark.sparkContext.broadcast((model.bias, model.weights, model.prior))
-    at = docs.columns.index(text_col)
+    docs = docs.drop(SCORE) if keep else docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    at = docs.columns.index(text_col) if keep else 1
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in source:
-            text = batch.column(at if keep else 1)
-            scores = pa.array([own.score(x or "") for x in text.to_pylist()], pa.float64())
+            scores = pa.array([own.score(x or "") for x in batch.column(at).to_pylist()], pa.float64())
             if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "__tw_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, SCORE])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["id", "score"])
 
     if keep:
-        from pyspark.sql import types as T
-
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__tw_score", T.DoubleType())]))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`")).mapInArrow(run, "id long, score double")
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))
+    return docs.mapInArrow(run, "id long, score double")
 
 
 THRESHOLD = 0.7

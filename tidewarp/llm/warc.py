@@ -1,14 +1,18 @@
 """WARC archives: writing, and reading with segment reassembly (operator 4).
 
-Writing. Of pages with equal payloads the one with the largest id becomes a response record, the others
-revisit records that name it. A response's block is an HTTP response in chunked transfer framing; a block
-over ``segment_bytes`` goes into a first segment and continuation records. Every record is a gzip member of
-its own. Spark's text writer writes the members (as bytes) with an empty gzip member between them for a
-line separator, so any file system that Spark can write to will do.
-
-Reading. Records that are whole are decoded where they are read. Segments are grouped by origin identifier
-(so a group is one page's block), ordered by segment number and checked against the total length; then the
-chunked framing is decoded. Revisits take their payload's length from the record they refer to.
+Writing. Of pages with equal payloads (by SHA-256) the one with the largest id becomes a response record, the
+others revisit records that name it. Payloads that very many pages share are looked up by broadcast, so no
+task receives them all. A response's block is an HTTP response in chunked transfer framing; a block over
+``segment_bytes`` goes into a first segment and continuation records, so a record is no longer than that and
+its headers. Every record is a gzip member of its own; a file has so many that it stays below FILE_BYTES.
+Spark's text writer writes the members (as bytes) with an empty gzip member between them for a line
+separator, so any file system that Spark can write to will do.
+
+Reading. A file is one row (files of 2 GB and more, from elsewhere, can't be read). Records that are whole are
+decoded where they are read. Segments are dealt by origin identifier and sorted by it and by segment number;
+a task joins them one origin after the other, checks that none is missing and that their length is the total
+that the last one states, and decodes the chunked framing. Revisits take their payload's length from the
+record they refer to.
 
 Defined cases: a null payload is empty; a null or empty url leaves out the target header. A null id is
 written as such, read back as null, and never wins against an id. Repeated rows (same id and payload) are
@@ -30,12 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import cut, scratch, table, text_or_empty
-from .exact_dedup import sha256, winners
+from .common import cut, join_hot, scratch, table, text_or_empty
+from .exact_dedup import sha256
 
 SEGMENT = 64 << 10
-CHUNK = 16 << 10
-FILE_RECORDS = 4096
+#: The query's segments: small, so that most pages have several.
+QUERY_SEGMENT = 2 << 10
+CHUNK = 3 << 10
+FILE_BYTES = 64 << 20
+#: Bytes of a record's headers and framing, at most about.
+HEADERS = 4 << 10
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -166,13 +174,14 @@ def assemble(segments: list[tuple[int, int | None, bytes]]) -> bytes:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment_bytes: int = SEGMENT,
-                   least_revisit: int = 0, file_records: int = FILE_RECORDS, salts: int = 16) -> None:
+                   least_revisit: int = 0, file_bytes: int = FILE_BYTES) -> None:
     rows = ship(pages).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), text_or_empty(payload_col).alias("content"))
     rows = rows.withColumn("digest", sha256(F.col("content")))
-    shared = rows.where(F.octet_length("content") >= least_revisit).select("id", "digest", "content")
+    shared = rows.where(F.octet_length("content") >= least_revisit).groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("pages"))
     # Groups of one need no look-up: only shared payloads are joined.
-    best = cut(winners(shared, salts).where("group_size > 1").select("digest", "keep_id"), "warc-responses")
-    marked = rows.join(best.withColumn("shared", F.lit(True)), "digest", "left").select("id", "url", "content", "keep_id", "shared")
+    best = cut(shared.where("pages > 1"), "warc-responses")
+    total = best.agg(F.sum("pages")).first()[0] or 0
+    marked = join_hot(rows, best, "digest", "pages", total, "id", "left").select("id", "url", "content", "keep_id", (F.col("pages") > 1).alias("shared"))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -188,7 +197,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     lines = marked.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", file_records).text(path)
+    lines.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", max(1, file_bytes // (segment_bytes + HEADERS))).text(path)
 
 
 READ = "record_type string, record_id string, url string, refers_to_id string, declared string, number int, total long, origin string, block binary, payload binary, payload_bytes long, payload_digest string"
@@ -230,12 +239,33 @@ def _parse(payloads: bool):
 
 
 def _join_segments(payloads: bool):
-    def run(part: pa.Table) -> pa.Table:
-        rows = part.to_pylist()
-        body = http_payload(assemble([(r["number"], r["total"], r["block"]) for r in rows]))
-        heads = [r for r in rows if r["number"] == 1]
-        out = [(r["record_type"], r["record_id"], r["url"], None, r["declared"], None, None, None, None, body if payloads else None, len(body), digest32(body)) for r in heads]
-        return pa.Table.from_batches([_table(out)])
+    """Records from their segments, rows as READ sorted by origin and number; a segment found again (from a repeated page) is held once."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        origin, parts, heads = None, {}, []
+
+        def joined() -> list[tuple]:
+            if origin is None:
+                return []
+            body = http_payload(assemble([(n, *x) for n, x in parts.items()]))
+            return [(*head, None, None, None, None, body if payloads else None, len(body), digest32(body)) for head in heads]
+
+        for batch in source:
+            out, size = [], 0
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kind, ident, url, _, declared, number, total, own, block = row[:9]
+                if own != origin:
+                    out += joined()
+                    origin, parts, heads = own, {}, []
+                parts.setdefault(number, (total, block))
+                if number == 1:
+                    heads.append((kind, ident, url, None, declared))
+                size += len(block)
+                if size > 32 << 20:
+                    yield _table(out)
+                    out, size = [], 0
+            yield _table(out)
+        yield _table(joined())
 
     return run
 
@@ -247,17 +277,19 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     parsed = ship(files).mapInArrow(_parse(payloads), READ)
-    if not payloads:
-        # Without payloads the records are small (but for segments), so they are parsed once and kept.
-        parsed = cut(parsed, "warc-records")
+    parsed = cut(parsed, "warc-records")
     whole = parsed.where("number IS NULL")
-    joined = parsed.where("number IS NOT NULL").groupBy("origin").applyInArrow(_join_segments(payloads), READ)
-    found = whole.unionByName(joined).drop("number", "total", "origin", "block")
+    segments = parsed.where("number IS NOT NULL").repartition("origin").sortWithinPartitions("origin", "number")
+    joined = segments.mapInArrow(_join_segments(payloads), READ)
+    found = cut(whole.unionByName(joined).drop("number", "total", "origin", "block"), "warc-found")
     wrong = F.raise_error(F.concat(F.lit("payload digest differs in "), F.col("record_id")))
     found = found.withColumn("payload_digest", F.when(F.col("declared").isNull() | (F.col("declared") == F.col("payload_digest")), F.col("payload_digest")).otherwise(wrong))
-    responses = found.where("record_type = 'response'")
-    targets = responses.groupBy(F.col("record_id").alias("target")).agg(F.max("payload_bytes").alias("target_bytes"))
-    revisits = found.where("record_type = 'revisit'").join(targets, F.col("refers_to_id") == F.col("target"), "left").withColumn("payload_bytes", F.col("target_bytes")).drop("target", "target_bytes")
+    responses, revisits = found.where("record_type = 'response'"), found.where("record_type = 'revisit'").withColumnRenamed("refers_to_id", "target")
+    asked = revisits.groupBy("target").agg(F.count(F.lit(1)).alias("asks"))
+    sizes = responses.groupBy(F.col("record_id").alias("target")).agg(F.max("payload_bytes").alias("target_bytes"))
+    known = cut(asked.join(sizes, "target"), "warc-targets")
+    revisits = join_hot(revisits.drop("payload_bytes"), known, "target", "asks", known.agg(F.sum("asks")).first()[0] or 0, "record_id", "left")
+    revisits = revisits.withColumnsRenamed({"target": "refers_to_id", "target_bytes": "payload_bytes"}).drop("asks")
     page = lambda c: F.nullif(F.split_part(c, F.lit(":"), F.lit(3)), F.lit("none")).cast("long")
     return responses.unionByName(revisits).select(
         "record_type", "record_id", page(F.col("record_id")).alias("page_id"), "url", page(F.col("refers_to_id")).alias("refers_to"), "payload", "payload_bytes", "payload_digest"
@@ -266,5 +298,5 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), path)
+    write_archives(table(spark, sf_dir, "pages"), path, segment_bytes=QUERY_SEGMENT)
     return read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
