@@ -16,12 +16,14 @@ threshold. Each text is read and hashed once; its sorted hashes are written and
 3. Vertical partitioning, the only way that a pair is verified. The order of hashes is cut into FRAGMENTS
    ranges, every set into its segments. A task has the segments of one fragment for some candidate pairs and
    counts their partial overlaps; a shuffle sums them per pair, which gives the links.
-4. A pair of a forest that isn't linked leaves what it held together apart. Then, and in split buckets, the
-   documents outside a bucket's largest component are compared with those of other components, by sketches
-   again, in blocks of BLOCK rows. Pairs of the same two components are sent in growing numbers, 4, 16, 64, ...
-   until a link joins them or none is left, so a group of near copies is never expanded into all its pairs
-   and no link between components is lost.
-5. Components of all links; copies are linked with the least id of equal sets.
+4. What forests connect is a family; all documents of a split bucket are one. No link leaves a family. Where a
+   family has several components of links, the documents outside its largest one are compared with those of
+   other components, by sketches again, in blocks of BLOCK rows. Pairs of the same two components are sent in
+   growing numbers, 16, 1024, ... until a link joins them or none is left, so a group of near copies is never
+   expanded into all its pairs and no link between components is lost.
+5. Components of all links; copies are linked with the least id of equal sets. Of equal sets only one takes
+   part in steps 1 to 4: one a task by a table of its own, then one of all by a bitmap of ids, which when
+   fuller lets more of them through.
 
 Sets are compared by the hashes of their n-grams: a wrong count needs a collision within one pair.
 
@@ -60,10 +62,10 @@ LEVELS = (2, 32, 1024)
 SPLIT = 8192
 FRAGMENTS = 4
 #: N-grams of candidate pairs that one task has, over all fragments.
-TASK_GRAMS = 4_000_000
+TASK_GRAMS = 2_000_000
 #: Rows of a side that meet when components are compared.
 BLOCK = 2048
-PENDING = 4_000_000
+PENDING = 2_000_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -134,6 +136,12 @@ def _spread(ids: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(26))
 
 
+def _id_bitmap(rows: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of ids, for rows to be looked up by _spread."""
+    spread = F.col("id").bitwiseXOR(F.call_function("shiftrightunsigned", F.col("id"), F.lit(26)))
+    return bitmap(rows.select(spread.alias("key")), n)
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
     """Parities of the number of hashes per bit; two sketches differ in at most as many bits as the sets differ in hashes."""
     words = [w for least, w in SKETCH if len(s) >= least][-1]
@@ -142,7 +150,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _hashed(width: int):
-    """(id, n, sig, sketch, grams): a row's set, its size and 128 bits that stand for it; no grams for a null id, an empty set or a copy of an earlier row."""
+    """(id, n, sig, own, sketch, grams): a row's set, its size and 128 bits that stand for it. Null ids, empty sets and copies of an earlier row have no grams of their own."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -150,18 +158,19 @@ def _hashed(width: int):
             ids = batch.column(0).to_pylist()
             texts = as_bytes(batch.column(1))
             for start in range(0, len(ids), 1024):
-                n, sig, bits, data = [], [], [], []
+                n, sig, own, bits, data = [], [], [], [], []
                 for ident, x in zip(ids[start : start + 1024], texts[start : start + 1024], strict=True):
                     s = grams(x, width)
                     n.append(len(s))
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    new = ident is not None and len(s) and sig[-1] not in seen
+                    new = ident is not None and len(s) > 0 and sig[-1] not in seen
+                    own.append(new)
                     if new and len(seen) < CACHE:
                         seen.add(sig[-1])
                     bits.append(sketch(s).tobytes() if new else None)
                     data.append(s.tobytes() if new else None)
-                columns = [pa.array(ids[start : start + 1024], pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (sig, bits, data))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sig", "sketch", "grams"])
+                columns = [pa.array(ids[start : start + 1024], pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(own, pa.bool_()), pa.array(bits, pa.binary()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sig", "own", "sketch", "grams"])
 
     return run
 
@@ -255,7 +264,7 @@ def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def _compatible(percent: int):
-    """(key, a, b, n): forests of what may link in each bucket, n n-grams in a and b. Rows (key, sub, n, id, sketch) are sorted so."""
+    """(a, b, n): forests of what may link in each bucket, n n-grams in a and b. Rows (key, sub, n, id, sketch) are sorted so."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_runs(source, 2):
@@ -274,9 +283,7 @@ def _compatible(percent: int):
                 continue
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
             a, b = a[i[a] != i[b]], b[i[a] != i[b]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k[a]), pa.array(np.minimum(i[a], i[b])), pa.array(np.maximum(i[a], i[b])), pa.array(n[a].astype(np.int64) + n[b])], names=["key", "a", "b", "n"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[a], i[b])), pa.array(np.maximum(i[a], i[b])), pa.array(n[a].astype(np.int64) + n[b])], names=["a", "b", "n"])
 
     return run
 
@@ -294,7 +301,12 @@ def _counted(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 18)].view(np.int64)), pa.array(counts[i : i + (1 << 18)])], names=["key", "n"])
 
 
-def _gram_counts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _of(ids, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows whose id, in the first column, is in a bitmap."""
+    return batch.filter(pa.array(in_bitmap(ids.value, _spread(batch.column(0).to_numpy()))))
+
+
+def _gram_counts(ids):
     """(key, n): the n-grams below the edge, and above it those that repeat in a chunk, combined before they are sent."""
 
     def chunk(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -302,16 +314,19 @@ def _gram_counts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = (key < _EDGE) | (n >= REPEATED)
         return _counted(key[sent], n[sent])
 
-    held, size = [], 0
-    for batch in source:
-        for data in batch.column(0).to_pylist():
-            held.append(np.frombuffer(data, np.uint64))
-            size += len(held[-1])
-            if size > PENDING:
-                yield from chunk(held)
-                held, size = [], 0
-    if size:
-        yield from chunk(held)
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in source:
+            for data in _of(ids, batch).column(1).to_pylist():
+                held.append(np.frombuffer(data, np.uint64))
+                size += len(held[-1])
+                if size > PENDING:
+                    yield from chunk(held)
+                    held, size = [], 0
+        if size:
+            yield from chunk(held)
+
+    return run
 
 
 def _repeats(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,12 +347,13 @@ def _repeats(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _counted(key[n >= REPEATED], n[n >= REPEATED])
 
 
-def _prefixes(percent: int, levels, unsplit: int):
+def _prefixes(percent: int, levels, unsplit: int, members):
     """(key, sub, subs, n, id): the prefixes in the global order without n-grams found once; sub of subs parts of the key's bucket."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = levels.value
         for batch in source:
+            batch = _of(members, batch)
             ids, sizes, lengths, keys, parts = [], [], [], [], []
             for ident, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = np.frombuffer(data, np.uint64)
@@ -393,7 +409,7 @@ def _segments(wanted, fragments: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(i << 64) // fragments for i in range(1, fragments)], np.uint64)
         for batch in source:
-            batch = batch.filter(pa.array(in_bitmap(wanted.value, _spread(batch.column(0).to_numpy()))))
+            batch = _of(wanted, batch)
             rows = []
             for ident, sig, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = np.frombuffer(data, np.uint64)
@@ -438,7 +454,7 @@ def _partial(percent: int):
         held = np.repeat(np.arange(len(data)), size) * max(1, len(values)) + rank
         starts = np.cumsum(size) - size
         overlap = np.zeros(len(left), np.int64)
-        for begin, end in _chunks(size[right], PENDING):
+        for begin, end in _chunks(size[right], PENDING // 4):
             take = size[right[begin:end]]
             of = np.repeat(np.arange(begin, end), take)
             item = rank[np.repeat(starts[right[begin:end]] - (np.cumsum(take) - take), take) + np.arange(take.sum())]
@@ -475,8 +491,7 @@ def fragment_overlaps(pairs: DataFrame, sets: DataFrame, percent: int, fragments
     buckets = max(1, math.ceil(total / task_grams))
     dealt = cut(pairs.select(F.pmod(F.xxhash64("b"), F.lit(buckets)).alias("bucket"), "a", "b"), "candidate-pairs")
     need = cut(dealt.select("bucket", F.col("a").alias("id")).unionByName(dealt.select("bucket", F.col("b").alias("id"))).distinct(), "candidate-documents")
-    spread = F.col("id").bitwiseXOR(F.call_function("shiftrightunsigned", F.col("id"), F.lit(26)))
-    wanted = spark.sparkContext.broadcast(bitmap(need.select(spread.alias("key")), need.count()))
+    wanted = spark.sparkContext.broadcast(_id_bitmap(need, need.count()))
     cutter = _segments(wanted, fragments)
     segments = sets.select("id", "sig", F.col("n").cast("int").alias("n"), "grams").mapInArrow(cutter, "id long, fragment int, sig long, n int, grams binary").join(need, "id")
     placed = dealt.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
@@ -494,7 +509,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _across(percent: int, allowance: int):
     """(a, b, n, more): pairs of different components that may link, ``allowance`` at most for two components of a block, and whether there are more.
 
-    Rows (key, i, j, side, n, id, component, sketch) are sorted so; those of side 0 meet those of side 1.
+    Rows (family, i, j, side, n, id, component, sketch) are sorted so; those of side 0 meet those of side 1, which
+    do the same elsewhere, so the lesser id is the one that counts, and those of side 2.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,7 +523,7 @@ def _across(percent: int, allowance: int):
                 edge = first + int(np.count_nonzero(side[first:end] == 0))
                 found = []
                 for x in range(first, edge):
-                    mates = edge + np.flatnonzero(component[edge:end] != component[x])
+                    mates = edge + np.flatnonzero((component[edge:end] != component[x]) & ((side[edge:end] == 2) | (ids[edge:end] > ids[x])))
                     mates = mates[rows.may_link(np.full(len(mates), x), mates)]
                     if len(mates):
                         found.append((np.full(len(mates), x), mates))
@@ -516,12 +532,11 @@ def _across(percent: int, allowance: int):
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 two = np.stack([np.minimum(component[a], component[b]), np.maximum(component[a], component[b])])
                 _, group = np.unique(two, axis=1, return_inverse=True)
-                order = np.lexsort((np.arange(len(a)), group.ravel()))
+                order = np.argsort(group.ravel(), kind="stable")
                 group = group.ravel()[order]
-                rank = np.arange(len(a)) - np.searchsorted(group, group)
-                kept = order[rank < allowance]
-                more = np.bincount(group)[group[rank < allowance]] > allowance
-                a, b = a[kept], b[kept]
+                kept = np.arange(len(a)) - np.searchsorted(group, group) < allowance
+                more = np.bincount(group)[group[kept]] > allowance
+                a, b = a[order[kept]], b[order[kept]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b])), pa.array(n[a].astype(np.int64) + n[b]), pa.array(more)], names=["a", "b", "n", "more"]
                 )
@@ -529,88 +544,95 @@ def _across(percent: int, allowance: int):
     return run
 
 
-def _apart(rows: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, allowance: int, block: int) -> DataFrame:
-    """Pairs (a, b, n, more) across components, in the buckets of rows (key, n, id).
+def _apart(rows: DataFrame, labels: DataFrame, percent: int, allowance: int, block: int) -> DataFrame:
+    """Pairs (a, b, n, more) across components, in the families of rows (family, id, n, sketch).
 
-    In a bucket, documents of its largest component needn't meet each other, so one side is the rest.
+    In a family, documents of its largest component needn't meet each other, so one side is the rest.
     """
     known = rows.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("all")).where("k > 1")
+    sizes = known.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("family").agg(F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("all")).where("k > 1")
     blocks = lambda x: F.ceil(x / F.lit(block)).cast("int")
-    mixed = mixed.select("key", F.col("most.component").alias("major"), blocks(F.col("all") - F.col("most.c")).alias("rest"), blocks(F.col("all")).alias("whole"), F.col("all").alias("weight"))
-    mixed = cut(mixed, "mixed-buckets")
-    total = mixed.agg(F.sum("weight")).first()[0] or 0
-    held = join_hot(known, mixed, "key", "weight", total, "id").join(sketches, ["id", "n"])
+    mixed = mixed.select("family", F.col("most.component").alias("major"), blocks(F.col("all") - F.col("most.c")).alias("rest"), blocks(F.col("all")).alias("whole"), F.col("all").alias("weight"))
+    mixed = cut(mixed, "mixed-families")
+    held = join_hot(known, mixed, "family", "weight", mixed.agg(F.sum("weight")).first()[0] or 0, "id")
     place = lambda blocks: F.pmod(F.xxhash64("id"), blocks).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
-    columns = ["key", "i", "j", "side", "n", "id", "component", "sketch"]
-    left = held.where("component <> major").withColumns({"i": place(F.col("rest")), "j": every(F.col("whole")), "side": F.lit(0)}).select(*columns)
-    right = held.withColumns({"i": every(F.col("rest")), "j": place(F.col("whole")), "side": F.lit(1)}).select(*columns)
-    dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "n", "id")
+    columns = ["family", "i", "j", "side", "n", "id", "component", "sketch"]
+    minor = F.col("component") != F.col("major")
+    left = held.where(minor).withColumns({"i": place(F.col("rest")), "j": every(F.col("whole")), "side": F.lit(0)}).select(*columns)
+    right = held.withColumns({"i": every(F.col("rest")), "j": place(F.col("whole")), "side": F.when(minor, 1).otherwise(2)}).select(*columns)
+    dealt = left.unionByName(right).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side", "n", "id")
     return dealt.mapInArrow(_across(percent, allowance), "a long, b long, n long, more boolean")
 
 
-def _order(sets: DataFrame, levels: tuple[int, ...], split: int) -> list[np.ndarray]:
+def _order(sets: DataFrame, ids, levels: tuple[int, ...], split: int) -> list[np.ndarray]:
     """The bitmaps of n-grams found at least as often as each level says, then at least split, 8 split, 64 split, ... times."""
-    counted = sets.select("grams").mapInArrow(_gram_counts, "key long, n long").repartition("key")
+    counted = sets.select("id", "grams").mapInArrow(_gram_counts(ids), "key long, n long").repartition("key")
     often = cut(counted.mapInArrow(_repeats, "key long, n long"), "repeated-grams")
     levels = [*levels, *(split << 3 * i for i in range(12))]
     sizes = often.agg(*(F.sum((F.col("n") >= x).cast("long")) for x in levels)).first()
     return [bitmap(often.where(F.col("n") >= x).select("key"), n) for x, n in zip(levels, sizes, strict=True) if n]
 
 
-def _links(sets: DataFrame, percent: int, levels: tuple[int, ...] = LEVELS, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
-    """(a, b): enough of the linked pairs of sets (id, n, sig, sketch, grams) to connect all that are linked."""
-    spark = sets.sparkSession
-    maps = _order(sets, levels, split)
-    index = sets.select("id", "grams").mapInArrow(_prefixes(percent, spark.sparkContext.broadcast(maps), len(levels)), "key long, sub int, subs int, n int, id long")
+def _links(sets: DataFrame, ids, percent: int, levels: tuple[int, ...] = LEVELS, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
+    """(a, b): enough of the linked pairs of sets (id, n, sig, sketch, grams) to connect all that are linked. Sets whose id isn't in the bitmap are copies."""
+    maps = _order(sets, ids, levels, split)
+    shared_maps = sets.sparkSession.sparkContext.broadcast(maps)
+    index = sets.select("id", "grams").mapInArrow(_prefixes(percent, shared_maps, len(levels), ids), "key long, sub int, subs int, n int, id long")
     parted = index.repartition("key", "sub").sortWithinPartitions("key", "sub", "subs", "n", "id")
     shared = cut(parted.mapInArrow(_shared, "key long, sub int, subs int, n int, id long"), "shared-grams")
-    splits = len(maps) > len(levels)
-    rows = shared.select("key", "sub", "n", "id")
-    if splits:
+    rows, together = shared.select("key", "sub", "n", "id"), None
+    if len(maps) > len(levels):
         # The least document of each size class goes to all parts of a split bucket.
+        parts = shared.where("subs > 1")
         of_size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.08)))
-        least = shared.where("subs > 1").groupBy("key", "subs", of_size.alias("size")).agg(F.min(F.struct("n", "id")).alias("x"))
+        least = parts.groupBy("key", "subs", of_size.alias("size")).agg(F.min(F.struct("n", "id")).alias("x"))
         rows = rows.unionByName(least.select("key", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.col("x.n").alias("n"), F.col("x.id").alias("id"))).distinct()
+        whole = cut(parts.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("weight")), "split-buckets")
+        together = join_hot(parts.select("key", F.col("id").alias("b")), whole, "key", "weight", whole.agg(F.sum("weight")).first()[0] or 0, "b").select("a", "b").distinct()
+        together = cut(together, "split-families")
     sketches = sets.select("id", F.col("n").cast("int").alias("n"), "sketch")
     met = rows.join(sketches, ["id", "n"]).select("key", "sub", "n", "id", "sketch").repartition("key", "sub").sortWithinPartitions("key", "sub", "n", "id")
-    forests = cut(met.mapInArrow(_compatible(percent), "key long, a long, b long, n long"), "forests")
+    forests = met.mapInArrow(_compatible(percent), "a long, b long, n long")
     tested = cut(forests.groupBy("a", "b").agg(F.max("n").alias("n")), "pairs")
     links = cut(_verified(tested, sets, percent), "links")
 
-    failed = cut(tested.join(links, ["a", "b"], "left_anti"), "pairs-apart")
-    open_keys = forests.join(failed.select("a", "b"), ["a", "b"], "left_semi").select("key")
-    if splits:
-        open_keys = open_keys.unionByName(shared.where("subs > 1").select("key"))
-    open_keys = cut(open_keys.distinct(), "open-buckets")
-    if open_keys.isEmpty():
+    failed = cut(tested.join(links, ["a", "b"], "left_anti").select("a", "b"), "pairs-apart")
+    tested = tested.select("a", "b")
+    loose = failed if together is None else failed.unionByName(together)
+    if loose.isEmpty():
         return links
-    rows = cut(shared.join(open_keys, "key", "left_semi").select("key", "n", "id"), "open-rows")
-    allowance, tested = 4, tested.select("a", "b")
+    families = components(tested if together is None else tested.unionByName(together))
+    open_ = families.join(loose.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
+    rows = families.join(open_, "component").select(F.col("component").alias("family"), F.col("node").alias("id"))
+    rows = cut(rows.join(sketches, "id").select("family", "id", "n", "sketch"), "open-families")
+    allowance = 16
     while True:
-        found = cut(_apart(rows, components(links), sketches, percent, allowance, block), "pairs-across")
+        found = cut(_apart(rows, components(links), percent, allowance, block), "pairs-across")
         new = cut(found.groupBy("a", "b").agg(F.max("n").alias("n")).join(tested, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
             links = cut(links.unionByName(_verified(new, sets, percent)), "links")
             tested = cut(tested.unionByName(new.select("a", "b")), "tested")
-        elif found.where("more").isEmpty():
+        if found.where("more").isEmpty():
             return links
-        allowance *= 4
+        allowance *= 64
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
                        levels: tuple[int, ...] = LEVELS, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id), a row per row of docs."""
+    spark = docs.sparkSession
     with_ids = ship(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    described = cut(with_ids.mapInArrow(_hashed(width), "id long, n long, sig binary, sketch binary, grams binary"), "ngram-sets")
-    links = _links(described.where("sketch IS NOT NULL"), percent, levels, split, block)
-    full = described.where("n > 0 AND id IS NOT NULL").select("id", "sig")
-    copies = full.groupBy("sig").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    copies = cut(copies, "copies")
-    twin = join_hot(full, copies, "sig", "rows", copies.agg(F.sum("rows")).first()[0] or 0, "id").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    labels = components(links.unionByName(twin))
+    described = cut(with_ids.mapInArrow(_hashed(width), "id long, n long, sig binary, own boolean, sketch binary, grams binary"), "ngram-sets")
+    full = described.where("n > 0 AND id IS NOT NULL").select("id", "sig", "own")
+    groups = full.groupBy("sig").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("own"), F.col("id"))).alias("id"))
+    groups = cut(groups, "equal-sets")
+    ids = spark.sparkContext.broadcast(_id_bitmap(groups, groups.count()))
+    links = _links(described.where("own"), ids, percent, levels, split, block)
+    copies = groups.where("rows > 1").drop("id")
+    twin = join_hot(full.select("id", "sig"), copies, "sig", "rows", copies.agg(F.sum("rows")).first()[0] or 0, "id")
+    labels = components(links.unionByName(twin.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))))
     out = described.select("id", "n").join(labels, F.col("id") == F.col("node"), "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
