@@ -8,11 +8,13 @@
 
 Every stage groups by the text itself beside its digest, so texts whose digests collide stay apart.
 Members find their winner by digest alone, unless the winners show a digest with several texts; rows of
-such digests, and only those, are told apart by their text.
+such digests, and only those, are told apart by their text. Digests that very many rows share are looked up by
+broadcast (see join_hot), so no task receives all members of a group.
 
 Defined cases: null text equals ''. Null ids count in the group's size and never win against an id; a
 group with null ids only keeps a null id. Repeated rows (same id, same text) are the same document: each
-carries the same result. An empty table gives an empty result. Extra columns are ignored.
+carries the same result; keep_one keeps one of them, of rows that differ in other columns the one with the least
+hash over all columns. Texts of any length are compared whole. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, text_or_empty
+from .common import ascii_lower, cut, join_hot, text_or_empty
 
 
 def sha256(text: Column) -> Column:
@@ -48,11 +50,13 @@ def exact_duplicates(
     content = normalise(text_or_empty(text_col))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), content.alias("content")).withColumn("digest", digest(F.col("content")))
     best = cut(winners(rows, salts).select("digest", "keep_id", "group_size"), "exact-winners")
+    total = best.agg(F.sum("group_size")).first()[0] or 0
+    members = lambda best: join_hot(rows.select("id", "digest"), best, "digest", "group_size", total, "id")
     shared = best.groupBy("digest").count().where("count > 1").select("digest")
     if shared.isEmpty():
-        return rows.select("id", "digest").join(best, "digest").select("id", "digest", "keep_id", "group_size")
+        return members(best).select("id", "digest", "keep_id", "group_size")
     several = cut(shared, "exact-collisions")
-    alone = rows.select("id", "digest").join(best.join(several, "digest", "left_anti"), "digest")
+    alone = members(best.join(several, "digest", "left_anti"))
     own = rows.join(several, "digest", "left_semi")
     apart = own.join(winners(own, salts), ["digest", "content"])
     return alone.unionByName(apart.drop("content")).select("id", "digest", "keep_id", "group_size")
@@ -65,8 +69,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     best = cut(winners(rows, salts).select(F.col("digest").alias("__tw_best"), F.col("keep_id").alias("__tw_keep")), "exact-winners")
     marked = docs.withColumns({"__tw_digest": sha256(content), "__tw_id": F.col(f"`{id_col}`")})
     stay = marked.join(best, (F.col("__tw_digest") == F.col("__tw_best")) & F.col("__tw_id").eqNullSafe(F.col("__tw_keep")), "left_semi")
-    # Repeated rows: numbered in the order that the join has sorted them in.
-    same = Window.partitionBy("__tw_digest", "__tw_id").orderBy("__tw_digest")
+    same = Window.partitionBy("__tw_digest", "__tw_id").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
     return stay.withColumn("__tw_row", F.row_number().over(same)).where("__tw_row = 1").drop("__tw_digest", "__tw_id", "__tw_row")
 
 
