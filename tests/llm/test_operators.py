@@ -102,13 +102,14 @@ def brute_components(items, width, percent):
 
 
 @pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
-@pytest.mark.parametrize("local", [16384, 2])
-def test_ngram_join(docs, width, percent, local):
-    found = ngram_join.jaccard_components(docs, width, percent, local_docs=local).collect()
+@pytest.mark.parametrize("small", [{}, {"levels": (2, 3, 4), "split": 5, "block": 2}])
+def test_ngram_join(docs, width, percent, small):
+    found = ngram_join.jaccard_components(docs, width, percent, **small).collect()
     assert sorted((str(r["id"]), r["n_shingles"], r["component_id"]) for r in found) == brute_components([(i, t) for i, t, *_ in rows()], width, percent)
 
 
-def test_ngram_join_of_many_near_copies(spark):
+@pytest.mark.parametrize("small", [{}, {"levels": (2, 3, 4), "split": 12, "block": 16}])
+def test_ngram_join_of_many_near_copies(spark, small):
     r = np.random.default_rng(5)
     items = []
     for i in range(150):
@@ -117,32 +118,10 @@ def test_ngram_join_of_many_near_copies(spark):
             words[k] = f"w{r.integers(1000)}"
         items.append((i, " ".join(words)))
     df = spark.createDataFrame(items, "doc_id long, text string").repartition(5)
-    found = ngram_join.jaccard_components(df, 4, 85)
+    found = ngram_join.jaccard_components(df, 4, 85, **small)
     assert sorted((str(x["id"]), x["n_shingles"], x["component_id"]) for x in found.collect()) == brute_components(items, 4, 85)
 
 
-def test_family_kernels_agree():
-    r = np.random.default_rng(2)
-    sets = []
-    for _ in range(12):
-        base = r.integers(0, 1 << 62, r.integers(5, 1200)).astype(np.uint64)
-        for _ in range(4):
-            x = base.copy()
-            at = r.integers(0, len(x), int(len(x) * r.random() * 0.15))
-            x[at] = r.integers(0, 1 << 62, len(at)).astype(np.uint64)
-            sets.append(np.unique(x))
-    sizes = np.array([len(s) for s in sets])
-
-    def labels(edges):
-        root = list(range(len(sets)))
-        for _ in sets:
-            for a, b in edges:
-                root[a] = root[b] = min(root[a], root[b])
-        return root
-
-    assert labels(ngram_join._family_links(sets, sizes, 85)) == labels(ngram_join._many_links(sets, sizes, 85))
-
-
 def test_sketches_never_exceed_the_difference():
     r = np.random.default_rng(3)
     for n in (3, 100, 900, 4000):
@@ -197,15 +176,15 @@ def test_mixing(spark, none):
 
 
 def test_poisson_inversion_matches_the_distribution(spark):
-    for rate in (0.3, 4.0, 60.0, 900.0):
-        cum = np.array(spark.range(1).select(mixing._cumulative(F.lit(rate)).alias("c")).first()["c"])
-        p = np.diff(np.append(0, cum))
-        k = np.arange(len(p))
-        assert abs(cum[-1] - 1) < 1e-9 and abs((p * k).sum() - rate) < 1e-6 * max(1, rate) and abs((p * k * k).sum() - rate * rate - rate) < 1e-5 * max(1, rate * rate)
+    for rate in (0.3, 4.0, 60.0, 900.0, 1e6):
+        row = mixing.cumulative(spark.createDataFrame([("a", 1, rate)], "source string, mass long, rate double")).first()
+        p = np.diff(np.append(0, np.array(row["cumulative"])))
+        k = row["first"] + np.arange(len(p))
+        assert abs(p.sum() - 1) < 1e-9 and abs((p * k).sum() - rate) < 1e-6 * max(1, rate) and abs((p * k * k).sum() - rate * rate - rate) < 1e-5 * max(1, rate * rate)
 
 
 def test_line_dedup(docs, none):
-    found = {(r["id"], r["kept"]): (r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs, slices=4).collect()}
+    found = {(r["id"], r["kept"]): (r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs, slice_lines=4).collect()}
     owner = {}
     strip = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
     for i, t, *_ in rows():
@@ -220,8 +199,8 @@ def test_line_dedup(docs, none):
 
 
 def test_line_dedup_stays_exact_with_a_full_filter(docs):
-    small = line_dedup.dedup_lines(docs, slices=4, max_filter_bytes=32).collect()
-    large = line_dedup.dedup_lines(docs, slices=4).collect()
+    small = line_dedup.dedup_lines(docs, slice_lines=4, max_filter_bytes=32).collect()
+    large = line_dedup.dedup_lines(docs, slice_lines=4).collect()
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, small)) == sorted(map(key, large))
 
@@ -357,7 +336,7 @@ def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a/", "same"), (2, "http://b/\n?x=é", "same"), (3, None, "y" * 300_000), (4, "u", None), (5, "u", ""), (None, "u", "same"), (6, "z", "crlf\r\n\r\nWARC/1.1\r\n\r\n"), (6, "z", "crlf\r\n\r\nWARC/1.1\r\n\r\n"), (None, "w", "alone")]
     df = spark.createDataFrame([(*p, 9) for p in pages], "page_id long, url string, html string, record_type int").repartition(3)
     path = str(tmp_path / "archives")
-    warc.write_archives(df, path, segment_bytes=10_000, file_records=5)
+    warc.write_archives(df, path, segment_bytes=10_000, file_bytes=60_000)
     found = warc.read_archives(spark, path).collect()
     assert len(found) == len(pages)
     got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"]), r["payload_bytes"], r["payload_digest"]) for r in found)
@@ -386,7 +365,8 @@ def test_warc_of_an_empty_table(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("part_rows", [40, 200, 1 << 16])
+def test_topk(spark, part_rows):
     r = np.random.default_rng(4)
     codes = r.integers(-(1 << 62), 1 << 62, 600).tolist()
     codes[100:200] = [codes[0]] * 100  # copies
@@ -394,7 +374,7 @@ def test_topk(spark):
     items = [(i, c) for i, c in enumerate(codes)] + [(None, 5), (700, None), (3, codes[3])]
     df = spark.createDataFrame(items, "id long, code long").repartition(4)
     found = defaultdict(list)
-    for x in topk.top_k(df, df.where("id % 20 = 0"), k=5, part_rows=200).collect():
+    for x in topk.top_k(df, df.where("id % 20 = 0"), k=5, part_rows=part_rows).collect():
         found[x["query_id"]].append((x["rank"], x["neighbor_id"], x["distance"]))
     known = {i: c for i, c in items if i is not None and c is not None}
     for q in [i for i in known if i % 20 == 0]:
@@ -402,17 +382,6 @@ def test_topk(spark):
         assert sorted(found[q]) == [(n + 1, i, d) for n, (d, i) in enumerate(near)]
 
 
-def test_segment_index_without_scans(monkeypatch):
-    monkeypatch.setattr(topk, "LOOK_UP", 0)
-    r = np.random.default_rng(6)
-    codes, ids = r.integers(0, 1 << 63, 300).astype(np.uint64), np.arange(300)
-    query, far, found = topk.SegmentIndex(codes, ids).search(codes[:10], 4)
-    for q in range(10):
-        d = np.bitwise_count(codes ^ codes[q])
-        order = np.lexsort((ids, d))[:4]
-        assert found[query == q].tolist() == order.tolist() and far[query == q].tolist() == d[order].tolist()
-
-
 def test_toxicity(spark, none):
     r = np.random.default_rng(7)
     data, labels = [], []
@@ -454,7 +423,7 @@ def test_pipeline_stages(spark, docs, tmp_path):
 
 
 def _bucket_rows(seed):
-    """Rows (key, n, id, sketch) of several buckets, sorted, and their sets."""
+    """Rows (key, n, id) of several buckets, sorted, and their sets."""
     r = np.random.default_rng(seed)
     sets, out = {}, []
     for key in range(12):
@@ -475,8 +444,8 @@ def _batches(rows_, sets, size):
     for i in range(0, len(rows_), size):
         part = rows_[i : i + size]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.int64()), pa.array([ngram_join.sketch(sets[x[2]]).tobytes() for x in part], pa.binary())],
-            names=["key", "n", "id", "sketch"],
+            [pa.array([x[0] for x in part], pa.int64()), pa.array([0] * len(part), pa.int32()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.int64()), pa.array([ngram_join.sketch(sets[x[2]]).tobytes() for x in part], pa.binary())],
+            names=["key", "sub", "n", "id", "sketch"],
         )
 
 
@@ -494,31 +463,27 @@ def _groups(ids, edges):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("bucket", [10_000, 5])
 @pytest.mark.parametrize("size", [1, 7, 1000])
-def test_buckets_connect_whatever_may_link(monkeypatch, bucket, size):
-    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
+def test_buckets_connect_whatever_may_link(size):
     rows_, sets = _bucket_rows(size)
-    edges = [(a, b) for x in ngram_join._compatible(85)(_batches(rows_, sets, size)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
-    got = _groups(sets, edges)
+    edges = [x for b in ngram_join._compatible(85)(_batches(rows_, sets, size)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     key_of = {i: k for k, _, i in rows_}
-    assert all(key_of[a] == key_of[b] for a, b in edges)
+    assert all(key_of[a] == key_of[b] and n == len(sets[a]) + len(sets[b]) for a, b, n in edges)
+    got = _groups(sets, [(a, b) for a, b, _ in edges])
+    assert len(edges) <= len(sets) * 3  # forests, or nearly so
     linked = [(a, b) for a in sets for b in sets if a < b and key_of[a] == key_of[b] and 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
     assert linked and all(got[a] == got[b] for a, b in linked)
 
 
-@pytest.mark.parametrize("size", [1, 5, 1000])
-def test_stars_reach_each_row_of_a_bucket(size):
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_rows_that_share_a_gram(size):
     import pyarrow as pa
 
-    rows_, _ = _bucket_rows(3)
-    out = []
-    for x in ngram_join._stars(85)(b.select(["key", "n", "id"]) for b in _batches(rows_, {i: np.zeros(0, np.uint64) for _, _, i in rows_}, size)):
-        assert isinstance(x, pa.RecordBatch)
-        out += list(zip(*(c.to_pylist() for c in x.columns), strict=True))
-    many = {k for k in range(12) if sum(x[0] == k for x in rows_) > 1}
-    for k in range(12):
-        members = {i for kk, _, i in rows_ if kk == k}
-        got = [x for x in out if x[0] == k]
-        assert {x[2] for x in got} == (members if k in many else set())
-        assert len(set(_groups(members, [(x[1], x[2]) for x in got]).values())) == (1 if k in many else len(members))
+    r = np.random.default_rng(9)
+    rows_ = sorted((int(k), int(s), 1 if k % 5 else 4, 10, i) for i, (k, s) in enumerate(zip(r.integers(0, 60, 90), r.integers(0, 2, 90), strict=True)))
+    names = ["key", "sub", "subs", "n", "id"]
+    batches_ = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows_[i : i + size], strict=True)], names=names) for i in range(0, len(rows_), size)]
+    got = [x for b in ngram_join._shared(batches_) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert got == [x for x in rows_ if x[2] > 1 or sum(y[:2] == x[:2] for y in rows_) > 1]
+    whole = [b.column(0).to_pylist() for b in ngram_join._whole_runs(iter(batches_), 1)]
+    assert [k for b in whole for k in b] == [x[0] for x in rows_] and all(a[-1] != b[0] for a, b in zip(whole[:-1], whole[1:], strict=True))
