@@ -48,7 +48,7 @@ from ..functions.shipping import ship
 from .common import as_bytes, cut, join_hot, table
 from .components import components
 
-CACHE = 300_000
+CACHE = 100_000
 #: Words of a set's sketch, by the size from which it has them.
 SKETCH = ((0, 4), (300, 8), (800, 32), (3200, 128))
 #: Bits of a bitmap; at most 16 MB each, as broadcast.
@@ -65,7 +65,7 @@ FRAGMENTS = 4
 TASK_GRAMS = 2_000_000
 #: Rows of a side that meet when components are compared.
 BLOCK = 2048
-PENDING = 2_000_000
+PENDING = 1_000_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -157,9 +157,9 @@ def _hashed(width: int):
         for batch in source:
             ids = batch.column(0).to_pylist()
             texts = as_bytes(batch.column(1))
-            for start in range(0, len(ids), 1024):
+            for start in range(0, len(ids), 512):
                 n, sig, own, bits, data = [], [], [], [], []
-                for ident, x in zip(ids[start : start + 1024], texts[start : start + 1024], strict=True):
+                for ident, x in zip(ids[start : start + 512], texts[start : start + 512], strict=True):
                     s = grams(x, width)
                     n.append(len(s))
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -169,8 +169,9 @@ def _hashed(width: int):
                         seen.add(sig[-1])
                     bits.append(sketch(s).tobytes() if new else None)
                     data.append(s.tobytes() if new else None)
-                columns = [pa.array(ids[start : start + 1024], pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(own, pa.bool_()), pa.array(bits, pa.binary()), pa.array(data, pa.binary())]
+                columns = [pa.array(ids[start : start + 512], pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(own, pa.bool_()), pa.array(bits, pa.binary()), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sig", "own", "sketch", "grams"])
+        _words.clear()
 
     return run
 
@@ -454,7 +455,7 @@ def _partial(percent: int):
         held = np.repeat(np.arange(len(data)), size) * max(1, len(values)) + rank
         starts = np.cumsum(size) - size
         overlap = np.zeros(len(left), np.int64)
-        for begin, end in _chunks(size[right], PENDING // 4):
+        for begin, end in _chunks(size[right], PENDING // 2):
             take = size[right[begin:end]]
             of = np.repeat(np.arange(begin, end), take)
             item = rank[np.repeat(starts[right[begin:end]] - (np.cumsum(take) - take), take) + np.arange(take.sum())]
