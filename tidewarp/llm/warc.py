@@ -9,10 +9,10 @@ Spark's text writer writes the members (as bytes) with an empty gzip member betw
 separator, so any file system that Spark can write to will do.
 
 Reading. A file is one row (files of 2 GB and more, from elsewhere, can't be read). Records that are whole are
-decoded where they are read. Segments are dealt by origin identifier and sorted by it and by segment number;
-a task joins them one origin after the other, checks that none is missing and that their length is the total
-that the last one states, and decodes the chunked framing. Revisits take their payload's length from the
-record they refer to.
+decoded where they are read. All are dealt by origin identifier (a whole record's own) and sorted by it and by
+segment number; a task joins segments one origin after the other, checks that none is missing and that their
+length is the total that the last one states, and decodes the chunked framing. Revisits take their payload's
+length from the record they refer to.
 
 Defined cases: a null payload is empty; a null or empty url leaves out the target header. A null id is
 written as such, read back as null, and never wins against an id. Repeated rows (same id and payload) are
@@ -225,10 +225,10 @@ def _parse(payloads: bool):
                     if number is not None:
                         out.append((*common, int(number), None if total is None else int(total), head.get("warc-segment-origin-id", head["warc-record-id"]), block, None, None, None))
                     elif kind == "revisit":
-                        out.append((*common, None, None, None, None, None, None, declared))
+                        out.append((*common, None, None, common[1], None, None, None, declared))
                     else:
                         body = http_payload(block)
-                        out.append((*common, None, None, None, None, body if payloads else None, len(body), digest32(body)))
+                        out.append((*common, None, None, common[1], None, body if payloads else None, len(body), digest32(body)))
                     size += len(block)
                     if size > 32 << 20:
                         yield _table(out)
@@ -239,13 +239,13 @@ def _parse(payloads: bool):
 
 
 def _join_segments(payloads: bool):
-    """Records from their segments, rows as READ sorted by origin and number; a segment found again (from a repeated page) is held once."""
+    """Records from rows as READ, sorted by origin and number: whole ones as they are, others from their segments. A segment found again (from a repeated page) is held once."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         origin, parts, heads = None, {}, []
 
         def joined() -> list[tuple]:
-            if origin is None:
+            if not parts:
                 return []
             body = http_payload(assemble([(n, *x) for n, x in parts.items()]))
             return [(*head, None, None, None, None, body if payloads else None, len(body), digest32(body)) for head in heads]
@@ -257,6 +257,10 @@ def _join_segments(payloads: bool):
                 if own != origin:
                     out += joined()
                     origin, parts, heads = own, {}, []
+                if number is None:
+                    out.append(row)
+                    size += len(row[9] or b"")
+                    continue
                 parts.setdefault(number, (total, block))
                 if number == 1:
                     heads.append((kind, ident, url, None, declared))
@@ -277,11 +281,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     parsed = ship(files).mapInArrow(_parse(payloads), READ)
-    parsed = cut(parsed, "warc-records")
-    whole = parsed.where("number IS NULL")
-    segments = parsed.where("number IS NOT NULL").repartition("origin").sortWithinPartitions("origin", "number")
-    joined = segments.mapInArrow(_join_segments(payloads), READ)
-    found = cut(whole.unionByName(joined).drop("number", "total", "origin", "block"), "warc-found")
+    joined = parsed.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(_join_segments(payloads), READ)
+    found = cut(joined.drop("number", "total", "origin", "block"), "warc-found")
     wrong = F.raise_error(F.concat(F.lit("payload digest differs in "), F.col("record_id")))
     found = found.withColumn("payload_digest", F.when(F.col("declared").isNull() | (F.col("declared") == F.col("payload_digest")), F.col("payload_digest")).otherwise(wrong))
     responses, revisits = found.where("record_type = 'response'"), found.where("record_type = 'revisit'").withColumnRenamed("refers_to_id", "target")
