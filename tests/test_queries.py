@@ -50,10 +50,3 @@ def test_gives_rows(spark, name):
     assert rows and df.columns
     for r in rows:
         assert not any(isinstance(v, float) and math.isinf(v) for v in r)
-
-
-def test_whole_spectrum_and_intervals(spark, duck):
-    some, every = (queries.QUERIES[f"windows_spectrum_top{x}"](spark, SF).toPandas() for x in ("", "_all"))
-    starts = sorted(set(every["start"]))
-    assert starts == list(range(starts[0], starts[-1] + 1)) and len(every) == 3 * len(starts) and set(some["start"]) < set(starts)
-    assert len(queries.QUERIES["interval_apply_all"](spark, SF).toPandas()) == duck.execute("SELECT count(*) FROM (SELECT DISTINCT o_orderstatus, o_orderdate FROM orders)").fetchone()[0]

@@ -192,8 +192,12 @@ def test_models_learn_a_weekly_pattern(name):
     t = np.arange(140)
     y = 50 + 10 * np.sin(2 * np.pi * t / 7) + 0.02 * t
     model = make(name, lags=7, rounds=40, epochs=150)
-    state = unpack_state(pack_state(model.fit_values(y[:-7], t[:-7] + 19723)))
-    got = model.predict_values(state, y[-14:-7], 19723 + 132, 7)
+    days = t + 19723.0
+    if model.wide_inputs:
+        own = np.column_stack([days % 7, days // 30])
+        got = model.predict_wide(unpack_state(pack_state(model.fit_wide(y[:-7], own[:-7]))), y[-14:-7], own[-8], own[-7:])
+    else:
+        got = model.predict_values(unpack_state(pack_state(model.fit_values(y[:-7], days[:-7]))), y[-14:-7], days[-7:])
     naive = np.abs(y[-7:] - y[-8]).mean()
     assert got.shape == (7,) and np.abs(got - y[-7:]).mean() < 0.8 * naive
 
@@ -203,7 +207,7 @@ def test_extrapolation_beyond_the_window():
     for name in ("n_linear", "d_linear", "auto_arima", "prophet"):
         model = make(name, lags=5)
         state = model.fit_values(y, np.arange(60))
-        assert np.allclose(model.predict_values(state, y[-5:], 59, 12), 60 + np.arange(12), atol=1.5), name
+        assert np.allclose(model.predict_values(state, y[-5:], np.arange(60, 72)), 60 + np.arange(12), atol=1.5), name
 
 
 def test_models_per_key_match_single_series(spark):
@@ -254,7 +258,7 @@ def test_net_schedules_and_losses():
     y = np.sin(np.arange(60))
     for loss in nets.LOSSES:
         model = make("tide", lags=6, epochs=10, loss=loss)
-        assert np.isfinite(model.predict_values(model.fit_values(y, np.arange(60)), y[-6:], 59, 3)).all()
+        assert np.isfinite(model.predict_values(model.fit_values(y, np.arange(60)), y[-6:], np.arange(60, 63))).all()
 
 
 def test_registry_and_configs():

@@ -1,10 +1,14 @@
-"""Statistics of an array column, as expressions: nothing here leaves the JVM."""
+"""Statistics of an array column, as expressions. All but the spectrum and correlations, which numpy has fast ways for, stay in the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
+from pyspark.sql.functions import pandas_udf
 
 
 def total(x: Column) -> Column:
@@ -67,19 +71,21 @@ def odds(x: Column) -> Column:
     return F.filter(x, lambda v, i: i % 2 == 1)
 
 
-def correlate_same(x: Column, y: Column, shorter: int = 0) -> Column:
-    """Centred cross-correlation as long as x; ``shorter`` is size(x) - size(y)."""
-    n = F.size(x)
-    m = n - shorter
-    start = F.floor((n + m - 1 - n) / 2).cast("int")
+def _by_numpy(function, *columns: Column) -> Column:
+    """An array from arrays, by a function of numpy arrays; null where any is null or empty."""
+
+    @pandas_udf("array<double>")
+    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for some in parts:
+            rows = zip(*some, strict=True)
+            yield pd.Series([None if any(v is None or not len(v) for v in row) else function(*(np.asarray(v, np.float64) for v in row)) for row in rows], dtype=object)
+
+    return run(*columns)
 
-    def at(k: Column) -> Column:
-        lag = k + start - (m - 1)
-        return F.aggregate(
-            F.sequence(F.lit(0), m - 1), F.lit(0.0), lambda a, i: a + F.when((i + lag >= 0) & (i + lag < n), F.get(x, i + lag) * F.get(y, i)).otherwise(F.lit(0.0))
-        )
 
-    return F.transform(F.sequence(F.lit(0), n - 1), at)
+def correlate_same(x: Column, y: Column) -> Column:
+    """Centred cross-correlation as long as x, the longer of the two."""
+    return _by_numpy(lambda a, b: np.correlate(a, b, "same"), x, y)
 
 
 def count_below(x: Column, bound: Column) -> Column:
@@ -97,13 +103,10 @@ def peaks(x: Column) -> Column:
     """
 
     def is_peak(v: Column, i: Column) -> Column:
-        falls = (i < F.size(x) - 1) & (F.get(x, i + 1) < v)
-        before = F.filter(F.slice(x, 1, i), lambda u: u != v)
-        rose = (F.size(before) > 0) & (F.element_at(before, -1) < v)
-        steady = F.forall(F.slice(x, F.size(before) + 1, i - F.size(before)), lambda u: u == v)
-        return falls & rose & steady
+        other = F.array_max(F.filter(F.sequence(F.lit(0), i), lambda j: F.get(x, j) != v))
+        return F.coalesce((i < F.size(x) - 1) & (F.get(x, i + 1) < v) & (F.get(x, other) < v), F.lit(False))
 
-    return F.size(F.filter(x, lambda v, i: is_peak(v, i)))
+    return F.size(F.filter(x, is_peak))
 
 
 def far_peaks(x: Column, distance: int = 150) -> Column:
@@ -127,13 +130,7 @@ def far_peaks(x: Column, distance: int = 150) -> Column:
 
 def spectrum(x: Column) -> Column:
     """Amplitudes of the discrete Fourier transform, one per frequency 0 ... n - 1."""
-    n = F.size(x)
-
-    def part(f, k):
-        angle = lambda i: 2 * F.pi() * k * i / n
-        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, i: a + F.get(x, i) * f(angle(i)))
-
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.sqrt(F.pow(part(F.cos, k), 2) + F.pow(part(F.sin, k), 2)))
+    return _by_numpy(lambda a: np.abs(np.fft.fft(a)), x)
 
 
 def largest(x: Column, k: int) -> Column:

@@ -113,8 +113,8 @@ class AutoArima(Forecaster):
         columns = [z[first - i : len(z) - i] for i in range(1, p + 1)] + [shocks[first - i : len(z) - i] for i in range(1, q + 1)]
         return (np.column_stack(columns) if columns else np.zeros((len(t), 0))), t
 
-    def predict_values(self, state, context, last_day, n):
-        p, q = state["p"], state["q"]
+    def predict_values(self, state, context, days):
+        n, p, q = len(days), state["p"], state["q"]
         z, e = list(state["z"]), list(state["shocks"])
         out = []
         for _ in range(n):
@@ -131,30 +131,38 @@ class AutoArima(Forecaster):
 
 @dataclass
 class Additive(Forecaster):
-    """Piecewise-linear trend with weekly and yearly Fourier terms and optional holidays, by ridge."""
+    """Piecewise-linear trend with daily (of times within days), weekly and yearly Fourier terms and optional holidays (days since 1970-01-01), by ridge.
+
+    ``freq`` is the step of forecasts, if not the series' own; with ``include_history`` the fitted values come first.
+    """
 
     name: ClassVar[str] = "prophet"
     changes: int = 10
+    daily: int = 4
     weekly: int = 3
     yearly: int = 5
     strength: float = 1e-3
     holidays: tuple[int, ...] = ()
+    freq: str | int | None = None
+    include_history: bool = False
 
-    def _design(self, days: np.ndarray, first: int, span: int) -> np.ndarray:
+    def _design(self, days: np.ndarray, first: float, span: float, within: bool) -> np.ndarray:
         t = (days - first) / max(1, span)
         columns = [t]
         columns += [np.maximum(0, t - c) for c in np.linspace(0, 0.8, self.changes + 2)[1:-1]]
-        for period, order in ((7.0, self.weekly if span >= 14 else 0), (365.25, self.yearly if span >= 730 else 0)):
+        for period, order in ((1.0, self.daily if within else 0), (7.0, self.weekly if span >= 14 else 0), (365.25, self.yearly if span >= 730 else 0)):
             for k in range(1, order + 1):
                 columns += [np.sin(2 * np.pi * k * days / period), np.cos(2 * np.pi * k * days / period)]
         if self.holidays:
-            columns.append(np.isin(days, self.holidays).astype(float))
+            columns.append(np.isin(np.floor(days), self.holidays).astype(float))
         return np.column_stack(columns)
 
     def fit_values(self, y, days):
-        first, span = int(days[0]), int(days[-1] - days[0])
-        return {"first": first, "span": span, "w": ridge(self._design(days, first, span), y, self.strength)}
+        first, span, within = float(days[0]), float(days[-1] - days[0]), bool(len(np.unique(days % 1)) > 1)
+        return {"first": first, "span": span, "within": within, "days": days, "w": ridge(self._design(days, first, span, within), y, self.strength)}
+
+    def predict_values(self, state, context, days):
+        return apply(state["w"], self._design(days, state["first"], state["span"], state["within"]))
 
-    def predict_values(self, state, context, last_day, n):
-        days = last_day + np.arange(1, n + 1)
-        return apply(state["w"], self._design(days, state["first"], state["span"]))
+    def fitted_values(self, state: dict) -> tuple[np.ndarray, np.ndarray]:
+        return state["days"], self.predict_values(state, None, state["days"])

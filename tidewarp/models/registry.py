@@ -38,6 +38,14 @@ def make(name: str, **params) -> Forecaster:
     return kind(**accepted(kind, params))
 
 
+def checked(name: str, options: dict) -> dict:
+    """options, if the model has a parameter for each of them."""
+    kind = MODELS.get(name) or OTHERS[name]
+    if unknown := set(options) - set(accepted(kind, options)):
+        raise KeyError(f"{name} has no parameters {sorted(unknown)}")
+    return options
+
+
 def model_names(include: str | list | tuple | None, exclude: list | tuple | None = None) -> list[str]:
     """Names in training order: a preset, names or classes (None: all), without duplicates or excluded ones, sorted."""
     if include is None:

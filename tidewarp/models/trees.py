@@ -6,7 +6,11 @@ from dataclasses import dataclass
 from typing import ClassVar
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.calendar import calendar_features
+from ..series import SeriesSpec
 from .base import WindowForecaster, sliding
 from .linear import ridge
 
@@ -239,7 +243,7 @@ class TreeForecaster(WindowForecaster):
 
 @dataclass
 class CatBoost(TreeForecaster):
-    """Oblivious trees; the window is one longer than the other models'."""
+    """Oblivious trees."""
 
     name: ClassVar[str] = "catboost"
 
@@ -295,44 +299,75 @@ class Chain(LightGBM):
     differences: ClassVar[int] = 1
 
 
-def day_features(days: np.ndarray) -> np.ndarray:
-    """Calendar features of days since 1970-01-01."""
-    d = days.astype("datetime64[D]")
-    month, year = d.astype("datetime64[M]"), d.astype("datetime64[Y]")
-    of_year, of_month, number = (d - year).astype(int), (d - month).astype(int), (month - year).astype(int)
-    weekday = (days + 3) % 7
-    last = ((d + 1).astype("datetime64[M]") != month).astype(int)
-    angle = 2 * np.pi * of_year / 365.25
-    return np.column_stack([weekday, of_month, of_month // 7, number, number // 3, (number + 1) % 12 // 3, of_year, weekday < 5, last, np.sin(angle), np.cos(angle)]).astype(float)
+def peak_tops(x: np.ndarray) -> np.ndarray:
+    """Places of interior maxima; a plateau with lower neighbours on both sides lies at its middle."""
+    edges = np.append(0, np.flatnonzero(np.diff(x)) + 1)
+    ends = np.append(edges[1:], len(x)) - 1
+    v = x[edges]
+    top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
+    return (edges[top] + ends[top]) // 2
+
+
+def far_peaks(x: np.ndarray, distance: int = 150) -> int:
+    kept: list[int] = []
+    for i in sorted(peak_tops(x).tolist(), key=lambda i: (-x[i], -i)):
+        if all(abs(i - k) >= distance for k in kept):
+            kept.append(i)
+    return len(kept)
+
+
+def statistics(x: np.ndarray) -> np.ndarray:
+    """The statistics of functions.arrays.window_statistics and the two correlation blocks of each row, nan where they are null."""
+    d = np.diff(x, axis=1)
+    p25, p50, p75, p90 = (q[:, None] for q in np.quantile(x, [0.25, 0.5, 0.75, 0.9], axis=1))
+    total = x.sum(1, keepdims=True)
+    good = (x.min(1) >= 0) & (total[:, 0] > 0)
+    share = np.where(good[:, None], x, 1) / np.where(good[:, None], total, 1)
+    entropy = np.where(good, -np.where(share > 0, share * np.log2(np.where(share > 0, share, 1)), 0).sum(1), np.nan)
+    none = np.full(len(x), np.nan)
+    of_d = [d.mean(1), np.abs(d).mean(1), np.median(d, 1), np.median(np.abs(d), 1)] if d.shape[1] else [none] * 4
+    columns = [x.mean(1), p50[:, 0], x.max(1), x.min(1), p25[:, 0], p75[:, 0], x.std(1), entropy, *of_d]
+    columns += [(x < p75).sum(1), (x < p25).sum(1), (x < p90).sum(1), (x > p90).sum(1), [len(peak_tops(r)) for r in x], [far_peaks(r) for r in x]]
+    auto = [np.correlate(r, r, "same") for r in x]
+    cross = [np.correlate(r, e, "same") for r, e in zip(x, d, strict=True)] if d.shape[1] else np.full_like(x, np.nan)
+    return np.column_stack([*columns, np.array(auto), np.array(cross)]).astype(float)
 
 
 @dataclass
 class WideGBRT(LightGBM):
-    """A chain over differenced and smoothed lags, window statistics and the calendar of the window's last day."""
+    """A chain over differenced and smoothed lags, the window statistics, and the 82 calendar features and the spec's features of the window's last row."""
 
     name: ClassVar[str] = "wide_gbrt"
     strategy: ClassVar[str] = "chain"
+    wide_inputs: ClassVar[bool] = True
+    difference: int = 1
+    smoothing: int = 2
+    extend_daily_target_features: bool = True
 
-    def wide(self, x: np.ndarray, days: np.ndarray) -> np.ndarray:
-        d = np.diff(x, axis=1)
-        lags = (d[:, 1:] + d[:, :-1]) / 2 if d.shape[1] > 1 else d
-        q = np.quantile(x, [0.25, 0.5, 0.75, 0.9], axis=1).T
-        rises = (np.sign(d[:, :-1]) > 0) & (np.sign(d[:, 1:]) < 0) if d.shape[1] > 1 else np.zeros((len(x), 1), bool)
-        p = np.clip(np.abs(x) / np.maximum(np.abs(x).sum(1, keepdims=True), 1e-12), 1e-12, None)
-        stats = [x.mean(1), x.min(1), x.max(1), x.std(1), -(p * np.log2(p)).sum(1), d.mean(1), np.abs(d).mean(1), np.median(d, 1), np.median(np.abs(d), 1),
-                 (x < q[:, 2:3]).sum(1), (x < q[:, :1]).sum(1), (x < q[:, 3:]).sum(1), (x > q[:, 3:]).sum(1), rises.sum(1)]
-        auto = np.stack([(x[:, k:] * x[:, : x.shape[1] - k]).sum(1) for k in range(x.shape[1])], axis=1)
-        return np.column_stack([lags, q[:, :3], *stats, auto, day_features(days)])
-
-    def fit_values(self, y: np.ndarray, days: np.ndarray) -> dict:
+    def make(self):
+        return Boosting("leaf", self.rounds)
+
+    def inputs(self, df: DataFrame, spec: SeriesSpec, first: Column) -> Column:
+        columns = [*calendar_features(F.col(spec.time), first).values(), *(F.col(c) for c in spec.features)]
+        return F.array(*[c.cast("double") for c in columns])
+
+    def wide(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """One row of inputs for each window x and the inputs of its last row."""
+        lags = np.diff(x, self.difference, axis=1) if self.difference else x
+        if 1 < self.smoothing <= lags.shape[1]:
+            lags = np.lib.stride_tricks.sliding_window_view(lags, self.smoothing, axis=1).mean(axis=2)
+        parts = [lags, statistics(x), own] if self.extend_daily_target_features else [lags, own]
+        return np.nan_to_num(np.column_stack(parts))  # unknown statistics and features are 0
+
+    def fit_wide(self, y: np.ndarray, own: np.ndarray) -> dict:
         x, z = sliding(y, self.lags, self.horizon(len(y)))
-        return fit_chain(self.make, self.wide(x, days[self.lags - 1 :][: len(x)]), z - x[:, -1:])
+        return fit_chain(self.make, self.wide(x, own[self.lags - 1 :][: len(x)]), z - x[:, -1:])
 
-    def predict_values(self, state: dict, context: np.ndarray, last_day: int, n: int) -> np.ndarray:
-        """All outputs; beyond them the features are rebuilt from the values so far and the first output is added."""
-        values = context[-self.lags :].astype(float).tolist()
-        outputs = lambda: values[-1] + predict_chain(self.make, state, self.wide(np.array([values[-self.lags :]]), np.array([last_day + len(values) - self.lags])))[0]
-        values += outputs().tolist()
+    def predict_wide(self, state: dict, context: np.ndarray, own: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+        """All outputs; beyond them the inputs are rebuilt from the values so far and the first output is added."""
+        values, n = context[-self.lags :].astype(float).tolist(), len(ahead)
+        outputs = lambda row: values[-1] + predict_chain(self.make, state, self.wide(np.array([values[-self.lags :]]), row[None, :]))[0]
+        values += outputs(own).tolist()
         while len(values) < self.lags + n:
-            values.append(float(outputs()[0]))
+            values.append(float(outputs(ahead[len(values) - self.lags - 1])[0]))
         return np.array(values[self.lags :][:n])

@@ -5,23 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..series import SeriesSpec, next_time
+from ..series import SeriesSpec, Step, next_time, wall_seconds
 
 
 def _days(spec: SeriesSpec):
     return F.date_diff(F.col(spec.time), F.lag(spec.time).over(spec.ordered()))
 
 
-def sampling_gaps(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """(keys, gap_days, n): how often neighbours are so many days apart."""
-    gaps = df.withColumn("gap_days", _days(spec)).where("gap_days IS NOT NULL")
-    return gaps.groupBy(*spec.keys, "gap_days").agg(F.count(F.lit(1)).alias("n"))
+def _gap(df: DataFrame, spec: SeriesSpec, unit: str):
+    """Time since the row before: gap_days, or gap_seconds on the series' own clock."""
+    if unit not in ("days", "seconds"):
+        raise ValueError("gaps are in days or seconds")
+    if unit == "days":
+        return _days(spec)
+    wall = wall_seconds(F.col(spec.time), df.schema[spec.time].dataType)
+    return wall - F.lag(wall).over(spec.ordered())
 
 
-def modal_gap(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """(keys, gap_days): the commonest gap, the smallest of several."""
-    best = F.max_by("gap_days", F.struct(F.col("n"), -F.col("gap_days")))
-    return sampling_gaps(df, spec).groupBy(*spec.keys).agg(best.alias("gap_days"))
+def sampling_gaps(df: DataFrame, spec: SeriesSpec, unit: str = "days") -> DataFrame:
+    """(keys, gap_days or gap_seconds, n): how often neighbours are so far apart."""
+    name = f"gap_{unit}"
+    gaps = df.withColumn(name, _gap(df, spec, unit)).where(F.col(name).isNotNull())
+    return gaps.groupBy(*spec.keys, name).agg(F.count(F.lit(1)).alias("n"))
+
+
+def modal_gap(df: DataFrame, spec: SeriesSpec, unit: str = "days") -> DataFrame:
+    """(keys, gap_days or gap_seconds): the commonest gap, the smallest of several."""
+    name = f"gap_{unit}"
+    best = F.max_by(name, F.struct(F.col("n"), -F.col(name)))
+    return sampling_gaps(df, spec, unit).groupBy(*spec.keys).agg(best.alias(name))
 
 
 def gap_report(df: DataFrame, spec: SeriesSpec, usual: int = 1) -> DataFrame:
@@ -30,15 +42,39 @@ def gap_report(df: DataFrame, spec: SeriesSpec, usual: int = 1) -> DataFrame:
     return rows.where(F.col("gap_days") > usual).select(*spec.keys, "after", "gap_days")
 
 
-def regularise(df: DataFrame, spec: SeriesSpec, fill: float | None = None, step_days: int = 1) -> DataFrame:
-    """A row for each step from a series' first to its last day; missing targets are null or ``fill``."""
-    kind = df.schema[spec.time].dataType
+def regularise(df: DataFrame, spec: SeriesSpec, fill: float | None = None, step_days: int = 1, freq: str | int | Step | None = None, static: DataFrame | None = None, hierarchy: dict[str, list[str]] | None = None) -> DataFrame:
+    """A row for each step from a series' first to its last time; missing targets are null or ``fill``.
+
+    ``freq`` is a frequency such as h, D, MS in place of days. ``static`` has a row for each series, whose columns
+    are added to all of its rows. ``hierarchy`` names, for a key's value, the values that it is the total of;
+    the totals' series are added, with a null target where any part has none.
+    """
+    kind, step = df.schema[spec.time].dataType, Step.of(step_days if freq is None else freq)
     ends = df.groupBy(*spec.keys).agg(F.min(spec.time).alias("__a"), F.max(spec.time).alias("__b"))
-    count = F.floor(F.date_diff("__b", "__a") / step_days).cast("int")
+    if step.months:
+        count = F.floor(F.months_between(F.trunc("__b", "month"), F.trunc("__a", "month")) / step.months).cast("int")
+    else:
+        count = F.floor((wall_seconds(F.col("__b"), kind) - wall_seconds(F.col("__a"), kind)) / step.seconds).cast("int")
     grid = ends.withColumn("__i", F.explode(F.sequence(F.lit(0), count)))
-    grid = grid.withColumn(spec.time, next_time(F.col("__a"), F.col("__i") * step_days, kind)).select(*spec.keys, spec.time)
-    joined = grid.join(df, [*spec.keys, spec.time], "left")
-    return joined if fill is None else joined.withColumn(spec.target, F.coalesce(spec.target, F.lit(fill)))
+    grid = grid.withColumn(spec.time, next_time(F.col("__a"), F.col("__i"), kind, step)).where(F.col(spec.time) <= F.col("__b")).select(*spec.keys, spec.time)
+    out = grid.join(df, [*spec.keys, spec.time], "left")
+    if fill is not None:
+        out = out.withColumn(spec.target, F.coalesce(spec.target, F.lit(fill)))
+    if hierarchy:
+        out = with_totals(out, spec, hierarchy)
+    return out if static is None else out.join(static, list(spec.keys), "left")
+
+
+def with_totals(df: DataFrame, spec: SeriesSpec, hierarchy: dict[str, list[str]]) -> DataFrame:
+    """df and a series for each total: the first key names it, other keys and times are those of its parts, other columns are null."""
+    key = spec.keys[0]
+    pairs = [(total, part) for total, parts in hierarchy.items() for part in parts]
+    named = df.sparkSession.createDataFrame(pairs, f"__total string, {key} string")
+    n = F.create_map(*[x for total, parts in hierarchy.items() for x in (F.lit(total), F.lit(len(parts)))])
+    whole = (F.count(spec.target) == F.element_at(n, F.col("__total"))).alias("__whole")
+    sums = df.join(F.broadcast(named), key).groupBy("__total", *spec.keys[1:], spec.time).agg(F.sum(spec.target).alias("__sum"), whole)
+    sums = sums.select(F.col("__total").alias(key), *spec.keys[1:], spec.time, F.when(F.col("__whole"), F.col("__sum")).alias(spec.target))
+    return df.unionByName(sums, allowMissingColumns=True)
 
 
 def forward_fill(df: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -67,9 +103,9 @@ def repair_outliers(df: DataFrame, spec: SeriesSpec, window: int = 7, limit: flo
     return rows.withColumn("outlier", odd).withColumn(spec.target, F.when(F.col("outlier"), F.col("__m")).otherwise(F.col(spec.target))).drop("__m", "__s")
 
 
-def future_index(df: DataFrame, spec: SeriesSpec, n: int, step_days: int = 1) -> DataFrame:
+def future_index(df: DataFrame, spec: SeriesSpec, n: int, step_days: int = 1, freq: str | int | Step | None = None) -> DataFrame:
     """(keys, horizon, time): the n steps after each series' last time."""
-    kind = df.schema[spec.time].dataType
+    kind, step = df.schema[spec.time].dataType, Step.of(step_days if freq is None else freq)
     last = df.groupBy(*spec.keys).agg(F.max(spec.time).alias("__b"))
     ahead = last.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    return ahead.withColumn(spec.time, next_time(F.col("__b"), F.col("horizon") * step_days, kind)).select(*spec.keys, "horizon", spec.time)
+    return ahead.withColumn(spec.time, next_time(F.col("__b"), F.col("horizon"), kind, step)).select(*spec.keys, "horizon", spec.time)

@@ -44,11 +44,16 @@ class Scaler:
             self.params = groups.agg(F.percentile(y, F.array(*map(F.lit, at))).alias("__knots"))
         return self
 
+    def _count(self, knots: Column, test) -> Column:
+        """How many of the sorted knots pass a test that the first ones pass, by binary search."""
+        powers = [1 << i for i in range(self.KNOTS.bit_length() - 1, -1, -1)]
+        more = lambda n, p: F.when((n + p <= self.KNOTS) & test(F.get(knots, n + p - 1)), n + p).otherwise(n)
+        return F.aggregate(F.array(*map(F.lit, powers)), F.lit(0), more)
+
     def _quantile(self, y: Column) -> Column:
         """Mean of the positions from the left and the right, so ties get the middle of their range."""
         k, n = F.col("__knots"), self.KNOTS - 1
-        below = F.size(F.filter(k, lambda v: v < y))
-        upto = F.size(F.filter(k, lambda v: v <= y))
+        below, upto = (self._count(k, test) for test in (lambda v: v < y, lambda v: v <= y))
         low, high = F.get(k, upto - 1), F.get(k, upto)
         inside = F.when(upto > below, (below + upto - 1) / 2.0).otherwise(upto - 1 + (y - low) / (high - low))
         return F.when(y <= F.get(k, F.lit(0)), 0.0).when(y >= F.get(k, F.lit(n)), 1.0).otherwise(inside / n)

@@ -76,5 +76,5 @@ def wide_features(df: DataFrame, spec: SeriesSpec, window: int, horizon: int, di
     lags = F.col("x") if differences == 0 else arrays.diff(F.col("x"), differences)
     lags = lags if smoothing < 2 else arrays.moving_average(lags, smoothing)
     stats = {f"stat_{k}": v for k, v in arrays.window_statistics(F.col("x")).items()}
-    more = {"autocorrelation": arrays.correlate_same(F.col("x"), F.col("x")), "diff_correlation": arrays.correlate_same(F.col("x"), arrays.diff(F.col("x")), 1)}
+    more = {"autocorrelation": arrays.correlate_same(F.col("x"), F.col("x")), "diff_correlation": arrays.correlate_same(F.col("x"), arrays.diff(F.col("x")))}
     return rows.withColumns({"lags": lags, **stats, **more})

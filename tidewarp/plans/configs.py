@@ -1,11 +1,16 @@
-"""Which models a pipeline trains, under what alias and with what parameters."""
+"""Which models a pipeline trains, under what alias and with what parameters.
+
+All parameters of a model have one name wherever they are used: init_configs and fit_configs set them for
+training, fit_configs coming first, and predict_configs replace them while forecasting (as freq and
+include_history of the additive model do). Options that the model doesn't have are an error.
+"""
 
 from __future__ import annotations
 
 import copy
 from dataclasses import dataclass, field
 
-from ..models.registry import MODELS, OTHERS
+from ..models.registry import MODELS, OTHERS, checked
 
 STEPS = ("init_configs", "fit_configs", "predict_configs")
 
@@ -27,6 +32,8 @@ class PipelineConfigs:
                 raise KeyError(f"no model named {name}")
             if unknown := set(options) - set(STEPS):
                 raise KeyError(f"unknown options {sorted(unknown)}")
+            for step in ("fit_configs", "predict_configs"):
+                checked(name, options.get(step, {}))
             seen[name] = seen.get(name, 0) + 1
             alias = item[1] if len(item) == 3 else f"{name}_{seen[name]}"
             if any(alias == x[0] for x in self.entries):

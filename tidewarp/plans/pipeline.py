@@ -42,6 +42,8 @@ class ModelPipeline:
     params: dict = field(default_factory=dict)
     models: dict[str, FittedForecaster] = field(default_factory=dict, init=False)
     leaderboard: DataFrame | None = field(default=None, init=False)
+    predict_options: dict = field(default_factory=dict, init=False)
+    _held: list = field(default_factory=list, init=False, repr=False)
 
     def __post_init__(self):
         if self.metric not in metrics.METRICS:
@@ -59,28 +61,43 @@ class ModelPipeline:
         common = {"lags": self.lags, "seed": self.seed} | {k: v for k, v in self.params.items() if "__" not in k}
         own = lambda name: {k.split("__", 1)[1]: v for k, v in self.params.items() if k.startswith(f"{name}__")}
         if self.configs:
-            return sorted((a, n, common | own(n) | o["init_configs"]) for a, n, o in self.configs.entries)
+            made = [(a, n, common | own(n) | o["init_configs"] | o["fit_configs"]) for a, n, o in self.configs.entries]
+            return sorted(made, key=lambda x: x[:2])
         return [(n, n, common | own(n)) for n in model_names(self.include, self.exclude)]
 
+    def _options(self, alias: str) -> dict:
+        """What replaces a model's parameters while it forecasts."""
+        return self.configs.get_configs(alias)["predict_configs"] if self.configs else self.predict_options.get(alias, {})
+
+    def unpersist(self) -> None:
+        """Release what fit() holds in memory; forecasts are still possible, at the price of training again."""
+        for df in self._held:
+            df.unpersist()
+        self._held = []
+
+    def _hold(self, df: DataFrame) -> DataFrame:
+        self._held.append(df.persist())
+        return df
+
     def _error(self, alias: str, name: str, params: dict, train: DataFrame) -> DataFrame:
         """(keys, error) from block resamples: train on the drawn blocks in their order, test on what was not drawn."""
         return intervals.interval_error(self._resampled(name, params, train), self.spec, self.quantile, truth=self.spec.target)
 
     def _resampled(self, name: str, params: dict, train: DataFrame) -> DataFrame:
-        """(keys, split, horizon, target, y_hat): each row that a split did not draw, with its forecast; there are as many steps as such rows."""
+        """(keys, split, horizon, target, y_hat): each row that a split did not draw, with its forecast at its own time; there are as many steps as such rows."""
         spec = self.spec
         drawn, rest = resample.block_bootstrap(train, spec, self.lags, self.cv)
-        resampled = SeriesSpec((*spec.keys, "split"), "__day", spec.target)
-        drawn = drawn.select(*spec.keys, "split", F.date_add(F.lit("2000-01-01").cast("date"), F.col("pos")).alias("__day"), spec.target)
-        fitted = make(name, **params).fit(drawn, resampled)
-        steps = rest.groupBy(*spec.keys, "split").agg(F.count(F.lit(1)).alias("n"))
-        ahead = fitted.predict(steps).withColumnRenamed(spec.target, "y_hat")
-        truth = numbered(rest, SeriesSpec((*spec.keys, "split"), spec.time, spec.target), "horizon").withColumn("horizon", F.col("horizon") + 1)
+        resampled = SeriesSpec((*spec.keys, "split"), spec.time, spec.target, spec.features)
+        fitted = make(name, **params).fit(drawn, resampled, order="pos")
+        ahead = fitted.predict(at=rest).withColumnRenamed(spec.target, "y_hat")
+        truth = numbered(rest, resampled, "horizon").withColumn("horizon", F.col("horizon") + 1)
         return truth.join(ahead.select(*spec.keys, "split", "horizon", "y_hat"), [*spec.keys, "split", "horizon"])
 
     def fit(self, df: DataFrame, valid: DataFrame | None = None, valid_rows: int | None = None) -> DataFrame:
         """Train and score all models; returns the leaderboard (keys, model, metric, train_cost, eval_cost, rank)."""
         spec = self.spec
+        self.unpersist()
+        self.models = {}
         require_time(df, spec)
         if valid is None:
             df, valid = holdout(df, spec, valid_rows or self.lags)
@@ -95,7 +112,7 @@ class ModelPipeline:
         for alias, name, params in self.plan():
             began = time.time()
             fitted = make(name, **params).fit(train, spec)
-            fitted.states = fitted.states.persist()
+            fitted.states = self._hold(fitted.states)
             fitted.states.count()
             self.models[alias], cost = fitted, time.time() - began
             began = time.time()
@@ -105,7 +122,7 @@ class ModelPipeline:
             if self.quantile:
                 columns["quantile_acc"] = metrics.coverage("__truth", f"{spec.target}_lower", f"{spec.target}_upper")
             score = joined.groupBy(*spec.keys).agg(*[c.alias(k) for k, c in columns.items()]).withColumn("model", F.lit(alias))
-            score = score.withColumn("train_cost", F.lit(round(cost, 3))).persist()
+            score = self._hold(score.withColumn("train_cost", F.lit(round(cost, 3))))
             score.count()
             score = score.withColumn("eval_cost", F.lit(round(time.time() - began, 3)))
             scores = score if scores is None else scores.unionByName(score)
@@ -113,10 +130,10 @@ class ModelPipeline:
         return self.leaderboard
 
     def _forecast(self, alias: str, fitted: FittedForecaster, name: str, params: dict, train: DataFrame | None, n: int) -> DataFrame:
-        out = fitted.predict(n)
+        out = fitted.predict(n, **self._options(alias))
         if self.quantile:
             if not hasattr(fitted, "errors"):
-                fitted.errors = self._error(alias, name, params, train).persist()
+                fitted.errors = self._hold(self._error(alias, name, params, train))
             out = intervals.apply_interval(out, self.spec, fitted.errors)
         return self.scale.inverse(out) if self.scale else out
 
@@ -137,17 +154,22 @@ class ModelPipeline:
     def predict(self, n: int, alias: str | None = None, df: DataFrame | None = None) -> DataFrame:
         """n steps per series from its own best model, or from one model; from the end of df if given."""
         keys = list(self.spec.keys)
-        names = [alias] if alias else list(self.models)
         chosen, out = self.best().select(*keys, "model"), None
-        for a in names:
+        for a in [alias] if alias else list(self.models):
             fitted = self.models[a]
-            part = fitted.predict_from(self.scale.transform(df) if self.scale else df, n) if df is not None else fitted.predict(n)
+            if not alias:
+                # Only the series whose best model this is are forecast by it.
+                mine = chosen.where(F.col("model") == a)
+                states = fitted.states.join(mine.drop("model"), keys, "left_semi") if keys else fitted.states.join(mine.select("model"), F.lit(True), "left_semi")
+                errors = getattr(fitted, "errors", None)
+                fitted = FittedForecaster(fitted.model, fitted.spec, states)
+                fitted.errors = errors
+            options = self._options(a)
+            part = fitted.predict_from(self.scale.transform(df) if self.scale else df, n, **options) if df is not None else fitted.predict(n, **options)
             if self.quantile:
                 part = intervals.apply_interval(part, self.spec, fitted.errors)
             part = part.withColumn("model", F.lit(a))
             out = part if out is None else out.unionByName(part)
-        if not alias:
-            out = out.join(chosen, [*keys, "model"], "left_semi")
         return self.scale.inverse(out) if self.scale else out
 
     def save(self, path: str) -> None:
@@ -163,7 +185,8 @@ class ModelPipeline:
         if self.scale:
             self.scale.params.write.parquet(f"{path}/scaler")
         keep = {k: getattr(self, k) for k in ("lags", "metric", "metric_less_is_better", "scaler", "quantile", "cv", "seed")}
-        row = json.dumps({"spec": self.spec.__dict__, "aliases": list(self.models), **keep})
+        options = {a: self._options(a) for a in self.models}
+        row = json.dumps({"spec": self.spec.__dict__, "aliases": list(self.models), "predict_options": options, **keep})
         spark.createDataFrame([(row,)], "manifest string").coalesce(1).write.text(f"{path}/manifest")
 
     @classmethod
@@ -173,9 +196,10 @@ class ModelPipeline:
         from ..models.base import load_forecaster
 
         made = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-        spec, aliases = made.pop("spec"), made.pop("aliases")
+        spec, aliases, options = made.pop("spec"), made.pop("aliases"), made.pop("predict_options")
         pipe = cls(SeriesSpec(tuple(spec["keys"]), spec["time"], spec["target"], tuple(spec["features"])), include=[], **made)
         pipe.models = {a: load_forecaster(spark, f"{path}/models/{a}") for a in aliases}
+        pipe.predict_options = options
         pipe.leaderboard = spark.read.parquet(f"{path}/leaderboard")
         pipe.scale = None
         if pipe.scaler:

@@ -14,8 +14,9 @@ from ..plans.configs import PipelineConfigs
 from ..plans.pipeline import ModelPipeline
 from ..series import SeriesSpec
 from ..sources import generators
-from ..sources.catalogue import SeriesCatalogue, daily_events, daily_revenue, read_csv
+from ..sources.catalogue import KNOWN, SeriesCatalogue, daily_events, daily_revenue, hourly_events, read_csv
 from ..streaming import ingest
+from .series_queries import HOUR_GAPS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +56,13 @@ def model_naive(spark, sf_dir):
     return make("naive", lags=7).fit(daily_events(spark, sf_dir), EVENTS).predict(10)
 
 
+@query(f"""WITH {HOUR_GAPS}, l AS (SELECT event_type, max(ds) AS b, arg_max(y, ds) AS y FROM hou GROUP BY 1)
+SELECT event_type, h::INT AS horizon, strftime(b + to_seconds(h * gap_seconds), '%Y-%m-%d %H:%M:%S') AS ds, y FROM l JOIN gap USING (event_type), range(1, 31) t(h)""")
+def model_naive_hourly(spark, sf_dir):
+    ahead = make("naive", lags=24).fit(hourly_events(spark, sf_dir), EVENTS).predict(30)
+    return ahead.withColumn("ds", F.date_format("ds", "yyyy-MM-dd HH:mm:ss"))
+
+
 def _scored(board: DataFrame) -> DataFrame:
     """A leaderboard without its measured times, which differ from run to run."""
     drop = [c for c in ("train_cost", "eval_cost") if c in board.columns]
@@ -107,8 +115,12 @@ def stream_sessions_batch(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS ds FROM orders")
 def source_csv(spark, sf_dir):
-    """Orders written as CSV and read with a declared schema. The folder is the session's shared one, else local."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewarp-csv-")
+    """Orders written as CSV and read with a declared schema. The folder is the session's shared one; local mode has one of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidewarp-csv-")
     import uuid
 
     path = f"{base}/tidewarp-csv-{uuid.uuid4().hex}"
@@ -117,7 +129,7 @@ def source_csv(spark, sf_dir):
     return df.select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("o_totalprice"), F.date_format("ds", "yyyy-MM-dd").alias("ds"))
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::INT, '{d.name}', '{d.spec.time}', '{d.spec.target}', '{','.join(d.spec.features)}')" for i, d in enumerate(KNOWN.values())) + ") t(position, name, time_col, target_col, feature_cols)")
 def source_catalogue(spark, sf_dir):
     return SeriesCatalogue(spark, "/nowhere").table()
 

@@ -11,7 +11,7 @@ from ..functions import arrays, metrics
 from ..functions.calendar import calendar_features
 from ..operators import checks, grid, intervals, resample, scaling, strategies, windows
 from ..series import SeriesSpec
-from ..sources.catalogue import daily_events, daily_revenue
+from ..sources.catalogue import daily_events, daily_revenue, hourly_events
 from ..sources.generators import trigonometry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,22 @@ def series_modal_gap(spark, sf_dir):
     return grid.modal_gap(by_status(spark, sf_dir), STATUS)
 
 
+HOURLY = "hou AS (SELECT event_type, date_trunc('hour', ts) AS ds, count(*)::DOUBLE AS y FROM events GROUP BY 1, 2)"
+HOUR_GAPS = f"""{HOURLY}, g AS (SELECT event_type, date_diff('second', lag(ds) OVER (PARTITION BY event_type ORDER BY ds), ds) AS gap_seconds FROM hou),
+c AS (SELECT event_type, gap_seconds, count(*) AS n FROM g WHERE gap_seconds IS NOT NULL GROUP BY 1, 2),
+gap AS (SELECT event_type, gap_seconds FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, gap_seconds) AS k FROM c) WHERE k = 1)"""
+
+
+@query(f"WITH {HOUR_GAPS} SELECT * FROM gap")
+def series_modal_gap_hourly(spark, sf_dir):
+    return grid.modal_gap(hourly_events(spark, sf_dir), EVENTS, "seconds")
+
+
+@query(f"WITH {HOURLY}, e AS (SELECT event_type, min(ds) AS a, max(ds) AS b FROM hou GROUP BY 1), s AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ds FROM e) SELECT event_type, strftime(s.ds, '%Y-%m-%d %H:%M:%S') AS ds, coalesce(y, 0) AS y FROM s LEFT JOIN hou USING (event_type, ds)")
+def series_regularise_hourly(spark, sf_dir):
+    return grid.regularise(hourly_events(spark, sf_dir), EVENTS, fill=0.0, freq="h").withColumn("ds", F.date_format("ds", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query(f"WITH {BY_STATUS}, g AS (SELECT status, lag(ds) OVER w AS after, date_diff('day', lag(ds) OVER w, ds)::INT AS gap_days FROM sta WINDOW w AS (PARTITION BY status ORDER BY ds)) SELECT status, after, gap_days FROM g WHERE gap_days > 1", dates="after")
 def series_gap_report(spark, sf_dir):
     return grid.gap_report(by_status(spark, sf_dir), STATUS)
@@ -195,17 +211,9 @@ def _dft(f: str) -> str:
     return f"list_sum(list_transform(range(0, 8), lambda i: x[i + 1] * {f}(2 * pi() * k * i / 8)))"
 
 
-@query(f"""WITH {REV}, {NUM}, {win(8)}, s AS (SELECT start, k, sqrt(pow({_dft('cos')}, 2) + pow({_dft('sin')}, 2)) AS amplitude FROM win, range(0, 8) t(k) WHERE start % 5 = 0),
-t AS (SELECT start, round(amplitude, 5) AS amplitude, (row_number() OVER (PARTITION BY start ORDER BY amplitude DESC) - 1)::INT AS pos FROM s) SELECT start, pos, amplitude FROM t WHERE pos < 3""")
-def windows_spectrum_top(spark, sf_dir):
-    w = windows.lag_windows(rev(spark, sf_dir), ONE, 8).where("start % 5 = 0")
-    top = arrays.largest(arrays.spectrum(F.col("x")), 3)
-    return w.select("start", F.posexplode(top).alias("pos", "amplitude")).withColumn("amplitude", r("amplitude", 5))
-
-
 @query(f"""WITH {REV}, {NUM}, {win(8)}, s AS (SELECT start, k, sqrt(pow({_dft('cos')}, 2) + pow({_dft('sin')}, 2)) AS amplitude FROM win, range(0, 8) t(k)),
 t AS (SELECT start, round(amplitude, 5) AS amplitude, (row_number() OVER (PARTITION BY start ORDER BY amplitude DESC) - 1)::INT AS pos FROM s) SELECT start, pos, amplitude FROM t WHERE pos < 3""")
-def windows_spectrum_top_all(spark, sf_dir):
+def windows_spectrum_top(spark, sf_dir):
     w = windows.lag_windows(rev(spark, sf_dir), ONE, 8)
     top = arrays.largest(arrays.spectrum(F.col("x")), 3)
     return w.select("start", F.posexplode(top).alias("pos", "amplitude")).withColumn("amplitude", r("amplitude", 5))
@@ -323,7 +331,7 @@ _XC = "list_transform(range(0, 7), lambda k: list_sum(list_transform(range(1, 7)
 
 @query(f"WITH {_W7}, f AS (SELECT start, {_AC} AS autocorrelation, {_XC} AS diff_correlation FROM b) {sql_long('f', 'start', ['autocorrelation', 'diff_correlation'])}")
 def window_correlations(spark, sf_dir):
-    w = windows.lag_windows(rev(spark, sf_dir), ONE, 7).withColumns({"autocorrelation": arrays.correlate_same(F.col("x"), F.col("x")), "diff_correlation": arrays.correlate_same(F.col("x"), arrays.diff(F.col("x")), 1)})
+    w = windows.lag_windows(rev(spark, sf_dir), ONE, 7).withColumns({"autocorrelation": arrays.correlate_same(F.col("x"), F.col("x")), "diff_correlation": arrays.correlate_same(F.col("x"), arrays.diff(F.col("x")))})
     return long(w, ["start"], ["autocorrelation", "diff_correlation"])
 
 
@@ -468,15 +476,8 @@ def interval_errors(spark, sf_dir):
     return intervals.interval_error(test.join(means, ["split", "status"]), STATUS, 0.9).withColumn("error", r("error"))
 
 
-@query(f"""WITH {BY_STATUS}, t AS (SELECT status, ds, y FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY ds DESC) AS k FROM sta) WHERE k <= 10)
-SELECT status, ds, y, round(y * 0.75::DOUBLE, 9) AS y_lower, round(y * 1.25::DOUBLE, 9) AS y_upper FROM t""", dates="ds")
-def interval_apply(spark, sf_dir):
-    out = intervals.apply_interval(windows.tail(by_status(spark, sf_dir), STATUS, 10), STATUS, 0.25)
-    return intervals.chosen_columns(out.withColumn("extra", F.lit(1)), STATUS).withColumns({"y_lower": r("y_lower", 9), "y_upper": r("y_upper", 9)})
-
-
 @query(f"WITH {BY_STATUS} SELECT status, ds, y, round(y * 0.75::DOUBLE, 9) AS y_lower, round(y * 1.25::DOUBLE, 9) AS y_upper FROM sta", dates="ds")
-def interval_apply_all(spark, sf_dir):
+def interval_apply(spark, sf_dir):
     out = intervals.apply_interval(by_status(spark, sf_dir), STATUS, 0.25)
     return intervals.chosen_columns(out.withColumn("extra", F.lit(1)), STATUS).withColumns({"y_lower": r("y_lower", 9), "y_upper": r("y_upper", 9)})
 

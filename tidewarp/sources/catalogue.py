@@ -17,6 +17,7 @@ class Dataset:
     schema: str
     spec: SeriesSpec
     time_format: str | None = None
+    format: str = "csv"
 
 
 #: The known datasets with their columns, time column, target and features.
@@ -48,7 +49,7 @@ def read_csv(spark: SparkSession, path: str, schema: str, time: str | None = Non
 
 @dataclass
 class SeriesCatalogue:
-    """Datasets by position or name, read from ``folder`` as <name>.csv or <name>.parquet."""
+    """Datasets by position or name, read from ``folder`` as <name>.csv, or <name>.parquet where the dataset's format says so."""
 
     spark: SparkSession
     folder: str
@@ -75,6 +76,8 @@ class SeriesCatalogue:
 
     def __getitem__(self, which: int | str) -> DataFrame:
         d = self._find(which)
+        if d.format == "parquet":
+            return self.spark.read.schema(d.schema).parquet(f"{self.folder}/{d.name}.parquet")
         return read_csv(self.spark, f"{self.folder}/{d.name}.csv", d.schema, d.spec.time, d.time_format)
 
     def table(self) -> DataFrame:
@@ -116,3 +119,9 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily number of events of each type."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return daily(events, "ts", F.count(F.lit(1)).cast("double"), ("event_type",))
+
+
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of events of each type in each hour that has any."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.groupBy("event_type", F.date_trunc("hour", "ts").alias("ds")).agg(F.count(F.lit(1)).cast("double").alias("y"))

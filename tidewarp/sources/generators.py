@@ -1,4 +1,4 @@
-"""Generated series: (i, y) tables from seeded expressions."""
+"""Generated series: (i, y) tables from seeded expressions, a partition for each million rows."""
 
 from __future__ import annotations
 
@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+BLOCK = 1_000_000
+
+
+def _range(spark: SparkSession, size: int) -> DataFrame:
+    return spark.range(0, size, numPartitions=max(1, math.ceil(size / BLOCK)))
+
+
 def trigonometry(spark: SparkSession, size: float = 100, factors: tuple[float, float, float] = (0.4, 0.4, 0.2), seed: int = 0) -> DataFrame:
     """a sin(i) + b cos(i) + c noise, i = 0 ... ceil(size) - 1."""
     a, b, c = factors
@@ -15,18 +22,22 @@ def trigonometry(spark: SparkSession, size: float = 100, factors: tuple[float, f
     y = F.lit(a) * F.sin(i) + F.lit(b) * F.cos(i)
     if c:
         y = y + F.lit(c) * F.randn(seed)
-    return spark.range(0, math.ceil(size), numPartitions=1).select(F.col("id").alias("i"), y.alias("y"))
+    return _range(spark, math.ceil(size)).select(F.col("id").alias("i"), y.alias("y"))
 
 
 def white_noise(spark: SparkSession, size: int = 100, mean: float = 0.0, std: float = 1.0, seed: int = 0) -> DataFrame:
-    return spark.range(0, size, numPartitions=1).select(F.col("id").alias("i"), (F.randn(seed) * std + mean).alias("y"))
+    return _range(spark, size).select(F.col("id").alias("i"), (F.randn(seed) * std + mean).alias("y"))
 
 
-def random_walk(spark: SparkSession, size: int = 100, started_zero: bool = True, seed: int = 0) -> DataFrame:
-    """Running sum of N(0, 1); the first value is 0 or a draw. One series, so one partition."""
-    noise = white_noise(spark, size, seed=seed)
+def random_walk(spark: SparkSession, size: int = 100, started_zero: bool = True, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """Running sum of N(0, 1); the first value is 0 or a draw. Blocks are summed on their own, then the blocks' sums."""
     step = F.when((F.col("i") == 0) & F.lit(started_zero), 0.0).otherwise(F.col("y"))
-    return noise.select("i", F.sum(step).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("y"))
+    steps = white_noise(spark, size, seed=seed).select("i", step.alias("step"), F.floor(F.col("i") / block).alias("b"))
+    sums = steps.groupBy("b").agg(F.sum("step").alias("s"))
+    # One row for each block of a million.
+    before = sums.select("b", (F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"))
+    inside = steps.withColumn("y", F.sum("step").over(Window.partitionBy("b").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    return inside.join(before, "b").select("i", (F.col("y") + F.col("before")).alias("y"))
 
 
 def random_events(spark: SparkSession, size: int = 1000, seasons: int | None = None, factors: tuple[float, ...] = (0.5, 0.3, 0.2), levels: int = 6, seed: int = 0) -> DataFrame:
@@ -34,7 +45,7 @@ def random_events(spark: SparkSession, size: int = 1000, seasons: int | None = N
     import random
 
     draw = random.Random(seed)
-    base = spark.range(0, size, numPartitions=1).select(F.col("id").alias("i"), F.randn(seed).alias("noise"))
+    base = _range(spark, size).select(F.col("id").alias("i"), F.randn(seed).alias("noise"))
     y = F.col("noise")
     for k in range(levels):
         a, b, c = (draw.choice(factors) for _ in range(3))
