@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -75,10 +73,9 @@ def _by_numpy(function, *columns: Column) -> Column:
     """An array from arrays, by a function of numpy arrays; null where any is null or empty."""
 
     @pandas_udf("array<double>")
-    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for some in parts:
-            rows = zip(*some, strict=True)
-            yield pd.Series([None if any(v is None or not len(v) for v in row) else function(*(np.asarray(v, np.float64) for v in row)) for row in rows], dtype=object)
+    def run(*some: pd.Series) -> pd.Series:
+        rows = zip(*some, strict=True)
+        return pd.Series([None if any(v is None or not len(v) for v in row) else function(*(np.asarray(v, np.float64) for v in row)) for row in rows], dtype=object)
 
     return run(*columns)
 
