@@ -6,6 +6,9 @@ slot that fits in r is cut off until the rest has at least SMALL slots to a bin;
 own class k = C // r, where bins of k such pieces are at least k / (k + 1) full. Each map task fills its
 bins on its own and closes one when its count is reached.
 
+Words recur, so their ids are looked up where the tokenizer file's own sections show that it splits texts at
+white space and into WORD's words; any other tokenizer encodes whole texts.
+
 The open bins that tasks end with (some classes of fewer than k pieces each) are joined in groups of tasks:
 their ids are laid end to end and cut at the capacity, the last sequence of a group into powers of two,
 which need no padding. A group's ids are at most CARRY tasks times SMALL + C // SMALL bins.
@@ -16,6 +19,7 @@ packed each. Texts of any length are cut. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -43,6 +47,23 @@ ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\xb2\xb3\xb9\xbc-\xbe
 #: The pre-tokenizer's pattern (a fixed value of the tokenizer file) for the characters that ODD leaves.
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 
+#: The sections of a tokenizer file for which words can be looked up by the rule above.
+PLAIN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
+def looks_up(path: str) -> bool:
+    """Whether a tokenizer file splits texts the way that WORD does, and draws nothing at random."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    return all(made.get(k) == v for k, v in PLAIN.items()) and not made["model"].get("dropout")
+
+
 _loaded: dict[str, Encoder] = {}
 
 
@@ -55,7 +76,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.plain = "word_bpe" in os.path.basename(path)
+        self.plain = looks_up(path)
 
     @classmethod
     def at(cls, path: str) -> Encoder:
