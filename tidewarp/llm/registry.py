@@ -7,7 +7,7 @@ from .line_dedup import OP7_SQL, op7_line_dedup
 from .mixing import OP9_SQL, op9_poisson_mixing
 from .ngram_join import OP2_SQL, op2_ngram_jaccard
 from .packing import op6_harmonic_packing
-from .secrets import op5_secret_scan
+from .secrets import BASE_SQL, op5_secret_scan, secret_base_counts
 from .sharding import OP3_SQL, op3_extendible_sharding
 from .topk import OP1_SQL, op1_topk_codes
 from .toxicity import op10_toxicity
@@ -26,12 +26,14 @@ QUERIES = {
         op8_exact_dedup,
         op9_poisson_mixing,
         op10_toxicity,
+        secret_base_counts,
     )
 }
 ORACLES = {
     "op1_topk_codes": OP1_SQL,
     "op2_ngram_jaccard": OP2_SQL,
     "op3_extendible_sharding": OP3_SQL,
+    "secret_base_counts": BASE_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_poisson_mixing": OP9_SQL,

@@ -3,9 +3,11 @@
 Base kinds (assign, access, hex) are pattern matches. The structural kinds decode a candidate and parse it
 before anything is reported:
 
-* ``pem``: an armoured private key whose body decodes to a private-key encoding; its line breaks may be escaped;
-* ``jwt``: a signed token whose first part decodes to a JSON object naming an ``alg`` and whose second part
-  decodes to a JSON object;
+* ``pem``: an armoured private key whose body decodes to a private-key encoding, or that its headers call
+  encrypted by a cipher whose initial value and whole blocks it has; its line breaks may be escaped;
+* ``jwt``: a signed token whose first part decodes to a JSON object naming an ``alg``, whose second part decodes
+  to a JSON object and whose third part decodes to as many bytes as that algorithm's signatures have (any 16 or
+  more for an unknown one; unsigned tokens aren't reported);
 * ``der``: a base64 or hex run that decodes to an ASN.1 private key whose nested lengths all fit;
 * ``ssh``: a base64 run that decodes to an openssh-key-v1 container whose nested lengths all fit.
 
@@ -14,8 +16,9 @@ key's own length asks for, so a key ends with its last line. The body of an armo
 
 Each text is scanned whole, on its own; nothing is shuffled. Spans are in code points, end exclusive.
 
-Defined cases: null text is empty. An empty text has no spans. Ids (null too) pass through; repeated rows
-give repeated results. An empty table gives an empty result. Extra columns are ignored.
+Defined cases: null text is empty. An empty text has no spans. Texts of any length are scanned whole. Ids (null
+too) pass through; repeated rows give repeated results, in equal spans the longest of a kind at a place comes
+last. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nr/])*?)-----END \1-----")
 ESCAPED_BREAK, ESCAPED_SLASH = re.compile(r"\\+[nr]"), re.compile(r"\\+/")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]+)")
 RUN = "[A-Za-z0-9+/_-]"
 #: The n or r of an escaped line break is no part of the run after it.
 BASE64 = re.compile(rf"(?<!{RUN})(?:(?<=\\)[nr])?({RUN}{{40,}}={{0,2}})")
@@ -184,7 +187,25 @@ def wrapped_key(text: str, first: re.Match) -> tuple[str, int] | None:
     return ("der", end) if is_der_key(data) else ("ssh", end) if is_ssh_key(data) else None
 
 
-def is_token(head: str, body: str) -> bool:
+#: Bytes of a signature by algorithm, from and to.
+SIGNATURE = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES256K": (64, 64), "ES384": (96, 96), "ES512": (132, 132), "EdDSA": (64, 114)} | {
+    f"{kind}{bits}": (128, 1024) for kind in ("RS", "PS") for bits in (256, 384, 512)
+}
+#: Block and initial value of the ciphers of armoured keys, in bytes.
+CIPHERS = {"DES-CBC": 8, "DES-EDE3-CBC": 8, "AES-128-CBC": 16, "AES-192-CBC": 16, "AES-256-CBC": 16}
+LEGACY = re.compile(r"\s*Proc-Type:\x204,ENCRYPTED\s+DEK-Info:\x20([A-Z0-9-]+),([0-9A-Fa-f]+)\s+([A-Za-z0-9+/=\s]+)")
+
+
+def is_encrypted_key(text: str) -> bool:
+    """The inside of an armoured key with the headers of an encrypted one: whole blocks of ciphertext and an initial value of one block."""
+    found = LEGACY.fullmatch(text)
+    block = CIPHERS.get(found[1]) if found else None
+    data = decode64("".join(found[3].split())) if block else None
+    return bool(data) and len(found[2]) == 2 * block and len(data) >= 64 and len(data) % block == 0
+
+
+def is_token(head: str, body: str, signature: str) -> bool:
+    named = ""
     for part, needs in ((head, "alg"), (body, None)):
         data = decode64(part)
         if not data or data.strip()[:1] != b"{":
@@ -195,7 +216,9 @@ def is_token(head: str, body: str) -> bool:
             return False
         if not isinstance(value, dict) or needs and not isinstance(value.get(needs), str):
             return False
-    return True
+        named = value[needs] if needs else named
+    least, most = SIGNATURE.get(named, (16, 1024))
+    return least <= len(decode64(signature) or b"") <= most
 
 
 def spans(text: str) -> list[tuple[int, str, int]]:
@@ -212,10 +235,10 @@ def spans(text: str) -> list[tuple[int, str, int]]:
             plain = ESCAPED_SLASH.sub("/", ESCAPED_BREAK.sub("\n", m[2])) if "\\" in m[2] else m[2]
             body = "".join(x for x in plain.split() if ":" not in x and "," not in x)
             data = decode64(body)
-            if is_der_key(data) or is_ssh_key(data):
+            if is_der_key(data) or is_ssh_key(data) or is_encrypted_key(plain):
                 found.append((m.start(), "pem", m.end()))
     if "." in text:
-        found += [(m.start(), "jwt", m.end()) for m in JWT.finditer(text) if is_token(m[1], m[2])]
+        found += [(m.start(), "jwt", m.end()) for m in JWT.finditer(text) if is_token(m[1], m[2], m[3])]
     for m in BASE64.finditer(text):
         data = decode64(m[1])
         if is_der_key(data):
@@ -261,3 +284,17 @@ def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
     )
+
+
+def secret_base_counts(spark, sf_dir: str) -> DataFrame:
+    """The numbers of op5's base kinds on their own, which SQL can tell as well."""
+    return op5_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+BASE_SQL = r"""
+SELECT doc_id,
+       len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 12)) AS n_assign,
+       len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access,
+       len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex
+FROM documents
+"""
