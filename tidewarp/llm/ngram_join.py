@@ -64,7 +64,7 @@ FRAGMENTS = 4
 #: N-grams of candidate pairs that one task has, over all fragments.
 TASK_GRAMS = 2_000_000
 #: Rows of a side that meet when components are compared.
-BLOCK = 2048
+BLOCK = 512
 PENDING = 1_000_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
