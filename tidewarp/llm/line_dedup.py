@@ -35,8 +35,10 @@ from .common import BLANK, as_bytes, cut, table
 
 HASHES = 4
 FLUSH = 1_000_000
-#: Lines of a slice, about.
-SLICE_LINES = 4_000_000
+#: Lines of a slice, about, up to MOST_SLICES slices; beyond, slices grow to MOST_LINES lines before there are more.
+SLICE_LINES = 1 << 18
+MOST_SLICES = 4096
+MOST_LINES = 1 << 24
 #: Parts of the broadcast filter.
 RANGES = 64
 
@@ -188,7 +190,7 @@ def twice_seen(texts: DataFrame, least: int, slice_lines: int, max_filter_bytes:
     """The filter of keys that more than one document may hold."""
     hashed = cut(texts.mapInArrow(_hash_pass(least), "n long, once binary, twice binary"), "line-hashes")
     total = hashed.agg(F.sum("n")).first()[0] or 0
-    slices = _power(-(-total // slice_lines))
+    slices = _power(min(-(-total // slice_lines), max(MOST_SLICES, -(-total // MOST_LINES))))
     sliced = hashed.select("once", "twice").mapInArrow(_sliced(slices), "slice long, once binary, twice binary")
     sliced = sliced.repartition("slice").sortWithinPartitions("slice")
     again = cut(sliced.mapInArrow(_again(max(64, _power(16 * -(-total // slices)))), "range long, n long, hashes binary"), "line-repeats")
