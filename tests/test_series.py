@@ -261,6 +261,27 @@ def test_net_schedules_and_losses():
         assert np.isfinite(model.predict_values(model.fit_values(y, np.arange(60)), y[-6:], np.arange(60, 63))).all()
 
 
+def test_net_parts():
+    v, g = np.random.default_rng(1).normal(size=(4, 3)), np.array([1.0, 2.0, 0.5])
+    assert np.allclose(np.linalg.norm(nets.weight_normed(Tensor(v), Tensor(g)).data, axis=0), g)
+    assert nets.detect_available_device()[0] == "cpu"
+    with pytest.raises(ValueError):
+        nets.detect_available_device("cuda")
+    t = np.arange(120)
+    y = 20 + 5 * np.sin(2 * np.pi * t / 7) + np.random.default_rng(0).normal(size=120)
+    x, z = (np.lib.stride_tricks.sliding_window_view(y, 14)[:, part] for part in (slice(0, 7), slice(7, 14)))
+    tft = make("tft", lags=7, epochs=60)
+    found = tft.predict_quantiles(tft.fit_windows(x, z), x)
+    assert (found[0.1] <= found[0.5]).mean() > 0.8 and (found[0.5] <= found[0.9]).mean() > 0.8
+    assert 0.6 < ((found[0.1] <= z) & (z <= found[0.9])).mean() <= 1
+    for name, more in (("itransformer", {}), ("tcn", {"weight_norm": True}), ("tide", {"noise": 0.05}), ("transformer", {})):
+        net = make(name, lags=7, epochs=80, **more)
+        assert np.abs(net.predict_windows(net.fit_windows(x, z), x) - z).mean() < 0.8 * np.abs(z - x[:, -1:]).mean(), name
+    inverted = make("itransformer", lags=7)
+    parts = [v.data for v in inverted.variates(Tensor(x))]
+    assert np.allclose(parts[1][:, 1:], np.diff(x)) and np.allclose(parts[2][:, 1:-1], (x[:, :-2] + x[:, 1:-1] + x[:, 2:]) / 3) and np.allclose(parts[2] + parts[3], x)
+
+
 def test_registry_and_configs():
     assert len(MODELS) == 22 and PRESETS["all"] == tuple(sorted(MODELS))
     assert model_names(["tcn", linear.DLinear, "tcn"]) == ["d_linear", "tcn"] and "tcn" not in model_names(None, ["tcn"])

@@ -6,6 +6,7 @@ the series' mean and deviation.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 from typing import ClassVar
 
@@ -39,8 +40,25 @@ class Params:
             self.used[name] = Tensor(self.values[name])
         return self.used[name]
 
-    def dense(self, name: str, x: Tensor, width: int) -> Tensor:
-        return x @ self(f"{name}.w", x.shape[-1], width) + self(f"{name}.b", width, scale=0.0)
+    def dense(self, name: str, x: Tensor, width: int, weight_norm: bool = False) -> Tensor:
+        w = self(f"{name}.w", x.shape[-1], width)
+        if weight_norm:
+            w = weight_normed(w, self(f"{name}.g", width, scale=0.0) + 1.0)
+        return x @ w + self(f"{name}.b", width, scale=0.0)
+
+
+def weight_normed(v: Tensor, g: Tensor) -> Tensor:
+    """g * v / |v|, the norm being each output's."""
+    return v * (g / (((v * v).sum(0, True) + 1e-12) ** 0.5))
+
+
+def detect_available_device(device: str | None = "auto", spark=None) -> tuple[str, str]:
+    """What nets run on, and what there is: numpy uses processors; Spark's accelerators are told, and not used."""
+    if (device or "auto").lower() not in ("auto", "cpu"):
+        raise ValueError(f"nets run on processors only, not on {device}")
+    found = {} if spark is None else dict(spark.sparkContext.resources)
+    others = ", ".join(f"{k}: {len(v.addresses)}" for k, v in sorted(found.items())) or "none"
+    return "cpu", f"CPU available: {os.cpu_count()} | CPU use: True | others available: {others}"
 
 
 def schedule(kind: str | None, epoch: int, rate: float) -> float:
@@ -67,6 +85,10 @@ class NetForecaster(WindowForecaster):
     clip: float = 10.0
     batch_size: int = 0
     lr_scheduler: str | None = "ReduceLROnPlateau"
+    noise: float = 0.0
+
+    def loss_of(self, p: Params, x: Tensor, y: np.ndarray) -> Tensor:
+        return LOSSES[self.loss](self.net(p, x, y.shape[1]), y)
 
     def net(self, p: Params, x: Tensor, outputs: int) -> Tensor:
         """(batch, lags) to (batch, outputs)."""
@@ -87,7 +109,9 @@ class NetForecaster(WindowForecaster):
             now = schedule(self.lr_scheduler, epoch, rate)
             for start in range(0, cut, size):
                 params.used = {}
-                out = LOSSES[self.loss](self.net(params, Tensor(x[start : min(cut, start + size)]), y.shape[1]), y[start : min(cut, start + size)])
+                seen = x[start : min(cut, start + size)]
+                seen = seen + self.noise * params.rng.normal(size=seen.shape) if self.noise else seen
+                out = self.loss_of(params, Tensor(seen), y[start : min(cut, start + size)])
                 out.backward()
                 grads = {k: w.grad for k, w in params.used.items() if w.grad is not None}
                 norm = np.sqrt(sum((g * g).sum() for g in grads.values()))
@@ -99,7 +123,7 @@ class NetForecaster(WindowForecaster):
                     params.values[k] = params.values[k] - now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.999**t)) + 1e-8)
             params.used = {}
             a, b = (x[cut:], y[cut:]) if held else (x, y)
-            score = float(LOSSES[self.loss](self.net(params, Tensor(a), y.shape[1]), b).data)
+            score = float(self.loss_of(params, Tensor(a), b).data)
             if score < best - 1e-6:
                 best, kept, waited = score, dict(params.values), 0
             else:
@@ -205,11 +229,12 @@ class NHits(NetForecaster):
 
 @dataclass
 class TCN(NetForecaster):
-    """Dilated causal convolutions with residuals."""
+    """Dilated causal convolutions with residuals, their weights normed if asked."""
 
     name: ClassVar[str] = "tcn"
     kernel: int = 3
     levels: int = 3
+    weight_norm: bool = False
 
     def net(self, p, x, outputs):
         h = p.dense("in", x.reshape(*x.shape, 1), self.width)
@@ -219,23 +244,57 @@ class TCN(NetForecaster):
             for k in range(1, self.kernel):
                 move = np.eye(h.shape[1], k=-k * step)
                 shifted.append(Tensor(move) @ h)
-            h = h + p.dense(f"{i}", concat(shifted), self.width).relu()
+            h = h + p.dense(f"{i}", concat(shifted), self.width, self.weight_norm).relu()
         return p.dense("out", h[:, -1], outputs)
 
 
 @dataclass
 class TFT(NetForecaster):
-    """Gated residual encoding, a recurrent layer, attention over its states with a relative index, gated output."""
+    """Variables weighed by a selection network, a recurrent layer, attention over its states, and an output for each quantile.
+
+    The variables are the values, their changes and a relative index. Trained on the quantiles' loss, if loss
+    is ``quantile``; forecasts are the middle quantile.
+    """
 
     name: ClassVar[str] = "tft"
     heads: int = 2
-
-    def net(self, p, x, outputs):
-        index = np.broadcast_to(np.linspace(-1, 0, x.shape[1])[None, :, None], (*x.shape, 1))
-        e = gated(p, "v", concat([x.reshape(*x.shape, 1), Tensor(index)]), self.width)
+    loss: str = "quantile"
+    quantiles: tuple[float, ...] = (0.1, 0.5, 0.9)
+
+    def select(self, p: Params, variables: list[Tensor]) -> Tensor:
+        """The variables' encodings, weighed at each step by all of them."""
+        weights = gated(p, "s", concat(variables), len(variables)).softmax()
+        parts = [gated(p, f"v{i}", v, self.width) * weights[:, :, i : i + 1] for i, v in enumerate(variables)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out + part
+        return out
+
+    def net_quantiles(self, p: Params, x: Tensor, outputs: int) -> list[Tensor]:
+        index = Tensor(np.broadcast_to(np.linspace(-1, 0, x.shape[1])[None, :, None], (*x.shape, 1)))
+        changes = concat([x[:, :1] * 0.0, x[:, 1:] - x[:, :-1]]) if x.shape[1] > 1 else x * 0.0
+        e = self.select(p, [x.reshape(*x.shape, 1), changes.reshape(*x.shape, 1), index])
         h = (stack(lstm(p, "l", e, self.width)) + e).normed()
         a = gated(p, "g", h + attention(p, "a", h, h, self.width, self.heads, causal=True), self.width)
-        return p.dense("out", a[:, -1], outputs)
+        return [p.dense(f"out{i}", a[:, -1], outputs) for i in range(len(self.quantiles))]
+
+    def net(self, p, x, outputs):
+        return self.net_quantiles(p, x, outputs)[len(self.quantiles) // 2]
+
+    def loss_of(self, p, x, y):
+        if self.loss != "quantile":
+            return super().loss_of(p, x, y)
+        total = 0.0
+        for q, out in zip(self.quantiles, self.net_quantiles(p, x, y.shape[1]), strict=True):
+            off = wrap(y) - out
+            total = (off * (q - 0.5) + off.abs() * 0.5).mean() + total
+        return total
+
+    def predict_quantiles(self, state: dict, x: np.ndarray) -> dict[float, np.ndarray]:
+        """Direct outputs by quantile."""
+        params = Params(self.seed, dict(state["weights"]))
+        found = self.net_quantiles(params, Tensor((x - state["mean"]) / state["std"]), state["outputs"])
+        return {q: out.data * state["std"] + state["mean"] for q, out in zip(self.quantiles, found, strict=True)}
 
 
 @dataclass
@@ -284,7 +343,7 @@ class Time2Vec(NetForecaster):
 
 @dataclass
 class Transformer(NetForecaster):
-    """Encoder layers over the window, a decoder query per output."""
+    """Encoder layers over the window; a decoder of self-attention among the outputs' queries, attention to the window and a dense layer."""
 
     name: ClassVar[str] = "transformer"
     layers: int = 2
@@ -294,7 +353,9 @@ class Transformer(NetForecaster):
         for i in range(self.layers):
             h = encoder(p, f"e{i}", h, self.width)
         q = p.dense("q", Tensor(np.broadcast_to(positions(outputs, self.width), (x.shape[0], outputs, self.width))), self.width)
+        q = (q + attention(p, "s", q, q, self.width, causal=True)).normed()
         d = (q + attention(p, "c", q, h, self.width)).normed()
+        d = (d + p.dense("d2", p.dense("d1", d, 2 * self.width).relu(), self.width)).normed()
         return p.dense("out", d, 1).reshape(x.shape[0], outputs)
 
 
@@ -329,12 +390,27 @@ class PatchRNN(NetForecaster):
 
 @dataclass
 class ITransformer(NetForecaster):
-    """Inverted: each variate's whole window is a token; instance-normalised. Not in the presets, as a net only."""
+    """Inverted: each variate's whole window is a token, and attention is among variates; instance-normalised.
+
+    The variates of one series are its values, their changes, their moving average and what it leaves. Not in the
+    presets, as a net only.
+    """
 
     name: ClassVar[str] = "itransformer"
+    layers: int = 2
+    kernel: int = 3
+
+    def variates(self, x: Tensor) -> list[Tensor]:
+        n = x.shape[1]
+        near = np.abs(np.arange(n)[:, None] - np.arange(n)[None, :]) <= self.kernel // 2
+        trend = x @ Tensor(near / near.sum(0, keepdims=True))
+        change = x @ Tensor(np.eye(n) - np.eye(n, k=1)) * np.append(0.0, np.ones(n - 1))
+        return [x, change, trend, x - trend]
 
     def net(self, p, x, outputs):
         mean = x.mean(1, True)
-        token = p.dense("in", (x - mean).reshape(x.shape[0], 1, x.shape[1]), self.width)
-        h = encoder(p, "e", token, self.width)
-        return p.dense("out", h[:, 0], outputs) + mean
+        spread = (((x - mean) ** 2.0).mean(1, True) + 1e-5) ** 0.5
+        h = p.dense("in", stack(self.variates((x - mean) / spread)), self.width)
+        for i in range(self.layers):
+            h = encoder(p, f"e{i}", h, self.width)
+        return p.dense("out", h[:, 0], outputs) * spread + mean
