@@ -159,6 +159,16 @@ def test_options_of_each_step_are_used(spark):
     assert pipe.predict(2).count() == 2
 
 
+def test_a_grid_of_parameters(spark):
+    configs = PipelineConfigs.grid("d_linear", {"kernel_size": [3, 5], "strength": [0.1, 1e9]})
+    assert [a for a, _, _ in configs.entries][0] == "d_linear--kernel_size-3--strength-0.1" and len(configs.entries) == 4
+    with pytest.raises(KeyError):
+        PipelineConfigs.grid("d_linear", {"wrong": [1]})
+    pipe = ModelPipeline(KEYED, 6, configs=configs, scaler=None)
+    pipe.fit(hourly(spark, [i % 6 for i in range(80)]), valid_rows=6)
+    assert "strength-0.1" in pipe.best().first()["model"] and pipe.get_model().model.strength == 0.1
+
+
 def test_saved_pipelines_keep_predict_options(spark, tmp_path):
     configs = PipelineConfigs([("prophet", "days", {"predict_configs": {"freq": "2D"}})])
     pipe = ModelPipeline(KEYED, 6, configs=configs)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,17 +83,22 @@ class Scaler:
         return out.withColumns({c: change(F.col(c)) for c in columns}).drop(*[c for c in self.params.columns if c.startswith("__")])
 
 
+def _each(function, values: np.ndarray, good: np.ndarray) -> np.ndarray:
+    out = np.full(len(values), np.nan)
+    out[good] = np.frompyfunc(function, 1, 1)(values[good]).astype(np.float64)
+    return out
+
+
 @pandas_udf(T.DoubleType())
-def erfinv(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    normal = NormalDist()
-    for s in parts:
-        yield s.map(lambda v: None if v is None or v != v or not -1 < v < 1 else normal.inv_cdf((v + 1) / 2) / math.sqrt(2))
+def erfinv(s: pd.Series) -> pd.Series:
+    v = s.to_numpy(np.float64)
+    return pd.Series(_each(NormalDist().inv_cdf, (v + 1) / 2, np.abs(v) < 1) / math.sqrt(2))
 
 
 @pandas_udf(T.DoubleType())
-def erf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.map(lambda v: None if v is None or v != v else math.erf(v))
+def erf(s: pd.Series) -> pd.Series:
+    v = s.to_numpy(np.float64)
+    return pd.Series(_each(math.erf, v, ~np.isnan(v)))
 
 
 class GaussRankScaler:

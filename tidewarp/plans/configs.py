@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import copy
 from dataclasses import dataclass, field
+from itertools import product
 
 from ..models.registry import MODELS, OTHERS, checked
 
@@ -40,6 +41,14 @@ class PipelineConfigs:
                 raise ValueError(f"alias {alias} is used twice")
             self.entries.append((alias, name, {k: options.get(k, {}) for k in STEPS}))
 
+    @classmethod
+    def grid(cls, name: str, options: dict[str, list], step: str = "init_configs") -> PipelineConfigs:
+        """A model once for each combination of the values of its parameters; aliases tell them, so the leaderboard is a parameter search."""
+        checked(name, options)
+        names = list(options)
+        alias = lambda values: "--".join([name, *(f"{k}-{v}" for k, v in zip(names, values, strict=True))])
+        return cls([(name, alias(values), {step: dict(zip(names, values, strict=True))}) for values in product(*options.values())])
+
     def get_configs(self, alias: str) -> dict:
         for a, _, options in self.entries:
             if a == alias:
