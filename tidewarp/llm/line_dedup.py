@@ -5,7 +5,7 @@
 2. A slice's task has the filter of once-seen hashes, sized by the slice's lines, and keeps those hashes that
    the filter has seen before. Only they make the twice-seen filter, sized by their number up to
    ``max_filter_bytes``, which is what is broadcast: 64 MB have 16 bits for each of 32 million repeated lines.
-   A fuller filter (about 4 % of the lines seen once are suspected at 10^8 repeated lines, a third at
+   A fuller filter (by computation 8 % of the lines seen once are suspected at 10^8 repeated lines, 64 % at
    3 * 10^8) only lets more lines be suspected; the result stays exact.
 3. Suspected keys, and only those, are shuffled with their document; the smallest id holding a key owns it
    (a map-side combined minimum, so a key in very many documents is one row a task).
