@@ -44,7 +44,7 @@ from .common import cut, table
 
 WORD = re.compile(r"\w+")
 STARTS = (3, 4, 5)
-CACHE = 500_000
+CACHE = 150_000
 
 
 def features(word: str) -> list[int]:
