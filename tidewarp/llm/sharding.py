@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut, hash_bits, table, text_or_empty
 
 WIDTH = 60
-MOST_BITS = 20
+MOST_BITS = 18
 
 
 def _prefix(depth: F.Column | int) -> F.Column:
