@@ -37,7 +37,7 @@ from .common import cut, table
 
 CAPACITY = 4096
 SMALL = 32
-CARRY = 64
+CARRY = 16
 END_ID = 2
 #: Words and runs whose ids a worker remembers; when there are more, the short ones, which recur most, are kept.
 CACHE = 400_000
