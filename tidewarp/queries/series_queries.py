@@ -113,6 +113,15 @@ def series_regularise_hourly(spark, sf_dir):
     return grid.regularise(hourly_events(spark, sf_dir), EVENTS, fill=0.0, freq="h").withColumn("ds", F.date_format("ds", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query(f"""WITH {EVE}, e AS (SELECT event_type, min(ds) AS a, max(ds) AS b FROM eve GROUP BY 1), d AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS ds FROM e),
+f AS (SELECT event_type, ds, coalesce(y, 0) AS y FROM d LEFT JOIN eve USING (event_type, ds)), t AS (SELECT 'shown' AS event_type, ds, CASE WHEN count(*) = 2 THEN sum(y) END AS y FROM f WHERE event_type IN ('view', 'click') GROUP BY ds)
+SELECT u.*, CASE u.event_type WHEN 'view' THEN 'page' WHEN 'click' THEN 'page' END AS place FROM (SELECT * FROM f UNION ALL SELECT * FROM t) u""", dates="ds")
+def series_totals(spark, sf_dir):
+    """A grid with the total of two series and what is known of each series."""
+    static = spark.createDataFrame([("view", "page"), ("click", "page")], "event_type string, place string")
+    return grid.regularise(daily_events(spark, sf_dir), EVENTS, fill=0.0, static=static, hierarchy={"shown": ["view", "click"]}).select("event_type", "ds", "y", "place")
+
+
 @query(f"WITH {BY_STATUS}, g AS (SELECT status, lag(ds) OVER w AS after, date_diff('day', lag(ds) OVER w, ds)::INT AS gap_days FROM sta WINDOW w AS (PARTITION BY status ORDER BY ds)) SELECT status, after, gap_days FROM g WHERE gap_days > 1", dates="after")
 def series_gap_report(spark, sf_dir):
     return grid.gap_report(by_status(spark, sf_dir), STATUS)
