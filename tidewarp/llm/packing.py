@@ -39,9 +39,7 @@ CAPACITY = 4096
 SMALL = 32
 CARRY = 16
 END_ID = 2
-#: Words and runs whose ids a worker remembers; when there are more, the short ones, which recur most, are kept.
-CACHE = 400_000
-SHORT = 6
+CACHE = 900_000
 
 #: Characters on which the word rule below and the tokenizer's own splitting could differ: control and odd
 #: spaces, superscripts and fractions, the dotted capital I, special-token marks, and all beyond U+024F.
@@ -97,10 +95,8 @@ class Encoder:
         missing = set(runs).difference(self.known)
         if missing:
             if len(self.known) + 2 * len(missing) > CACHE:
-                self.known = {k: v for k, v in self.known.items() if len(k) <= SHORT}
-                if 2 * len(self.known) > CACHE:
-                    self.known.clear()
-                missing = set(runs).difference(self.known)
+                self.known.clear()
+                missing = set(runs)
             self._learn({run: WORD.findall(run) for run in missing})
         return b"".join(map(self.known.__getitem__, runs))
 
