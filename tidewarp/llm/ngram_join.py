@@ -594,7 +594,8 @@ def _links(sets: DataFrame, ids, percent: int, levels: tuple[int, ...] = LEVELS,
         together = join_hot(parts.select("key", F.col("id").alias("b")), whole, "key", "weight", whole.agg(F.sum("weight")).first()[0] or 0, "b").select("a", "b").distinct()
         together = cut(together, "split-families")
     sketches = sets.select("id", F.col("n").cast("int").alias("n"), "sketch")
-    met = rows.join(sketches, ["id", "n"]).select("key", "sub", "n", "id", "sketch").repartition("key", "sub").sortWithinPartitions("key", "sub", "n", "id")
+    # A shuffle at any size: sketches are too large to be broadcast but in small tables.
+    met = rows.join(sketches.hint("merge"), ["id", "n"]).select("key", "sub", "n", "id", "sketch").repartition("key", "sub").sortWithinPartitions("key", "sub", "n", "id")
     forests = met.mapInArrow(_compatible(percent), "a long, b long, n long")
     tested = cut(forests.groupBy("a", "b").agg(F.max("n").alias("n")), "pairs")
     links = cut(_verified(tested, sets, percent), "links")
