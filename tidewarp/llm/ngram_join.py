@@ -63,6 +63,8 @@ SPLIT = 8192
 FRAGMENTS = 4
 #: N-grams of candidate pairs that one task has, over all fragments.
 TASK_GRAMS = 2_000_000
+#: Pairs of one document that meet in a task.
+MATES = 256
 #: Rows of a side that meet when components are compared.
 BLOCK = 512
 PENDING = 1_000_000
@@ -485,12 +487,15 @@ def _chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 def fragment_overlaps(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = FRAGMENTS, task_grams: int = TASK_GRAMS) -> DataFrame:
     """(fragment, a, b, variant, n_a, n_b, overlap) of pairs (a, b, n): partial overlaps, before they are summed.
 
-    Pairs are dealt by b, so the segments of a document that is a in very many pairs go to as many tasks.
+    Pairs are dealt by a, and where a has very many, MATES of them at a time, so most documents go to one task.
     """
     spark = pairs.sparkSession
     total = pairs.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(total / task_grams))
-    dealt = cut(pairs.select(F.pmod(F.xxhash64("b"), F.lit(buckets)).alias("bucket"), "a", "b"), "candidate-pairs")
+    mates = pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count(F.lit(1)) / MATES).alias("parts"))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(0)
+    dealt = pairs.join(mates, F.col("a") == F.col("of")).select(F.pmod(F.xxhash64("a", part), F.lit(buckets)).alias("bucket"), "a", "b")
+    dealt = cut(dealt, "candidate-pairs")
     need = cut(dealt.select("bucket", F.col("a").alias("id")).unionByName(dealt.select("bucket", F.col("b").alias("id"))).distinct(), "candidate-documents")
     wanted = spark.sparkContext.broadcast(_id_bitmap(need, need.count()))
     cutter = _segments(wanted, fragments)
@@ -594,8 +599,7 @@ def _links(sets: DataFrame, ids, percent: int, levels: tuple[int, ...] = LEVELS,
         together = join_hot(parts.select("key", F.col("id").alias("b")), whole, "key", "weight", whole.agg(F.sum("weight")).first()[0] or 0, "b").select("a", "b").distinct()
         together = cut(together, "split-families")
     sketches = sets.select("id", F.col("n").cast("int").alias("n"), "sketch")
-    # A shuffle at any size: sketches are too large to be broadcast but in small tables.
-    met = rows.join(sketches.hint("merge"), ["id", "n"]).select("key", "sub", "n", "id", "sketch").repartition("key", "sub").sortWithinPartitions("key", "sub", "n", "id")
+    met = rows.join(sketches, ["id", "n"]).select("key", "sub", "n", "id", "sketch").repartition("key", "sub").sortWithinPartitions("key", "sub", "n", "id")
     forests = met.mapInArrow(_compatible(percent), "a long, b long, n long")
     tested = cut(forests.groupBy("a", "b").agg(F.max("n").alias("n")), "pairs")
     links = cut(_verified(tested, sets, percent), "links")
