@@ -389,21 +389,29 @@ def _prefixes(percent: int, levels, unsplit: int, members):
     return run
 
 
-def _shared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, sub, subs, n, id), sorted so, those that share key and sub with another, and all of split keys."""
-    held, last = None, None  # the last row, if it is alone so far; key and sub of the last row
-    for batch in source:
-        if not batch.num_rows:
-            continue
-        batch = _one([held, batch]) if held is not None else batch
-        k, sub, subs = (batch.column(j).to_numpy() for j in range(3))
-        same = _same_before(k, sub)
-        keep = same | np.append(same[1:], False) | (subs > 1)
-        if held is None and last is not None:
-            keep[0] |= (k[0], sub[0]) == last
-        held, last = (None if keep[-1] else batch.slice(batch.num_rows - 1)), (k[-1], sub[-1])
-        if keep.any():
-            yield batch.filter(pa.array(keep))
+def _shared(percent: int):
+    """Of rows (key, sub, subs, n, id), sorted so, those that share key and sub with one whose size allows a link, and all of split keys.
+
+    Rows are sorted by size: if the next one is too large, so are all after it.
+    """
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, None  # the last row, if it is alone so far; key, sub and size of the last row
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            batch = _one([held, batch]) if held is not None else batch
+            k, sub, subs, n = (batch.column(j).to_numpy() for j in range(4))
+            n = n.astype(np.int64)
+            same = _same_before(k, sub) & np.append(False, 100 * n[:-1] >= percent * n[1:])
+            keep = same | np.append(same[1:], False) | (subs > 1)
+            if held is None and last is not None:
+                keep[0] |= (k[0], sub[0]) == last[:2] and 100 * last[2] >= percent * n[0]
+            held, last = (None if keep[-1] else batch.slice(batch.num_rows - 1)), (k[-1], sub[-1], n[-1])
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return run
 
 
 def _segments(wanted, fragments: int):
@@ -587,7 +595,7 @@ def _links(sets: DataFrame, ids, percent: int, levels: tuple[int, ...] = LEVELS,
     shared_maps = sets.sparkSession.sparkContext.broadcast(maps)
     index = sets.select("id", "grams").mapInArrow(_prefixes(percent, shared_maps, len(levels), ids), "key long, sub int, subs int, n int, id long")
     parted = index.repartition("key", "sub").sortWithinPartitions("key", "sub", "subs", "n", "id")
-    shared = cut(parted.mapInArrow(_shared, "key long, sub int, subs int, n int, id long"), "shared-grams")
+    shared = cut(parted.mapInArrow(_shared(percent), "key long, sub int, subs int, n int, id long"), "shared-grams")
     rows, together = shared.select("key", "sub", "n", "id"), None
     if len(maps) > len(levels):
         # The least document of each size class goes to all parts of a split bucket.
