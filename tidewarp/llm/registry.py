@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .filter_audit import OP13_SQL, op13_filter_audit
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .mixing import OP9_SQL, op9_poisson_mixing
 from .ngram_join import OP2_SQL, op2_ngram_jaccard
@@ -26,6 +27,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_poisson_mixing,
         op10_toxicity,
+        op13_filter_audit,
         secret_base_counts,
     )
 }
@@ -37,4 +39,5 @@ ORACLES = {
     "op7_line_dedup": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_poisson_mixing": OP9_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
