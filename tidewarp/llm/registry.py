@@ -8,6 +8,7 @@ from .line_dedup import OP7_SQL, op7_line_dedup
 from .mixing import OP9_SQL, op9_poisson_mixing
 from .ngram_join import OP2_SQL, op2_ngram_jaccard
 from .packing import op6_harmonic_packing
+from .quality import op12_quality_discriminant
 from .secrets import BASE_SQL, op5_secret_scan, secret_base_counts
 from .sharding import OP3_SQL, op3_extendible_sharding
 from .topk import OP1_SQL, op1_topk_codes
@@ -27,6 +28,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_poisson_mixing,
         op10_toxicity,
+        op12_quality_discriminant,
         op13_filter_audit,
         secret_base_counts,
     )
