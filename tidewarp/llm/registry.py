@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP11_SQL, op11_collocations
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .filter_audit import OP13_SQL, op13_filter_audit
 from .line_dedup import OP7_SQL, op7_line_dedup
@@ -28,6 +29,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_poisson_mixing,
         op10_toxicity,
+        op11_collocations,
         op12_quality_discriminant,
         op13_filter_audit,
         secret_base_counts,
@@ -41,5 +43,6 @@ ORACLES = {
     "op7_line_dedup": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_poisson_mixing": OP9_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_filter_audit": OP13_SQL,
 }
