@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..series import SeriesSpec, Step, next_time, wall_seconds
+from .slices import Slices, own_rows
 
 
-def _days(spec: SeriesSpec):
-    return F.date_diff(F.col(spec.time), F.lag(spec.time).over(spec.ordered()))
-
-
-def _gap(df: DataFrame, spec: SeriesSpec, unit: str):
-    """Time since the row before: gap_days, or gap_seconds on the series' own clock."""
+def _gaps(df: DataFrame, spec: SeriesSpec, unit: str) -> DataFrame:
+    """(keys, time, after, gap_days or gap_seconds): each row but a series' first, with the time before it and how long ago that was on the series' own clock."""
     if unit not in ("days", "seconds"):
         raise ValueError("gaps are in days or seconds")
+    rows, over = Slices.of(df.select(*spec.keys, spec.time), spec).blocks(before=1)
+    rows = own_rows(rows.withColumn("after", F.lag(spec.time).over(over)))
     if unit == "days":
-        return _days(spec)
-    wall = wall_seconds(F.col(spec.time), df.schema[spec.time].dataType)
-    return wall - F.lag(wall).over(spec.ordered())
+        gap = F.date_diff(spec.time, "after")
+    else:
+        gap = wall_seconds(F.col(spec.time), df.schema[spec.time].dataType) - wall_seconds(F.col("after"), df.schema[spec.time].dataType)
+    return rows.withColumn(f"gap_{unit}", gap).where(F.col(f"gap_{unit}").isNotNull())
 
 
 def sampling_gaps(df: DataFrame, spec: SeriesSpec, unit: str = "days") -> DataFrame:
     """(keys, gap_days or gap_seconds, n): how often neighbours are so far apart."""
     name = f"gap_{unit}"
-    gaps = df.withColumn(name, _gap(df, spec, unit)).where(F.col(name).isNotNull())
-    return gaps.groupBy(*spec.keys, name).agg(F.count(F.lit(1)).alias("n"))
+    return _gaps(df, spec, unit).groupBy(*spec.keys, name).agg(F.count(F.lit(1)).alias("n"))
 
 
 def modal_gap(df: DataFrame, spec: SeriesSpec, unit: str = "days") -> DataFrame:
@@ -38,8 +37,7 @@ def modal_gap(df: DataFrame, spec: SeriesSpec, unit: str = "days") -> DataFrame:
 
 def gap_report(df: DataFrame, spec: SeriesSpec, usual: int = 1) -> DataFrame:
     """(keys, after, gap_days): where more than the usual number of days pass."""
-    rows = df.withColumns({"gap_days": _days(spec), "after": F.lag(spec.time).over(spec.ordered())})
-    return rows.where(F.col("gap_days") > usual).select(*spec.keys, "after", "gap_days")
+    return _gaps(df, spec, "days").where(F.col("gap_days") > usual).select(*spec.keys, "after", "gap_days")
 
 
 def regularise(df: DataFrame, spec: SeriesSpec, fill: float | None = None, step_days: int = 1, freq: str | int | Step | None = None, static: DataFrame | None = None, hierarchy: dict[str, list[str]] | None = None) -> DataFrame:
@@ -78,29 +76,28 @@ def with_totals(df: DataFrame, spec: SeriesSpec, hierarchy: dict[str, list[str]]
 
 
 def forward_fill(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    return df.withColumn(spec.target, F.last(spec.target, ignorenulls=True).over(spec.ordered()))
+    """Unknown values become the last known one; slices carry theirs on."""
+    rows = Slices.of(df, spec).carried(F.col(f"`{spec.target}`"))
+    return rows.withColumn(spec.target, F.col("__tw_before")["v"]).select(*df.columns)
 
 
 def interpolate(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Linear by position between known values; after the last one it stays, before the first it is null."""
-    here = F.row_number().over(spec.ordered())
-    rows = df.withColumn("__n", here).withColumn("__k", F.when(F.col(spec.target).isNotNull(), F.col("__n")))
-    back, ahead = spec.ordered().rowsBetween(Window.unboundedPreceding, 0), spec.ordered().rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumns({
-        "__y0": F.last(spec.target, True).over(back), "__n0": F.last("__k", True).over(back),
-        "__y1": F.first(spec.target, True).over(ahead), "__n1": F.first("__k", True).over(ahead),
-    })
-    slope = (F.col("__y1") - F.col("__y0")) * (F.col("__n") - F.col("__n0")) / (F.col("__n1") - F.col("__n0"))
-    value = F.when(F.col("__n1").isNull() | (F.col("__n1") == F.col("__n0")), F.col("__y0")).otherwise(F.col("__y0") + slope)
-    return rows.withColumn(spec.target, F.coalesce(spec.target, value)).drop("__n", "__k", "__y0", "__n0", "__y1", "__n1")
+    rows = Slices.of(df, spec).carried(F.col(f"`{spec.target}`"))
+    a, b = F.col("__tw_before"), F.col("__tw_after")
+    line = a["v"] + (b["v"] - a["v"]) * (F.col("__tw_rn") - a["rn"]) / (b["rn"] - a["rn"])
+    value = F.when(b["rn"].isNull() | (b["rn"] == a["rn"]), a["v"]).otherwise(line)
+    return rows.withColumn(spec.target, F.coalesce(F.col(f"`{spec.target}`"), value)).select(*df.columns)
 
 
 def repair_outliers(df: DataFrame, spec: SeriesSpec, window: int = 7, limit: float = 3.0) -> DataFrame:
     """Values further than ``limit`` deviations from the mean of the rows around become that mean; outlier tells which."""
-    around = spec.ordered().rowsBetween(-window, window)
-    rows = df.withColumns({"__m": F.avg(spec.target).over(around), "__s": F.stddev_pop(spec.target).over(around)})
-    odd = F.coalesce(F.abs(F.col(spec.target) - F.col("__m")) > limit * F.col("__s"), F.lit(False))
-    return rows.withColumn("outlier", odd).withColumn(spec.target, F.when(F.col("outlier"), F.col("__m")).otherwise(F.col(spec.target))).drop("__m", "__s")
+    rows, over = Slices.of(df, spec).blocks(before=window, after=window)
+    around = over.rowsBetween(-window, window)
+    rows = rows.withColumns({"__tw_m": F.avg(spec.target).over(around), "__tw_s": F.stddev_pop(spec.target).over(around)})
+    odd = F.coalesce(F.abs(F.col(spec.target) - F.col("__tw_m")) > limit * F.col("__tw_s"), F.lit(False))
+    rows = own_rows(rows.withColumn("outlier", odd).withColumn(spec.target, F.when(F.col("outlier"), F.col("__tw_m")).otherwise(F.col(spec.target))))
+    return rows.drop("__tw_m", "__tw_s")
 
 
 def future_index(df: DataFrame, spec: SeriesSpec, n: int, step_days: int = 1, freq: str | int | Step | None = None) -> DataFrame:

@@ -1,4 +1,10 @@
-"""Scalers per series: fit gives a table of parameters, transform and inverse join it."""
+"""Scalers per series: fit gives a table of parameters, transform and inverse join it.
+
+Order statistics come from a sample sort: the values of each series in ranges that Spark samples, with their
+positions (see slices.py). A quantile's knots are the values at positions that follow from the number of rows, so
+they are exact and no task holds a series; ranks are positions among the distinct values. Values are placed
+between the knots of Gauss ranks by an as-of merge over such ranges, with the nearest knots carried over their ends.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +13,19 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.shipping import ship
+from ..functions.tables import written
 from ..series import SeriesSpec
+from .slices import Slices
+
+
+#: Series with more than this share of all rows, fewer than so many, meet their parameters by broadcast.
+LONG = 1000
 
 
 def _joined(df: DataFrame, params: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -22,6 +34,48 @@ def _joined(df: DataFrame, params: DataFrame, spec: SeriesSpec) -> DataFrame:
     return df.crossJoin(F.broadcast(params))  # without keys the parameters are one row
 
 
+def _joined_long(df: DataFrame, params: DataFrame, spec: SeriesSpec, rows: str) -> DataFrame:
+    """As _joined(), but no task gets all rows of a long series: params tell by ``rows`` how many a series has, and long ones are few."""
+    keys = list(spec.keys)
+    if not keys:
+        return _joined(df, params, spec)
+    total = params.agg(F.sum(rows)).first()[0] or 0
+    long = F.col(rows) * LONG > total
+    hot, cold = params.where(long), params.where(~long)
+    others = [c for c in params.columns if c not in keys]
+    marked = df.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
+    known = marked.where("__hot").drop("__hot")
+    return known.unionByName(marked.where("__hot IS NULL").drop("__hot", *others).join(cold, keys))
+
+
+def exact_quantiles(df: DataFrame, keys: tuple[str, ...], value: str, knots: int) -> DataFrame:
+    """(keys, __knots, __rows): the quantiles 0, 1 / (knots - 1), ..., 1 of the known values, linear between order statistics.
+
+    Quantile j lies at position j * (rows - 1) / (knots - 1), so each row says itself of which quantiles it is the
+    value below or above; at most two rows a quantile are brought together.
+    """
+    rows = Slices(df.where(F.col(value).isNotNull()), keys, [value]).numbered("__rn", "__rows")
+    steps, rn = F.lit(knots - 1), F.col("__rn")
+    last = F.col("__rows") - 1
+
+    def of(position: Column) -> Column:
+        """The quantiles whose position is from here to the next row, as an array."""
+        up = lambda p: F.floor((p * steps + last - 1) / last).cast("long")
+        first, end = up(position), F.least(up(position + 1) - 1, steps.cast("long"))
+        return F.when(last == 0, F.sequence(F.lit(0).cast("long"), steps.cast("long"))).when(first <= end, F.sequence(first, end))
+
+    none = F.array().cast("array<long>")
+    below = F.transform(F.coalesce(of(rn), none), lambda j: F.struct(j.alias("j"), F.lit(True).alias("below")))
+    above = F.transform(F.coalesce(F.when(rn > 0, of(rn - 1)), none), lambda j: F.struct(j.alias("j"), F.lit(False).alias("below")))
+    asked = rows.withColumn("__k", F.explode(F.concat(below, above))).select(*keys, "__rows", value, "__k.j", "__k.below")
+    side = lambda below: F.max(F.when(F.col("below") == F.lit(below), F.col(value)))
+    found = asked.groupBy(*keys, "__rows", "j").agg(side(True).alias("__lo"), side(False).alias("__hi"))
+    share = F.pmod(F.col("j") * last, steps) / steps
+    found = found.select(*keys, "__rows", "j", F.when(share == 0, F.col("__lo")).otherwise(F.col("__lo") + (F.col("__hi") - F.col("__lo")) * share).alias("v"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"])
+    return written(found.groupBy(*keys, "__rows").agg(in_order.alias("__knots")), "quantiles")
+
+
 class Scaler:
     """min_max, standard or quantile (uniform on 1001 knots, linear between them)."""
 
@@ -40,8 +94,7 @@ class Scaler:
         elif self.name == "standard":
             self.params = groups.agg(F.avg(y).alias("__a"), F.stddev_pop(y).alias("__b"))
         else:
-            at = [i / (self.KNOTS - 1) for i in range(self.KNOTS)]
-            self.params = groups.agg(F.percentile(y, F.array(*map(F.lit, at))).alias("__knots"))
+            self.params = exact_quantiles(df.select(*self.spec.keys, y.cast("double").alias("__v")), self.spec.keys, "__v", self.KNOTS)
         return self
 
     def _count(self, knots: Column, test) -> Column:
@@ -58,13 +111,16 @@ class Scaler:
         inside = F.when(upto > below, (below + upto - 1) / 2.0).otherwise(upto - 1 + (y - low) / (high - low))
         return F.when(y <= F.get(k, F.lit(0)), 0.0).when(y >= F.get(k, F.lit(n)), 1.0).otherwise(inside / n)
 
+    def _with_params(self, df: DataFrame) -> DataFrame:
+        return _joined_long(df, self.params, self.spec, "__rows") if self.name == "quantile" else _joined(df, self.params, self.spec)
+
     def transform(self, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         a, b = F.col("__a"), F.col("__b")
         if self.name == "quantile":
             change = self._quantile
         else:
             change = lambda y: F.when(b == 0, y * 0.0).otherwise((y - a) / b)
-        out = _joined(df, self.params, self.spec)
+        out = self._with_params(df)
         return out.withColumns({c: change(F.col(c)) for c in columns or [self.spec.target]}).drop(*[c for c in self.params.columns if c.startswith("__")])
 
     def inverse(self, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -79,7 +135,7 @@ class Scaler:
                 return F.get(k, low) + (h - low) * (F.get(k, F.ceil(h).cast("int")) - F.get(k, low))
         else:
             change = lambda y: y * F.col("__b") + F.col("__a")
-        out = _joined(df, self.params, self.spec)
+        out = self._with_params(df)
         return out.withColumns({c: change(F.col(c)) for c in columns}).drop(*[c for c in self.params.columns if c.startswith("__")])
 
 
@@ -108,15 +164,14 @@ class GaussRankScaler:
         self.spec, self.epsilon, self.knots = spec, epsilon, None
 
     def fit(self, df: DataFrame) -> GaussRankScaler:
-        """Knots: (keys, value, score) of the distinct values with their neighbours' slopes."""
+        """Knots: (keys, value, score) of the distinct values, by their positions among them."""
         y, keys = self.spec.target, list(self.spec.keys)
         bound = 1.0 - self.epsilon
-        over = Window.partitionBy(*keys)
-        rows = df.where(F.col(y).isNotNull()).select(*keys, F.col(y).alias("value")).distinct()
-        rows = rows.withColumn("rank", F.row_number().over(over.orderBy("value")) - 1)
-        factor = F.max("rank").over(over) / 2.0 * bound
+        values = df.where(F.col(y).isNotNull()).select(*keys, F.col(y).alias("value")).distinct()
+        rows = Slices(values, keys, ["value"]).numbered("rank", "__n")
+        factor = (F.col("__n") - 1) / 2.0 * bound
         score = F.when(factor == 0, 0.0).otherwise(F.greatest(F.lit(-bound), F.least(F.lit(bound), F.col("rank") / factor - bound)))
-        self.knots = rows.withColumn("score", score)
+        self.knots = rows.withColumn("score", score).drop("__n")
         return self
 
     def ranks(self, df: DataFrame) -> DataFrame:
@@ -124,22 +179,18 @@ class GaussRankScaler:
         return self._between(df, "value", "score", self.spec.target, "score")
 
     def _between(self, df: DataFrame, x: str, s: str, column: str, name: str) -> DataFrame:
-        """Linear interpolation at a column by an as-of merge with the knots (one sort per series, no range join)."""
+        """Linear interpolation at a column by an as-of merge with the knots: both sorted in ranges, the nearest knots carried."""
         keys = list(self.spec.keys)
         own = df.select(*keys, F.col(column).cast("double").alias("__x"), F.lit(None).cast("double").alias("__s"), F.struct(*df.columns).alias("__row"))
         knots = self.knots.select(*keys, F.col(x).cast("double").alias("__x"), F.col(s).cast("double").alias("__s"))
-        merged = own.unionByName(knots, allowMissingColumns=True)
-        whole = Window.partitionBy(*keys)
-        knot = F.when(F.col("__s").isNotNull(), F.struct("__x", "__s"))
-        merged = merged.withColumns({
-            "__k0": F.last(knot, True).over(whole.orderBy("__x")), "__k1": F.last(knot, True).over(whole.orderBy(F.col("__x").desc())),
-            "__a": F.min(knot).over(whole), "__b": F.max(knot).over(whole),
-        })
+        merged = own.unionByName(knots, allowMissingColumns=True).withColumn("__own", F.col("__s").isNull())
+        found = Slices(merged, keys, ["__x", "__own"]).carried(F.when(~F.col("__own"), F.struct("__x", "__s")))
         # Beyond the ends the end knot's score holds (the callers clip there anyway).
-        lo, hi = F.coalesce("__k0", "__a"), F.coalesce("__k1", "__b")
+        past, ahead = F.col("__tw_before")["v"], F.col("__tw_after")["v"]
+        lo, hi = F.coalesce(past, ahead), F.coalesce(ahead, past)
         line = lo["__s"] + (F.col("__x") - lo["__x"]) * (hi["__s"] - lo["__s"]) / (hi["__x"] - lo["__x"])
-        value = F.when(F.col("__x").isNotNull(), F.when(lo["__x"] == hi["__x"], lo["__s"]).otherwise(line))
-        return merged.where("__row IS NOT NULL").select("__row.*", value.alias(name))
+        value = F.when(F.col("__x").isNotNull(), F.when((lo["__x"] == hi["__x"]) | (F.col("__x") == lo["__x"]), lo["__s"]).otherwise(line))
+        return found.where("__own").select("__row.*", value.alias(name))
 
     def transform(self, df: DataFrame) -> DataFrame:
         bound = 1.0 - self.epsilon

@@ -1,44 +1,51 @@
-"""Windows, splits, differences and smoothing over series. Every frame is partitioned by the series' keys."""
+"""Windows, splits, differences and smoothing over series.
+
+Series are cut in time slices (see slices.py), so a series of any length is worked on by many tasks; windows
+that reach over a block's end find the rows they need in its halo.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..series import SeriesSpec, numbered
+from ..series import SeriesSpec
+from .slices import Slices, own_rows
 
 
-def _frame(spec: SeriesSpec, column: str, first: int, last: int):
+def _frame(over: WindowSpec, column: str, first: int, last: int):
     """Values of positions first ... last from here; nulls keep their place."""
-    over = spec.ordered().rowsBetween(first, last)
-    return F.transform(F.collect_list(F.struct(F.col(column).alias("v"))).over(over), lambda s: s["v"])
+    return F.transform(F.collect_list(F.struct(F.col(column).alias("v"))).over(over.rowsBetween(first, last)), lambda s: s["v"])
 
 
 def supervised_windows(df: DataFrame, spec: SeriesSpec, window: int, horizon: int, step: int = 1) -> DataFrame:
     """(keys, start, x, y): window i has x = values i*step ... of length window and y the horizon values after."""
     if window < 1 or horizon < 1 or step < 1:
         raise ValueError("window, horizon and step must be positive")
-    rows = numbered(df, spec, "start").withColumns({"x": _frame(spec, spec.target, 0, window - 1), "y": _frame(spec, spec.target, window, window + horizon - 1)})
-    return rows.where((F.size("x") == window) & (F.size("y") == horizon) & (F.col("start") % step == 0)).select(*spec.keys, "start", "x", "y")
+    rows, over = Slices.of(df.select(*spec.columns()), spec).blocks(after=window + horizon - 1)
+    rows = rows.withColumns({"x": _frame(over, spec.target, 0, window - 1), "y": _frame(over, spec.target, window, window + horizon - 1)})
+    whole = F.col("__tw_own") & (F.col("__tw_rn") + (window + horizon) <= F.col("__tw_total")) & (F.col("__tw_rn") % step == 0)
+    return rows.where(whole).select(*spec.keys, F.col("__tw_rn").cast("int").alias("start"), "x", "y")
 
 
 def lag_windows(df: DataFrame, spec: SeriesSpec, window: int, step: int = 1, horizon: int = 1) -> DataFrame:
     """(keys, row, start, x): inference windows; each start is used ``horizon`` times and jumps by horizon * step."""
     if window < 1 or horizon < 1 or step < 1:
         raise ValueError("window, horizon and step must be positive")
-    rows = numbered(df, spec, "start").withColumns({"x": _frame(spec, spec.target, 0, window - 1), "n": F.count(F.lit(1)).over(spec.whole()).cast("int")})
-    rows = rows.where((F.size("x") == window) & (F.col("start") % (step * horizon) == 0))
+    rows, over = Slices.of(df.select(*spec.columns()), spec).blocks(after=window - 1)
+    rows = rows.withColumn("x", _frame(over, spec.target, 0, window - 1)).withColumn("start", F.col("__tw_rn").cast("int"))
+    rows = rows.where(F.col("__tw_own") & (F.col("start") + window <= F.col("__tw_total")) & (F.col("start") % (step * horizon) == 0))
     first = (F.col("start") / step).cast("int")
-    repeated = rows.withColumn("row", F.explode(F.sequence(first, first + horizon - 1))).where("row < n")
+    repeated = rows.withColumn("row", F.explode(F.sequence(first, first + horizon - 1))).where(F.col("row") < F.col("__tw_total"))
     return repeated.select(*spec.keys, "row", "start", "x")
 
 
 def ordered_split(df: DataFrame, spec: SeriesSpec, fraction: float) -> DataFrame:
     """df with part = train for the first floor(fraction * n) rows of a series, else test."""
-    n = F.count(F.lit(1)).over(spec.whole())
-    cut = F.floor(n * F.lit(float(fraction)))
-    return numbered(df, spec).withColumn("part", F.when(F.col("rn") < cut, "train").otherwise("test")).drop("rn")
+    rows = Slices.of(df, spec).numbered("__tw_rn", "__tw_total")
+    cut = F.floor(F.col("__tw_total") * F.lit(float(fraction)))
+    return rows.withColumn("part", F.when(F.col("__tw_rn") < cut, "train").otherwise("test")).drop("__tw_rn", "__tw_total")
 
 
 def tail(df: DataFrame, spec: SeriesSpec, k: int) -> DataFrame:
@@ -52,22 +59,20 @@ def head(df: DataFrame, spec: SeriesSpec, k: int) -> DataFrame:
 
 
 def difference(df: DataFrame, spec: SeriesSpec, name: str = "diff", lag: int = 1) -> DataFrame:
-    return df.withColumn(name, F.col(spec.target) - F.lag(spec.target, lag).over(spec.ordered()))
+    rows, over = Slices.of(df, spec).blocks(before=lag)
+    return own_rows(rows.withColumn(name, F.col(spec.target) - F.lag(spec.target, lag).over(over)))
 
 
 def moving_average(df: DataFrame, spec: SeriesSpec, window: int = 3, name: str = "moving_average") -> DataFrame:
     """Rolling mean; the first window - 1 rows of a series are dropped."""
-    rows = numbered(df, spec).withColumn(name, F.avg(spec.target).over(spec.ordered().rowsBetween(-(window - 1), 0)))
-    return rows.where(F.col("rn") >= window - 1).drop("rn")
+    rows, over = Slices.of(df, spec).blocks(before=window - 1)
+    return own_rows(rows.withColumn(name, F.avg(spec.target).over(over.rowsBetween(-(window - 1), 0))).where(F.col("__tw_rn") >= window - 1))
 
 
 def last_features(df: DataFrame, spec: SeriesSpec, window: int, columns: list[str]) -> DataFrame:
     """(keys, start, columns): of each window only the features at its last row."""
-    over = spec.ordered().rowsBetween(window - 1, window - 1)
-    rows = numbered(df, spec, "start")
-    n = F.count(F.lit(1)).over(spec.whole())
-    rows = rows.withColumns({c: F.last(c).over(over) for c in columns}).withColumn("__n", n)
-    return rows.where(F.col("start") + window <= F.col("__n")).select(*spec.keys, "start", *columns)
+    rows = Slices.of(df, spec).numbered("__tw_rn").where(F.col("__tw_rn") >= window - 1)
+    return rows.select(*spec.keys, (F.col("__tw_rn") - (window - 1)).cast("int").alias("start"), *columns)
 
 
 def wide_features(df: DataFrame, spec: SeriesSpec, window: int, horizon: int, differences: int = 1, smoothing: int = 2) -> DataFrame:

@@ -376,7 +376,12 @@ def scale_round_trip(spark, sf_dir):
     return out.withColumn("y", r("y", 7))
 
 
-@query()
+_AT = "(SELECT list_transform(range(0, 1001), lambda j: CASE WHEN (j * (n - 1)) % 1000 = 0 THEN s[j * (n - 1) // 1000 + 1] ELSE s[j * (n - 1) // 1000 + 1] + (s[j * (n - 1) // 1000 + 2] - s[j * (n - 1) // 1000 + 1]) * (((j * (n - 1)) % 1000) / 1000.0::DOUBLE) END))"
+
+
+@query(f"""WITH {BY_STATUS}, o AS (SELECT status, list(y ORDER BY y) AS s, count(*) AS n FROM sta GROUP BY 1), k AS (SELECT status, {_AT} AS k FROM o),
+p AS (SELECT status, ds, y, k, len(list_filter(k, lambda v: v < y)) AS below, len(list_filter(k, lambda v: v <= y)) AS upto FROM sta JOIN k USING (status))
+SELECT status, ds, round(CASE WHEN y <= k[1] THEN 0 WHEN y >= k[1001] THEN 1 WHEN upto > below THEN (below + upto - 1) / 2.0::DOUBLE / 1000 ELSE (upto - 1 + (y - k[upto]) / (k[upto + 1] - k[upto])) / 1000 END, 8) AS y FROM p""", dates="ds")
 def scale_quantile(spark, sf_dir):
     df = by_status(spark, sf_dir)
     return scaling.Scaler(STATUS, "quantile").fit(df).transform(df).withColumn("y", r("y"))
