@@ -100,9 +100,10 @@ def test_buckets_spill(spark, monkeypatch, tmp_path):
 
     monkeypatch.setattr(collocations, "MEMORY", "20MB")
     step = 100_000
-    batches = (pa.record_batch({"chunk": np.full(step, i), "lang": ["en"] * step, "phrase": [f"a rather long phrase with the number {j}" for j in range(i, step + i)], "n": np.ones(step, np.int64)}) for i in range(12))
+    tables = [pa.table({"lang": ["en"] * step, "phrase": [f"a rather long phrase with the number {j}" for j in range(i, step + i)], "n": np.ones(step, np.int64)}) for i in range(12)]
+    batches = (pa.record_batch({"bucket": np.array([k]), "grams": [collocations._packed(t)]}) for k in (1, 2) for t in tables)
     found = pa.Table.from_batches(collocations._bucket(12, str(tmp_path))(batches))
-    assert len(found) == 12 * (step - 11) and set(found["f"].to_pylist()) == {12}
+    assert len(found) == 2 * (step - 11) and set(found["f"].to_pylist()) == {12}
     assert not list(tmp_path.iterdir())
 
 

@@ -4,23 +4,24 @@ Texts are cut at PIECE_ENDS into pieces and those into words; a phrase is 2 to `
 
 1. Identical pieces of a language become one piece with a multiplicity (a map-side combined count), written
    once. Chunks of about CHUNK bytes of distinct pieces, chosen by hash, are what tasks work on from here.
-2. Phrases are counted level by level, and only those whose parts are frequent enough: words first, then pairs
-   of frequent words, then three and more words whose pairs are all frequent. A chunk adds up its own weighted
-   n-grams (numpy, over word numbers) and sends each once, with its number of the chunk, to the n-gram's hash
-   bucket. There duckdb sums them, out of core: a bucket's rows stream into its table, which spills beyond
-   MEMORY. Frequent n-grams go back to each chunk that sent them: those replies, not a global dictionary, tell
-   a chunk what to combine on the next level. A hot n-gram is one row a chunk.
-3. Every part of a candidate is itself frequent, so it has been counted. A candidate sends a request for each of its
+2. Which n-grams can be frequent is found by numbers alone. A chunk adds up its own weighted words and pairs
+   (numpy, over 64-bit hashes) and sends each hash bucket one message: 32-bit fingerprints and sums. The bucket
+   adds up the messages and tells each chunk which of its fingerprints reach ``least``. Fingerprints that collide
+   only let more n-grams through.
+3. A chunk then sends the strings and sums of the words and pairs that may be frequent, and of the longer
+   n-grams all of whose pairs may be, to the n-gram's hash bucket. There duckdb counts them, exactly and out
+   of core: a bucket's messages stream into its table, which spills beyond MEMORY. A hot n-gram is one row a chunk.
+4. Every part of a candidate is itself frequent, so it has been counted. A candidate sends a request for each of its
    parts to that part's count (parts that very many candidates ask for are broadcast, see common.join_hot), and
    the replies meet again by candidate, where the lowest-scoring cut wins.
-4. A candidate inside a longer one of the same count is dropped. Counts never grow with length, so if any longer
+5. A candidate inside a longer one of the same count is dropped. Counts never grow with length, so if any longer
    one has the count, one longer by one word has: each candidate tells its two parts that are one word shorter.
 
-Phrases are compared as strings, never by hashes. Products are decimals of 38 digits.
+Phrases are counted as strings, never by hashes. Products are decimals of 38 digits.
 
 duckdb spills into the shared folder where that is a path of the file system (local or mounted). Elsewhere it
 has nowhere to spill that isn't machine-local; buckets then have to fit MEMORY, which their number (a bucket
-for each BUCKET rows) sees to.
+for each BUCKET n-grams) sees to.
 
 Defined cases: null text is empty, null language is ``und``. Pieces without words are none. Repeated rows
 count each. Texts of any length are read whole. Fewer candidates than ``most`` are returned as they are; an
@@ -38,6 +39,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,15 +49,17 @@ from .common import ascii_lower, cut, join_hot, scratch, table, text_or_empty
 #: A piece ends at each of these.
 PIECE_ENDS = "[.,;:!?\\n-\\r]"
 #: Bytes of the distinct pieces of a chunk, about.
-CHUNK = 12 << 20
-#: Rows of (n-gram, chunk) of a bucket, about, and what duckdb may hold of them.
-BUCKET = 1_000_000
+CHUNK = 6 << 20
+#: N-grams of a bucket, about, and what duckdb may hold of them.
+BUCKET = 1_500_000
 MEMORY = "160MB"
 #: Candidates of a language's group that is ranked in one task, about.
 RANKED = 100_000
 
-GRAMS = "chunk long, lang string, phrase string, n long"
-REPLIES = "chunk long, lang string, phrase string, f long"
+SUMS = "bucket long, chunk long, prints binary, n binary"
+REPLIES = "bucket long, chunk long, prints binary"
+STRINGS = "bucket long, grams binary"
+COUNTS = "lang string, phrase string, f long"
 
 
 def distinct_pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -68,120 +72,177 @@ def distinct_pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     return cut(counted.withColumn("words", spaces + 1), "pieces")
 
 
+#: Odd multipliers of the hash of an n-gram, from the one of its first words and the next word's.
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * _LEFT + b * _RIGHT
+    x ^= x >> np.uint64(31)
+    x *= _LEFT
+    return x ^ (x >> np.uint64(29))
+
+
+def _hashed(strings: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in strings.cast(pa.binary()).to_pylist()), np.uint64, len(strings))
+
+
 class _Chunk:
     """A chunk's words as numbers: ``code`` of each word, the row of ``pieces`` it is in, ``lang`` and weight of that row."""
 
-    def __init__(self, pieces: pa.Table):
+    def __init__(self, pieces: pa.Table, bits: int):
         split = pc.split_pattern(pieces["piece"].combine_chunks(), " ")
         flat = split.flatten().dictionary_encode()
-        self.words, self.code = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
-        self.row = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
         langs = pieces["lang"].combine_chunks().dictionary_encode()
-        self.langs, self.lang = langs.dictionary, langs.indices.to_numpy().astype(np.int64)[self.row]
-        self.weight = pieces["n"].to_numpy()[self.row]
-
-    def numbered(self, replies: pa.Table, longest: int) -> list[np.ndarray]:
-        """For each length 1 to ``longest``, the number of the reply that starts at each word, or -1."""
-        words = {w: i for i, w in enumerate(self.words.to_pylist())}
-        langs = {x: i for i, x in enumerate(self.langs.to_pylist())}
-        known: list[tuple[list, list]] = [([], []) for _ in range(longest)]
-        for at, (lang, phrase) in enumerate(zip(replies["lang"].to_pylist(), replies["phrase"].to_pylist(), strict=True)):
-            parts = phrase.split(" ")
-            known[len(parts) - 1][0].append((langs[lang], *(words[w] for w in parts)))
-            known[len(parts) - 1][1].append(at)
-        out = []
-        for length, (rows, at) in enumerate(known, 1):
-            there = self.together(length)
-            found = np.full(len(self.code), -1)
-            if rows and len(there):
-                own = np.stack([self.lang[there], *(self.code[there + i] for i in range(length))], axis=1)
-                wanted = np.array(rows, np.int64)
-                number = _numbers(np.concatenate([wanted, own]))
-                place = np.full(number.max() + 1, -1)
-                place[number[: len(wanted)]] = at
-                found[there] = place[number[len(wanted) :]]
-            out.append(found)
-        return out
-
-    def together(self, length: int) -> np.ndarray:
-        """The words that start ``length`` words of one piece."""
-        starts = np.arange(max(0, len(self.row) - length + 1))
-        return starts[self.row[starts] == self.row[starts + length - 1]]
-
-    def sums(self, starts: np.ndarray, length: int) -> pa.Table:
-        """(lang, phrase, n) of the n-grams at ``starts``, each once."""
-        if not len(starts):
-            return pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
-        number = _numbers(np.stack([self.lang[starts], *(self.code[starts + i] for i in range(length))], axis=1))
-        _, first, at = np.unique(number, return_index=True, return_inverse=True)
-        n = np.zeros(len(first), np.int64)
-        np.add.at(n, at, self.weight[starts])
-        first = starts[first]
-        parts = [self.words.take(pa.array(self.code[first + i])) for i in range(length)]
-        phrase = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
-        return pa.table({"lang": self.langs.take(pa.array(self.lang[first])), "phrase": phrase, "n": pa.array(n)})
-
-
-def _numbers(rows: np.ndarray) -> np.ndarray:
-    """A number for each row of numbers, equal for equal rows only."""
-    number = rows[:, 0]
-    for column in rows.T[1:]:
-        number = np.unique(number * (int(column.max()) + 1) + column, return_inverse=True)[1]
-    return number
-
-
-def _grams(tables: list[pa.Table], chunk: pa.Scalar) -> pa.Table:
-    found = pa.concat_tables(tables)
-    return found.select(["lang", "phrase", "n"]).add_column(0, "chunk", pa.array(np.full(len(found), chunk.as_py(), np.int64)))
-
-
-def _words(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
-    chunk = _Chunk(pieces)
-    return _grams([chunk.sums(np.arange(len(chunk.code)), 1)], key[0])
-
-
-def _pairs(key: tuple[pa.Scalar, ...], pieces: pa.Table, replies: pa.Table) -> pa.Table:
-    """Pairs of frequent words."""
-    chunk = _Chunk(pieces)
-    good = chunk.numbered(replies, 1)[0] >= 0
-    starts = chunk.together(2)
-    return _grams([chunk.sums(starts[good[starts] & good[starts + 1]], 2)], key[0])
-
-
-def _longer(longest: int):
-    """Three words and more whose pairs are all frequent."""
+        self.words, self.langs, self.bits = flat.dictionary, langs.dictionary, bits
+        self.code = flat.indices.to_numpy().astype(np.int32)
+        row = np.repeat(np.arange(len(split), dtype=np.int32), np.diff(split.offsets.to_numpy()))
+        self.lang = langs.indices.to_numpy().astype(np.int32)[row]
+        self.weight = pieces["n"].to_numpy()[row]
+        #: How many words of the piece are left from each word on, itself included.
+        ends = np.cumsum(np.diff(split.offsets.to_numpy()))
+        self.left = (ends[row] - np.arange(len(row))).astype(np.int32)
+
+    def hashes(self, longest: int) -> list[np.ndarray]:
+        """For each length 1 to ``longest`` the hashes of the n-grams that start at the words of starts(length)."""
+        word = _hashed(self.words)[self.code]
+        found = [_mixed(_hashed(self.langs)[self.lang], word)]
+        for length in range(2, longest + 1):
+            starts = self.starts(length)
+            last = found[-1][np.searchsorted(self.starts(length - 1), starts)] if length > 2 else found[0][starts]
+            found.append(_mixed(last, word[starts + length - 1]))
+        return found
+
+    def starts(self, length: int) -> np.ndarray:
+        return np.flatnonzero(self.left >= length)
+
+    def bucket(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
+
+    def prints(self, hashes: np.ndarray) -> np.ndarray:
+        """32 bits after those of the bucket."""
+        return (hashes >> np.uint64(32 - self.bits)).astype(np.uint32)
+
+
+def _summed(values: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, the sums of their weights, and where each of them is found."""
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.add.reduceat(weight[order], first) if len(first) else np.zeros(0, np.int64), order[first]
+
+
+def _sums(bits: int, words: int):
+    """A chunk's messages of its words and, with words = 2, pairs."""
+
+    def run(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
+        chunk = _Chunk(pieces, bits)
+        hashes = chunk.hashes(words)
+        found, n, _ = _summed(np.concatenate(hashes), np.concatenate([chunk.weight[chunk.starts(i + 1)] for i in range(words)]))
+        buckets, first = np.unique(chunk.bucket(found), return_index=True)
+        ends = np.append(first, len(found))[1:]
+        prints = chunk.prints(found)
+        spans = list(zip(first.tolist(), ends.tolist(), strict=True))
+        return pa.table({"bucket": pa.array(buckets), "chunk": pa.array(np.full(len(spans), key[0].as_py(), np.int64)), "prints": pa.array([prints[a:b].tobytes() for a, b in spans], pa.binary()), "n": pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())})
+
+    return run
+
+
+def _replies(least: int):
+    """What a bucket tells each chunk: its fingerprints that reach ``least`` over all chunks."""
+
+    def run(key: tuple[pa.Scalar, ...], messages: pa.Table) -> pa.Table:
+        sent = [np.frombuffer(x, np.uint32) for x in messages["prints"].to_pylist()]
+        found, n, _ = _summed(np.concatenate(sent), np.concatenate([np.frombuffer(x, np.int64) for x in messages["n"].to_pylist()]))
+        found = found[n >= least]
+        return pa.table({"bucket": messages["bucket"], "chunk": messages["chunk"], "prints": pa.array([np.intersect1d(x, found).tobytes() for x in sent], pa.binary())})
+
+    return run
+
+
+def _strings(bits: int, longest: int):
+    """A chunk's n-grams that may be frequent, each once with its sum: a message of Arrow bytes for each bucket."""
 
     def run(key: tuple[pa.Scalar, ...], pieces: pa.Table, replies: pa.Table) -> pa.Table:
-        chunk = _Chunk(pieces)
-        good = chunk.numbered(replies, 2)[1] >= 0
-        out = []
-        for length in range(3, longest + 1):
-            starts = chunk.together(length)
-            fits = np.ones(len(starts), bool)
-            for i in range(length - 1):
-                fits &= good[starts + i]
-            out.append(chunk.sums(starts[fits], length))
-        return _grams(out, key[0])
+        chunk = _Chunk(pieces, bits)
+        hashes = chunk.hashes(longest)
+        # Bucket and fingerprint in one number; each is below 2^32.
+        known = [np.int64(b) << np.int64(32) | np.frombuffer(x, np.uint32).astype(np.int64) for b, x in zip(replies["bucket"].to_pylist(), replies["prints"].to_pylist(), strict=True)]
+        known = np.sort(np.concatenate(known)) if known else np.zeros(0, np.int64)
+        good = np.zeros(len(chunk.code), bool)
+        grams, buckets = [], []
+        for length, own in enumerate(hashes, 1):
+            starts = chunk.starts(length)
+            if length <= 2:
+                number = chunk.bucket(own) << np.int64(32) | chunk.prints(own).astype(np.int64)
+                at = np.searchsorted(known, number)
+                fits = known[np.minimum(at, len(known) - 1)] == number if len(known) else np.zeros(len(number), bool)
+                if length == 2:
+                    good[starts] = fits
+            else:
+                fits = np.logical_and.reduce([good[starts + i] for i in range(length - 1)])
+            starts, own = starts[fits], own[fits]
+            grams.append(_distinct(chunk, starts, length))
+            buckets.append(chunk.bucket(own[grams[-1].pop("at")]))
+        found = pa.concat_tables([pa.table(g) for g in grams])
+        bucket = np.concatenate(buckets)
+        order = np.argsort(bucket, kind="stable")
+        found, (places, first) = found.take(pa.array(order)), np.unique(bucket[order], return_index=True)
+        ends = np.append(first, len(found))[1:]
+        return pa.table({"bucket": pa.array(places), "grams": pa.array([_packed(found.slice(a, b - a)) for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
     return run
 
 
+def _distinct(chunk: _Chunk, starts: np.ndarray, length: int) -> dict:
+    """lang, phrase and n of the distinct n-grams at ``starts``, and where in starts each is found."""
+    number = chunk.lang[starts].astype(np.int64)
+    for i in range(length):
+        number = np.unique(number * len(chunk.words) + chunk.code[starts + i], return_inverse=True)[1]
+    _, n, at = _summed(number, chunk.weight[starts])
+    first = starts[at]
+    parts = [chunk.words.take(pa.array(chunk.code[first + i])) for i in range(length)]
+    phrase = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
+    return {"lang": chunk.langs.take(pa.array(chunk.lang[first])), "phrase": phrase, "n": pa.array(n), "at": at}
+
+
+def _packed(grams: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, grams.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_table(grams)
+    return out.getvalue().to_pybytes()
+
+
 def _bucket(least: int, folder: str | None):
-    """The rows of n-grams found ``least`` times over all chunks, n replaced by the sum f, by duckdb."""
+    """(lang, phrase, f): the n-grams of buckets that reach ``least``, by duckdb. Rows are sorted by bucket."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
         own = f"{folder}/{uuid.uuid4().hex}" if folder else ""
         con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": own, "preserve_insertion_order": False})
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            yield from con.sql(f"SELECT lang, phrase, sum(n)::BIGINT AS f FROM grams GROUP BY ALL HAVING sum(n) >= {int(least)}").to_arrow_reader(10_000)
+            con.execute("DROP TABLE grams")
+
+        def fresh() -> None:
+            con.execute("CREATE TABLE grams (lang VARCHAR, phrase VARCHAR, n BIGINT)")
+
         try:
-            con.execute("CREATE TABLE grams (chunk BIGINT, lang VARCHAR, phrase VARCHAR, n BIGINT)")
+            now = None
             for batch in source:
-                con.register("batch", pa.Table.from_batches([batch]))
-                con.execute("INSERT INTO grams SELECT * FROM batch")
-                con.unregister("batch")
-            con.execute(f"CREATE TABLE often AS SELECT lang, phrase, sum(n)::BIGINT AS f FROM grams GROUP BY ALL HAVING sum(n) >= {int(least)}")
-            yield from con.sql("SELECT chunk, lang, phrase, f FROM grams JOIN often USING (lang, phrase)").to_arrow_reader(10_000)
+                for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if bucket != now:
+                        if now is not None:
+                            yield from counted()
+                        fresh()
+                        now = bucket
+                    con.register("message", pa.ipc.open_stream(packed).read_all())
+                    con.execute("INSERT INTO grams SELECT * FROM message")
+                    con.unregister("message")
+            if now is not None:
+                yield from counted()
         finally:
             con.close()
             if own:
@@ -199,28 +260,18 @@ def _spill(path: str) -> str | None:
     return place.path
 
 
-def frequent(grams: DataFrame, least: int, what: str) -> DataFrame:
-    """(chunk, lang, phrase, f): the rows of GRAMS whose n-gram occurs ``least`` times in all."""
-    rows = cut(grams, f"{what}-grams")
-    buckets = max(grams.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // BUCKET))
-    dealt = rows.repartition(buckets, "lang", "phrase")
-    return cut(dealt.mapInArrow(_bucket(least, _spill(scratch(grams.sparkSession, f"{what}-spill"))), REPLIES), f"{what}-frequent")
-
-
 def phrase_counts(pieces: DataFrame, least: int = 100, longest: int = 5) -> DataFrame:
     """(lang, phrase, f) of all words and phrases of up to ``longest`` words that occur ``least`` times in distinct_pieces()."""
     spark = ship(pieces).sparkSession
-    size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    chunks = max(1, -(-size // CHUNK))
+    size, words = pieces.agg(F.sum(F.octet_length("piece")), F.sum("words")).first()
+    chunks = max(1, -(-(size or 0) // CHUNK))
+    bits = min(31, max(0, 2 * (words or 0) // BUCKET).bit_length())
     dealt = pieces.select(F.pmod(F.xxhash64("lang", "piece"), F.lit(chunks)).alias("chunk"), "lang", "piece", "n")
-    words = frequent(dealt.groupBy("chunk").applyInArrow(_words, GRAMS), least, "words")
-    pairs = frequent(dealt.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_pairs, GRAMS), least, "pairs")
-    longer = frequent(dealt.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_longer(longest), GRAMS), least, "longer") if longest > 2 else None
-    found = [x.select("lang", "phrase", "f").distinct() for x in (words, pairs, longer) if x is not None]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return cut(out, "phrase-counts")
+    sums = dealt.groupBy("chunk").applyInArrow(_sums(bits, min(2, longest)), SUMS)
+    replies = cut(sums.groupBy("bucket").applyInArrow(_replies(least), REPLIES), "phrase-replies")
+    strings = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_strings(bits, longest), STRINGS)
+    sorted_ = strings.repartition("bucket").sortWithinPartitions("bucket")
+    return cut(sorted_.mapInArrow(_bucket(least, _spill(scratch(spark, "phrase-spill"))), COUNTS), "phrase-counts")
 
 
 def _key(lang: Column, phrase: Column) -> Column:
@@ -263,7 +314,7 @@ def maximal(found: DataFrame) -> DataFrame:
 def ranked(found: DataFrame, most: int) -> DataFrame:
     """The first ``most`` of each language with their rank. A language's rows are ranked in groups first, of which the first ones meet."""
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    groups = max(1, -(-found.count() // RANKED))
+    groups = max(16, -(-found.count() // RANKED))
     salted = found.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(groups)))
     first = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= most)
     return first.drop("salt").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most)
