@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, metrics
 from ..functions.calendar import calendar_features
-from ..operators import checks, grid, intervals, resample, scaling, strategies, windows
+from ..operators import checks, covariates, grid, intervals, least_squares, resample, scaling, strategies, windows
 from ..series import SeriesSpec
 from ..sources.catalogue import daily_events, daily_revenue, hourly_events
 from ..sources.generators import trigonometry
@@ -475,19 +475,17 @@ bc AS (SELECT status, max(block) + 1 AS blocks FROM bl GROUP BY 1), g AS (SELECT
 te AS (SELECT s::BIGINT AS split, status, count(*) AS test_rows FROM bl, range(0, 5) a(s) WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.status = bl.status AND dr.split = s AND dr.block = bl.block) GROUP BY 1, 2)
 SELECT split, status, train_rows, train_sum, coalesce(test_rows, 0) AS test_rows FROM tr LEFT JOIN te USING (split, status)""")
 def resample_block_bootstrap(spark, sf_dir):
-    train, test = resample.block_bootstrap(by_status(spark, sf_dir), STATUS, 30, 5)
-    a = train.groupBy("split", "status").agg(F.count(F.lit(1)).alias("train_rows"), F.sum(F.round(F.col("y") * 1e7).cast("long")).alias("train_sum"))
-    b = test.groupBy("split", "status").agg(F.count(F.lit(1)).alias("test_rows"))
-    return a.join(b, ["split", "status"], "left").withColumn("test_rows", F.coalesce("test_rows", F.lit(0).cast("long")))
+    drawn = resample.block_multiplicities(by_status(spark, sf_dir), STATUS, 30, 5)
+    cents = F.round(F.col("y") * 1e7).cast("long")
+    sums = [F.struct(F.lit(s).cast("long").alias("split"), F.sum(times).alias("train_rows"), F.sum(times * cents).alias("train_sum"), F.sum((times == 0).cast("long")).alias("test_rows")) for s, times in enumerate(resample.times(5))]
+    return drawn.groupBy("status").agg(F.array(*sums).alias("all")).select("status", F.explode("all").alias("s")).select("s.split", "status", "s.train_rows", "s.train_sum", "s.test_rows")
 
 
 @query(f"""WITH {_BOOT}, m AS (SELECT dr.split, bl.status, avg(y) AS p FROM bl JOIN dr USING (status, block) GROUP BY 1, 2),
 te AS (SELECT s::BIGINT AS split, status, y FROM bl, range(0, 5) a(s) WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.status = bl.status AND dr.split = s AND dr.block = bl.block)),
 w AS (SELECT status, split, sum(abs(y - p)) / sum(abs(y)) AS w FROM te JOIN m USING (split, status) GROUP BY 1, 2) SELECT status, round(quantile_cont(w, 0.9::DOUBLE), 8) AS error FROM w GROUP BY status""")
 def interval_errors(spark, sf_dir):
-    train, test = resample.block_bootstrap(by_status(spark, sf_dir), STATUS, 30, 5)
-    means = train.groupBy("split", "status").agg(F.avg("y").alias("y_hat"))
-    return intervals.interval_error(test.join(means, ["split", "status"]), STATUS, 0.9).withColumn("error", r("error"))
+    return resample.mean_errors(by_status(spark, sf_dir), STATUS, 30, 5, 0.9).withColumn("error", r("error"))
 
 
 @query(f"WITH {BY_STATUS} SELECT status, ds, y, round(y * 0.75::DOUBLE, 9) AS y_lower, round(y * 1.25::DOUBLE, 9) AS y_upper FROM sta", dates="ds")
@@ -549,6 +547,45 @@ def forecast_ar1(spark, sf_dir):
     return strategies.ar1(daily_events(spark, sf_dir), EVENTS).select("event_type", r("slope").alias("slope"), r("intercept", 5).alias("intercept"), "last")
 
 
+#: Normal equations of seven lags and a constant, for three steps ahead, by elimination on lists.
+_LAGS = f"""{EVE}, wn AS (SELECT event_type, list(y) OVER (o ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS x, list(y) OVER (o ROWS BETWEEN 7 FOLLOWING AND 9 FOLLOWING) AS z FROM eve WINDOW o AS (PARTITION BY event_type ORDER BY ds)),
+ww AS (SELECT event_type, list_concat([1.0::DOUBLE], x) AS x, list_concat([1.0::DOUBLE], x, z) AS b FROM wn WHERE len(z) = 3 AND len(x) = 7),
+pr AS (SELECT event_type, i, j, sum(x[i] * b[j]) AS v FROM ww, range(1, 9) a(i), range(1, 12) c(j) GROUP BY ALL),
+m0 AS (SELECT event_type, list(r ORDER BY i) AS m FROM (SELECT event_type, i, list(v ORDER BY j) AS r FROM pr GROUP BY ALL) GROUP BY ALL),
+el AS (SELECT event_type, 1 AS k, m FROM m0 UNION ALL
+SELECT event_type, k + 1, list_transform(range(1, 9), lambda i: list_transform(range(1, 12), lambda j: CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * (m[k][j] / m[k][k]) END)) FROM el WHERE k <= 8),
+sol AS (SELECT event_type, m FROM el WHERE k = 9)"""
+
+
+@query(f"WITH RECURSIVE {_LAGS} SELECT event_type, h::INT AS horizon, p::INT AS pos, round(m[p + 1][8 + h], 6) AS coefficient, n FROM sol JOIN (SELECT event_type, count(*) AS n FROM ww GROUP BY 1) USING (event_type), range(1, 4) a(h), range(0, 8) b(p)")
+def forecast_gram_coefficients(spark, sf_dir):
+    found = least_squares.direct_regression(daily_events(spark, sf_dir), EVENTS, 7, 3)
+    return found.select("event_type", "horizon", F.posexplode("coefficients").alias("pos", "coefficient"), "n").withColumn("coefficient", r("coefficient", 6))
+
+
+@query(f"""WITH RECURSIVE {_LAGS}, la AS (SELECT event_type, max(ds) AS b, list_concat([1.0::DOUBLE], list(y ORDER BY ds)[-7:]) AS x FROM eve GROUP BY 1)
+SELECT event_type, h::INT AS horizon, (b + h::INT)::DATE AS ds, round(list_sum(list_transform(range(1, 9), lambda i: m[i][8 + h] * x[i])), 5) AS y FROM sol JOIN la USING (event_type), range(1, 4) t(h)""", dates="ds")
+def forecast_gram_direct(spark, sf_dir):
+    return least_squares.direct_forecast(daily_events(spark, sf_dir), EVENTS, 7, 3).withColumn("y", r("y", 5))
+
+
+#: The quantity that is to be shipped on a day, as the orders known by some day have it.
+_PLAN = """ver AS (SELECT l_shipdate::DATE AS due, o_orderdate::DATE AS known, sum(sum(l_quantity)) OVER (PARTITION BY l_shipdate::DATE ORDER BY o_orderdate::DATE) AS planned
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {REV}, {_PLAN}, req AS (SELECT ds AS origin, h::INT AS horizon, (ds + h::INT)::DATE AS ds FROM rev, range(1, 8) t(h))
+SELECT req.origin, req.horizon, req.ds, v.planned, v.known FROM req ASOF LEFT JOIN ver v ON v.due = req.ds AND req.origin >= v.known""", dates="origin ds known")
+def covariates_known_ahead(spark, sf_dir):
+    """Shipments planned for each of the seven days ahead, as they were known on each day."""
+    orders, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    both = items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
+    days = both.groupBy(F.to_date("l_shipdate").alias("ds"), F.to_date("o_orderdate").alias("known")).agg(F.sum("l_quantity").alias("q"))
+    versions = covariates.running_versions(days, ["ds"], "known", {"planned": "q"})
+    origins = rev(spark, sf_dir).select(F.col("ds").alias("origin"))
+    return covariates.known_ahead(origins, versions, ONE, ["planned"], 7).select("origin", "horizon", "ds", "planned", "known")
+
+
 _FLAG_N = 28
 
 
