@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..models.registry import MODELS, OTHERS, make
 from ..operators import grid
+from ..plans import search
 from ..plans.configs import PipelineConfigs
 from ..plans.pipeline import ModelPipeline
 from ..series import SeriesSpec
@@ -108,6 +109,14 @@ def pipeline_search(spark, sf_dir):
     return _scored(pipe.fit(daily_events(spark, sf_dir), valid_rows=7))
 
 
+@query()
+def search_halving(spark, sf_dir):
+    """Eight candidates of two kinds for each series, in three rungs of doubling stretches."""
+    configs = PipelineConfigs([*[("d_linear", f"kernel_{k}", {"init_configs": {"kernel_size": k}}) for k in (3, 5, 7, 9)], ("n_linear", "n_linear", {}), ("naive", "naive", {}), *[("d_linear", f"lags_{k}", {"init_configs": {"lags": k}}) for k in (3, 5)]])
+    found = search.halving(daily_revenue(spark, sf_dir, ("o_orderstatus",)), SeriesSpec(("o_orderstatus",)), configs, 7, valid_rows=14)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("SELECT event_type, ts::DATE::TIMESTAMP::VARCHAR AS ds, count(*)::DOUBLE AS y FROM events GROUP BY 1, 2")
 def stream_daily_batch(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
