@@ -16,7 +16,7 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for name in ("orders", "events", "lineitem"):
+    for name in ("orders", "events", "lineitem", "customer", "nation", "region"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 

@@ -205,3 +205,42 @@ def sql_lag_windows(spark, sf_dir):
         """SELECT event_type, w.start, pos, v FROM (SELECT event_type, transform(array_sort(collect_list(struct(ds, y))), s -> s.y) AS ys FROM tidewarp_daily_events GROUP BY event_type),
         LATERAL lag_windows(ys, 5, 3) w LATERAL VIEW posexplode(w.x) p AS pos, v"""
     )
+
+
+@query("""WITH eve AS (SELECT event_type, ts::DATE AS ds, count(*)::DOUBLE AS y FROM events GROUP BY 1, 2), w AS (SELECT event_type, ds, row_number() OVER o - 1 AS start, list(y) OVER (o ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS x,
+list(y) OVER (o ROWS BETWEEN 5 FOLLOWING AND 6 FOLLOWING) AS z FROM eve WINDOW o AS (PARTITION BY event_type ORDER BY ds))
+SELECT event_type, ds::VARCHAR AS ds, start, unnest(range(7))::INT AS pos, unnest(list_concat(x, z)) AS v FROM w WHERE len(z) = 2 AND start % 3 = 0""")
+def sql_table_windows(spark, sf_dir):
+    from ..functions.sql import register
+
+    register(spark)
+    daily_events(spark, sf_dir).createOrReplaceTempView("tidewarp_daily_events")
+    return spark.sql(
+        """SELECT event_type, cast(ds AS string) AS ds, start, pos, v
+        FROM table_windows(TABLE(tidewarp_daily_events) PARTITION BY event_type ORDER BY (ds), 'y', 5, 2, 3) w LATERAL VIEW posexplode(concat(w.x, w.y)) p AS pos, v"""
+    )
+
+
+@query("""WITH d AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, max(o_orderdate)::DATE AS ds FROM orders GROUP BY 1, 2)
+SELECT status, priority, h::INT AS horizon, (ds + (7 * h)::INT)::DATE::VARCHAR AS ds FROM d, range(1, 4) t(h)""")
+def sql_table_future(spark, sf_dir):
+    """Weekly times after the last one of each series of two keys."""
+    from ..functions.sql import register
+
+    register(spark)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders.select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.to_date("o_orderdate").alias("ds")).createOrReplaceTempView("tidewarp_orders")
+    return spark.sql(
+        """SELECT status, priority, horizon, cast(ds AS string) AS ds
+        FROM table_future(TABLE(tidewarp_orders) PARTITION BY (status, priority) ORDER BY (ds), array('status', 'priority'), 'ds', 3, 7)"""
+    )
+
+
+@query("""WITH eve AS (SELECT event_type, ts::DATE AS ds, count(*)::DOUBLE AS y FROM events GROUP BY 1, 2), h AS (SELECT event_type, ds, CASE WHEN day(ds) % 4 <> 0 THEN y END AS y FROM eve)
+SELECT event_type, ds::VARCHAR AS ds, last_value(y IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ds ROWS UNBOUNDED PRECEDING) AS y FROM h""")
+def sql_table_filled(spark, sf_dir):
+    from ..functions.sql import register
+
+    register(spark)
+    daily_events(spark, sf_dir).withColumn("y", F.when(F.day("ds") % 4 != 0, F.col("y"))).createOrReplaceTempView("tidewarp_holes")
+    return spark.sql("SELECT event_type, cast(ds AS string) AS ds, y FROM table_filled(TABLE(tidewarp_holes) PARTITION BY event_type ORDER BY (ds), 'y')")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, metrics
 from ..functions.calendar import calendar_features
-from ..operators import checks, covariates, grid, intervals, least_squares, resample, scaling, strategies, windows
+from ..operators import checks, covariates, grid, hierarchy, intervals, least_squares, resample, scaling, strategies, windows
 from ..series import SeriesSpec
 from ..sources.catalogue import daily_events, daily_revenue, hourly_events
 from ..sources.generators import trigonometry
@@ -586,6 +586,52 @@ def covariates_known_ahead(spark, sf_dir):
     return covariates.known_ahead(origins, versions, ONE, ["planned"], 7).select("origin", "horizon", "ds", "planned", "known")
 
 
+#: Monthly revenue by nation, region and in all: forecasts of the next month by the geometric mean of the last three, which don't add up.
+_AREAS = """mon AS (SELECT n_name, r_name, date_trunc('month', o_orderdate)::DATE AS ds, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / 1e7::DOUBLE AS y
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3),
+own AS (SELECT 'nation ' || n_name AS node, 'region ' || r_name AS region, ds, y FROM mon),
+alln AS (SELECT node, ds, y FROM own UNION ALL SELECT region, ds, sum(y) FROM own GROUP BY 1, 2 UNION ALL SELECT 'world', ds, sum(y) FROM own GROUP BY 2),
+fc AS (SELECT node, exp(avg(ln(y))) AS y FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ds DESC) AS k FROM alln) WHERE k <= 3 GROUP BY node)"""
+
+
+def areas(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(past, forecasts, edges) of nations, regions and the world."""
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "customer", "nation", "region")}
+    place = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t["orders"].join(place, F.col("o_custkey") == F.col("c_custkey")).groupBy("n_name", "r_name", F.trunc("o_orderdate", "month").alias("ds"))
+    rows = rows.agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / F.lit(1e7)).alias("y"))
+    rows = rows.select(F.concat(F.lit("nation "), "n_name").alias("node"), F.concat(F.lit("region "), "r_name").alias("region"), "ds", "y")
+    past = rows.select("node", "ds", "y").unionByName(rows.groupBy(F.col("region").alias("node"), "ds").agg(F.sum("y").alias("y"))).unionByName(rows.groupBy("ds").agg(F.sum("y").alias("y")).withColumn("node", F.lit("world")))
+    edges = rows.select("node", F.col("region").alias("parent")).distinct().unionByName(rows.select(F.col("region").alias("node"), F.lit("world").alias("parent")).distinct())
+    spec = SeriesSpec(("node",))
+    last = windows.tail(past, spec, 3).groupBy("node").agg(F.exp(F.avg(F.log("y"))).alias("y"))
+    return past, last.withColumn("ds", F.lit("next")), edges
+
+
+@query(f"""WITH {_AREAS}, leaf AS (SELECT DISTINCT node, region FROM own), up AS (SELECT leaf.node, region, y FROM leaf JOIN fc USING (node))
+SELECT node, round(y, 8) AS y FROM up UNION ALL SELECT region, round(sum(y), 8) FROM up GROUP BY 1 UNION ALL SELECT 'world', round(sum(y), 8) FROM up""")
+def hierarchy_bottom_up(spark, sf_dir):
+    _, forecasts, edges = areas(spark, sf_dir)
+    return hierarchy.Hierarchy(edges).bottom_up(forecasts, SeriesSpec(("node",))).select("node", r("y").alias("y"))
+
+
+@query(f"""WITH {_AREAS}, share AS (SELECT node, region, sum(y) / (SELECT sum(y) FROM own) AS s FROM own GROUP BY 1, 2), up AS (SELECT node, region, s * (SELECT y FROM fc WHERE node = 'world') AS y FROM share)
+SELECT node, round(y, 8) AS y FROM up UNION ALL SELECT region, round(sum(y), 8) FROM up GROUP BY 1 UNION ALL SELECT 'world', round(sum(y), 8) FROM up""")
+def hierarchy_top_down(spark, sf_dir):
+    past, forecasts, edges = areas(spark, sf_dir)
+    return hierarchy.Hierarchy(edges).top_down(forecasts, past, SeriesSpec(("node",))).select("node", r("y").alias("y"))
+
+
+@query(f"""WITH {_AREAS}, leaf AS (SELECT DISTINCT node, region FROM own), n AS (SELECT leaf.region, leaf.node, y FROM leaf JOIN fc USING (node)),
+g AS (SELECT region, count(*) AS k, sum(y) AS s FROM n GROUP BY region), u AS (SELECT g.region, k, s, 1.0::DOUBLE / k + 1 AS w, (s / k + fc.y) / (1.0::DOUBLE / k + 1) AS m FROM g JOIN fc ON fc.node = g.region),
+w AS (SELECT sum(1 / w) AS e, sum(m) AS s FROM u), t AS (SELECT (s / e + (SELECT y FROM fc WHERE node = 'world')) / (1 / e + 1) AS t, e, s FROM w),
+rt AS (SELECT region, k, u.s, m + (t - t.s) / w / e AS t FROM u, t), up AS (SELECT node, n.region, y + (t - s) / k AS y FROM n JOIN rt USING (region))
+SELECT node, round(y, 7) AS y FROM up UNION ALL SELECT region, round(sum(y), 7) FROM up GROUP BY 1 UNION ALL SELECT 'world', round(sum(y), 7) FROM up""")
+def hierarchy_least_squares(spark, sf_dir):
+    _, forecasts, edges = areas(spark, sf_dir)
+    return hierarchy.Hierarchy(edges).least_squares(forecasts, SeriesSpec(("node",))).select("node", r("y", 7).alias("y"))
+
+
 _FLAG_N = 28
 
 
