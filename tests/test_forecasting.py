@@ -162,3 +162,75 @@ def test_only_versions_known_by_the_origin_are_used(spark):
 def test_running_versions(spark):
     changes = spark.createDataFrame([("d", 1, 2.0), ("d", 1, 3.0), ("d", 4, 1.0), ("e", 2, 7.0)], "k string, known int, q double")
     assert sorted(map(tuple, covariates.running_versions(changes, ["k"], "known", {"x": "q"}).collect())) == [("d", 1, 5.0), ("d", 4, 6.0), ("e", 2, 7.0)]
+
+
+# --- arrays by matrix, peaks, chains with validation rows, features known ahead
+
+
+def test_correlations_and_spectra_are_numpys(spark):
+    from tidewarp.functions import arrays
+
+    r = np.random.default_rng(0)
+    rows = [(i, r.normal(size=n).tolist(), r.normal(size=m).tolist()) for i, (n, m) in enumerate([(7, 7), (7, 6), (8, 7), (8, 8), (1, 1), (9, 2), (7, 6)])] + [(90, None, [1.0]), (91, [], [])]
+    df = spark.createDataFrame(rows, "i int, a array<double>, b array<double>")
+    found = df.select("i", arrays.correlate_same(F.col("a"), F.col("b")).alias("c"), arrays.spectrum(F.col("a")).alias("s"), arrays.frequencies(F.col("a"), 0.5).alias("f"), arrays.spectrum_top(F.col("a"), 2).alias("t"))
+    for r_, (_, a, b) in zip(sorted(found.collect()), rows, strict=True):
+        if not a:
+            assert r_["c"] is None and r_["s"] is None
+            continue
+        np.testing.assert_allclose(r_["c"], np.correlate(a, b, "same"), atol=1e-12)
+        np.testing.assert_allclose(r_["s"], np.abs(np.fft.fft(a)), atol=1e-12)
+        np.testing.assert_allclose(r_["f"], np.fft.fftfreq(len(a), 0.5), atol=1e-12)
+        assert [t["amplitude"] for t in r_["t"]] == sorted(r_["s"], reverse=True)[:2]
+
+
+def plain_peaks(x, distance=None):
+    runs = [0, *(i for i in range(1, len(x)) if x[i] != x[i - 1]), len(x)]
+    tops = [(x[a], (a + b - 1) // 2) for p, a, b in zip(runs, runs[1:], runs[2:], strict=False) if b < len(x) and x[a] > x[p] and x[a] > x[b]]
+    kept = []
+    for _, i in sorted(tops, reverse=True):
+        if distance is None or all(abs(i - k) >= distance for k in kept):
+            kept.append(i)
+    return len(kept)
+
+
+def test_peaks(spark):
+    from tidewarp.functions import arrays
+
+    r = np.random.default_rng(4)
+    rows = [(i, r.integers(0, 4, n).astype(float).tolist()) for i, n in enumerate([0, 1, 2, 3, 5, 12, 40, 200, 700])] + [(20, [1.0] * 6), (21, [0.0, 1.0, 1.0, 0.0]), (22, [1.0, 2.0, 2.0])]
+    found = spark.createDataFrame(rows, "i int, x array<double>").select("i", arrays.peaks(F.col("x")).alias("p"), arrays.far_peaks(F.col("x"), 20).alias("f")).collect()
+    assert {r["i"]: (r["p"], r["f"]) for r in found} == {i: (plain_peaks(x), plain_peaks(x, 20)) for i, x in rows}
+
+
+def test_chain_with_validation_rows_and_saving(spark, df, tmp_path):
+    from tidewarp.operators import scaling
+    from tidewarp.plans.chain import Chain, load_chain
+
+    rows = df.where("k IN ('a', 'b')").drop("extra")
+    train, valid = rows.where(F.col("t") < day(110)), rows.where(F.col("t") >= day(110))
+    chain = Chain(SPEC, [("scale", scaling.Scaler(SPEC, "standard")), ("ranks", scaling.GaussRankScaler(SPEC)), ("model", make("n_linear", lags=7))]).fit(train, valid)
+    scores = {r["k"]: (r["n"], r["mae"]) for r in chain.scores.collect()}
+    assert scores["a"][0] == 10 and scores["a"][1] < 2
+    first = scaling.Scaler(SPEC, "standard").fit(train).transform(valid).agg(F.max("y")).first()[0]
+    assert chain.transformed.count() == 20 and chain.transformed.agg(F.max("y")).first()[0] != first
+    with pytest.raises(ValueError, match="after"):
+        chain.fit(valid, train)
+    chain.fit(train, valid)
+    chain.save(str(tmp_path / "chain"))
+    again = load_chain(spark, str(tmp_path / "chain"))
+    key = lambda c: sorted((r["k"], r["horizon"], round(r["y"], 9)) for r in c.predict(3).collect())
+    assert key(again) == key(chain) and [n for n, _ in again.steps] == ["scale", "ranks", "model"]
+
+
+def test_features_known_ahead_are_used(spark):
+    """The target follows a feature; a future in which it rises is forecast higher than one in which it stays."""
+    r = np.random.default_rng(5)
+    x = (r.random(160) > 0.5).astype(float)
+    rows = [(day(i), float(10 + 50 * x[i]), float(x[i])) for i in range(160)]
+    spec = SeriesSpec((), "t", "y", ("x",))
+    fitted = make("wide_gbrt", lags=4).fit(spark.createDataFrame(rows, "t date, y double, x double"), spec)
+    ahead = lambda v: spark.createDataFrame([(day(160 + i), v) for i in range(9)], "t date, x double")
+    up, down, none = ([r["y"] for r in fitted.predict(9, future=f).orderBy("horizon").collect()] for f in (ahead(1.0), ahead(0.0), None))
+    assert up[:4] == down[:4] and up[5:] != down[5:]
+    assert none == (up if x[-1] == 1.0 else down)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -69,20 +71,41 @@ def odds(x: Column) -> Column:
     return F.filter(x, lambda v, i: i % 2 == 1)
 
 
-def _by_numpy(function, *columns: Column) -> Column:
-    """An array from arrays, by a function of numpy arrays; null where any is null or empty."""
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once, which inside of lambdas nothing else ensures."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _by_matrix(function, *columns: Column) -> Column:
+    """An array from arrays, by a function from matrices to a matrix; rows of equal lengths go through it together. Null where any is null or empty, or holds a null."""
 
     @pandas_udf("array<double>")
     def run(*some: pd.Series) -> pd.Series:
-        rows = zip(*some, strict=True)
-        return pd.Series([None if any(v is None or not len(v) for v in row) else function(*(np.asarray(v, np.float64) for v in row)) for row in rows], dtype=object)
+        out = np.full(len(some[0]), None, object)
+        lengths = [np.array([-1 if v is None else len(v) for v in s]) for s in some]
+        whole = np.logical_and.reduce([n > 0 for n in lengths])
+        for shape in {*zip(*(n[whole].tolist() for n in lengths), strict=True)}:
+            at = np.flatnonzero(whole & np.logical_and.reduce([n == k for n, k in zip(lengths, shape, strict=True)]))
+            rows = [np.array([s.iat[i] for i in at], np.float64) for s in some]
+            found = function(*rows)
+            for i, row in zip(at, found, strict=True):
+                out[i] = row
+        return pd.Series(out)
 
     return run(*columns)
 
 
+def _correlated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = b.shape[1]
+    padded = np.pad(a, ((0, 0), (n - 1, n - 1)))
+    every = np.einsum("rkn,rn->rk", np.lib.stride_tricks.sliding_window_view(padded, n, axis=1), b)
+    start = n - n // 2 - 1
+    return every[:, start : start + a.shape[1]]
+
+
 def correlate_same(x: Column, y: Column) -> Column:
     """Centred cross-correlation as long as x, the longer of the two."""
-    return _by_numpy(lambda a, b: np.correlate(a, b, "same"), x, y)
+    return _by_matrix(_correlated, x, y)
 
 
 def count_below(x: Column, bound: Column) -> Column:
@@ -93,17 +116,28 @@ def count_above(x: Column, bound: Column) -> Column:
     return F.size(F.filter(x, lambda v: v > bound))
 
 
-def peaks(x: Column) -> Column:
-    """Interior maxima; a plateau with lower neighbours on both sides counts once.
+def _runs(x: Column) -> Column:
+    """Where a value differs from the one before it, and the size of x at the end."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, F.greatest(i - 1, F.lit(0)))))
+    return F.when(F.size(x) > 0, F.concat(starts, F.array(F.size(x)))).otherwise(F.array(F.lit(0)))
 
-    A plateau is found at its last value: the nearest different value before it must be lower.
-    """
 
-    def is_peak(v: Column, i: Column) -> Column:
-        other = F.array_max(F.filter(F.sequence(F.lit(0), i), lambda j: F.get(x, j) != v))
-        return F.coalesce((i < F.size(x) - 1) & (F.get(x, i + 1) < v) & (F.get(x, other) < v), F.lit(False))
+def _tops(x: Column, runs: Column) -> Column:
+    """(v, i) of runs of equal values with lower ones on both sides, at their middle; each run is looked at once."""
+
+    def top(j: Column) -> Column:
+        here, after = F.get(runs, j), F.get(runs, j + 1)
+        v = F.get(x, here)
+        return F.when((v > F.get(x, F.get(runs, j - 1))) & (v > F.get(x, after)), F.struct(v.alias("v"), F.floor((here + after - 1) / 2).cast("int").alias("i")))
 
-    return F.size(F.filter(x, is_peak))
+    inner = F.when(F.size(runs) > 3, F.transform(F.sequence(F.lit(1), F.greatest(F.size(runs) - 3, F.lit(1))), top))
+    return F.filter(F.coalesce(inner, F.array().cast("array<struct<v:double,i:int>>")), lambda p: p.isNotNull())
+
+
+def peaks(x: Column) -> Column:
+    """Interior maxima; a plateau with lower neighbours on both sides counts once."""
+    x = x.cast("array<double>")
+    return let(x, lambda x: let(_runs(x), lambda runs: F.size(_tops(x, runs))))
 
 
 def far_peaks(x: Column, distance: int = 150) -> Column:
@@ -112,22 +146,29 @@ def far_peaks(x: Column, distance: int = 150) -> Column:
     A plateau with lower neighbours on both sides lies at its middle.
     """
 
-    def peak(v: Column, i: Column) -> Column:
-        other = F.array_max(F.filter(F.sequence(F.lit(0), i), lambda j: F.get(x, j) != v))
-        top = (i < F.size(x) - 1) & (F.get(x, i + 1) < v) & (F.get(x, other) < v)
-        return F.when(top, F.struct(v.alias("v"), F.floor((other + 1 + i) / 2).cast("int").alias("i")))
-
     def keep(kept: Column, p: Column) -> Column:
         near = F.exists(kept, lambda k: F.abs(k - p["i"]) < distance)
         return F.when(near, kept).otherwise(F.concat(kept, F.array(p["i"])))
 
-    found = F.filter(F.transform(x, peak), lambda p: p.isNotNull())
-    return F.size(F.aggregate(F.sort_array(found, asc=False), F.array().cast("array<int>"), keep))
+    x = x.cast("array<double>")
+    return let(x, lambda x: let(_runs(x), lambda runs: F.size(F.aggregate(F.sort_array(_tops(x, runs), asc=False), F.array().cast("array<int>"), keep))))
 
 
 def spectrum(x: Column) -> Column:
     """Amplitudes of the discrete Fourier transform, one per frequency 0 ... n - 1."""
-    return _by_numpy(lambda a: np.abs(np.fft.fft(a)), x)
+    return _by_matrix(lambda a: np.abs(np.fft.fft(a, axis=1)), x)
+
+
+def frequencies(x: Column, spacing: float = 1.0) -> Column:
+    """The frequency of each amplitude of spectrum(x), in cycles by unit of the spacing: 0, 1 / (n d), ..., then the negative ones."""
+    n = F.size(x)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.when(k <= F.floor((n - 1) / 2), k).otherwise(k - n) / (n * F.lit(float(spacing)))))
+
+
+def spectrum_top(x: Column, k: int, spacing: float = 1.0) -> Column:
+    """The k largest amplitudes with their frequencies: structs (amplitude, frequency); of equal amplitudes the greater frequency comes first."""
+    both = F.arrays_zip(spectrum(x).alias("amplitude"), frequencies(x, spacing).alias("frequency"))
+    return F.slice(F.sort_array(both, asc=False), 1, k)
 
 
 def largest(x: Column, k: int) -> Column:

@@ -138,25 +138,30 @@ class FittedForecaster:
 
         return states.mapInPandas(times, out)
 
-    def _with_future(self, states: DataFrame) -> DataFrame:
-        """states with future: what the model's inputs show at the steps ahead; features of the spec stay as they were last."""
+    def _with_future(self, states: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """states with future: what the model's inputs show at the steps ahead; features of the spec are the known ones, or stay as they were last."""
         spec, kind = self.spec, self.states.schema["last_time"].dataType
         steps = states.select(*spec.keys, "first_time", "inputs", F.posexplode("walls").alias("__p", "__w")).withColumn(spec.time, at_wall_seconds(F.col("__w"), kind))
         n = len(spec.features)
         for i, c in enumerate(spec.features):
             steps = steps.withColumn(c, F.get("inputs", F.size("inputs") - (n - i)))
+        if known is not None:
+            given = [c for c in spec.features if c in known.columns]
+            own = known.select(*spec.keys, spec.time, *(F.col(c).cast("double").alias(f"__known_{c}") for c in given))
+            steps = steps.join(own, [*spec.keys, spec.time], "left").withColumns({c: F.coalesce(f"__known_{c}", F.col(c).cast("double")) for c in given})
         x = self.model.inputs(steps, spec, F.col("first_time"))
         rows = steps.groupBy(*spec.keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", x.alias("x")))), lambda s: s["x"]).alias("future"))
         return states.join(rows, list(spec.keys)) if spec.keys else states.crossJoin(rows)  # one row each without keys
 
-    def predict(self, n: int | DataFrame | None = None, at: DataFrame | None = None, **options) -> DataFrame:
+    def predict(self, n: int | DataFrame | None = None, at: DataFrame | None = None, future: DataFrame | None = None, **options) -> DataFrame:
         """(keys, horizon, time, target): n steps after each series' end; with a table (keys, n), as many as it has for each series.
 
-        ``at`` has the times (keys, time) of the steps themselves, in place of n. Options replace the model's own
+        ``at`` has the times (keys, time) of the steps themselves, in place of n. ``future`` has what is known of the
+        spec's features at them (keys, time, features), once a time; see covariates.known_ahead(). Options replace the model's own
         parameters for this call; unknown ones are an error.
         """
         if options:
-            return replace(self, model=replace(self.model, **options)).predict(n, at)
+            return replace(self, model=replace(self.model, **options)).predict(n, at, future)
         keys, spec, model = list(self.spec.keys), self.spec, self.model
         kind = self.states.schema["last_time"].dataType
         if at is not None:
@@ -168,7 +173,7 @@ class FittedForecaster:
         else:
             states = self._ahead(self.states.withColumn("__n", F.lit(n)))
         if model.wide_inputs:
-            states = self._with_future(states)
+            states = self._with_future(states, future)
         out = T.StructType([*[self.states.schema[k] for k in keys], T.StructField("walls", T.ArrayType(T.LongType())), T.StructField("f", T.ArrayType(T.DoubleType()))])
 
         def forecast(parts):

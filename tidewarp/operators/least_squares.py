@@ -13,11 +13,10 @@ double precision.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..series import SeriesSpec
 from .strategies import context, expand
 from .windows import supervised_windows
@@ -26,11 +25,6 @@ from .windows import supervised_windows
 SINGULAR = 1e-11
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with the value worked out once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def gram(windows: DataFrame, keys: list[str], lags: int, horizon: int) -> DataFrame:
     """(keys, n, system) of windows (keys, x, y): system has a row for the constant and for each lag, with the Gram matrix and then the products with y."""
     x = [F.lit(1.0), *(F.get("x", F.lit(i)) for i in range(lags))]
@@ -66,14 +60,14 @@ def solve(system: Column, size: int, ridge: float = 0.0) -> Column:
                 F.when(good, rest).otherwise(m).alias("m"), state["largest"].alias("largest"), F.concat(state["used"], F.array(F.when(good, p).otherwise(F.lit(-1)))).alias("used")
             )
 
-        return _let(F.struct(best["size"].alias("0"), best["place"].alias("1")), eliminate)
+        return let(F.struct(best["size"].alias("0"), best["place"].alias("1")), eliminate)
 
     def read(done: Column) -> Column:
         width = F.size(F.get(done["m"], F.lit(0))) - size
         nothing = F.transform(F.sequence(F.lit(1), width), lambda _: F.lit(0.0))
         return F.transform(done["used"], lambda p: F.when(p < 0, nothing).otherwise(F.slice(F.get(done["m"], p), size + 1, width)))
 
-    return _let(F.aggregate(places, start, step), read)
+    return let(F.aggregate(places, start, step), read)
 
 
 def direct_regression(df: DataFrame, spec: SeriesSpec, lags: int, horizon: int, ridge: float = 0.0) -> DataFrame:

@@ -8,12 +8,13 @@ between the knots of Gauss ranks by an as-of merge over such ranges, with the ne
 
 from __future__ import annotations
 
+import json
 import math
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -76,6 +77,20 @@ def exact_quantiles(df: DataFrame, keys: tuple[str, ...], value: str, knots: int
     return written(found.groupBy(*keys, "__rows").agg(in_order.alias("__knots")), "quantiles")
 
 
+def _save(table: DataFrame | None, path: str, options: dict, spec: SeriesSpec) -> None:
+    if table is None:
+        raise ValueError("fit the scaler first")
+    table.write.parquet(f"{path}/table")
+    row = json.dumps({"options": options, "spec": spec.__dict__})
+    table.sparkSession.createDataFrame([(row,)], "manifest string").coalesce(1).write.text(f"{path}/manifest")
+
+
+def _load(spark: SparkSession, path: str) -> tuple[DataFrame, dict, SeriesSpec]:
+    made = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    spec = made["spec"]
+    return spark.read.parquet(f"{path}/table"), made["options"], SeriesSpec(tuple(spec["keys"]), spec["time"], spec["target"], tuple(spec["features"]))
+
+
 class Scaler:
     """min_max, standard or quantile (uniform on 1001 knots, linear between them)."""
 
@@ -97,6 +112,17 @@ class Scaler:
             self.params = exact_quantiles(df.select(*self.spec.keys, y.cast("double").alias("__v")), self.spec.keys, "__v", self.KNOTS)
         return self
 
+    def save(self, path: str) -> None:
+        """The parameters as a Parquet table and a JSON row."""
+        _save(self.params, path, {"name": self.name}, self.spec)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Scaler:
+        params, made, spec = _load(spark, path)
+        out = cls(spec, made["name"])
+        out.params = params
+        return out
+
     def _count(self, knots: Column, test) -> Column:
         """How many of the sorted knots pass a test that the first ones pass, by binary search."""
         powers = [1 << i for i in range(self.KNOTS.bit_length() - 1, -1, -1)]
@@ -174,6 +200,17 @@ class GaussRankScaler:
         self.knots = rows.withColumn("score", score).drop("__n")
         return self
 
+    def save(self, path: str) -> None:
+        """The knots as a Parquet table and a JSON row."""
+        _save(self.knots, path, {"epsilon": self.epsilon}, self.spec)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> GaussRankScaler:
+        knots, made, spec = _load(spark, path)
+        out = cls(spec, made["epsilon"])
+        out.knots = knots
+        return out
+
     def ranks(self, df: DataFrame) -> DataFrame:
         """df with score: its target's place between the knots."""
         return self._between(df, "value", "score", self.spec.target, "score")

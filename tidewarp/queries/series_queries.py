@@ -228,6 +228,14 @@ def windows_spectrum_top(spark, sf_dir):
     return w.select("start", F.posexplode(top).alias("pos", "amplitude")).withColumn("amplitude", r("amplitude", 5))
 
 
+@query(f"""WITH {REV}, {NUM}, {win(8)}, s AS (SELECT start, k, sqrt(pow({_dft('cos')}, 2) + pow({_dft('sin')}, 2)) AS amplitude FROM win, range(0, 8) t(k))
+SELECT start, round(CASE WHEN k < 4 THEN k ELSE k - 8 END / 8.0::DOUBLE, 8) AS frequency, round(amplitude, 8) AS amplitude FROM s""")
+def windows_spectrum_frequencies(spark, sf_dir):
+    w = windows.lag_windows(rev(spark, sf_dir), ONE, 8)
+    both = w.select("start", F.explode(F.arrays_zip(arrays.frequencies(F.col("x")).alias("f"), arrays.spectrum(F.col("x")).alias("a"))).alias("s"))
+    return both.select("start", r("s.f").alias("frequency"), r("s.a", 8).alias("amplitude"))
+
+
 # --- checks ---------------------------------------------------------------------------------------------
 
 
@@ -324,6 +332,14 @@ def window_statistics(spark, sf_dir):
     return w.select("start", *[(v.cast("long") if k in _COUNTS else r(v)).alias(k) for k, v in arrays.window_statistics(F.col("x")).items()])
 
 
+@query(f"""WITH {REV}, {NUM}, {win(400)}, p AS (SELECT start, list_sort(list_transform(list_filter(range(2, len(x)), lambda i: x[i + 1] < x[i] AND x[i - 1] < x[i]), lambda i: {{'v': x[i], 'i': i}}), 'DESC') AS p FROM win)
+SELECT start, len(p)::BIGINT AS peaks, len(list_reduce(p, lambda kept, q: CASE WHEN len(list_filter(kept, lambda k: abs(k.i - q.i) < 150)) > 0 THEN kept ELSE list_append(kept, q) END, [p[1]]))::BIGINT AS far_peaks FROM p WHERE len(p) > 0""")
+def window_far_peaks(spark, sf_dir):
+    """Peaks of long windows, of which those at least 150 apart are kept greedily."""
+    w = windows.lag_windows(rev(spark, sf_dir), ONE, 400)
+    return w.select("start", arrays.peaks(F.col("x")).cast("long").alias("peaks"), arrays.far_peaks(F.col("x")).cast("long").alias("far_peaks"))
+
+
 @query(f"WITH {_W7}, f AS (SELECT start, " + ", ".join(f"({v})::DOUBLE AS {k}" for k, v in _STATS.items()) + " FROM b) SELECT start, "
        + ", ".join(f"round(CASE WHEN max({k}) OVER () = min({k}) OVER () THEN 0 ELSE ({k} - min({k}) OVER ()) / (max({k}) OVER () - min({k}) OVER ()) END, 5) AS {k}" for k in _STATS) + " FROM f")
 def window_statistics_scaled(spark, sf_dir):
