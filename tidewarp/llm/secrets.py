@@ -4,10 +4,11 @@ Base kinds (assign, access, hex) are pattern matches. The structural kinds decod
 before anything is reported:
 
 * ``pem``: an armoured private key whose body decodes to a private-key encoding, or that its headers call
-  encrypted by a cipher whose initial value and whole blocks it has; its line breaks may be escaped;
+  encrypted by a cipher whose initial value and whole blocks it has; its line breaks may be escaped and its lines
+  quoted by ``>``;
 * ``jwt``: a signed token whose first part decodes to a JSON object naming an ``alg``, whose second part decodes
   to a JSON object and whose third part decodes to as many bytes as that algorithm's signatures have (any 16 or
-  more for an unknown one; unsigned tokens aren't reported);
+  more for an unknown one; unsigned tokens aren't reported); it may follow other dotted parts;
 * ``der``: a base64 or hex run that decodes to an ASN.1 private key whose nested lengths all fit;
 * ``ssh``: a base64 run that decodes to an openssh-key-v1 container whose nested lengths all fit.
 
@@ -45,9 +46,12 @@ HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nr/])*?)-----END \1-----")
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
+ARMOURED = re.compile(r"(?:[A-Za-z0-9+/=\s:,>-]|\\+[nr/])*+")
+#: What mails and notes put before each line of a text that they quote.
+QUOTED = re.compile(r"(?m)^[ \t]*>[> \t]*")
 ESCAPED_BREAK, ESCAPED_SLASH = re.compile(r"\\+[nr]"), re.compile(r"\\+/")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]+)")
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
 RUN = "[A-Za-z0-9+/_-]"
 #: The n or r of an escaped line break is no part of the run after it.
 BASE64 = re.compile(rf"(?<!{RUN})(?:(?<=\\)[nr])?({RUN}{{40,}}={{0,2}})")
@@ -221,6 +225,40 @@ def is_token(head: str, body: str, signature: str) -> bool:
     return least <= len(decode64(signature) or b"") <= most
 
 
+def armoured(text: str) -> list[tuple[int, str, int]]:
+    """Spans of armoured keys: each end mark with the nearest mark before it, if that begins the same kind of key; a body is looked at once."""
+    found, begun = [], None
+    for m in MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begun = m
+            continue
+        if begun and begun[2] == m[2] and ARMOURED.fullmatch(text, begun.end(), m.start()):
+            plain = text[begun.end() : m.start()]
+            plain = ESCAPED_SLASH.sub("/", ESCAPED_BREAK.sub("\n", plain)) if "\\" in plain else plain
+            plain = QUOTED.sub("", plain) if ">" in plain else plain
+            data = decode64("".join(x for x in plain.split() if ":" not in x and "," not in x))
+            if is_der_key(data) or is_ssh_key(data) or is_encrypted_key(plain):
+                found.append((begun.start(), "pem", m.end()))
+        begun = None
+    return found
+
+
+def tokens(text: str) -> list[tuple[int, str, int]]:
+    """Spans of signed tokens: of a dotted run, each three parts in a row that no token before has taken."""
+    found = []
+    for m in DOTTED.finditer(text):
+        parts, at, i = m[0].split("."), m.start(), 0
+        while i + 2 < len(parts):
+            three = parts[i : i + 3]
+            if len(three[0]) >= 10 and len(three[1]) >= 2 and is_token(*three):
+                end = at + sum(map(len, three)) + 2
+                found.append((at, "jwt", end))
+                at, i = end + 1, i + 3
+            else:
+                at, i = at + len(three[0]) + 1, i + 1
+    return found
+
+
 def spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end), sorted by start, then kind as in KINDS."""
     found: list[tuple[int, str, int]] = []
@@ -231,14 +269,9 @@ def spans(text: str) -> list[tuple[int, str, int]]:
         found += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     found += [(m.start(), "hex", m.end()) for m in HEX_RUN.finditer(text)]
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            plain = ESCAPED_SLASH.sub("/", ESCAPED_BREAK.sub("\n", m[2])) if "\\" in m[2] else m[2]
-            body = "".join(x for x in plain.split() if ":" not in x and "," not in x)
-            data = decode64(body)
-            if is_der_key(data) or is_ssh_key(data) or is_encrypted_key(plain):
-                found.append((m.start(), "pem", m.end()))
+        found += armoured(text)
     if "." in text:
-        found += [(m.start(), "jwt", m.end()) for m in JWT.finditer(text) if is_token(m[1], m[2], m[3])]
+        found += tokens(text)
     for m in BASE64.finditer(text):
         data = decode64(m[1])
         if is_der_key(data):
