@@ -164,7 +164,51 @@ def test_lost_segments_are_an_error(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "x.warc.gz").write_bytes(b"".join(lost))
     with pytest.raises(Exception, match="missing"):
-        warc.read_archives(spark, str(tmp_path / "b")).collect()
+        warc.read_archives(spark, str(tmp_path / "b"), strict=True).collect()
+    (row,) = warc.read_archives(spark, str(tmp_path / "b")).collect()
+    assert (row["record_type"], row["page_id"], row["payload"], row["problem"]) == ("damaged", 1, None, "a segment is missing")
+
+
+def test_damage_leaves_the_other_records(spark, tmp_path):
+    """A cut member, bytes of no member, a lost segment, a false digest, broken framing and a record cut in a plain file, in three files."""
+    df = spark.createDataFrame([(i, f"http://x/{i}", f"page {i} " * (400 if i % 3 == 0 else 3)) for i in range(40)] + [(100, "u", "page 6 " * 400)], "page_id long, url string, html string")
+    warc.write_archives(df.repartition(3), str(tmp_path / "a"), segment_bytes=1024)
+    kept, plain = [], []
+    for f in sorted((tmp_path / "a").glob("part-*")):
+        for h, b in warc.records(f.read_bytes()):
+            page = h["warc-record-id"].split(":")[2]
+            names = {"warc-payload-digest": "WARC-Payload-Digest", "warc-refers-to": "WARC-Refers-To", "warc-target-uri": "WARC-Target-URI"}
+            fields = [(names.get(k, k), v) for k, v in h.items() if k in names or k.startswith("warc-seg")]
+            if page == "9" and h.get("warc-segment-number") == "2":
+                continue
+            if page == "5":
+                fields = [(k, "sha1:" + "A" * 32 if k == "WARC-Payload-Digest" else v) for k, v in fields]
+            if page == "7":
+                b = b.replace(b"\r\n\r\n", b"\r\n\r\nzz", 1)
+            data = warc.record(h["warc-type"], h["warc-record-id"], b, fields)
+            if page == "8":
+                plain.append(data[: len(data) // 2] + data[:8])
+            elif page in ("10", "11"):
+                plain.append(data)
+            else:
+                packed = warc.member(data)
+                kept.append(packed[:-9] if page == "4" else packed + b"\x1f\x8bnoise" * 3 if page == "13" else packed)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.warc.gz").write_bytes(b"".join(kept[: len(kept) // 2]))
+    (tmp_path / "b" / "y.warc.gz").write_bytes(b"".join(kept[len(kept) // 2 :]))
+    (tmp_path / "b" / "z.warc").write_bytes(b"".join(plain))
+    got = warc.read_archives(spark, str(tmp_path / "b")).collect()
+    good = {r["page_id"] for r in got if r["problem"] is None}
+    assert good == {*range(40), 100} - {4, 5, 7, 8, 9}
+    wrong = {(r["page_id"], r["record_type"]): r["problem"] for r in got if r["problem"]}
+    assert wrong[5, "response"] == "the payload's digest is not the declared one" and wrong[9, "damaged"] == "a segment is missing" and (7, "damaged") in wrong
+    assert sum(r["record_type"] == "damaged" and r["page_id"] is None for r in got) >= 2
+    assert next(r for r in got if r["page_id"] == 6)["payload_bytes"] == len("page 6 " * 400)
+    # What a revisit refers to is lost.
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.warc.gz").write_bytes(b"".join(x for x in kept if not any(h["warc-record-id"].split(":")[2] == "100" for h, _ in (y for y in warc.records(x) if not isinstance(y, str)))))
+    lost = {r["page_id"]: r["problem"] for r in warc.read_archives(spark, str(tmp_path / "c")).collect()}
+    assert lost[6] == "what it refers to was not read" and lost[3] is None
 
 
 # ------------------------------------------------------------------ 7. lines

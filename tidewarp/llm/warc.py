@@ -12,7 +12,7 @@ Reading. A file is one row (files of 2 GB and more, from elsewhere, can't be rea
 decoded where they are read. All are dealt by origin identifier (a whole record's own) and sorted by it and by
 segment number; a task joins segments one origin after the other, checks that none is missing and that their
 length is the total that the last one states, and decodes the chunked framing. Revisits take their payload's
-length from the record they refer to.
+length from the record they refer to. Damage doesn't end the read: it gives rows with a problem (see read_archives()).
 
 Defined cases: a null payload is empty; a null or empty url leaves out the target header. A null id is
 written as such, read back as null, and never wins against an id. Repeated rows (same id and payload) are
@@ -127,38 +127,76 @@ def page_records(page: int | None, url: str | None, payload: bytes, refers_to: i
         yield record("continuation", f"{ident[:-1]}:{i}>", part, more)
 
 
-def _members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
-    """The plain bytes of a file's gzip members, or the file itself; a member is fed in steps, so none is copied more than once."""
-    if data[:2] != b"\x1f\x8b":
+#: How a gzip member begins: magic number and the one method there is.
+GZIP = b"\x1f\x8b\x08"
+
+
+def _member(data: memoryview, at: int, step: int) -> tuple[bytes, int]:
+    """The plain bytes of the gzip member that begins here, fed in steps, and where it ends."""
+    unpack, parts = zlib.decompressobj(31), []
+    while not unpack.eof:
+        if at >= len(data):
+            raise ValueError("a gzip member is cut short")
+        piece = data[at : at + step]
+        parts.append(unpack.decompress(piece))
+        at += len(piece) - len(unpack.unused_data)
+    return b"".join(parts), at
+
+
+def _members(data: bytes, step: int = 1 << 16) -> Iterator[bytes | str]:
+    """The plain bytes of a file's gzip members, or the file itself; for a damaged stretch what is wrong, and then the next member that is whole."""
+    if data[:2] != GZIP[:2]:
         yield data
         return
-    view, at = memoryview(data), 0
-    while at < len(data):
-        unpack, parts = zlib.decompressobj(31), []
-        while not unpack.eof:
-            if at >= len(data):
-                raise ValueError("a gzip member is cut short")
-            piece = view[at : at + step]
-            parts.append(unpack.decompress(piece))
-            at += len(piece) - len(unpack.unused_data)
-        yield b"".join(parts)
-
-
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of the records in a file of gzip members or plain records."""
+    view, at, told = memoryview(data), 0, False
+    while 0 <= at < len(data):
+        try:
+            plain, at = _member(view, at, step)
+            told = False
+            yield plain
+        except (ValueError, zlib.error) as problem:
+            if not told:
+                yield str(problem)
+            told, at = True, data.find(GZIP, at + 1)
+
+
+def _one(plain: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+    end = plain.index(b"\r\n\r\n", at)
+    lines = plain[at:end].decode().split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("no WARC record here")
+    head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    for needed in ("warc-type", "warc-record-id", "content-length"):
+        if needed not in head:
+            raise ValueError(f"a record without {needed}")
+    stop = end + 4 + int(head["content-length"])
+    if plain[stop : stop + 4] != b"\r\n\r\n":
+        raise ValueError("a record's length does not fit")
+    return head, plain[end + 4 : stop], stop + 4
+
+
+def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes] | str]:
+    """(headers by lower-case name, block) of the records in a file of gzip members or plain records.
+
+    A damaged stretch gives one string, what is wrong with it; the records after it are found by the next
+    member, or in plain files the next line that begins a record.
+    """
     for plain in _members(data):
-        at = 0
-        while at < len(plain):
-            end = plain.index(b"\r\n\r\n", at)
-            lines = plain[at:end].decode().split("\r\n")
-            if not lines[0].startswith("WARC/"):
-                raise ValueError("no WARC record here")
-            head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-            at = end + 4 + int(head["content-length"])
-            if plain[at : at + 4] != b"\r\n\r\n":
-                raise ValueError("a record's length does not fit")
-            yield head, plain[end + 4 : at]
-            at += 4
+        if isinstance(plain, str):
+            yield plain
+            continue
+        at, told = 0, False
+        while 0 <= at < len(plain):
+            try:
+                head, block, at = _one(plain, at)
+                told = False
+                yield head, block
+            except ValueError as problem:
+                if not told:
+                    yield str(problem)
+                told = True
+                at = plain.find(b"\r\nWARC/", at + 1)
+                at = at + 2 if at >= 0 else at
 
 
 def assemble(segments: list[tuple[int, int | None, bytes]]) -> bytes:
@@ -200,7 +238,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     lines.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", max(1, file_bytes // (segment_bytes + HEADERS))).text(path)
 
 
-READ = "record_type string, record_id string, url string, refers_to_id string, declared string, number int, total long, origin string, block binary, payload binary, payload_bytes long, payload_digest string"
+READ = "record_type string, record_id string, url string, refers_to_id string, declared string, number int, total long, origin string, block binary, payload binary, payload_bytes long, payload_digest string, problem string"
 _NAMES = [x.split()[0] for x in READ.split(", ")]
 _TYPES = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in READ.split(", ")]
 
@@ -210,25 +248,38 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
+def _damaged(problem: str, ident: str | None = None, origin: str | None = None) -> tuple:
+    return ("damaged", ident, None, None, None, None, None, origin or ident, None, None, None, None, problem)
+
+
 def _parse(payloads: bool):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for data in batch.column(0).to_pylist():
-                out, size = [], 0
-                for head, block in records(data):
+                out, size, stretches = [], 0, 0
+                for found in records(data):
+                    if isinstance(found, str):
+                        # Without a record's id to go by, stretches are dealt by where they are found.
+                        stretches += 1
+                        out.append(_damaged(found, None, f"damaged:{len(data)}:{stretches}"))
+                        continue
+                    head, block = found
                     kind, number = head["warc-type"], head.get("warc-segment-number")
                     if kind not in ("response", "revisit", "continuation"):
                         continue
-                    total = head.get("warc-segment-total-length")
                     declared = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     common = (kind, head["warc-record-id"], head.get("warc-target-uri"), head.get("warc-refers-to"), declared)
-                    if number is not None:
-                        out.append((*common, int(number), None if total is None else int(total), head.get("warc-segment-origin-id", head["warc-record-id"]), block, None, None, None))
-                    elif kind == "revisit":
-                        out.append((*common, None, None, common[1], None, None, None, declared))
-                    else:
-                        body = http_payload(block)
-                        out.append((*common, None, None, common[1], None, body if payloads else None, len(body), digest32(body)))
+                    try:
+                        if number is not None:
+                            total = head.get("warc-segment-total-length")
+                            out.append((*common, int(number), None if total is None else int(total), head.get("warc-segment-origin-id", common[1]), block, None, None, None, None))
+                        elif kind == "revisit":
+                            out.append((*common, None, None, common[1], None, None, None, declared, None))
+                        else:
+                            body = http_payload(block)
+                            out.append((*common, None, None, common[1], None, body if payloads else None, len(body), digest32(body), None))
+                    except ValueError as problem:
+                        out.append(_damaged(str(problem), common[1]))
                     size += len(block)
                     if size > 32 << 20:
                         yield _table(out)
@@ -247,8 +298,11 @@ def _join_segments(payloads: bool):
         def joined() -> list[tuple]:
             if not parts:
                 return []
-            body = http_payload(assemble([(n, *x) for n, x in parts.items()]))
-            return [(*head, None, None, None, None, body if payloads else None, len(body), digest32(body)) for head in heads]
+            try:
+                body = http_payload(assemble([(n, *x) for n, x in parts.items()]))
+            except ValueError as problem:
+                return [_damaged(str(problem), head[1]) for head in heads] or [_damaged(str(problem), origin)]
+            return [(*head, None, None, None, None, body if payloads else None, len(body), digest32(body), None) for head in heads] or [_damaged("a segment is missing", origin)]
 
         for batch in source:
             out, size = [], 0
@@ -274,30 +328,40 @@ def _join_segments(payloads: bool):
     return run
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row per page record: record_type, record_id, page_id, url, refers_to, payload (null for revisits), payload_bytes, payload_digest.
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, strict: bool = False) -> DataFrame:
+    """A row per page record: record_type, record_id, page_id, url, refers_to, payload (null for revisits), payload_bytes, payload_digest, problem.
 
-    A digest that differs from the one that its record declares is an error.
+    What can't be read is a row too, of record_type damaged, with what is wrong as its problem and, where they are
+    known, its ids: a stretch that is no record, a record whose segments or framing don't fit. A payload whose
+    digest isn't the declared one, and a revisit of what was not read, keep their type and have a problem.
+    All other records are read. With ``strict`` any problem is an error.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     parsed = ship(files).mapInArrow(_parse(payloads), READ)
     joined = parsed.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(_join_segments(payloads), READ)
     found = cut(joined.drop("number", "total", "origin", "block"), "warc-found")
-    wrong = F.raise_error(F.concat(F.lit("payload digest differs in "), F.col("record_id")))
-    found = found.withColumn("payload_digest", F.when(F.col("declared").isNull() | (F.col("declared") == F.col("payload_digest")), F.col("payload_digest")).otherwise(wrong))
+    false = F.when(F.col("declared") != F.col("payload_digest"), F.lit("the payload's digest is not the declared one"))
+    found = found.withColumn("problem", F.coalesce("problem", false))
+    damaged = found.where("record_type = 'damaged'")
     responses, revisits = found.where("record_type = 'response'"), found.where("record_type = 'revisit'").withColumnRenamed("refers_to_id", "target")
     asked = revisits.groupBy("target").agg(F.count(F.lit(1)).alias("asks"))
     sizes = responses.groupBy(F.col("record_id").alias("target")).agg(F.max("payload_bytes").alias("target_bytes"))
     known = cut(asked.join(sizes, "target"), "warc-targets")
     revisits = join_hot(revisits.drop("payload_bytes"), known, "target", "asks", known.agg(F.sum("asks")).first()[0] or 0, "record_id", "left")
     revisits = revisits.withColumnsRenamed({"target": "refers_to_id", "target_bytes": "payload_bytes"}).drop("asks")
-    page = lambda c: F.nullif(F.split_part(c, F.lit(":"), F.lit(3)), F.lit("none")).cast("long")
-    return responses.unionByName(revisits).select(
-        "record_type", "record_id", page(F.col("record_id")).alias("page_id"), "url", page(F.col("refers_to_id")).alias("refers_to"), "payload", "payload_bytes", "payload_digest"
+    unread = F.when(F.col("refers_to_id").isNotNull() & F.col("payload_bytes").isNull(), F.lit("what it refers to was not read"))
+    revisits = revisits.withColumn("problem", F.coalesce("problem", unread))
+    page = lambda c: F.nullif(F.split_part(c, F.lit(":"), F.lit(3)), F.lit("none")).try_cast("long")
+    out = responses.unionByName(revisits).unionByName(damaged).select(
+        "record_type", "record_id", page(F.col("record_id")).alias("page_id"), "url", page(F.col("refers_to_id")).alias("refers_to"), "payload", "payload_bytes", "payload_digest", "problem"
     )
+    if not strict:
+        return out
+    wrong = F.raise_error(F.concat(F.col("problem"), F.lit(" in "), F.coalesce("record_id", F.lit("a file"))))
+    return out.withColumn("payload_digest", F.when(F.col("problem").isNull(), F.col("payload_digest")).otherwise(wrong)).drop("problem")
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path, segment_bytes=QUERY_SEGMENT)
-    return read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, path, payloads=False, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
