@@ -550,3 +550,11 @@ def test_rows_that_share_a_gram(size):
     assert got == [x for x in rows_ if x[2] > 1 or any(near(x, y) for y in rows_)] and len(got) < len(rows_)
     whole = [b.column(0).to_pylist() for b in ngram_join._whole_runs(iter(batches_), 1)]
     assert [k for b in whole for k in b] == [x[0] for x in rows_] and all(a[-1] != b[0] for a, b in zip(whole[:-1], whole[1:], strict=True))
+
+
+def test_shards_of_a_table_with_a_column_of_that_name(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i} " * 20, f"own {i}", i) for i in range(50)], "doc_id long, text string, shard string, SHARD_1 int")
+    sharding.write_shards(df, str(tmp_path / "shards"), 2000)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.columns == [*df.columns, "shard_2"] and back.select("shard_2").distinct().count() > 5
+    assert sorted(map(tuple, back.drop("shard_2").collect())) == sorted(map(tuple, df.collect()))

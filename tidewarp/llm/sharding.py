@@ -119,10 +119,15 @@ def extendible_shards(docs: DataFrame, limit_bytes: int = 512 << 20, key: str =
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int = 512 << 20, key: str = "doc_id", text_col: str = "text") -> None:
-    """Write docs as Parquet, a folder ``shard=<round>-<depth>-<prefix>`` for each shard; a shard is one task's, so one file unless files are limited."""
+    """Write docs as Parquet, a folder ``shard=<round>-<depth>-<prefix>`` for each shard; a shard is one task's, so one file unless files are limited.
+
+    Where docs have a column of the folder's name (in any case), it is ``shard_1`` or the first such name that is free.
+    """
+    taken = {c.lower() for c in docs.columns}
+    folder = next(x for x in ("shard", *(f"shard_{i}" for i in range(1, len(taken) + 2))) if x not in taken)
     found = extendible_shards(docs, limit_bytes, key, text_col, keep=True)
     name = F.concat_ws("-", F.col("shard_round").cast("string"), F.col("shard_depth").cast("string"), F.lpad(F.hex("shard_prefix"), 15, "0"))
-    found.select("row.*", name.alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    found.select("row.*", name.alias(folder)).repartition(folder).write.partitionBy(folder).parquet(path)
 
 
 #: The query's shard size: small enough that the least table has several shards.
