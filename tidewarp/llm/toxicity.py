@@ -86,10 +86,18 @@ def in_fold(key: Column, folds: int, held: int) -> Column:
 
 
 def _hashed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache: dict[str, list[int]] = {}
     for batch in source:
         out = []
         for text in batch.column(1).to_pylist():
-            found = {f for w in words(text or "") for f in features(w)}
+            found: set[int] = set()
+            for word in words(text or ""):
+                own = cache.get(word)
+                if own is None:
+                    if len(cache) >= CACHE:
+                        cache.clear()
+                    own = cache[word] = features(word)
+                found.update(own)
             out.append(np.sort(np.fromiter(found, np.uint32, len(found))).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["positive", "features"])
 
