@@ -51,7 +51,7 @@ ARMOURED = re.compile(r"(?:[A-Za-z0-9+/=\s:,>-]|\\+[nr/])*+")
 #: What mails and notes put before each line of a text that they quote.
 QUOTED = re.compile(r"(?m)^[ \t]*>[> \t]*")
 ESCAPED_BREAK, ESCAPED_SLASH = re.compile(r"\\+[nr]"), re.compile(r"\\+/")
-DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}")
 RUN = "[A-Za-z0-9+/_-]"
 #: The n or r of an escaped line break is no part of the run after it.
 BASE64 = re.compile(rf"(?<!{RUN})(?:(?<=\\)[nr])?({RUN}{{40,}}={{0,2}})")
@@ -60,7 +60,7 @@ BREAK = r"(?:[ \t]*\r?\n[ \t]*|(?:\\+r)?\\+n[ \t]*)"
 WRAPPED = re.compile(rf"[Mb](?:(?<!{RUN}[Mb])|(?<=\\[nr][Mb]))(?:(?<=M)[A-P]|(?<=b)3Bl){RUN}*+(?={BREAK}{RUN})")
 LINE = re.compile(rf"{BREAK}({RUN}+)")
 PADDING = re.compile("={0,2}")
-LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{2}){24,}(?![0-9A-Fa-f])|(?<![0-9A-Fa-f])(?:[0-9A-F]{2}){24,}(?![0-9A-Fa-f])")
+LONG_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
 SSH_MAGIC = b"openssh-key-v1\0"
 
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
@@ -284,7 +284,7 @@ def spans(text: str) -> list[tuple[int, str, int]]:
             found.append((m.start(), key[0], key[1]))
             done = key[1]
     for m in LONG_HEX.finditer(text):
-        if is_der_key(bytes.fromhex(m[0])):
+        if len(m[0]) % 2 == 0 and m[0] in (m[0].lower(), m[0].upper()) and is_der_key(bytes.fromhex(m[0])):
             found.append((m.start(), "der", m.end()))
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(found), key=lambda x: (x[0], rank[x[1]], x[2]))
