@@ -106,6 +106,16 @@ class Slices:
         })
         return rows.select(*self.columns, "__tw_rn", "__tw_before", "__tw_after")
 
+    def running_sum(self, value: Column, name: str) -> DataFrame:
+        """All rows with the sum of value over them and the rows of their series before them; nulls add nothing."""
+        ends = self._summary(F.sum(value).alias("__tw_sum"))
+        before = F.sum("__tw_sum").over(Window.partitionBy(*self.keys).orderBy("__tw_slice").rowsBetween(Window.unboundedPreceding, -1))
+        rows = self._joined(written(ends.withColumn("__tw_past", before).drop("__tw_sum"), "slice-sums"))
+        inside = Window.partitionBy(*self.keys, "__tw_slice").orderBy("__tw_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = F.sum(value).over(inside)
+        total = F.coalesce(own + F.col("__tw_past"), own, F.col("__tw_past"))
+        return rows.withColumn(name, total).select(*(c for c in self.columns if c != name), name)
+
 
 def own_rows(rows: DataFrame) -> DataFrame:
     """The rows of blocks() without halos and without what blocks() added."""

@@ -14,8 +14,7 @@ from ..plans import search
 from ..plans.configs import PipelineConfigs
 from ..plans.pipeline import ModelPipeline
 from ..series import SeriesSpec
-from ..sources import generators
-from ..sources.catalogue import KNOWN, SeriesCatalogue, daily_events, daily_revenue, hourly_events, read_csv
+from ..sources.catalogue import Dataset, SeriesCatalogue, daily_events, daily_revenue, hourly_events, read_csv
 from ..streaming import ingest
 from .series_queries import HOUR_GAPS
 
@@ -147,24 +146,29 @@ def source_csv(spark, sf_dir):
     return df.select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("o_totalprice"), F.date_format("ds", "yyyy-MM-dd").alias("ds"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::INT, '{d.name}', '{d.spec.time}', '{d.spec.target}', '{','.join(d.spec.features)}')" for i, d in enumerate(KNOWN.values())) + ") t(position, name, time_col, target_col, feature_cols)")
-def source_catalogue(spark, sf_dir):
-    return SeriesCatalogue(spark, "/nowhere").table()
-
+#: The given tables as datasets of a catalogue.
+GIVEN = [
+    Dataset("orders", "o_orderkey long, o_orderdate timestamp, o_totalprice double", SeriesSpec((), "o_orderdate", "o_totalprice"), format="parquet"),
+    Dataset("lineitem", "l_orderkey long, l_shipdate timestamp, l_quantity double, l_discount double", SeriesSpec((), "l_shipdate", "l_quantity", ("l_discount",)), format="parquet"),
+    Dataset("events", "event_id long, ts timestamp, value double", SeriesSpec((), "ts", "value"), format="parquet"),
+]
 
-@query()
-def generate_white_noise(spark, sf_dir):
-    return generators.white_noise(spark, 500, 1.0, 2.0, seed=7)
 
-
-@query()
-def generate_random_walk(spark, sf_dir):
-    return generators.random_walk(spark, 500, seed=7)
-
-
-@query()
-def generate_random_events(spark, sf_dir):
-    return generators.random_events(spark, 500, seasons=7, seed=7)
+@query(" UNION ALL ".join(
+    f"SELECT {i}::INT AS position, '{d.name}' AS name, '{d.spec.time}' AS time_col, '{d.spec.target}' AS target_col, '{','.join(d.spec.features)}' AS feature_cols, count(*) AS n, count(DISTINCT {d.spec.time}::DATE) AS days, "
+    f"min({d.spec.time})::DATE::VARCHAR AS first, max({d.spec.time})::DATE::VARCHAR AS last, round(max({d.spec.target}), 4) AS largest FROM {d.name}" for i, d in enumerate(GIVEN)))
+def source_catalogue(spark, sf_dir):
+    """The given tables by a catalogue: its rows, and of each dataset what its table holds, read by name."""
+    catalogue = SeriesCatalogue(spark, sf_dir, {})
+    for d in GIVEN:
+        catalogue.register(d)
+    found = None
+    for name in catalogue.names:
+        spec, day = catalogue.spec(name), F.to_date(catalogue.spec(name).time)
+        one = catalogue[name].agg(F.count(F.lit(1)).alias("n"), F.count_distinct(day).alias("days"), F.min(day).cast("string").alias("first"), F.max(day).cast("string").alias("last"), F.round(F.max(spec.target), 4).alias("largest"))
+        one = one.withColumn("name", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    return catalogue.table().join(found, "name")
 
 
 @query()

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import arrays, metrics
 from ..functions.calendar import calendar_features
 from ..operators import checks, covariates, grid, hierarchy, intervals, least_squares, resample, scaling, strategies, windows
+from ..operators.slices import Slices
 from ..series import SeriesSpec
+from ..sources import generators
 from ..sources.catalogue import daily_events, daily_revenue, hourly_events
-from ..sources.generators import trigonometry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -675,7 +676,30 @@ def forecast_leaderboard(spark, sf_dir):
 
 # --- generated series -----------------------------------------------------------------------------------
 
+#: A draw of N(0, 1) for a text, as in generators.normal().
+_U = "((('0x' || left(md5('{what}:7:' || {of}), 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)"
+_N = lambda of: f"sqrt(-2 * ln({_U.format(what='radius', of=of)})) * cos(2 * pi() * {_U.format(what='angle', of=of)})"
+_STEPS = f"{BY_STATUS}, nn AS (SELECT *, row_number() OVER o - 1 AS rn, count(*) OVER (PARTITION BY status) AS n FROM sta WINDOW o AS (PARTITION BY status ORDER BY ds))"
 
-@query("SELECT i::BIGINT AS i, round(0.4::DOUBLE * sin(i::DOUBLE) + 0.4::DOUBLE * cos(i::DOUBLE), 9) AS y FROM range(0, 1000) t(i)")
+
+@query(f"WITH {REV}, {NUM} SELECT ds, round(y + 0.4::DOUBLE * sin(rn::DOUBLE) + 0.4::DOUBLE * cos(rn::DOUBLE), 8) AS y FROM num", dates="ds")
 def generate_trigonometry(spark, sf_dir):
-    return trigonometry(spark, 1000, (0.4, 0.4, 0.0)).withColumn("y", r("y", 9))
+    """Daily revenue with a wave on top."""
+    rows = Slices.of(rev(spark, sf_dir), ONE).numbered("rn")
+    return rows.select("ds", r(F.col("y") + generators.wave(F.col("rn"))).alias("y"))
+
+
+@query(f"WITH {_STEPS} SELECT status, ds, y, round(({_N('status || chr(58) || rn::VARCHAR')}) * 2 + 1, 8) AS noise FROM nn", dates="ds")
+def generate_white_noise(spark, sf_dir):
+    return generators.with_noise(by_status(spark, sf_dir), STATUS, 1.0, 2.0, seed=7).withColumn("noise", r("noise"))
+
+
+@query(f"WITH {_STEPS}, st AS (SELECT *, CASE WHEN rn = 0 THEN 0 ELSE {_N('status || chr(58) || rn::VARCHAR')} END AS step FROM nn) SELECT status, ds, y, round(sum(step) OVER (PARTITION BY status ORDER BY ds), 6) AS walk FROM st", dates="ds")
+def generate_random_walk(spark, sf_dir):
+    return generators.with_walk(by_status(spark, sf_dir), STATUS, seed=7).withColumn("walk", r("walk", 6))
+
+
+@query(f"""WITH {_STEPS}, se AS (SELECT *, greatest(1, n // 7) AS len FROM nn), pl AS (SELECT *, CASE WHEN rn < len * 7 THEN rn // len ELSE rn - len * 7 END AS season FROM se)
+SELECT status, ds, y, round(10 * ({_N('status || chr(58) || season::VARCHAR')}), 7) AS level FROM pl""", dates="ds")
+def generate_random_events(spark, sf_dir):
+    return generators.with_seasons(by_status(spark, sf_dir), STATUS, 7, seed=7).withColumn("level", r("level", 7))
