@@ -151,7 +151,7 @@ class FittedForecaster:
             steps = steps.join(own, [*spec.keys, spec.time], "left").withColumns({c: F.coalesce(f"__known_{c}", F.col(c).cast("double")) for c in given})
         x = self.model.inputs(steps, spec, F.col("first_time"))
         rows = steps.groupBy(*spec.keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", x.alias("x")))), lambda s: s["x"]).alias("future"))
-        return states.join(rows, list(spec.keys)) if spec.keys else states.crossJoin(rows)  # one row each without keys
+        return states.join(rows, list(spec.keys)) if spec.keys else states.crossJoin(F.broadcast(rows))  # one row each without keys
 
     def predict(self, n: int | DataFrame | None = None, at: DataFrame | None = None, future: DataFrame | None = None, **options) -> DataFrame:
         """(keys, horizon, time, target): n steps after each series' end; with a table (keys, n), as many as it has for each series.
@@ -167,7 +167,7 @@ class FittedForecaster:
         if at is not None:
             wall = F.array_sort(F.collect_list(wall_seconds(F.col(spec.time), at.schema[spec.time].dataType))).alias("walls")
             times = at.groupBy(*keys).agg(wall)
-            states = self.states.join(times, keys) if keys else self.states.crossJoin(times)  # one row each without keys
+            states = self.states.join(times, keys) if keys else self.states.crossJoin(F.broadcast(times))  # one row each without keys
         elif isinstance(n, DataFrame):
             states = self._ahead(self.states.join(n.withColumnRenamed("n", "__n"), keys))
         else:
@@ -222,13 +222,13 @@ class FittedForecaster:
         kept = [*keys, "step_months", "step_seconds", "step_anchor", "state"]
         if self.model.wide_inputs:
             first = self.states.select(*keys, "first_time")
-            df = df.join(first, keys) if keys else df.crossJoin(first)  # one row without keys
+            df = df.join(first, keys) if keys else df.crossJoin(F.broadcast(first))  # one row without keys
             columns.append(F.max_by(self.model.inputs(df, self.spec, F.col("first_time")), F.col(self.spec.time)).alias("inputs"))
             kept.append("first_time")
         ends = df.groupBy(*keys).agg(*columns)
         x = context(df, self.spec, self.model.lags).withColumnRenamed("x", "context")
         state = self.states.select(*kept)
-        joined = ends.join(x, keys).join(state, keys) if keys else ends.crossJoin(x).crossJoin(state)  # one row each without keys
+        joined = ends.join(x, keys).join(state, keys) if keys else ends.crossJoin(F.broadcast(x)).crossJoin(F.broadcast(state))  # one row each without keys
         return FittedForecaster(self.model, self.spec, joined.withColumn("context", F.col("context").cast("array<double>")).select(*self.states.columns)).predict(n, **options)
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ class FittedForecaster:
             raise TypeError(f"{model.name} has no windows to be scored")
         rows = df.where(F.col(spec.target).isNotNull()).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(spec.time).alias("t"), F.col(spec.target).cast("double").alias("y")))), lambda s: s["y"]).alias("ys"))
         state = self.states.select(*keys, "state")
-        joined = rows.join(state, keys) if keys else rows.crossJoin(state)  # one row each without keys
+        joined = rows.join(state, keys) if keys else rows.crossJoin(F.broadcast(state))  # one row each without keys
         out = T.StructType([*[self.states.schema[k] for k in keys], T.StructField("r2", T.DoubleType())])
 
         def scored(parts):

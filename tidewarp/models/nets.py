@@ -6,7 +6,6 @@ the series' mean and deviation.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 from typing import ClassVar
 
@@ -52,15 +51,6 @@ def weight_normed(v: Tensor, g: Tensor) -> Tensor:
     return v * (g / (((v * v).sum(0, True) + 1e-12) ** 0.5))
 
 
-def detect_available_device(device: str | None = "auto", spark=None) -> tuple[str, str]:
-    """What nets run on, and what there is: numpy uses processors; Spark's accelerators are told, and not used."""
-    if (device or "auto").lower() not in ("auto", "cpu"):
-        raise ValueError(f"nets run on processors only, not on {device}")
-    found = {} if spark is None else dict(spark.sparkContext.resources)
-    others = ", ".join(f"{k}: {len(v.addresses)}" for k, v in sorted(found.items())) or "none"
-    return "cpu", f"CPU available: {os.cpu_count()} | CPU use: True | others available: {others}"
-
-
 def schedule(kind: str | None, epoch: int, rate: float) -> float:
     """CosineAnnealing (half period 5), CosineAnnealingWarmRestarts (5, doubling), or the plain rate."""
     if kind == "CosineAnnealing":

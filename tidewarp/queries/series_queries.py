@@ -367,6 +367,14 @@ def window_wide_features(spark, sf_dir):
     return long(w, ["start"], ["lags", "y", "stat_mean"])
 
 
+@query(f"WITH {REV}, {NUM}, {win(7, 2)}, b AS (SELECT start, x, list_sum(x) AS s, {_D1.format(x='x')} AS d, {_Q.format(x='x', q=0.25)} AS p25, {_Q.format(x='x', q=0.75)} AS p75, {_Q.format(x='x', q=0.9)} AS p90 FROM win) SELECT start, "
+       + ", ".join(f"({v})::BIGINT AS stat_{k}" if k in _COUNTS else f"round({v}, 8) AS stat_{k}" for k, v in _STATS.items()) + " FROM b")
+def window_wide_statistics(spark, sf_dir):
+    """All statistics that wide features have beside their lags."""
+    w = windows.wide_features(rev(spark, sf_dir), ONE, 7, 2)
+    return w.select("start", *[(F.col(f"stat_{k}").cast("long") if k in _COUNTS else r(f"stat_{k}")).alias(f"stat_{k}") for k in _STATS])
+
+
 # --- scaling --------------------------------------------------------------------------------------------
 
 
