@@ -14,6 +14,7 @@ from ..plans import search
 from ..plans.configs import PipelineConfigs
 from ..plans.pipeline import ModelPipeline
 from ..series import SeriesSpec
+from ..sources import series_format
 from ..sources.catalogue import Dataset, SeriesCatalogue, daily_events, daily_revenue, hourly_events, read_csv
 from ..streaming import ingest
 from .series_queries import HOUR_GAPS
@@ -108,6 +109,16 @@ def pipeline_search(spark, sf_dir):
     return _scored(pipe.fit(daily_events(spark, sf_dir), valid_rows=7))
 
 
+@query("""SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(max(o_totalprice), 4) AS largest FROM orders
+WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_totalprice > 1000 GROUP BY 1""")
+def source_pushed_filters(spark, sf_dir):
+    """Large orders of late years by month, read by the catalogue's own data source, which takes the filters."""
+    series_format.register(spark, {d.name: d for d in GIVEN})
+    orders = spark.read.format(series_format.FORMAT).option("dataset", "orders").load(sf_dir)
+    late = orders.where((F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp")) & (F.col("o_totalprice") > 1000))
+    return late.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("o_totalprice"), 4).alias("largest"))
+
+
 @query()
 def search_halving(spark, sf_dir):
     """Eight candidates of two kinds for each series, in three rungs of doubling stretches."""
