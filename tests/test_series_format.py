@@ -46,6 +46,8 @@ def test_filters_are_pushed_and_leave_out_row_groups(spark, folder):
     want = [i for i in range(250, 420) if i // 10 > 25 and i % 7 in (1, 2) and i % 50]
     assert sorted(r["id"] for r in df.collect()) == want and df.rdd.getNumPartitions() == 3
     assert load(spark, folder, "counts").where("id > 5000").count() == 0
+    for kind in ("timestamp", "timestamp_ntz"):
+        assert load(spark, folder, "counts").where(F.col("at") >= F.lit("2024-02-01").cast(kind)).count() == 1000 - 31 * 24
     assert load(spark, folder, "counts").where("name = 'n3' OR id = 7").count() == 144
 
 

@@ -14,6 +14,7 @@ Defined cases: a missing dataset or file is an error when planned. Nulls pass no
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -54,13 +55,25 @@ def _columns(dataset: Dataset) -> dict[str, str]:
     return dict(x.split(" ", 1) for x in dataset.schema.split(", "))
 
 
-def _expression(found: D.Filter, names: set[str]):
+def _as_stored(value, kind: pa.DataType):
+    """A time with or without a zone (UTC), as the file has it."""
+    if isinstance(value, dt.datetime) and pa.types.is_timestamp(kind):
+        value = value.astimezone(dt.timezone.utc) if value.tzinfo else value.replace(tzinfo=dt.timezone.utc)
+        return value if kind.tz else value.replace(tzinfo=None)
+    return value
+
+
+def _expression(found: D.Filter, stored: dict[str, pa.DataType]):
     """A filter for pyarrow; None for what Spark has to look at itself."""
-    if isinstance(found, D.IsNotNull | D.IsNull) and found.attribute[0] in names and len(found.attribute) == 1:
-        field = pyarrow.dataset.field(found.attribute[0])
+    name = found.attribute[0] if hasattr(found, "attribute") and len(found.attribute) == 1 else None
+    if name not in stored:
+        return None
+    field = pyarrow.dataset.field(name)
+    if isinstance(found, D.IsNotNull | D.IsNull):
         return field.is_valid() if isinstance(found, D.IsNotNull) else field.is_null()
-    if type(found) in COMPARED and len(found.attribute) == 1 and found.attribute[0] in names and found.value is not None:
-        return COMPARED[type(found)](pyarrow.dataset.field(found.attribute[0]), found.value)
+    if type(found) in COMPARED and found.value is not None:
+        value = tuple(_as_stored(v, stored[name]) for v in found.value) if isinstance(found, D.In) else _as_stored(found.value, stored[name])
+        return COMPARED[type(found)](field, value)
     return None
 
 
@@ -75,15 +88,20 @@ class SeriesReader(D.DataSourceReader):
             raise ValueError(f"there is no {self.path}")
 
     def pushFilters(self, filters: list[D.Filter]) -> Iterator[D.Filter]:  # noqa: N802
-        names = set(_columns(self.dataset)) if self.dataset.format == "parquet" else set()
+        stored = self._stored() if self.dataset.format == "parquet" else {}
         for x in filters:
-            if _expression(x, names) is None:
+            if _expression(x, stored) is None:
                 yield x
             else:
                 self.filters.append(x)
 
+    def _stored(self) -> dict[str, pa.DataType]:
+        wanted = _columns(self.dataset)
+        return {f.name: f.type for f in pyarrow.dataset.dataset(str(self.path), format="parquet").schema if f.name in wanted}
+
     def _wanted(self):
-        every = [_expression(x, set(_columns(self.dataset))) for x in self.filters]
+        stored = self._stored() if self.filters else {}
+        every = [_expression(x, stored) for x in self.filters]
         return reduce(lambda a, b: a & b, every) if every else None
 
     def _fragments(self):
