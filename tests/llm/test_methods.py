@@ -99,6 +99,29 @@ def test_pairs_are_summed_from_fragments(spark):
     assert linked and {tuple(x) for x in ngram_join._verified(pairs, df, 85).collect()} == linked
 
 
+@pytest.mark.parametrize("task_grams", [1000, 4000, 1_000_000])
+def test_pairs_of_a_family_meet_in_one_task(spark, task_grams):
+    """Families of 300, 1,200 and 6,000 n-grams' pairs: whole, or by document where they are more than half a task's."""
+    r = np.random.default_rng(5)
+    sets, pairs, families, ident = {}, [], [], 0
+    for size in (2, 5, 21):
+        base = np.unique(r.integers(0, 1 << 63, 150).astype(np.uint64) * np.uint64(2))
+        head = ident
+        for _ in range(size):
+            sets[ident] = np.unique(np.append(base[ident % 20 :], r.integers(0, 1 << 63, ident % 20).astype(np.uint64)))
+            families.append((ident, head))
+            if ident > head:
+                pairs.append((head if size < 21 else ident - 1, ident, len(sets[head]) + len(sets[ident])))
+            ident += 1
+    df = spark.createDataFrame([(i, bytes(16), len(s), bytearray(s.tobytes())) for i, s in sets.items()], "id long, sig binary, n long, grams binary")
+    asked = spark.createDataFrame(pairs, "a long, b long, n long")
+    known = spark.createDataFrame(families[1:], "node long, component long")  # one document has no family
+    linked = {(a, b) for a, b, _ in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    found = [tuple(x) for x in ngram_join.fragment_overlaps(asked, df, 1, task_grams=task_grams, families=known).select("fragment", "a", "b").collect()]
+    assert sorted(found) == sorted((f, a, b) for a, b, _ in pairs for f in range(4))
+    assert 0 < len(linked) < len(pairs) and {tuple(x) for x in ngram_join._verified(asked, df, 85, known).collect()} == linked
+
+
 def test_components(spark):
     r = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 400, (300, 2))] + [(1000, x) for x in range(1001, 1300)] + [(x, x + 1) for x in range(2000, 2080)]

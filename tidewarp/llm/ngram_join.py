@@ -14,8 +14,9 @@ threshold. Each text is read and hashed once; its sorted hashes are written and
    linked pair could; the bucket sends a spanning forest of them. N-grams of SPLIT and more documents have
    their buckets split by document; the least document of each size class goes to every part.
 3. Vertical partitioning, the only way that a pair is verified. The order of hashes is cut into FRAGMENTS
-   ranges, every set into its segments. A task has the segments of one fragment for some candidate pairs and
-   counts their partial overlaps; a shuffle sums them per pair, which gives the links.
+   ranges, every set into its segments. A task has the segments of one fragment for some candidate pairs, of
+   whole families of them unless a family is large, and counts their partial overlaps; a shuffle sums them per
+   pair, which gives the links.
 4. What forests connect is a family; all documents of a split bucket are one. No link leaves a family. Where a
    family has several components of links, the documents outside its largest one are compared with those of
    other components, by sketches again, in blocks of BLOCK rows. Pairs of the same two components are sent in
@@ -492,17 +493,27 @@ def _chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def fragment_overlaps(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = FRAGMENTS, task_grams: int = TASK_GRAMS) -> DataFrame:
+def fragment_overlaps(
+    pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = FRAGMENTS, task_grams: int = TASK_GRAMS, families: DataFrame | None = None
+) -> DataFrame:
     """(fragment, a, b, variant, n_a, n_b, overlap) of pairs (a, b, n): partial overlaps, before they are summed.
 
-    Pairs are dealt by a, and where a has very many, MATES of them at a time, so most documents go to one task.
+    All pairs of a family (node, component) go to one task, so a document is sent once, whatever its number of
+    pairs. Families of more n-grams than half a task's are dealt by a, and where a has very many, MATES pairs at a time.
     """
     spark = pairs.sparkSession
-    total = pairs.agg(F.sum("n")).first()[0] or 0
+    total, rows = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, math.ceil(total / task_grams))
-    mates = pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count(F.lit(1)) / MATES).alias("parts"))
+    mates = pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count(F.lit(1)) / MATES).alias("parts"), F.sum("n").alias("own"))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(0)
-    dealt = pairs.join(mates, F.col("a") == F.col("of")).select(F.pmod(F.xxhash64("a", part), F.lit(buckets)).alias("bucket"), "a", "b")
+    place = F.xxhash64("a", part)
+    if families is not None:
+        mates = mates.join(families.select("node", "component"), F.col("of") == F.col("node"), "left").withColumn("family", F.coalesce("component", "of"))
+        whole = mates.groupBy("family").agg(F.sum("own").alias("all"), F.count(F.lit(1)).alias("weight"))
+        mates = join_hot(mates.select("of", "parts", "family"), whole, "family", "weight", rows, "of")
+        mates = mates.select("of", "parts", F.when(F.col("all") <= task_grams // 2, F.col("family")).alias("home"))
+        place = F.when(F.col("home").isNotNull(), F.xxhash64("home")).otherwise(place)
+    dealt = pairs.join(mates, F.col("a") == F.col("of")).select(F.pmod(place, F.lit(buckets)).alias("bucket"), "a", "b")
     dealt = cut(dealt, "candidate-pairs")
     need = cut(dealt.select("bucket", F.col("a").alias("id")).unionByName(dealt.select("bucket", F.col("b").alias("id"))).distinct(), "candidate-documents")
     wanted = spark.sparkContext.broadcast(_id_bitmap(need, need.count()))
@@ -513,9 +524,9 @@ def fragment_overlaps(pairs: DataFrame, sets: DataFrame, percent: int, fragments
     return segments.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(_partial(percent), OVERLAP)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, families: DataFrame | None = None) -> DataFrame:
     """Of candidate pairs (a, b, n) those whose partial overlaps sum to a link."""
-    summed = fragment_overlaps(pairs, sets, percent).groupBy("a", "b", "variant", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
+    summed = fragment_overlaps(pairs, sets, percent, families=families).groupBy("a", "b", "variant", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
     union = F.col("n_a") + F.col("n_b") - F.col("overlap")
     return summed.where(100 * F.col("overlap") >= percent * union).select("a", "b").distinct()
 
@@ -610,14 +621,17 @@ def _links(sets: DataFrame, ids, percent: int, levels: tuple[int, ...] = LEVELS,
     met = rows.join(sketches, ["id", "n"]).select("key", "sub", "n", "id", "sketch").repartition("key", "sub").sortWithinPartitions("key", "sub", "n", "id")
     forests = met.mapInArrow(_compatible(percent), "a long, b long, n long")
     tested = cut(forests.groupBy("a", "b").agg(F.max("n").alias("n")), "pairs")
-    links = cut(_verified(tested, sets, percent), "links")
+    near = cut(components(tested), "near")
+    links = cut(_verified(tested, sets, percent, near), "links")
 
     failed = cut(tested.join(links, ["a", "b"], "left_anti").select("a", "b"), "pairs-apart")
     tested = tested.select("a", "b")
     loose = failed if together is None else failed.unionByName(together)
     if loose.isEmpty():
         return links
-    families = components(tested if together is None else tested.unionByName(together))
+    families = near
+    if together is not None:
+        families = cut(components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(together)), "families")
     open_ = families.join(loose.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
     rows = families.join(open_, "component").select(F.col("component").alias("family"), F.col("node").alias("id"))
     rows = cut(rows.join(sketches, "id").select("family", "id", "n", "sketch"), "open-families")
@@ -626,7 +640,7 @@ def _links(sets: DataFrame, ids, percent: int, levels: tuple[int, ...] = LEVELS,
         found = cut(_apart(rows, components(links), percent, allowance, block), "pairs-across")
         new = cut(found.groupBy("a", "b").agg(F.max("n").alias("n")).join(tested, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
-            links = cut(links.unionByName(_verified(new, sets, percent)), "links")
+            links = cut(links.unionByName(_verified(new, sets, percent, families)), "links")
             tested = cut(tested.unionByName(new.select("a", "b")), "tested")
         if found.where("more").isEmpty():
             return links
