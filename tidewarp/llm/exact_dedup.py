@@ -67,10 +67,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     content = ascii_lower(text_or_empty(text_col))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), content.alias("content")).withColumn("digest", sha256(F.col("content")))
     best = cut(winners(rows, salts).select(F.col("digest").alias("__tw_best"), F.col("keep_id").alias("__tw_keep")), "exact-winners")
-    marked = docs.withColumns({"__tw_digest": sha256(content), "__tw_id": F.col(f"`{id_col}`")})
-    stay = marked.join(best, (F.col("__tw_digest") == F.col("__tw_best")) & F.col("__tw_id").eqNullSafe(F.col("__tw_keep")), "left_semi")
-    same = Window.partitionBy("__tw_digest", "__tw_id").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    return stay.withColumn("__tw_row", F.row_number().over(same)).where("__tw_row = 1").drop("__tw_digest", "__tw_id", "__tw_row")
+    # Nulls as a column of their own, so that the window and the join share one shuffle of the texts.
+    known = lambda x: (F.coalesce(x.cast("string"), F.lit("")), x.isNull())
+    keys = ["__tw_digest", "__tw_id", "__tw_null"]
+    marked = docs.withColumns(dict(zip(keys, (sha256(content), *known(F.col(f"`{id_col}`"))), strict=True)))
+    # Copies of a repeated row are cut to one a task before the shuffle, by the limit that Spark infers from row_number() = 1.
+    same = Window.partitionBy(*keys).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    once = marked.withColumn("__tw_row", F.row_number().over(same)).where("__tw_row = 1")
+    best = best.select("__tw_best", *(c.alias(n) for c, n in zip(known(F.col("__tw_keep")), ("__tw_keep_id", "__tw_keep_null"), strict=True)))
+    met = (F.col("__tw_digest") == F.col("__tw_best")) & (F.col("__tw_id") == F.col("__tw_keep_id")) & (F.col("__tw_null") == F.col("__tw_keep_null"))
+    return once.join(best, met, "left_semi").drop(*keys, "__tw_row")
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
