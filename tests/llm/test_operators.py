@@ -76,6 +76,17 @@ def test_exact_keep_one(docs, none):
     assert exact_dedup.keep_one(none).count() == 0 and exact_dedup.exact_duplicates(none).count() == 0
 
 
+def test_exact_keep_one_of_repeated_rows(spark):
+    """Repeated rows and null ids, which are not empty ids; the texts are shuffled once."""
+    rows = [("a", "One", 1)] * 400 + [("a", "one", 2), ("", "one", 3), (None, "one", 4)] + [(None, "two", 5)] * 300 + [("", "three", 6), (None, "three", 7), (None, None, 8), (None, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, n int").repartition(4)
+    kept = exact_dedup.keep_one(df)
+    found = [(x["doc_id"], (x["text"] or "").lower()) for x in kept.collect()]
+    assert sorted(found, key=str) == sorted([("a", "one"), (None, "two"), ("", "three"), (None, "")], key=str)
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert kept.columns == df.columns and plan.count("WindowGroupLimit") == 2
+
+
 def brute_components(items, width, percent):
     sets = defaultdict(set)
     sizes = []
