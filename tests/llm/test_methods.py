@@ -139,6 +139,18 @@ def test_components(spark):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_few_edges_need_no_rounds(spark):
+    """The same components by rounds and without; of a chain, in a few jobs."""
+    edges = spark.createDataFrame([(x, x + 1) for x in range(200)] + [(500, 499), (7, 7)], "a long, b long").repartition(9)
+    rounds, once = (sorted(map(tuple, components.components(edges, **held).collect())) for held in ({"held": 0}, {}))
+    assert rounds == once == [(x, 0) for x in range(201)] + [(499, 499), (500, 499)]
+    spark.sparkContext.setJobGroup("few-edges", "")
+    components.components(edges).count()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs <= 10
+
+
 # ------------------------------------------------------------------ 3. sharding
 
 

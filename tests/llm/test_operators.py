@@ -563,6 +563,24 @@ def test_rows_that_share_a_gram(size):
     assert [k for b in whole for k in b] == [x[0] for x in rows_] and all(a[-1] != b[0] for a, b in zip(whole[:-1], whole[1:], strict=True))
 
 
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_buckets_of_the_same_rows_are_one(size):
+    """Documents that meet under many n-grams meet once; split buckets keep their n-grams."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    members = [sorted((int(n), i) for i, n in enumerate(r.integers(20, 24, 6), 10 * c)) for c in range(4)]
+    rows_ = sorted([(key, 0, 1, n, i) for key in range(40) for n, i in members[key % 4]] + [(key, s, 4, n, i) for key in (90, 91) for s in range(4) for n, i in members[s]])
+    batches_ = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_[i : i + size], strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["key", "sub", "subs", "n", "id"]) for i in range(0, len(rows_), size)]
+    got = [x for b in ngram_join._buckets(85)(iter(batches_)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert [x for x in got if x[2] > 1] == [x for x in rows_ if x[2] > 1] and len(got) == len(rows_)
+    buckets = defaultdict(list)
+    for key, sub, subs, n, i in set(got):
+        if subs == 1:
+            buckets[key, sub].append((n, i))
+    assert sorted(map(sorted, buckets.values())) == members
+
+
 def test_shards_of_a_table_with_a_column_of_that_name(spark, tmp_path):
     df = spark.createDataFrame([(i, f"text {i} " * 20, f"own {i}", i) for i in range(50)], "doc_id long, text string, shard string, SHARD_1 int")
     sharding.write_shards(df, str(tmp_path / "shards"), 2000)

@@ -20,6 +20,8 @@ HOT_KEYS = 1000
 
 _local_dirs: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+#: In a Python worker: how to forget what the tasks of an operator remember from one to the next.
+_remembered: dict[str, Callable[[], None]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +112,18 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def remember(owner: str, forget: Callable[[], None]) -> None:
+    """For tasks that leave something to the worker's next ones: drops what other operators left."""
+    drop_others(owner)
+    _remembered[owner] = forget
+
+
+def drop_others(owner: str) -> None:
+    """A Python worker serves the tasks of many stages, in turn; what another operator's tasks remembered in it is forgotten."""
+    for other in [x for x in _remembered if x != owner]:
+        _remembered.pop(other)()
+
+
 def batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | list | None]) -> Callable[[Iterator], Iterator]:
     """A mapInArrow function from one that maps a single batch."""
 

@@ -59,13 +59,14 @@ def _contract(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(held)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, held: int = HELD) -> DataFrame:
     """(node, component) from edges (a, b): component is the least node reachable. Nodes without edges are left out.
 
     Tasks first contract their own edges to stars. Then two contractions alternate until nothing changes, each
     a grouped minimum and a join: neighbours above a node go to the node's least neighbour, then a node's lower
     neighbours do. The number of rounds grows as the logarithm of the longest chain. Nodes with very many
-    neighbours are broadcast (see join_hot).
+    neighbours are broadcast (see join_hot). If the contracted edges are ``held`` or fewer, which one task contracts
+    at once, there are no rounds.
     """
     now = ship(edges).where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(_contract, "u long, v long")
     now = cut(now.distinct(), "edges")
@@ -74,6 +75,9 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if last == tuple(state) or not state[0]:
             break
+        if state[0] <= held:
+            now = cut(now.coalesce(1).mapInArrow(_contract, "u long, v long"), "edges")
+            break
         last = tuple(state)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import as_bytes, cut, join_hot, table
+from .common import as_bytes, cut, drop_others, join_hot, table
 from .components import components
 
 CACHE = 100_000
@@ -156,6 +156,7 @@ def _hashed(width: int):
     """(id, n, sig, own, sketch, grams): a row's set, its size and 128 bits that stand for it. Null ids, empty sets and copies of an earlier row have no grams of their own."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("ngram_join")
         seen: set[bytes] = set()
         for batch in source:
             ids = batch.column(0).to_pylist()
@@ -319,6 +320,7 @@ def _gram_counts(ids):
         return _counted(key[sent], n[sent])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("ngram_join")
         held, size = [], 0
         for batch in source:
             for data in _of(ids, batch).column(1).to_pylist():
@@ -415,6 +417,29 @@ def _shared(percent: int):
     return run
 
 
+def _buckets(percent: int):
+    """What _shared() leaves, with a hash of a bucket's rows for its key, unless it is split.
+
+    Near copies meet under most of their n-grams, so many buckets have the same rows; those become one by distinct().
+    Two different ones of one hash would be one bucket with the rows of both, which loses no link.
+    """
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_runs(_shared(percent)(source), 2):
+            k, sub, subs, n, i = (batch.column(j).to_numpy() for j in range(5))
+            n = n.astype(np.int64)
+            starts = np.flatnonzero(~(_same_before(k, sub) & np.append(False, 100 * n[:-1] >= percent * n[1:])))
+            h = (i.astype(np.int64).view(np.uint64) * _K) ^ n.view(np.uint64)
+            for m in (_M1, _M2):
+                h = h * m
+                h ^= h >> np.uint64(33)
+            rows = np.repeat(np.add.reduceat(h, starts), np.diff(np.append(starts, len(k)))).view(np.int64)
+            columns = np.where(subs > 1, k, rows), np.where(subs > 1, sub, 0).astype(np.int32), subs, n.astype(np.int32), i
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "sub", "subs", "n", "id"])
+
+    return run
+
+
 def _segments(wanted, fragments: int):
     """(id, fragment, sig, n, grams): the segments, by equal hash ranges, of the rows (id, sig, n, grams) whose id may be wanted."""
 
@@ -606,7 +631,7 @@ def _links(sets: DataFrame, ids, percent: int, levels: tuple[int, ...] = LEVELS,
     shared_maps = sets.sparkSession.sparkContext.broadcast(maps)
     index = sets.select("id", "grams").mapInArrow(_prefixes(percent, shared_maps, len(levels), ids), "key long, sub int, subs int, n int, id long")
     parted = index.repartition("key", "sub").sortWithinPartitions("key", "sub", "subs", "n", "id")
-    shared = cut(parted.mapInArrow(_shared(percent), "key long, sub int, subs int, n int, id long"), "shared-grams")
+    shared = cut(parted.mapInArrow(_buckets(percent), "key long, sub int, subs int, n int, id long").distinct(), "shared-grams")
     rows, together = shared.select("key", "sub", "n", "id"), None
     if len(maps) > len(levels):
         # The least document of each size class goes to all parts of a split bucket.
