@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewarp.llm import components, exact_dedup, line_dedup, mixing, ngram_join, registry, sharding, topk, toxicity, warc
+from tidewarp.llm import components, exact_dedup, line_dedup, mixing, ngram_join, packing, registry, sharding, topk, toxicity, warc
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -151,6 +151,15 @@ def test_few_edges_need_no_rounds(spark):
     assert jobs <= 10
 
 
+def test_a_worker_keeps_one_operator_s_memory():
+    """What tasks of the packing left in a Python worker is gone once tasks of another stage run in it."""
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    for task in (toxicity._hashed, ngram_join._hashed(5), ngram_join._gram_counts(None)):
+        packing.Encoder.at(path).encode("some words to know")
+        assert packing.Encoder.at(path) is packing.Encoder.at(path) and len(packing._loaded) == 1
+        assert list(task(iter([]))) == [] and not packing._loaded
+
+
 # ------------------------------------------------------------------ 3. sharding
 
 

@@ -119,9 +119,10 @@ def remember(owner: str, forget: Callable[[], None]) -> None:
 
 
 def drop_others(owner: str) -> None:
-    """A Python worker serves the tasks of many stages, in turn; what another operator's tasks remembered in it is forgotten."""
+    """A Python worker serves the tasks of many stages, in turn; what another operator's tasks remembered in it is forgotten, and what Arrow holds unused is given back."""
     for other in [x for x in _remembered if x != owner]:
         _remembered.pop(other)()
+    pa.default_memory_pool().release_unused()
 
 
 def batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | list | None]) -> Callable[[Iterator], Iterator]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import cut, table
+from .common import cut, remember, table
 
 CAPACITY = 4096
 SMALL = 32
@@ -82,6 +82,7 @@ class Encoder:
     def at(cls, path: str) -> Encoder:
         if path not in _loaded:
             _loaded[path] = cls(path)
+        remember("packing", _loaded.clear)
         return _loaded[path]
 
     def whole(self, text: str) -> bytes:

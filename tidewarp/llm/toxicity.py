@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.shipping import ship
-from .common import cut, table
+from .common import cut, drop_others, table
 
 WORD = re.compile(r"\w+")
 STARTS = (3, 4, 5)
@@ -86,6 +86,7 @@ def in_fold(key: Column, folds: int, held: int) -> Column:
 
 
 def _hashed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_others("toxicity")
     cache: dict[str, list[int]] = {}
     for batch in source:
         out = []
@@ -229,6 +230,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     at = docs.columns.index(text_col) if keep else 1
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("toxicity")
         own = Model(*shared.value)
         for batch in source:
             scores = pa.array([own.score(x or "") for x in batch.column(at).to_pylist()], pa.float64())
